@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recordforge.llm.decontamination import contamination_report, find_contamination
 from recordforge.llm.near_dup import near_duplicates
+from recordforge.llm.packing import pack_documents
+from recordforge.llm.pii import find_pii, pii_report
+from recordforge.llm.quality import quality_rules
+from recordforge.llm.secrets import find_secrets, secret_report
+from recordforge.llm.store import scratch
+from recordforge.llm.token_counts import count_tokens
+from recordforge.llm.url_filter import filter_urls
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -16,10 +23,47 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(find_secrets(_table(spark, sf_dir, "documents")))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(find_pii(_table(spark, sf_dir, "documents")))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+#: Rules (verdict, host, path), and hosts whose roots are listed.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+LISTED_HOSTS = [f"{site}.example.{top}" for site in ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x") for top in ("com", "net", "org")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(f"https://{host}/",) for host in LISTED_HOSTS], "url string")
+    return filter_urls(_table(spark, sf_dir, "pages"), listed, URL_RULES)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), scratch(spark, "token-cache"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
@@ -39,6 +83,21 @@ select d.doc_id, len(w)::bigint n_words, coalesce(hit.n, 0)::bigint n_hit, coale
 from d left join hit using (doc_id) left join item using (doc_id)
 """
 
+_HOSTS = ", ".join(f"'{h}'" for h in LISTED_HOSTS)
+
+OP8_SQL = rf"""
+with u as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) path from pages),
+r as (select *, case
+  when (host = 'example.net' or host like '%.example.net') and starts_with(path, '/en/') then 'example.net/en/'
+  when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/de/') then 'example.com/de/'
+  when (host = 'org' or host like '%.org') and starts_with(path, '/fr/') then 'org/fr/'
+  when (host = 'net' or host like '%.net') and starts_with(path, '/') then 'net/' end as rule from u)
+select page_id, host, path, rule, case rule when 'example.net/en/' then 'allow' when 'example.com/de/' then 'block' when 'org/fr/' then 'allow' when 'net/' then 'block'
+  else case when exists (select 1 from (select unnest([{_HOSTS}]) l) where r.host = l or ends_with(r.host, '.' || l)) then 'block' else 'allow' end end as verdict
+from r
+"""
+
 OP10_SQL = rf"""
 with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') w from documents),
 sh as (select distinct doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') s
@@ -53,8 +112,14 @@ from d left join n using (doc_id) left join comp using (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
+    "op3_quality": op3_quality,
+    "op5_pack": op5_pack,
+    "op6_pii": op6_pii,
     "op7_decontaminate": op7_decontaminate,
+    "op8_url_filter": op8_url_filter,
+    "op9_token_counts": op9_token_counts,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
-SQL: dict[str, str] = {"op7_decontaminate": OP7_SQL, "op10_near_duplicates": OP10_SQL}
+SQL: dict[str, str] = {"op7_decontaminate": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_near_duplicates": OP10_SQL}
