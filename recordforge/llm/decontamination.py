@@ -163,6 +163,18 @@ def _merge(a: list[dict], b: list[dict]) -> list[dict]:
     return out
 
 
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
+    """The benchmark in parts of about ``block_bytes`` of text."""
+    named = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
+    size = named.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    n = max(1, -(-int(size) // block_bytes))
+    return [named.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) for k in range(n)] if n > 1 else [named]
+
+
+def _shared(part: DataFrame, window: int):
+    return part.sparkSession.sparkContext.broadcast(build_tables([tuple(r) for r in part.collect()], window))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Find the benchmark items that each document repeats.
 
@@ -176,18 +188,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     The benchmark is the only thing sent to all tasks. It goes in blocks of at most ``block_bytes`` of text, whose
     number grows with the benchmark; each further block is one more pass over the documents.
     """
-    spark = docs.sparkSession
-    named = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t"))
-    size = named.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-int(size) // block_bytes))
+    parts = _blocks(benchmark, item_col, item_text_col, block_bytes)
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:long,end:long>>").alias("hits"))
     state = T.StructType([T.StructField("id", out.schema["id"].dataType), T.StructField("text", T.StringType()), *T.StructType.fromDDL(_RESULT).fields])
-    for k in range(n_blocks):
-        part = named.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k) if n_blocks > 1 else named
-        shared = spark.sparkContext.broadcast(build_tables([tuple(r) for r in part.collect()], window))
-        last = k == n_blocks - 1
+    for k, part in enumerate(parts):
+        last = k == len(parts) - 1
         schema = T.StructType([f for f in state.fields if not (last and f.name == "text")])
-        out = out.mapInArrow(_task(shared, last, k > 0), schema)
+        out = out.mapInArrow(_task(_shared(part, window), last, k > 0), schema)
         if not last:
             out = written(out, "decontamination")
     return out.withColumnRenamed("id", id_col)
@@ -211,6 +218,24 @@ def _task(shared, last: bool, again: bool):
     return run
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` in which ``find_contamination`` finds no hit, with all their columns. A null text stays."""
+    out = docs
+    for part in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        out = out.mapInArrow(_clean_task(_shared(part, window), text_col), docs.schema)
+    return out
+
+
+def _clean_task(shared, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, tables = shared.value
+        for batch in batches:
+            clean = [not hits for texts in chunks(batch.column(text_col)) for _, _, hits in _scan(texts, names, tables)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
 def contamination_report(found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """Counts and a digest of what ``find_contamination`` returned."""
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, h: s + h["end"] - h["start"])

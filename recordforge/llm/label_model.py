@@ -30,7 +30,7 @@ class LabelModel:
         return 1 / (1 + np.exp(-(bias + add[np.arange(votes.shape[1]), votes + 1].sum(axis=1))))
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, *, prior: float = 0.8, trust: float = 0.8, strength: float = 50.0, rounds: int = 200) -> LabelModel:
+def fit(votes: np.ndarray, counts: np.ndarray, *, prior: float = 0.8, trust: float = 0.9, strength: float = 2.0, rounds: int = 200) -> LabelModel:
     """Estimate the prior and the labelers' rates from vote patterns (rows of -1, 0, 1) and how often each occurs.
 
     Before any data a labeler that votes is right with probability ``trust``; that belief weighs as ``strength`` rows a

