@@ -1,0 +1 @@
+"""Streaming forms of the queue and log operators."""
