@@ -182,7 +182,7 @@ def or_key_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.or_key_match(a, b, ["k1", "k2"]).withColumn("keys", joined("keys"))
 
 
-@query("with f as (select p_partkey id, p_brand || p_size b, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), x -> x not in ('the', 'a', 'an', 'and', 'co', 'inc')), ' ') n from part) select a.id, b.id other_id, round(1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n))::double, 9) similarity from f a join f b on a.b = b.b and a.id < b.id where round(1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n))::double, 9) >= 0.6")
+@query("with f as (select p_partkey id, p_brand || p_size b, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x not in ('the', 'a', 'an', 'and', 'co', 'inc')), ' ') n from part) select a.id, b.id other_id, round(1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n))::double, 9) similarity from f a join f b on a.b = b.b and a.id < b.id where round(1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n))::double, 9) >= 0.6")
 def fuzzy_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey id", "p_brand || p_size block", "p_name name")
     return matching.fuzzy_pairs(rows, "block", "name", least=0.6).withColumn("similarity", F.round("similarity", 9))
@@ -281,7 +281,7 @@ def latest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.latest(table(spark, sf_dir, "events"), ["user_id", "event_type"], "value", "ts")
 
 
-@query(f"{_BIZ}, t as (select * from biz where id % 3 = 0) select id, case when t.id is null then 'insert' when biz.id % 2 = 0 then 'merge' else 'skip' end as action from biz left join (select place_id, min(id) id from t where place_id <> '' group by 1) t using (place_id)")
+@query(f"{_BIZ}, t as (select * from biz where id % 3 = 0) select biz.id, case when t.id is null then 'insert' when biz.id % 2 = 0 then 'merge' else 'skip' end as action from biz left join (select place_id, min(id) id from t where place_id <> '' group by 1) t using (place_id)")
 def promotion_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = biz(spark, sf_dir)
     return promotion.resolve_conflicts(rows, rows.where("id % 3 = 0"), rows.where("id % 2 = 0").select("id", F.lit("overwrite").alias("choice"))).select("id", "action")
