@@ -1,9 +1,11 @@
 """MinHash near-duplicate classes by an LSH forest.
 
 Texts with equal shingle sets become one node. Each node's MinHash signature is cut into one label per tree, and the
-nodes are sorted by each tree's labels over the whole cluster. Candidates of a node are its neighbours in those orders:
-the farther a neighbour lies in the order, the longer the prefix that both labels must share, so that crowded regions
-are compared at a greater depth than sparse ones. Candidates are confirmed on the full shingle sets.
+nodes are sorted by each tree's labels, then by the hashes that follow them, over the whole cluster. Candidates of a node
+are its neighbours in those orders: the farther a neighbour lies in the order, the longer the prefix that both labels
+must share, so that crowded regions are compared at a greater depth than sparse ones. Candidates are confirmed on the
+full shingle sets. Where a class of candidates is too large for that reach and fell into parts, its best linked nodes are
+held against all nodes of the other parts, round after round until a round finds no link.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ NEAREST, SAME = 2, 0.92
 SLACK = 0.2
 #: Nodes, and shingles of them, that a task keeps at hand while it confirms links within a candidate class.
 KEPT_NODES, KEPT_SHINGLES = 64, 4_000_000
+#: A candidate class of more nodes than one order's reach is crowded; in a round so many of its best linked nodes are held against the rest.
+CROWDED, HUBS = 2 * REACH[-1][0], 16
 
 _A = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | U(1)
 _B = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) + U(1 << 40))
@@ -65,11 +69,13 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         raw = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint8).reshape(n, TREES * DEPTH, 4)
         low = raw[:, :, 3] & 0x0F
-        sketch = ((low[:, 0::2] << 4) | low[:, 1::2]).copy()
-        blobs = pa.array([x.tobytes() for x in sketch], pa.binary())
+        sketch = (low[:, 0::2] << 4) | low[:, 1::2]
         for t in range(TREES):
             label = raw[:, t * DEPTH : (t + 1) * DEPTH].reshape(n, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array([x.tobytes() for x in label], pa.binary()), batch.column("node"), batch.column("n_shingles"), blobs], names=["tree", "label", "node", "n_shingles", "sketch"])
+            deeper = np.roll(sketch, -(t + 1) * DEPTH // 2, axis=1)  # from the hash after the label's on
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, t, np.int32)), pa.array([x.tobytes() for x in label], pa.binary()), pa.array([x.tobytes() for x in deeper], pa.binary()), batch.column("node"), batch.column("n_shingles")], names=["tree", "label", "sketch", "node", "n_shingles"]
+            )
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -167,6 +173,42 @@ def _pairs_task(shingle: int, threshold: int):
     return run
 
 
+def _likely_task(threshold: int):
+    """Pairs whose signatures don't rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, y = (_matrix(batch.column(c), 4 * TREES * DEPTH).view(">u4") for c in ("signature_a", "signature_b"))
+            good = pa.array((x == y).mean(axis=1) >= threshold / 100 - SLACK, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
+
+    return run
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    for x in "ab":
+        pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")), x)
+    return pairs
+
+
+def _hub_pairs(nodes: DataFrame, classes: DataFrame, parts: DataFrame, links: DataFrame, threshold: int, turn: int) -> DataFrame | None:
+    """Likely pairs of each crowded class's best linked nodes with the nodes of its other parts; None where no such class is left."""
+    placed = classes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    split = placed.groupBy("class").agg(F.count(F.lit(1)).alias("n"), (F.min("part") < F.max("part")).alias("split")).where(F.col("split") & (F.col("n") > CROWDED)).select("class")
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    ranked = placed.join(split, "class", "left_semi").join(degree, "node", "left")
+    best = ranked.groupBy("class", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS)).alias("k")).agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "node", "part")).alias("hub"))
+    hubs = written(best.select("class", F.col("hub.node").alias("b"), F.col("hub.part").alias("hub_part")), "hubs")
+    if hubs.isEmpty():
+        return None
+    signed = nodes.select("node", "signature")
+    hubs = hubs.join(signed.withColumnsRenamed({"node": "b", "signature": "signature_b"}), "b")
+    rest = placed.join(signed.withColumnsRenamed({"signature": "signature_a"}), "node").withColumnRenamed("node", "a")
+    return rest.join(hubs, "class").where("part <> hub_part").select("a", "b", "signature_a", "signature_b").mapInArrow(_likely_task(threshold), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents whose word shingle sets overlap.
 
@@ -180,16 +222,18 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, i
     only if no row of its class has an id. An empty table gives an empty result. Other columns are ignored.
 
     No step groups a class in one task: equal sets meet in a partial aggregate, sorted orders are cut by rank, and a
-    class is walked through in sorted order with a bounded number of sets at hand. What lies beyond that reach is
-    confirmed pair by pair, so that it only costs time.
+    class is walked through in sorted order with a bounded number of sets at hand. Candidates beyond that reach are
+    confirmed pair by pair, so that they only cost time. The search itself is by locality-sensitive hashing: a link can be
+    missed where both ends lie in a crowded region and neither is among its best linked nodes.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     sketches = written(rows.mapInArrow(_sketch_task(shingle), f"id {id_type}, digest long, n_shingles long, key binary, signature binary"), "sketches")
     nodes = written(sketches.where("key is not null").groupBy("key", "n_shingles", "signature").agg(F.min("id").alias("first_id"), F.coalesce(F.min_by("digest", "id"), F.min("digest")).alias("digest")).withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    trees = nodes.select("node", "n_shingles", "signature").mapInArrow(_tree_rows, "tree int, label binary, node long, n_shingles long, sketch binary")
-    ordered = trees.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    trees = nodes.select("node", "n_shingles", "signature").mapInArrow(_tree_rows, "tree int, label binary, sketch binary, node long, n_shingles long")
+    order = ("tree", "label", "sketch", "node")
+    ordered = trees.repartitionByRange(*order).sortWithinPartitions(*order)
     candidates = written(ordered.mapInArrow(_neighbours_task(threshold), "a long, b long").distinct(), "candidates")
     classes = written(connected_components(candidates).withColumnRenamed("component", "class"), "classes")
 
@@ -206,17 +250,24 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, i
     # Candidates that the walk left in different parts.
     left, right = (parts.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")) for x in "ab")
     apart = candidates.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
-    with_text = apart.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    more = written(with_text.mapInArrow(_pairs_task(shingle, threshold), "a long, b long"), "links")
-    if not more.isEmpty():
-        parts = written(connected_components(links.unionByName(more)), "parts")
+    confirm, turn = _pairs_task(shingle, threshold), 0
+    pairs: DataFrame | None = apart
+    while pairs is not None:
+        more = written(_with_texts(pairs, texts).mapInArrow(confirm, "a long, b long"), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            parts = written(connected_components(links), "parts")
+        elif turn:
+            break
+        turn += 1
+        pairs = _hub_pairs(nodes, classes, parts, links, threshold, turn)
 
     of_node = nodes.select("node", "key", "first_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of_node.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = of_node.join(least, "component").select("key", "component_id")
     out = sketches.select("id", "n_shingles", "key").join(named, "key", "left").withColumn("component_id", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")))
     result = out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
-    drop(candidates, classes, texts, links, more)
+    drop(candidates, classes, texts)
     return result
 
 
