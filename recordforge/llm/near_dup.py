@@ -33,6 +33,8 @@ NEAREST, SAME = 2, 0.92
 SLACK = 0.2
 #: Nodes, and shingles of them, that a task keeps at hand while it confirms links within a candidate class.
 KEPT_NODES, KEPT_SHINGLES = 64, 4_000_000
+#: Nodes whose classes a task keeps in mind while it looks for candidates.
+KEPT_ROOTS = 1_000_000
 #: A candidate class of more nodes than one order's reach is crowded; in a round so many of its best linked nodes are held against the rest.
 CROWDED, HUBS = 2 * REACH[-1][0], 16
 
@@ -83,11 +85,20 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _neighbours_task(threshold: int):
-    """Candidates in a sorted stream of (tree, label, node): each row looks back at the rows before it."""
+    """Candidates in a sorted stream of (tree, label, node): each row looks back at the rows before it.
+
+    joins: whether a pair joins what the task's earlier pairs had left apart; these pairs alone have the same classes.
+    """
     reach, half = REACH[-1][0], TREES * DEPTH // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
+        tail, root = None, {}
+
+        def joins(x: int, y: int) -> bool:
+            x, y = _root(root, x), _root(root, y)
+            root[max(x, y)] = min(x, y)
+            return x != y
+
         for batch in batches:
             if not len(batch):
                 continue
@@ -117,11 +128,24 @@ def _neighbours_task(threshold: int):
             if a:
                 a, b = np.concatenate(a), np.concatenate(b)
                 pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+                if len(root) > KEPT_ROOTS:
+                    root.clear()
+                joined = [joins(x, y) for x, y in pairs.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(joined)], names=["a", "b", "joins"])
 
     return run
 
 
+def _root(root: dict[int, int], x: int) -> int:
+    path = []
+    while (up := root.setdefault(x, x)) != x:
+        path.append(x)
+        x = up
+    for y in path:
+        root[y] = x
+    return x
+
+
 def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
     for texts in chunks(column):
         runs, first = windows(words(texts, NOT_SPACE, LOWER), shingle, short=True)
@@ -234,8 +258,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, i
     trees = nodes.select("node", "n_shingles", "signature").mapInArrow(_tree_rows, "tree int, label binary, sketch binary, node long, n_shingles long")
     order = ("tree", "label", "sketch", "node")
     ordered = trees.repartitionByRange(*order).sortWithinPartitions(*order)
-    candidates = written(ordered.mapInArrow(_neighbours_task(threshold), "a long, b long").distinct(), "candidates")
-    classes = written(connected_components(candidates).withColumnRenamed("component", "class"), "classes")
+    candidates = written(ordered.mapInArrow(_neighbours_task(threshold), "a long, b long, joins boolean").groupBy("a", "b").agg(F.max("joins").alias("joins")), "candidates")
+    classes = written(connected_components(candidates.where("joins")).withColumnRenamed("component", "class"), "classes")
 
     # One text for each node that has a candidate: the one of its first id.
     chosen = nodes.join(classes, "node").select("node", "class", "key", F.substring("signature", 1, 4 * DEPTH).alias("label"), F.col("first_id").alias("id"), "digest")
@@ -256,7 +280,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, i
         more = written(_with_texts(pairs, texts).mapInArrow(confirm, "a long, b long"), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
-            parts = written(connected_components(links), "parts")
+            parts = written(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "parts")
         elif turn:
             break
         turn += 1
