@@ -189,10 +189,22 @@ def _within_task(shingle: int, threshold: int):
 
 
 def _pairs_task(shingle: int, threshold: int):
+    """Pairs that are linked, but for those whose parts earlier links of the task have joined."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
         for batch in batches:
-            good = pa.array([_linked(x, y, threshold) for x, y in zip(_sets(batch.column("text_a"), shingle), _sets(batch.column("text_b"), shingle), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
+            if len(root) > KEPT_ROOTS:
+                root.clear()
+            good = []
+            parts = zip(batch.column("part_a").to_pylist(), batch.column("part_b").to_pylist(), strict=True)
+            for (p, q), x, y in zip(parts, _sets(batch.column("text_a"), shingle), _sets(batch.column("text_b"), shingle), strict=True):
+                p, q = _root(root, p), _root(root, q)
+                good.append(p != q and _linked(x, y, threshold))
+                if good[-1]:
+                    root[max(p, q)] = min(p, q)
+            chosen = batch.filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([chosen.column(c) for c in ("a", "b", "part_a", "part_b")], names=["a", "b", "part_a", "part_b"])
 
     return run
 
@@ -206,11 +218,15 @@ def _likely_task(threshold: int):
                 continue
             x, y = (_matrix(batch.column(c), 4 * TREES * DEPTH).view(">u4") for c in ("signature_a", "signature_b"))
             good = pa.array((x == y).mean(axis=1) >= threshold / 100 - SLACK, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
+            likely = batch.filter(good)
+            yield pa.RecordBatch.from_arrays([likely.column(c) for c in ("a", "b", "part_a", "part_b")], names=["a", "b", "part_a", "part_b"])
 
     return run
 
 
+_PAIRS = "a long, b long, part_a long, part_b long"
+
+
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     for x in "ab":
         pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")), x)
@@ -221,16 +237,16 @@ def _hub_pairs(nodes: DataFrame, classes: DataFrame, parts: DataFrame, links: Da
     """Likely pairs of each crowded class's best linked nodes with the nodes of its other parts; None where no such class is left."""
     placed = classes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     split = placed.groupBy("class").agg(F.count(F.lit(1)).alias("n"), (F.min("part") < F.max("part")).alias("split")).where(F.col("split") & (F.col("n") > CROWDED)).select("class")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     ranked = placed.join(split, "class", "left_semi").join(degree, "node", "left")
     best = ranked.groupBy("class", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS)).alias("k")).agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "node", "part")).alias("hub"))
-    hubs = written(best.select("class", F.col("hub.node").alias("b"), F.col("hub.part").alias("hub_part")), "hubs")
+    hubs = written(best.select("class", F.col("hub.node").alias("b"), F.col("hub.part").alias("part_b")), "hubs")
     if hubs.isEmpty():
         return None
     signed = nodes.select("node", "signature")
     hubs = hubs.join(signed.withColumnsRenamed({"node": "b", "signature": "signature_b"}), "b")
-    rest = placed.join(signed.withColumnsRenamed({"signature": "signature_a"}), "node").withColumnRenamed("node", "a")
-    return rest.join(hubs, "class").where("part <> hub_part").select("a", "b", "signature_a", "signature_b").mapInArrow(_likely_task(threshold), "a long, b long")
+    rest = placed.join(signed.withColumnsRenamed({"signature": "signature_a"}), "node").withColumnsRenamed({"node": "a", "part": "part_a"})
+    return rest.join(hubs, "class").where("part_a <> part_b").select("a", "b", "part_a", "part_b", "signature_a", "signature_b").mapInArrow(_likely_task(threshold), _PAIRS)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,11 +289,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, i
 
     # Candidates that the walk left in different parts.
     left, right = (parts.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")) for x in "ab")
-    apart = candidates.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+    apart = candidates.join(left, "a", "left").join(right, "b", "left").select("a", "b", F.coalesce("part_a", "a").alias("part_a"), F.coalesce("part_b", "b").alias("part_b")).where("part_a <> part_b")
     confirm, turn = _pairs_task(shingle, threshold), 0
     pairs: DataFrame | None = apart
     while pairs is not None:
-        more = written(_with_texts(pairs, texts).mapInArrow(confirm, "a long, b long"), "links")
+        found = _with_texts(pairs, texts).mapInArrow(confirm, _PAIRS)
+        # One link of two parts joins them as well as many.
+        more = written(found.groupBy("part_a", "part_b").agg(F.min(F.struct("a", "b")).alias("link")).select("link.*"), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             parts = written(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "parts")
