@@ -6,13 +6,16 @@ are its neighbours in those orders: the farther a neighbour lies in the order, t
 must share, so that crowded regions are compared at a greater depth than sparse ones. Candidates are confirmed on the
 full shingle sets. Where a class of candidates is too large for that reach and fell into parts, its best linked nodes are
 held against all nodes of the other parts, round after round until a round finds no link.
+
+All that joins most links cheaply; it is not what makes them whole. At the end an exact prefix-filter join over all nodes
+finds each link between parts that is still missing: two sets that are linked share one of their rarest shingles.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,14 @@ KEPT_NODES, KEPT_SHINGLES = 64, 4_000_000
 KEPT_ROOTS = 1_000_000
 #: A candidate class of more nodes than one order's reach is crowded; in a round so many of its best linked nodes are held against the rest.
 CROWDED, HUBS = 2 * REACH[-1][0], 16
+#: Buckets (bits) in which shingles are counted, so that rare ones come first. Any order is right; this one is cheap.
+BUCKET_BITS = 18
+#: Nodes of a shingle are dealt over blocks of about this many, and held against each other block by block.
+BLOCK = 512
+#: Bits of a set's parity: two sets differ by at least as many shingles as their parities differ by bits.
+PARITY = 512
+#: Pairs that a task holds before it hands them on.
+HELD_PAIRS = 500_000
 
 _A = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | U(1)
 _B = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) + U(1 << 40))
@@ -55,11 +66,12 @@ def _sketch_task(shingle: int):
                 signature = np.empty((len(full), len(_A)), dtype=">u4")
                 for j in range(len(_A) if len(full) else 0):
                     signature[:, j] = np.minimum.reduceat(((runs ^ _B[j]) * _A[j]) >> U(32), first[full])
-                size, key, own = [0] * len(texts), [None] * len(texts), [None] * len(texts)
+                size, key, own, parity = [0] * len(texts), [None] * len(texts), [None] * len(texts), [None] * len(texts)
                 for row, i in enumerate(full.tolist()):
                     found = np.unique(runs[first[i] : first[i + 1]])
                     size[i], key[i], own[i] = len(found), hashlib.blake2b(found, digest_size=16).digest(), signature[row].tobytes()
-                yield pa.RecordBatch.from_arrays([ids.slice(texts.first, len(texts)), digests.slice(texts.first, len(texts)), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(own, pa.binary())], names=["id", "digest", "n_shingles", "key", "signature"])
+                    parity[i] = np.packbits(np.bincount((found & U(PARITY - 1)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).tobytes()
+                yield pa.RecordBatch.from_arrays([ids.slice(texts.first, len(texts)), digests.slice(texts.first, len(texts)), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(own, pa.binary()), pa.array(parity, pa.binary())], names=["id", "digest", "n_shingles", "key", "signature", "parity"])
 
     return run
 
@@ -249,6 +261,108 @@ def _hub_pairs(nodes: DataFrame, classes: DataFrame, parts: DataFrame, links: Da
     return rest.join(hubs, "class").where("part_a <> part_b").select("a", "b", "part_a", "part_b", "signature_a", "signature_b").mapInArrow(_likely_task(threshold), _PAIRS)
 
 
+def _count_task(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            for found in _sets(batch.column("text"), shingle):
+                np.add.at(total, _bucket(found), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
+
+    return run
+
+
+def _bucket(found: np.ndarray) -> np.ndarray:
+    return (found >> U(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _prefix_task(shingle: int, threshold: int, counts):
+    """The rarest shingles of each set, one of which any linked set shares, with their places from the rarest on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = counts.value
+        for batch in batches:
+            rows: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 5]
+            for node, part, found in zip(batch.column("node").to_pylist(), batch.column("part").to_pylist(), _sets(batch.column("text"), shingle), strict=True):
+                n, often = len(found), total[_bucket(found)]
+                first = np.lexsort((found, often))[: n + threshold * -n // 100 + 1]
+                place = np.flatnonzero(often[first] > 1)  # a shingle that is alone in its bucket is in no other set
+                rows.append((found[first[place]].view(np.int64), *(np.full(len(place), x, np.int64) for x in (node, part, n)), place))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["shingle", "node", "part", "size", "place"])
+
+    return run
+
+
+def _cells_task(threshold: int):
+    """Pairs of different parts in a stream sorted by cell that their sizes, the places of their common shingle and their parities don't rule out.
+
+    If a pair is linked, the bound by places holds at its first common shingle, as all others come later in both.
+    """
+    cell, rest = ("shingle", "low", "high"), ("block", "node", "part", "size", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None
+        for batch in chain(batches, [None]):
+            if batch is None:
+                own = None
+            elif len(batch):
+                own = (*(batch.column(c).to_numpy() for c in (*cell, *rest)), _matrix(batch.column("parity"), PARITY // 8).view(np.uint64))
+            else:
+                continue
+            if tail is None and own is None:
+                return
+            now = tail if own is None else own if tail is None else tuple(np.concatenate(x) for x in zip(tail, own, strict=True))
+            shingle, low, high = now[:3]
+            starts = np.flatnonzero(np.concatenate(([True], (shingle[1:] != shingle[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))))
+            # The last cell may go on in the next batch.
+            n = len(shingle) if own is None else int(starts[-1])
+            tail = tuple(x[n:].copy() for x in now)
+            _, low, high, block, node, part, size, place, parity = now
+            end = np.concatenate((starts[1:], [len(shingle)]))[np.searchsorted(starts, np.arange(n), side="right") - 1]
+            i, far, held, out = np.arange(n), 0, 0, []
+            while len(i):
+                far += 1
+                i = i[end[i] > i + far]
+                j = i + far
+                both = size[i] + size[j]
+                good = (part[i] != part[j]) & ((low[i] == high[i]) | (block[i] != block[j]))
+                good &= 100 * np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])
+                good &= (100 + threshold) * np.minimum(size[i] - place[i], size[j] - place[j]) >= threshold * both
+                a, b, both = i[good], j[good], both[good]
+                differ = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
+                good = (100 + threshold) * differ <= (100 - threshold) * both
+                a, b = a[good], b[good]
+                turned = node[a] > node[b]
+                a, b = np.where(turned, b, a), np.where(turned, a, b)
+                out.append(np.stack((node[a], node[b], part[a], part[b]), axis=1))
+                held += len(a)
+                if held > HELD_PAIRS or not len(i):
+                    pairs = np.unique(np.concatenate(out), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.copy()) for x in pairs.T], names=["a", "b", "part_a", "part_b"])
+                    held, out = 0, []
+
+    return run
+
+
+def _missing_pairs(nodes: DataFrame, texts: DataFrame, parts: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """All pairs of nodes of different parts that may be linked. None is left out: each step only drops what can't reach the threshold."""
+    spark = nodes.sparkSession
+    counted = texts.select("text").mapInArrow(_count_task(shingle), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(1 << BUCKET_BITS, np.int64)
+    total[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    placed = texts.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "text")
+    rows = written(placed.mapInArrow(_prefix_task(shingle, threshold, spark.sparkContext.broadcast(total)), "shingle long, node long, part long, size long, place long"), "prefixes")
+    met = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), (F.min("part") < F.max("part")).alias("apart")).where("apart")
+    met = written(met.select("shingle", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "met")
+    # The common shingles are few, at most one in BLOCK rows, so that they go to the rows and not the rows to them.
+    shared = rows.join(met.where("blocks = 1"), "shingle").unionByName(rows.join(F.broadcast(met.where("blocks > 1")), "shingle"))
+    blocked = shared.join(nodes.select("node", "parity"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    dealt = cells.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high")
+    return dealt.select("shingle", "low", "high", "block", "node", "part", "size", "place", "parity").mapInArrow(_cells_task(threshold), _PAIRS).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents whose word shingle sets overlap.
 
@@ -263,13 +377,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, i
 
     No step groups a class in one task: equal sets meet in a partial aggregate, sorted orders are cut by rank, and a
     class is walked through in sorted order with a bounded number of sets at hand. Candidates beyond that reach are
-    confirmed pair by pair, so that they only cost time. The search itself is by locality-sensitive hashing: a link can be
-    missed where both ends lie in a crowded region and neither is among its best linked nodes.
+    confirmed pair by pair, so that they only cost time. What locality-sensitive hashing misses is found by the exact
+    join at the end, so that no link between two classes of the result is left.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    sketches = written(rows.mapInArrow(_sketch_task(shingle), f"id {id_type}, digest long, n_shingles long, key binary, signature binary"), "sketches")
-    nodes = written(sketches.where("key is not null").groupBy("key", "n_shingles", "signature").agg(F.min("id").alias("first_id"), F.coalesce(F.min_by("digest", "id"), F.min("digest")).alias("digest")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    sketches = written(rows.mapInArrow(_sketch_task(shingle), f"id {id_type}, digest long, n_shingles long, key binary, signature binary, parity binary"), "sketches")
+    nodes = written(sketches.where("key is not null").groupBy("key", "n_shingles", "signature", "parity").agg(F.min("id").alias("first_id"), F.coalesce(F.min_by("digest", "id"), F.min("digest")).alias("digest")).withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     trees = nodes.select("node", "n_shingles", "signature").mapInArrow(_tree_rows, "tree int, label binary, sketch binary, node long, n_shingles long")
     order = ("tree", "label", "sketch", "node")
@@ -277,33 +391,44 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, i
     candidates = written(ordered.mapInArrow(_neighbours_task(threshold), "a long, b long, joins boolean").groupBy("a", "b").agg(F.max("joins").alias("joins")), "candidates")
     classes = written(connected_components(candidates.where("joins")).withColumnRenamed("component", "class"), "classes")
 
-    # One text for each node that has a candidate: the one of its first id.
-    chosen = nodes.join(classes, "node").select("node", "class", "key", F.substring("signature", 1, 4 * DEPTH).alias("label"), F.col("first_id").alias("id"), "digest")
+    # One text for each node: the one of its first id.
+    chosen = nodes.join(classes, "node", "left").select("node", "class", "key", F.substring("signature", 1, 4 * DEPTH).alias("label"), F.col("first_id").alias("id"), "digest")
     texts = written(
         rows.join(chosen, (rows["digest"] == chosen["digest"]) & rows["id"].eqNullSafe(chosen["id"])).select("node", "class", "key", "label", "text").mapInArrow(_own_text(shingle), "node long, class long, label binary, text string"),
         "texts",
     )
-    walked = texts.repartitionByRange("class", "label", "node").sortWithinPartitions("class", "label", "node").select("class", "node", "text")
+    walked = texts.where("class is not null").repartitionByRange("class", "label", "node").sortWithinPartitions("class", "label", "node").select("class", "node", "text")
     links = written(walked.mapInArrow(_within_task(shingle, threshold), "a long, b long"), "links")
     parts = written(connected_components(links), "parts")
 
     # Candidates that the walk left in different parts.
     left, right = (parts.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")) for x in "ab")
     apart = candidates.join(left, "a", "left").join(right, "b", "left").select("a", "b", F.coalesce("part_a", "a").alias("part_a"), F.coalesce("part_b", "b").alias("part_b")).where("part_a <> part_b")
-    confirm, turn = _pairs_task(shingle, threshold), 0
+    turn = 0
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        found = _with_texts(pairs, texts).mapInArrow(_pairs_task(shingle, threshold), _PAIRS)
+        # One link of two parts joins them as well as many.
+        return written(found.groupBy("part_a", "part_b").agg(F.min(F.struct("a", "b")).alias("link")).select("link.*"), "links")
+
+    def joined(more: DataFrame) -> DataFrame:
+        return written(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "parts")
+
     pairs: DataFrame | None = apart
     while pairs is not None:
-        found = _with_texts(pairs, texts).mapInArrow(confirm, _PAIRS)
-        # One link of two parts joins them as well as many.
-        more = written(found.groupBy("part_a", "part_b").agg(F.min(F.struct("a", "b")).alias("link")).select("link.*"), "links")
+        more = confirmed(pairs)
         if not more.isEmpty():
             links = links.unionByName(more)
-            parts = written(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "parts")
+            parts = joined(more)
         elif turn:
             break
         turn += 1
         pairs = _hub_pairs(nodes, classes, parts, links, threshold, turn)
 
+    more = confirmed(_missing_pairs(nodes, texts, parts, shingle, threshold))
+    if not more.isEmpty():
+        parts = joined(more)
+
     of_node = nodes.select("node", "key", "first_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of_node.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = of_node.join(least, "component").select("key", "component_id")

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from recordforge.llm.components import connected_components
@@ -88,3 +89,39 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(50, 60), (60, 50), (70, 70), (None, 1), (80, 90), (81, 90)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {k: 0 for k in range(41)} | {50: 50, 60: 50, 80: 80, 81: 80, 90: 80}
+
+
+def test_many_texts_from_one_template(spark):
+    """One crowded candidate class: texts of a template are about 0.7 alike, and each has one copy that is linked with it alone."""
+    r = random.Random(11)
+    template = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for k in range(600):
+        base = edited(template, r, 5).split()
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, edited(base, r, 5))]
+    r.shuffle(rows)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    want = linked_classes(rows, 4)
+    assert 400 < len({c for _, _, c in want}) < 800
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == want
+
+
+def linked_classes(rows, k, threshold=80):
+    """The classes by all pairs, counted by a product of 0/1 rows."""
+    sets = [shingles(t, k) for _, t in rows]
+    number = {s: n for n, s in enumerate(set().union(*sets))}
+    column = np.concatenate([[number[s] for s in x] for x in sets])
+    size = np.array([len(x) for x in sets])
+    common = np.bincount(column, minlength=len(number))[column] > 1
+    row = np.repeat(np.arange(len(sets)), size)[common]
+    _, column = np.unique(column[common], return_inverse=True)
+    held = np.zeros((len(sets), column.max() + 1), np.float32)
+    held[row, column] = 1
+    both = np.rint(held @ held.T).astype(np.int64)
+    linked = 100 * both >= threshold * (size[:, None] + size[None, :] - both)
+    least = np.array([i for i, _ in rows])
+    while True:
+        lower = np.where(linked, least[None, :], least.max()).min(axis=1)
+        if (lower == least).all():
+            return sorted((i, int(n), int(c)) for (i, _), n, c in zip(rows, size, least, strict=True))
+        least = lower
