@@ -104,25 +104,55 @@ def _prepared(templates: dict[str, tuple[str, ...]], coverage: float) -> list[_T
     return out
 
 
+def _held(words: list, t: _Template, span: int) -> list[tuple[int, int]]:
+    """(how much of the template a stretch holds, start) of each stretch that holds enough; repeated words count as often as in the template."""
+    allowed, inside = Counter(t.words), Counter()
+    at = [i for i, w in enumerate(words) if w in allowed]
+    out, held, end = [], 0, 0
+    for a in at:
+        while end < len(at) and at[end] < a + span:
+            w = words[at[end]]
+            held += inside[w] < allowed[w]
+            inside[w] += 1
+            end += 1
+        if held >= t.need:
+            out.append((held, a))
+        inside[words[a]] -= 1
+        held -= inside[words[a]] < allowed[words[a]]
+    return out
+
+
 def _matches(hashes: np.ndarray, t: _Template) -> Iterator[tuple[int, int, int]]:
-    """Stretches that hold enough of the template, best first: (start, end, aligned words)."""
-    known = np.isin(hashes, t.known)
+    """Notices, in each piece of text the best first: (start, end, aligned words).
+
+    No stretch aligns more words than it holds, so that stretches are tried from the fullest on until none that is left can
+    be better than the best. Of equally good ones the shortest counts. What lies before and behind a notice is searched
+    on its own.
+    """
     span = int(np.ceil(STRETCH * t.size))
-    while True:
-        total = np.concatenate(([0], np.cumsum(known)))
-        starts = np.flatnonzero(known)
-        held = total[np.minimum(starts + span, len(hashes))] - total[starts]
-        if not len(held) or held.max() < t.need:
-            return
-        a = int(starts[int(np.argmax(held >= t.need))])
-        b = min(len(hashes), a + span)
-        aligned = patience_align(hashes[a:b].tolist(), t.words)
-        if len(aligned) >= t.need:
-            first, last = a + aligned[0][0], a + aligned[-1][0] + 1
-            yield first, last, len(aligned)
-            known[a:last] = False
-        else:
-            known[a] = False
+    todo = [(0, len(hashes))]
+    while todo:
+        lo, hi = todo.pop()
+        text = hashes[lo:hi].tolist()
+        regions: list[list[tuple[int, int]]] = []
+        for held, a in _held(text, t, span):
+            if regions and a < regions[-1][-1][1] + span:
+                regions[-1].append((held, a))
+            else:
+                regions.append([(held, a)])
+        for region in regions:
+            best = (t.need - 1, 0, 0, 0)
+            for held, a in sorted(region, key=lambda x: (-x[0], x[1])):
+                if held < best[0] or held < t.need:
+                    break
+                aligned = patience_align(text[a : min(a + span, region[-1][1] + span)], t.words)
+                if aligned:
+                    first, last = a + aligned[0][0], a + aligned[-1][0] + 1
+                    best = max(best, (len(aligned), first - last, -first, last))
+            if best[0] >= t.need:
+                first, last = lo - best[2], lo + best[3]
+                yield first, last, best[0]
+                todo += [(lo + region[0][1], first), (last, min(hi, lo + region[-1][1] + span))]
 
 
 _FOUND = "licenses array<struct<license:string,start:long,end:long,matched:long,size:long>>"

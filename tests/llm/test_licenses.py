@@ -52,3 +52,21 @@ def test_two_notices_and_empty(spark):
     found = find_licenses(docs).first()["licenses"]
     assert [m["license"] for m in found] == ["MIT", "Apache-2.0", "MIT"] and all(m["matched"] == m["size"] for m in found)
     assert find_licenses(docs.limit(0)).count() == 0
+
+
+def test_notices_within_prose(spark):
+    """Exact notices are found whole, whatever words of the template stand around them."""
+    prose = "the use of a copy is to be made in and for any person of the house by 4 or more and it is under the and of to a 0 that is not to be"
+    prose = " ".join((prose + " and " + prose).split()[:40])
+    rows, want = [], {}
+    for name, versions in TEMPLATES.items():
+        for v in versions:
+            want[len(rows)] = name
+            rows.append((len(rows), f"{prose} . {v} {prose}"))
+    photo = len(rows)
+    rows += [(photo, "Photo by A Smith, Oslo, 2020. Licensed under CC BY-NC 4.0."), (photo + 1, "Photo by A Smith, Oslo, 2020. Licensed under CC BY 4.0."), (photo + 2, " ".join([TEMPLATES["MIT"][1]] * 3))]
+    got = {r["doc_id"]: r["licenses"] for r in find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, name in want.items():
+        assert [(m["license"], m["start"], m["end"] - m["start"], m["matched"]) for m in got[k]] == [(name, 40, got[k][0]["size"], got[k][0]["size"])]
+    assert [[(m["license"], m["matched"], m["size"]) for m in got[photo + k]] for k in (0, 1)] == [[("CC-BY-NC-4.0", 7, 7)], [("CC-BY-4.0", 6, 6)]]
+    assert [m["license"] for m in got[photo + 2]] == ["MIT"] * 3 and all(m["matched"] == m["size"] for m in got[photo + 2])
