@@ -29,26 +29,27 @@ def _get(value: str, path: str, kind: str) -> Column:
     return F.try_variant_get(F.col(value), path, kind)
 
 
-def _schema_rows(tools: dict[str, dict]) -> list[tuple[str, str, str, bool]]:
-    """(tool, argument, type or '', required) of all arguments; a tool without arguments has a row with argument ''."""
+def _schema_rows(tools: dict[str, dict]) -> list[tuple[str, str, list[str], bool]]:
+    """(tool, argument, types, required) of all arguments; no types allow any; a tool without arguments has a row with argument ''."""
     out = []
     for tool, schema in sorted(tools.items()):
         known, needed = schema.get("properties", {}), set(schema.get("required", []))
-        out += [(tool, a, known.get(a, {}).get("type", ""), a in needed) for a in sorted({*known, *needed})] or [(tool, "", "", False)]
+        types = {a: known.get(a, {}).get("type", []) for a in sorted({*known, *needed})}
+        out += [(tool, a, [t] if isinstance(t, str) else list(t), a in needed) for a, t in types.items()] or [(tool, "", [], False)]
     return out
 
 
 def _checked(calls: DataFrame, tools: dict[str, dict]) -> DataFrame:
     """Add ``problems``: what the tool's schema objects to, sorted. Schemas are literals; extra arguments are allowed unless additionalProperties is false."""
     rows = _schema_rows(tools)
-    schema = F.from_json(F.lit(json.dumps([dict(zip(("tool", "arg", "type", "required"), r, strict=True)) for r in rows])), "array<struct<tool:string,arg:string,type:string,required:boolean>>")
+    schema = F.from_json(F.lit(json.dumps([dict(zip(("tool", "arg", "types", "required"), r, strict=True)) for r in rows])), "array<struct<tool:string,arg:string,types:array<string>,required:boolean>>")
     closed = [t for t, s in sorted(tools.items()) if s.get("additionalProperties") is False]
     own = F.filter(schema, lambda s: s["tool"] == F.col("name"))
     kinds = F.col("kinds")
     have = lambda s: F.try_element_at(kinds, s["arg"])
     missing = F.transform(F.filter(own, lambda s: s["required"] & have(s).isNull()), lambda s: F.concat(F.lit("missing:"), s["arg"]))
     wrong = F.transform(
-        F.filter(own, lambda s: (s["type"] != "") & have(s).isNotNull() & (have(s) != s["type"]) & ~((s["type"] == "number") & (have(s) == "integer"))),
+        F.filter(own, lambda s: (F.size(s["types"]) > 0) & have(s).isNotNull() & ~F.array_contains(s["types"], have(s)) & ~(F.array_contains(s["types"], F.lit("number")) & (have(s) == "integer"))),
         lambda s: F.concat(F.lit("type:"), s["arg"]),
     )
     names = F.transform(own, lambda s: s["arg"])
@@ -94,7 +95,8 @@ def format_chats(turns: DataFrame, tools: dict[str, dict], *, conv_col: str = "c
 
     status: of a call ``linked``, ``no_result``, ``duplicate_id`` (all but the first call of an id), ``cycle`` or ``no_id``;
     of a result ``linked``, ``duplicate_result`` (all but the first), ``no_call`` or ``no_id``; else ``plain``. problems:
-    what the tool's JSON schema (types, required, additionalProperties) objects to. message: canonical JSON, keys sorted
+    what the tool's JSON schema (type, required and additionalProperties of the arguments themselves) objects to; other keywords, and what lies
+    within an argument, are not checked. message: canonical JSON, keys sorted
     and no white space.
 
     A null or empty text, or one that isn't such a JSON object, is plain text; null content is JSON null. Rows with a null
@@ -103,7 +105,7 @@ def format_chats(turns: DataFrame, tools: dict[str, dict], *, conv_col: str = "c
     conversation and call.
     """
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    tooling = F.col("role").isin("assistant", "tool") & F.col("conv").isNotNull() & F.col("turn").isNotNull() & F.ltrim("text").startswith("{")
+    tooling = F.col("role").isin("assistant", "tool") & F.col("conv").isNotNull() & F.col("turn").isNotNull() & F.col("text").rlike(r"^[ \t\r\n]*\{")
     parsed = rows.withColumn("json", F.when(tooling, F.try_parse_json("text")))
     parsed = parsed.withColumn("listed", F.when(F.col("role") == "assistant", _get("json", "$.tool_calls", "array<variant>"))).withColumn("answers", F.when(F.col("role") == "tool", F.expr("try_variant_get(json, '$.tool_call_id', 'string')")))
     is_call, is_result = F.size(F.coalesce("listed", F.array().cast("array<variant>"))) > 0, (F.col("role") == "tool") & F.col("json").isNotNull()

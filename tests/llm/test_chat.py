@@ -57,3 +57,16 @@ def test_links_order_and_problems(spark):
 
 def test_empty(spark):
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), TOOLS).count() == 0
+
+
+def test_white_space_before_json_and_lists_of_types(spark):
+    tools = {"look": {"properties": {"at": {"type": ["string", "null"]}, "far": {"type": ["number", "boolean"]}}, "required": ["at"]}}
+    given = [{"at": "x", "far": 2}, {"at": None, "far": 2.5}, {"at": 3, "far": "no"}, {"far": True}]
+    want = [[], [], ["type:at", "type:far"], ["missing:at"]]
+    rows = [(1, k, "assistant", space + calls(call(f"c{k}", "look", a))) for k, (space, a) in enumerate(zip(("\n", "\t", "\r\n ", " "), given, strict=True))]
+    rows += [(1, 10 + k, "tool", "\r\n\t " + result(f"c{k}", k)) for k in range(4)] + [(1, 20, "assistant", "\ntext {"), (1, 21, "assistant", "\u00a0" + calls(call("z")))]
+    got = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tools).collect()
+    made = {r["call_id"]: r for r in got if r["role"] == "call"}
+    assert [made[f"c{k}"]["problems"] for k in range(4)] == want and len(made) == 4
+    assert all(r["status"] == "linked" for r in got if r["role"] in ("call", "tool"))
+    assert all(r["status"] == "plain" for r in got if r["turn"] >= 20)
