@@ -36,6 +36,21 @@ def _distinct(keys: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc[at], minlength=n)
 
 
+def _again(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """How many spans of each text are equal to an earlier one; spans with one hash are compared byte by byte."""
+    keys = span_hashes(data, starts, ends)
+    order = np.lexsort((keys, doc))
+    same = np.flatnonzero((keys[order[1:]] == keys[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]]))
+    some = order[np.unique(np.concatenate((same, same + 1)))]
+    seen: set[tuple[int, bytes]] = set()
+    out = np.zeros(n, dtype=np.int64)
+    for d, a, b in zip(doc[some].tolist(), starts[some].tolist(), ends[some].tolist(), strict=True):
+        line = (d, data[a:b].tobytes())
+        out[d] += line in seen
+        seen.add(line)
+    return out
+
+
 def _features(texts: Texts, common: np.ndarray) -> dict[str, np.ndarray]:
     data, n = texts.data, len(texts)
     w = words(texts, NOT_SPACE, SAME)
@@ -53,7 +68,7 @@ def _features(texts: Texts, common: np.ndarray) -> dict[str, np.ndarray]:
     starts, ends = starts[full], ends[full]
     doc = np.searchsorted(texts.offsets, starts, side="right") - 1
     out["n_lines"] = np.bincount(doc, minlength=n)
-    out["n_dup_lines"] = out["n_lines"] - _distinct(span_hashes(mix(data.astype(np.uint64) + U(1)), starts, ends), doc, n)
+    out["n_dup_lines"] = _again(data, starts, ends, doc, n)
 
     runs, first = windows(w, REPEAT_WORDS, short=False)
     of = np.repeat(np.arange(n), np.diff(first))

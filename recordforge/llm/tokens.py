@@ -15,7 +15,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 
-from recordforge.llm.words import BASE, U, mix, span_hashes
+from recordforge.llm.words import equal_spans, span_hashes
 
 #: Units that a worker remembers; then it starts afresh.
 MEMORY = 600_000
@@ -98,11 +98,11 @@ class Units:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.slots: dict[str, int] = {}
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.first, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def _add(self, keys: list[int], found: list[list[int]]) -> None:
+    def _add(self, keys: list[str], found: list[list[int]]) -> None:
         for key, ids in zip(keys, found, strict=True):
             slot = len(self.slots)
             if slot == len(self.first):
@@ -120,13 +120,19 @@ class Units:
         codes = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
         starts = self.starts(codes, offsets)
         ends = np.append(starts[1:], len(codes)) if len(starts) else starts
-        keys, at, inverse = np.unique(span_hashes(mix(codes * BASE + U(1)), starts, ends), return_index=True, return_inverse=True)
-        keys = keys.tolist()
+        raw = codes.view(np.uint8)
+        _, at, inverse = np.unique(span_hashes(raw, 4 * starts, 4 * ends), return_index=True, return_inverse=True)
+        if equal_spans(raw, 4 * starts, 4 * ends, at[inverse]).all():
+            keys = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        else:  # two units with one hash
+            place: dict[str, int] = {}
+            inverse = np.array([place.setdefault(joined[a:b], len(place)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+            keys = list(place)
         if len(self.slots) > self.memory:
             self._forget()
-        new = [k for k, key in enumerate(keys) if key not in self.slots]
+        new = [key for key in keys if key not in self.slots]
         if new:
-            self._add([keys[k] for k in new], self.encode([joined[starts[at[k]] : ends[at[k]]] for k in new]))
+            self._add(new, self.encode(new))
         slots = np.array([self.slots[key] for key in keys], dtype=np.int64)
         return slots[inverse], np.searchsorted(starts, offsets)
 

@@ -1,11 +1,13 @@
 """Vectorised word work on Arrow text columns: no Python object is made for each word.
 
 Texts are handled as UTF-8 bytes. A word is a run of word bytes; the tables say which bytes those are and what each is
-folded to. Each word gets a 64-bit hash from one prefix sum over the bytes, so that equal words have equal hashes.
+folded to. Each word gets a 64-bit hash of its bytes, eight at a time with all bits mixed after each eight, so that equal
+words have equal hashes and no pattern of repeated bytes makes different words alike.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +17,6 @@ import pyarrow.compute as pc
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
-BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes of text handled at a time; a longer text is handled alone.
 CHUNK = 1 << 20
 
@@ -43,24 +44,49 @@ NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of BASE and of its inverse, from 0 to n."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, CHUNK + 1)
-        _powers[:] = [np.cumprod(np.concatenate(([U(1)], np.full(size, b, dtype=np.uint64)))) for b in (BASE, BASE_INVERSE)]
-    return _powers[0], _powers[1]
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of values[start:end] for each span; it depends on the values alone, not on the place."""
-    up, down = powers(len(values))
-    total = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+#: What is kept of eight bytes where only so many are left.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: From this length on, what is left of a span goes through a digest of its own: numpy calls for a few bytes would be slower.
+LONG = 1024
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of data[start:end] (bytes) for each span; it depends on the bytes alone, not on the place."""
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    left = ends - starts
+    out = mix((left + 1).astype(np.uint64) * BASE)
+    at, live = starts, None
+    for _ in range(LONG // 8):
+        block = eight[at] & _FIRST[np.minimum(left, 8)]
+        if live is None:
+            out = mix(out ^ block)
+        else:
+            out[live] = mix(out[live] ^ block)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return out
+        live = more if live is None else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    rest = [int.from_bytes(hashlib.blake2b(data[a : a + n].tobytes(), digest_size=8).digest(), "little") for a, n in zip(at.tolist(), left.tolist(), strict=True)]
+    out[live] = mix(out[live] ^ np.array(rest, dtype=np.uint64))
+    return out
+
+
+def equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each span has the same bytes as span number ``other`` of it."""
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    out = (left := ends - starts) == left[other]
+    live = np.flatnonzero(out & (left > 0) & (other != np.arange(len(starts))))
+    at, to, left = starts[live], starts[other[live]], left[live]
+    for _ in range(LONG // 8):
+        if not len(live):
+            return out
+        good = (eight[at] ^ eight[to]) & _FIRST[np.minimum(left, 8)] == 0
+        out[live[~good]] = False
+        more = np.flatnonzero(good & (left > 8))
+        live, at, to, left = live[more], at[more] + 8, to[more] + 8, left[more] - 8
+    out[live] = [bool((data[a : a + n] == data[b : b + n]).all()) for a, b, n in zip(at.tolist(), to.tolist(), left.tolist(), strict=True)]
+    return out
 
 
 @dataclass
@@ -118,7 +144,7 @@ def words(texts: Texts, word: np.ndarray, fold: np.ndarray) -> Words:
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end)
     first = np.searchsorted(starts, texts.offsets)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    return Words(starts, ends, span_hashes(_BYTE[fold[data]], starts, ends), first, doc)
+    return Words(starts, ends, span_hashes(fold[data], starts, ends), first, doc)
 
 
 def windows(w: Words, k: int, short: bool) -> tuple[np.ndarray, np.ndarray]:
