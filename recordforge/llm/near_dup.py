@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordforge.llm.components import connected_components
-from recordforge.llm.store import drop, written
+from recordforge.llm.store import drop, join_hot, written
 from recordforge.llm.words import LOWER, NOT_SPACE, U, chunks, mix, windows, words
 
 TREES = 16
@@ -41,7 +41,11 @@ KEPT_ROOTS = 1_000_000
 #: A candidate class of more nodes than one order's reach is crowded; in a round so many of its best linked nodes are held against the rest.
 CROWDED, HUBS = 2 * REACH[-1][0], 16
 #: Buckets (bits) in which shingles are counted, so that rare ones come first. Any order is right; this one is cheap.
-BUCKET_BITS = 18
+BUCKET_BITS = 20
+#: Buckets (bits) in which shingles that more than one part has are marked, so that most other rows aren't shuffled.
+MARK_BITS = 22
+#: A crowded class's nodes are dealt over so many keys where they meet what there is once for a class.
+SALTS = 32
 #: Nodes of a shingle are dealt over blocks of about this many, and held against each other block by block.
 BLOCK = 512
 #: Bits of a set's parity: two sets differ by at least as many shingles as their parities differ by bits.
@@ -240,25 +244,30 @@ _PAIRS = "a long, b long, part_a long, part_b long"
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    for x in "ab":
-        pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")), x)
-    return pairs
+    """Pairs, a written table, with their texts. Where they are few, they go to the texts and only theirs are shuffled."""
+    keyed = pairs.withColumn("pair", F.monotonically_increasing_id())
+    left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")).join(keyed.select("pair", x), x).select("pair", f"text_{x}") for x in "ab")
+    return keyed.join(left, "pair").join(right, "pair").select(*pairs.columns, "text_a", "text_b")
 
 
 def _hub_pairs(nodes: DataFrame, classes: DataFrame, parts: DataFrame, links: DataFrame, threshold: int, turn: int) -> DataFrame | None:
-    """Likely pairs of each crowded class's best linked nodes with the nodes of its other parts; None where no such class is left."""
-    placed = classes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    """Likely pairs of each crowded class's best linked nodes with the nodes of its other parts; None where no such class is left.
+
+    A class can hold most nodes, so that its nodes are dealt over SALTS keys and its few hubs are copied to each of them.
+    """
+    placed = classes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    copied = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     split = placed.groupBy("class").agg(F.count(F.lit(1)).alias("n"), (F.min("part") < F.max("part")).alias("split")).where(F.col("split") & (F.col("n") > CROWDED)).select("class")
+    crowd = written(placed.join(copied(split), ["class", "salt"], "left_semi"), "crowd")
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    ranked = placed.join(split, "class", "left_semi").join(degree, "node", "left")
-    best = ranked.groupBy("class", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS)).alias("k")).agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "node", "part")).alias("hub"))
+    best = crowd.join(degree, "node", "left").groupBy("class", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS)).alias("k")).agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "node", "part")).alias("hub"))
     hubs = written(best.select("class", F.col("hub.node").alias("b"), F.col("hub.part").alias("part_b")), "hubs")
     if hubs.isEmpty():
         return None
     signed = nodes.select("node", "signature")
     hubs = hubs.join(signed.withColumnsRenamed({"node": "b", "signature": "signature_b"}), "b")
-    rest = placed.join(signed.withColumnsRenamed({"signature": "signature_a"}), "node").withColumnsRenamed({"node": "a", "part": "part_a"})
-    return rest.join(hubs, "class").where("part_a <> part_b").select("a", "b", "part_a", "part_b", "signature_a", "signature_b").mapInArrow(_likely_task(threshold), _PAIRS)
+    rest = crowd.join(signed.withColumnsRenamed({"signature": "signature_a"}), "node").withColumnsRenamed({"node": "a", "part": "part_a"})
+    return rest.join(copied(hubs), ["class", "salt"]).where("part_a <> part_b").select("a", "b", "part_a", "part_b", "signature_a", "signature_b").mapInArrow(_likely_task(threshold), _PAIRS)
 
 
 def _count_task(shingle: int):
@@ -349,20 +358,36 @@ def _missing_pairs(nodes: DataFrame, texts: DataFrame, parts: DataFrame, shingle
     """All pairs of nodes of different parts that may be linked. None is left out: each step only drops what can't reach the threshold."""
     spark = nodes.sparkSession
     counted = texts.select("text").mapInArrow(_count_task(shingle), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(1 << BUCKET_BITS, np.int64)
-    total[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    total = np.zeros(1 << BUCKET_BITS, np.int32)
+    total[counted.column("bucket").to_numpy()] = np.minimum(counted.column("n").to_numpy(), np.iinfo(np.int32).max)
     placed = texts.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "text")
     rows = written(placed.mapInArrow(_prefix_task(shingle, threshold, spark.sparkContext.broadcast(total)), "shingle long, node long, part long, size long, place long"), "prefixes")
-    met = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), (F.min("part") < F.max("part")).alias("apart")).where("apart")
+    # Within a task a shingle's rows are one, so that a shingle of very many nodes crowds nothing.
+    met = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q")
     met = written(met.select("shingle", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "met")
+    marked = met.select(F.shiftrightunsigned("shingle", 64 - MARK_BITS).alias("bucket")).distinct().toArrow()
+    marks = np.zeros(1 << MARK_BITS, bool)
+    marks[marked.column("bucket").to_numpy()] = True
+    few = rows.mapInArrow(_marked_task(spark.sparkContext.broadcast(np.packbits(marks))), rows.schema)
     # The common shingles are few, at most one in BLOCK rows, so that they go to the rows and not the rows to them.
-    shared = rows.join(met.where("blocks = 1"), "shingle").unionByName(rows.join(F.broadcast(met.where("blocks > 1")), "shingle"))
+    shared = few.join(met.where("blocks = 1"), "shingle").unionByName(few.join(F.broadcast(met.where("blocks > 1")), "shingle"))
     blocked = shared.join(nodes.select("node", "parity"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     dealt = cells.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high")
     return dealt.select("shingle", "low", "high", "block", "node", "part", "size", "place", "parity").mapInArrow(_cells_task(threshold), _PAIRS).distinct()
 
 
+def _marked_task(marks):
+    """Rows whose shingle is in a marked bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(marks.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(known[(batch.column("shingle").to_numpy().view(np.uint64) >> U(64 - MARK_BITS)).astype(np.int64)]))
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents whose word shingle sets overlap.
 
@@ -407,7 +432,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, i
     turn = 0
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        found = _with_texts(pairs, texts).mapInArrow(_pairs_task(shingle, threshold), _PAIRS)
+        found = _with_texts(written(pairs, "pairs"), texts).mapInArrow(_pairs_task(shingle, threshold), _PAIRS)
         # One link of two parts joins them as well as many.
         return written(found.groupBy("part_a", "part_b").agg(F.min(F.struct("a", "b")).alias("link")).select("link.*"), "links")
 
@@ -429,10 +454,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, i
     if not more.isEmpty():
         parts = joined(more)
 
-    of_node = nodes.select("node", "key", "first_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_node = written(nodes.select("node", "key", "first_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "components")
     least = of_node.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = of_node.join(least, "component").select("key", "component_id")
-    out = sketches.select("id", "n_shingles", "key").join(named, "key", "left").withColumn("component_id", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")))
+    named = join_hot(of_node, least, "component").select("key", "component_id")
+    worded = join_hot(sketches.where("key is not null"), named, "key").select("id", "n_shingles", "component_id")
+    out = worded.unionByName(sketches.where("key is null").select("id", "n_shingles", F.col("id").alias("component_id")))
     result = out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
     drop(candidates, classes, texts)
     return result

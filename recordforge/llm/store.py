@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 UNSET_DIR = "/tmp/checkpoints"
 
@@ -40,3 +41,22 @@ def drop(*frames: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: A key is hot if it holds more than one in so many rows; there are fewer hot keys than that.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``one``, which has at most one row for each ``key``, where any key may hold most of the rows.
+
+    Hot keys, fewer than HOT, are counted first; what ``one`` says of them is broadcast to their rows. All others are
+    joined by a shuffle. Rows without a key or with one that isn't in ``one`` are left out.
+    """
+    counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hot = [r[0] for r in counted.where(F.col("n") * HOT > max(total, 100 * HOT)).select(key).collect()]
+    if not hot:
+        return rows.join(one, key)
+    of = F.col(key).isin(hot)
+    return rows.where(~of).join(one.where(~of), key).unionByName(rows.where(of).join(F.broadcast(one.where(of)), key))
