@@ -10,6 +10,7 @@ the added candidates.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -94,14 +95,29 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover together, in order."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def _loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans of the loose patterns that overlap neither a base span nor one of an earlier loose pattern."""
     taken = [(a, b) for _, a, b in base]
     out = []
     for kind, pattern in _LOOSE:
+        starts, ends = _merged(taken)
         for m in pattern.finditer(text):
-            if all(m.end() <= a or m.start() >= b for a, b in taken):
+            k = bisect_left(starts, m.end())  # the covered pieces before it start before the match ends
+            if not k or ends[k - 1] <= m.start():
                 out.append((kind, m.start(), m.end()))
-                taken.append((m.start(), m.end()))
+                taken.append(m.span())
     return out
 
 
@@ -140,7 +156,8 @@ def _candidates(text: str) -> list[tuple[str, int, int, bool, list[int]]]:
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("votes", pa.list_(pa.int32()))]))
-_NEEDED = re.compile(r"[0-9@]|(?i:[\[({]\x20?at\x20?[\])}])")
+#: A text without any of these has no candidate: a digit, an @ or its spelling, or two hexadecimal groups.
+_NEEDED = re.compile(r"[0-9@]|[A-Fa-f]:[A-Fa-f]|(?i:[\[({]\x20?at\x20?[\])}])")
 
 
 def _texts(column: pa.Array) -> Iterator[str]:
@@ -241,8 +258,8 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     classifier, and none of those overlaps another span when it is made.
 
     A null or empty text has no spans. Repeated rows get the same spans each. Spans of different kinds may overlap. With
-    no candidates at all the model falls back to its beliefs. An empty table gives an empty result. Other columns are
-    ignored.
+    no candidates at all the model falls back to its beliefs. A very long text is handled alone, in time and memory that
+    grow with its length and its number of candidates. An empty table gives an empty result. Other columns are ignored.
     """
     candidates = written(find_candidates(docs, id_col=id_col, text_col=text_col), "pii")
     kind = candidates.schema["id"].dataType.simpleString()
