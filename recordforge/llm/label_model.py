@@ -30,13 +30,13 @@ class LabelModel:
         return 1 / (1 + np.exp(-(bias + add[np.arange(votes.shape[1]), votes + 1].sum(axis=1))))
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, *, prior: float = 0.8, trust: float = 0.9, strength: float = 2.0, rounds: int = 200) -> LabelModel:
+def fit(votes: np.ndarray, counts: np.ndarray, *, prior: float = 0.8, trust: float = 0.9, strength: float = 2.0, rounds: int = 500) -> LabelModel:
     """Estimate the prior and the labelers' rates from vote patterns (rows of -1, 0, 1) and how often each occurs.
 
-    Before any data a labeler that votes is right with probability ``trust``; that belief weighs as ``strength`` rows a
-    class. It also bounds the estimates: among the rows that a labeler votes on, its vote is right at least that often.
-    So a labeler that alone sees one sort of negatives isn't taken for noise, and it is settled which class is which.
-    With no rows the model is that belief.
+    Before any data a labeler that votes is right with probability ``trust``, and rows that any labeler votes against
+    start out as negatives; that belief weighs as ``strength`` rows a class and settles which class is which. From there
+    the data decide: a labeler whose votes the others contradict ends with a low rate, down to one that counts for
+    nothing or for the opposite. With no rows the model is the belief.
     """
     n = votes.shape[1]
     base = np.empty((n, 2, 3))
@@ -50,10 +50,6 @@ def fit(votes: np.ndarray, counts: np.ndarray, *, prior: float = 0.8, trust: flo
     for _ in range(rounds):
         on, off = counts * p, counts * (1 - p)
         seen = np.stack((np.einsum("i,ijv->jv", off, hot), np.einsum("i,ijv->jv", on, hot)), axis=1)
-        for v, wrong in ((0, 1), (2, 0)):
-            moved = np.maximum(0, seen[:, wrong, v] - (1 - trust) * seen[:, :, v].sum(axis=1))
-            seen[:, wrong, v] -= moved
-            seen[:, 1 - wrong, v] += moved
         rates = seen + strength * base
         rates /= rates.sum(axis=2, keepdims=True)
         share = (on.sum() + strength * prior) / (counts.sum() + strength)
