@@ -7,6 +7,7 @@ is a secret if the models' log-likelihood ratio speaks for random.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,25 +70,51 @@ def train_markov(samples: DataFrame, *, smoothing: float = 0.5) -> list[float]:
 def log_ratio(text: Column, model: list[float]) -> Column:
     """The summed log-likelihood ratio of ``text``'s character pairs. The model is one literal that is folded when the plan is made."""
     table = F.split(F.lit(",".join(f"{x:.4f}" for x in model)), ",").cast("array<double>")
-    codes = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.ascii(F.substr(text, i, F.lit(1))))
+    codes = F.transform(F.split(text, ""), F.ascii)
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("before"))
     step = lambda s, c: F.struct((s["sum"] + F.when(s["before"] >= 0, F.get(table, s["before"] * 128 + c)).otherwise(0.0)).alias("sum"), c.alias("before"))
     return F.aggregate(codes, start, step, lambda s: s["sum"])
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def _running(values: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """What ``both`` gives of each element and all before it, by doubling: n log n steps for n elements, and no list is copied n times."""
+    step = lambda x, k: F.when(F.size(x) > _two_to(k), F.transform(x, lambda v, i: F.when(i >= _two_to(k), both(v, F.get(x, i - _two_to(k)))).otherwise(v))).otherwise(x)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(30)), values, step)
+
+
+def _two_to(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), k)
+
+
+_FOUND = "array<struct<start:long,rank:int,end:long,value:string>>"
+
+
 def _spans(text: str, pattern: str, kind: str) -> Column:
-    """Matches with their places: lengths of what lies between matches and of matches, added up in turn."""
-    parts = F.arrays_zip(F.split(F.col(text), pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
-    kinds = "array<struct<start:long,rank:int,end:long,value:string>>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kinds).alias("out"))
+    """Matches with their places, which are sums over the lengths of all matches and of what lies between them."""
+    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(F.col(text), pattern, -1)
+    steps = F.zip_with(matches, gaps, lambda m, g: (F.length(g) + F.length(m)).cast("long"))
+    own = lambda m, end: F.struct((end - F.length(m)).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), m.alias("value"))
+    found = _let(F.struct(matches.alias("m"), _running(steps, lambda a, b: a + b).alias("end")), lambda x: F.transform(x["m"], lambda m, i: own(m, F.get(x["end"], i))))
+    return F.when(F.col(text).rlike(pattern), found).otherwise(F.array().cast(_FOUND))
 
-    def step(s: Column, p: Column) -> Column:
-        begin = s["at"] + F.length(p["gap"])
-        end = begin + F.length(p["match"])
-        own = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), p["match"].alias("value"))
-        return F.struct(F.coalesce(end, begin).alias("at"), F.when(p["match"].isNull(), s["out"]).otherwise(F.array_append(s["out"], own)).alias("out"))
 
-    return F.when(F.col(text).rlike(pattern), F.aggregate(parts, start, step, lambda s: s["out"])).otherwise(F.array().cast(kinds))
+def _free(spans: Column) -> Column:
+    """Sorted spans without those of the last kind that overlap another kind's.
+
+    A span overlaps one that starts no later if the greatest end so far lies behind its start, and one that starts later
+    if the least start from there on lies before its end.
+    """
+    far = F.lit(1 << 40)
+    base = lambda s: s["rank"] < len(KINDS) - 1
+    before = lambda all_: _running(F.transform(all_, lambda s: F.when(base(s), s["end"]).otherwise(F.lit(0).cast("long"))), F.greatest)
+    behind = lambda all_: F.reverse(_running(F.reverse(F.transform(all_, lambda s: F.when(base(s), s["start"]).otherwise(far))), F.least))
+    keep = lambda x: F.filter(x["all"], lambda s, i: base(s) | ((F.get(x["before"], i) <= s["start"]) & (F.get(x["behind"], i) >= s["end"])))
+    return _let(spans, lambda all_: _let(F.struct(all_.alias("all"), before(all_).alias("before"), behind(all_).alias("behind")), keep))
 
 
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samples: DataFrame | None = None, margin: float = 8.0) -> DataFrame:
@@ -98,16 +125,18 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     stay; kind ``random`` is a token of 20 or more characters that overlaps none of those and whose log-likelihood ratio
     is above ``margin``.
 
-    A null or empty text has no spans. Repeated rows get the same spans each. An empty table gives an empty result.
-    Other columns are ignored. samples: (text, random) rows to train on instead of ``labelled_samples``.
+    A null or empty text has no spans. Repeated rows get the same spans each. A very long text takes time and memory that
+    grow with its length and, by n log n, with its number of matches. An empty table gives an empty result. Other columns
+    are ignored. samples: (text, random) rows to train on instead of ``labelled_samples``.
     """
     model = train_markov(labelled_samples(docs.sparkSession) if samples is None else samples)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = rows.select("id", _spans("text", _ASSIGN, "assign").alias("assign"), _spans("text", _ACCESS, "access").alias("access"), _spans("text", _HEX, "hex").alias("hex"), _spans("text", _TOKEN, "random").alias("token"))
     named = F.filter("assign", lambda s: F.length(F.regexp_extract(s["value"], _ASSIGN, 2)) >= 6)
-    based = found.select("id", F.concat(named, "access", "hex").alias("base"), "token")
-    free = F.filter("token", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])) & (log_ratio(t["value"], model) > margin))
-    return based.select(F.col("id").alias(id_col), F.array_sort(F.concat("base", free)).alias("spans"))
+    likely = F.filter("token", lambda t: log_ratio(t["value"], model) > margin)
+    based = found.select("id", F.concat(named, "access", "hex").alias("base"), likely.alias("token"))
+    spans = F.when(F.size("token") == 0, F.array_sort("base")).otherwise(_free(F.array_sort(F.concat("base", "token"))))
+    return based.select(F.col("id").alias(id_col), spans.alias("spans"))
 
 
 def secret_report(found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
