@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordforge.llm.store import written
+from recordforge.llm.store import drop, written
 from recordforge.llm.words import ALNUM, BASE, LOWER, U, Texts, chunks, mix, words
 
 #: Words in a test string; an item with fewer words is one test string.
 WINDOW = 10
 #: Bytes of benchmark text that one set of tables holds. A larger benchmark is searched for in several passes.
 BLOCK_BYTES = 16 << 20
+#: Test strings of an item that a piece of it gives; a long item goes in several pieces.
+PIECE = 4096
 #: Words between the places where the search of one text is started.
 STRIDE = 256
 
@@ -163,12 +165,30 @@ def _merge(a: list[dict], b: list[dict]) -> list[dict]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
-    """The benchmark in parts of about ``block_bytes`` of text."""
+def _piece_task(window: int):
+    """Items in pieces that have all test strings between them: of PIECE test strings at most, and no test string is cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in chunks(batch.column("t")):
+                w = words(texts, ALNUM, LOWER)
+                at, pieces = [], []
+                for i, (a, b) in enumerate(zip(w.first.tolist(), w.first[1:].tolist(), strict=False)):
+                    for s in range(a, max(a + 1, b - window + 1), PIECE) if b > a else ():
+                        at.append(texts.first + i)
+                        pieces.append(texts.data[w.starts[s] : w.ends[min(s + PIECE + window - 1, b) - 1]].tobytes().decode())
+                yield pa.RecordBatch.from_arrays([batch.column("i").take(pa.array(at, pa.int64())), pa.array(pieces, pa.string())], names=["i", "t"])
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, window: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The benchmark's distinct pieces in blocks of about ``block_bytes`` of text each; repeated rows and long items make no block larger."""
     named = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
-    size = named.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    pieces = written(named.where("t is not null").mapInArrow(_piece_task(window), "i string, t string").distinct(), "pieces")
+    size = pieces.agg(F.coalesce(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("i"), F.lit(0))), F.lit(0))).first()[0]
     n = max(1, -(-int(size) // block_bytes))
-    return [named.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) for k in range(n)] if n > 1 else [named]
+    return pieces, [pieces.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) for k in range(n)]
 
 
 def _shared(part: DataFrame, window: int):
@@ -185,21 +205,34 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     words but is in no list; items that share an id count as one. Repeated documents each get their own row. An empty
     benchmark hits nothing. Other columns of either table are ignored.
 
-    The benchmark is the only thing sent to all tasks. It goes in blocks of at most ``block_bytes`` of text, whose
-    number grows with the benchmark; each further block is one more pass over the documents.
+    A very long document is handled alone, in time and memory that grow with its length; a very long item is cut into
+    pieces that overlap. The benchmark is the only thing sent to all tasks. It goes in blocks of about ``block_bytes`` of
+    text, whose number grows with the benchmark; each further block is one more pass over the documents.
     """
-    parts = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    pieces, parts = _blocks(benchmark, item_col, item_text_col, block_bytes, window)
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:long,end:long>>").alias("hits"))
     state = T.StructType([T.StructField("id", out.schema["id"].dataType), T.StructField("text", T.StringType()), *T.StructType.fromDDL(_RESULT).fields])
+    before: list = []
     for k, part in enumerate(parts):
         last = k == len(parts) - 1
         schema = T.StructType([f for f in state.fields if not (last and f.name == "text")])
-        out = out.mapInArrow(_task(_shared(part, window), last, k > 0), schema)
+        shared = _shared(part, window)
+        out = out.mapInArrow(_task(shared, last, k > 0), schema)
         if not last:
-            out = written(out, "decontamination")
+            out = _finished(out, shared, before)
+    drop(pieces)
     return out.withColumnRenamed("id", id_col)
 
 
+def _finished(out: DataFrame, shared, before: list[DataFrame]) -> DataFrame:
+    """A pass's result, written, so that its block needn't be kept any longer, nor the result of the pass before it."""
+    done = written(out, "decontamination")
+    shared.destroy()
+    drop(*before)
+    before[:] = [done]
+    return done
+
+
 def _task(shared, last: bool, again: bool):
     hits_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -219,10 +252,19 @@ def _task(shared, last: bool, again: bool):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` in which ``find_contamination`` finds no hit, with all their columns. A null text stays."""
-    out = docs
-    for part in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        out = out.mapInArrow(_clean_task(_shared(part, window), text_col), docs.schema)
+    """The rows of ``docs`` in which ``find_contamination`` finds no hit, with all their columns.
+
+    A null text stays. Repeated rows stay or go together. Blocks are passed over one after the other, each over what the
+    ones before it kept, so that one block's tables are in memory at a time.
+    """
+    out, before = docs, []
+    pieces, parts = _blocks(benchmark, item_col, item_text_col, block_bytes, window)
+    for k, part in enumerate(parts):
+        shared = _shared(part, window)
+        out = out.mapInArrow(_clean_task(shared, text_col), docs.schema)
+        if k < len(parts) - 1:
+            out = _finished(out, shared, before)
+    drop(pieces)
     return out
 
 

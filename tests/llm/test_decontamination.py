@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from recordforge.llm import decontamination
 from recordforge.llm.decontamination import contamination_report, drop_contaminated, find_contamination
 
 ITEM = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
@@ -47,6 +48,22 @@ def test_all_windows(spark):
         assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted((i, t or "") for i, t in DOCS if not plain(t)[4])
 
 
+def test_long_and_repeated_items_go_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PIECE", 3)
+    docs, benchmark = tables(spark)
+    many = benchmark.unionByName(spark.range(500).select(F.lit(6).cast("long").alias("item_id"), F.lit(ITEM).alias("text"), F.col("id")))
+    long_item = " ".join(f"w{k}" for k in range(200))
+    many = many.unionByName(spark.createDataFrame([(77, long_item, 0)], many.schema))
+    pieces, parts = decontamination._blocks(many, "item_id", "text", 200, 10)
+    assert pieces.count() == pieces.distinct().count() < 90 and sum(p.count() for p in parts) == pieces.count()
+    assert all(len(r["t"].split()) <= 12 for r in pieces.collect())
+    more = docs.unionByName(spark.createDataFrame([(50, "x " + " ".join(f"W{k}" for k in range(97, 140)) + " y", "", 0, 0)], docs.schema))
+    for size in (16 << 20, 300):
+        got = {r["doc_id"]: r for r in contamination_report(find_contamination(more, many, block_bytes=size)).collect()}
+        assert (got[50]["n_words"], got[50]["n_hit"], got[50]["n_items"]) == (45, 43, 1)
+        assert got[8]["n_hit"] == plain(dict(DOCS)[8])[1]
+
+
 def test_empty_tables(spark):
     docs, benchmark = tables(spark)
     assert find_contamination(docs.limit(0), benchmark).count() == 0
