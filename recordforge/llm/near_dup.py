@@ -4,11 +4,12 @@ Texts with equal shingle sets become one node. Each node's MinHash signature is
 nodes are sorted by each tree's labels, then by the hashes that follow them, over the whole cluster. Candidates of a node
 are its neighbours in those orders: the farther a neighbour lies in the order, the longer the prefix that both labels
 must share, so that crowded regions are compared at a greater depth than sparse ones. Candidates are confirmed on the
-full shingle sets. Where a class of candidates is too large for that reach and fell into parts, its best linked nodes are
-held against all nodes of the other parts, round after round until a round finds no link.
+full shingle sets.
 
-All that joins most links cheaply; it is not what makes them whole. At the end an exact prefix-filter join over all nodes
-finds each link between parts that is still missing: two sets that are linked share one of their rarest shingles.
+A class of candidates can be too large for the reach of those orders. Where such a class fell into parts, its best linked
+nodes are held against the nodes of the other parts, round after round until a round finds no link. That is cheap, and is
+not what makes the links whole: what is then still in parts goes through an exact prefix-filter join, by which two sets
+that are linked share one of their rarest shingles. It can also be asked for over all nodes, candidates or not.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ KEPT_NODES, KEPT_SHINGLES = 64, 4_000_000
 #: Nodes whose classes a task keeps in mind while it looks for candidates.
 KEPT_ROOTS = 1_000_000
 #: A candidate class of more nodes than one order's reach is crowded; in a round so many of its best linked nodes are held against the rest.
-CROWDED, HUBS = 2 * REACH[-1][0], 16
+CROWDED, HUBS = 2 * REACH[-1][0], 8
 #: Buckets (bits) in which shingles are counted, so that rare ones come first. Any order is right; this one is cheap.
 BUCKET_BITS = 20
 #: Buckets (bits) in which shingles that more than one part has are marked, so that most other rows aren't shuffled.
@@ -226,16 +227,16 @@ def _pairs_task(shingle: int, threshold: int):
 
 
 def _likely_task(threshold: int):
-    """Pairs whose signatures don't rule a link out."""
+    """Pairs whose signatures don't rule a link out, with the share of hashes that agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             x, y = (_matrix(batch.column(c), 4 * TREES * DEPTH).view(">u4") for c in ("signature_a", "signature_b"))
-            good = pa.array((x == y).mean(axis=1) >= threshold / 100 - SLACK, pa.bool_())
-            likely = batch.filter(good)
-            yield pa.RecordBatch.from_arrays([likely.column(c) for c in ("a", "b", "part_a", "part_b")], names=["a", "b", "part_a", "part_b"])
+            agree = (x == y).mean(axis=1)
+            good = pa.array(agree >= threshold / 100 - SLACK, pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(good) for c in ("a", "b", "part_a", "part_b")), pa.array(agree).filter(good)], names=["a", "b", "part_a", "part_b", "agree"])
 
     return run
 
@@ -250,24 +251,31 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return keyed.join(left, "pair").join(right, "pair").select(*pairs.columns, "text_a", "text_b")
 
 
-def _hub_pairs(nodes: DataFrame, classes: DataFrame, parts: DataFrame, links: DataFrame, threshold: int, turn: int) -> DataFrame | None:
-    """Likely pairs of each crowded class's best linked nodes with the nodes of its other parts; None where no such class is left.
+def _crowd(classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(class, node, part, salt) of all nodes of crowded classes that are in parts.
 
-    A class can hold most nodes, so that its nodes are dealt over SALTS keys and its few hubs are copied to each of them.
+    A class can hold most nodes, so that its nodes are dealt over SALTS keys, and what there is once for a class is copied
+    to each of them.
     """
     placed = classes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    copied = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     split = placed.groupBy("class").agg(F.count(F.lit(1)).alias("n"), (F.min("part") < F.max("part")).alias("split")).where(F.col("split") & (F.col("n") > CROWDED)).select("class")
-    crowd = written(placed.join(copied(split), ["class", "salt"], "left_semi"), "crowd")
+    return written(placed.join(_copied(split), ["class", "salt"], "left_semi"), "crowd")
+
+
+def _copied(of_class: DataFrame) -> DataFrame:
+    return of_class.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
+def _hub_pairs(crowd: DataFrame, nodes: DataFrame, links: DataFrame, threshold: int, turn: int) -> DataFrame:
+    """For each node of a crowd the likeliest pair with one of its class's best linked nodes in another part."""
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     best = crowd.join(degree, "node", "left").groupBy("class", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS)).alias("k")).agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "node", "part")).alias("hub"))
     hubs = written(best.select("class", F.col("hub.node").alias("b"), F.col("hub.part").alias("part_b")), "hubs")
-    if hubs.isEmpty():
-        return None
     signed = nodes.select("node", "signature")
     hubs = hubs.join(signed.withColumnsRenamed({"node": "b", "signature": "signature_b"}), "b")
     rest = crowd.join(signed.withColumnsRenamed({"signature": "signature_a"}), "node").withColumnsRenamed({"node": "a", "part": "part_a"})
-    return rest.join(copied(hubs), ["class", "salt"]).where("part_a <> part_b").select("a", "b", "part_a", "part_b", "signature_a", "signature_b").mapInArrow(_likely_task(threshold), _PAIRS)
+    likely = rest.join(_copied(hubs), ["class", "salt"]).where("part_a <> part_b").select("a", "b", "part_a", "part_b", "signature_a", "signature_b").mapInArrow(_likely_task(threshold), f"{_PAIRS}, agree double")
+    return likely.groupBy("a", "part_a").agg(F.max(F.struct("agree", "b", "part_b")).alias("x")).select("a", "x.b", "part_a", "x.part_b")
 
 
 def _count_task(shingle: int):
@@ -287,17 +295,17 @@ def _bucket(found: np.ndarray) -> np.ndarray:
 
 
 def _prefix_task(shingle: int, threshold: int, counts):
-    """The rarest shingles of each set, one of which any linked set shares, with their places from the rarest on."""
+    """The rarest shingles of each set, one of which any linked set of its group shares, with their places from the rarest on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = counts.value
         for batch in batches:
             rows: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 5]
-            for node, part, found in zip(batch.column("node").to_pylist(), batch.column("part").to_pylist(), _sets(batch.column("text"), shingle), strict=True):
+            for group, node, part, found in zip(*(batch.column(c).to_pylist() for c in ("group", "node", "part")), _sets(batch.column("text"), shingle), strict=True):
                 n, often = len(found), total[_bucket(found)]
                 first = np.lexsort((found, often))[: n + threshold * -n // 100 + 1]
                 place = np.flatnonzero(often[first] > 1)  # a shingle that is alone in its bucket is in no other set
-                rows.append((found[first[place]].view(np.int64), *(np.full(len(place), x, np.int64) for x in (node, part, n)), place))
+                rows.append((mix(found[first[place]] ^ U(group)).view(np.int64), *(np.full(len(place), x, np.int64) for x in (node, part, n)), place))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["shingle", "node", "part", "size", "place"])
 
     return run
@@ -354,13 +362,15 @@ def _cells_task(threshold: int):
     return run
 
 
-def _missing_pairs(nodes: DataFrame, texts: DataFrame, parts: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """All pairs of nodes of different parts that may be linked. None is left out: each step only drops what can't reach the threshold."""
+def _missing_pairs(nodes: DataFrame, placed: DataFrame, shingle: int, threshold: int) -> tuple[DataFrame, list[DataFrame]]:
+    """All pairs of nodes of one group but different parts that may be linked, and the tables that they are read from.
+
+    placed: (group, node, part, text). None is left out: each step only drops what can't reach the threshold.
+    """
     spark = nodes.sparkSession
-    counted = texts.select("text").mapInArrow(_count_task(shingle), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = placed.select("text").mapInArrow(_count_task(shingle), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(1 << BUCKET_BITS, np.int32)
     total[counted.column("bucket").to_numpy()] = np.minimum(counted.column("n").to_numpy(), np.iinfo(np.int32).max)
-    placed = texts.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "text")
     rows = written(placed.mapInArrow(_prefix_task(shingle, threshold, spark.sparkContext.broadcast(total)), "shingle long, node long, part long, size long, place long"), "prefixes")
     # Within a task a shingle's rows are one, so that a shingle of very many nodes crowds nothing.
     met = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q")
@@ -374,7 +384,7 @@ def _missing_pairs(nodes: DataFrame, texts: DataFrame, parts: DataFrame, shingle
     blocked = shared.join(nodes.select("node", "parity"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     dealt = cells.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high")
-    return dealt.select("shingle", "low", "high", "block", "node", "part", "size", "place", "parity").mapInArrow(_cells_task(threshold), _PAIRS).distinct()
+    return dealt.select("shingle", "low", "high", "block", "node", "part", "size", "place", "parity").mapInArrow(_cells_task(threshold), _PAIRS).distinct(), [rows, met]
 
 
 def _marked_task(marks):
@@ -388,7 +398,7 @@ def _marked_task(marks):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, everywhere: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents whose word shingle sets overlap.
 
     Words are split at white space, A-Z folded. Two documents are linked if ``100 * intersection >= threshold * union``
@@ -402,8 +412,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, i
 
     No step groups a class in one task: equal sets meet in a partial aggregate, sorted orders are cut by rank, and a
     class is walked through in sorted order with a bounded number of sets at hand. Candidates beyond that reach are
-    confirmed pair by pair, so that they only cost time. What locality-sensitive hashing misses is found by the exact
-    join at the end, so that no link between two classes of the result is left.
+    confirmed pair by pair, so that they only cost time, and what a crowded class still has in parts is joined exactly.
+    So a link is missed only if none of the orders has its two texts, nor a chain of candidates between them, as
+    candidates. With ``everywhere`` the exact join goes over all nodes and none is missed; its cost grows with the number of
+    shingles that texts share by chance, which in prose grows faster than the corpus.
+
+    A very long text is handled alone and whole, in memory that grows with its length.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
     id_type = rows.schema["id"].dataType.simpleString()
@@ -414,7 +428,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, i
     order = ("tree", "label", "sketch", "node")
     ordered = trees.repartitionByRange(*order).sortWithinPartitions(*order)
     candidates = written(ordered.mapInArrow(_neighbours_task(threshold), "a long, b long, joins boolean").groupBy("a", "b").agg(F.max("joins").alias("joins")), "candidates")
-    classes = written(connected_components(candidates.where("joins")).withColumnRenamed("component", "class"), "classes")
+    components = connected_components(candidates.where("joins"))
+    classes = components.withColumnRenamed("component", "class")
 
     # One text for each node: the one of its first id.
     chosen = nodes.join(classes, "node", "left").select("node", "class", "key", F.substring("signature", 1, 4 * DEPTH).alias("label"), F.col("first_id").alias("id"), "digest")
@@ -424,23 +439,28 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, i
     )
     walked = texts.where("class is not null").repartitionByRange("class", "label", "node").sortWithinPartitions("class", "label", "node").select("class", "node", "text")
     links = written(walked.mapInArrow(_within_task(shingle, threshold), "a long, b long"), "links")
-    parts = written(connected_components(links), "parts")
+    parts = connected_components(links)
 
     # Candidates that the walk left in different parts.
     left, right = (parts.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")) for x in "ab")
     apart = candidates.join(left, "a", "left").join(right, "b", "left").select("a", "b", F.coalesce("part_a", "a").alias("part_a"), F.coalesce("part_b", "b").alias("part_b")).where("part_a <> part_b")
     turn = 0
 
+    spent = [candidates, components, texts]
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        found = _with_texts(written(pairs, "pairs"), texts).mapInArrow(_pairs_task(shingle, threshold), _PAIRS)
+        pairs = written(pairs, "pairs")
+        spent.append(pairs)
+        found = _with_texts(pairs, texts).mapInArrow(_pairs_task(shingle, threshold), _PAIRS)
         # One link of two parts joins them as well as many.
         return written(found.groupBy("part_a", "part_b").agg(F.min(F.struct("a", "b")).alias("link")).select("link.*"), "links")
 
     def joined(more: DataFrame) -> DataFrame:
-        return written(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "parts")
+        spent.append(parts)
+        return connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    pairs: DataFrame | None = apart
-    while pairs is not None:
+    pairs = apart
+    while True:
         more = confirmed(pairs)
         if not more.isEmpty():
             links = links.unionByName(more)
@@ -448,11 +468,22 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, i
         elif turn:
             break
         turn += 1
-        pairs = _hub_pairs(nodes, classes, parts, links, threshold, turn)
-
-    more = confirmed(_missing_pairs(nodes, texts, parts, shingle, threshold))
-    if not more.isEmpty():
-        parts = joined(more)
+        crowd = _crowd(classes, parts)
+        spent.append(crowd)
+        if crowd.isEmpty():
+            break
+        pairs = _hub_pairs(crowd, nodes, links, threshold, turn)
+
+    if everywhere:
+        placed = texts.join(parts, "node", "left").select(F.lit(0).cast("long").alias("group"), "node", F.coalesce("component", "node").alias("part"), "text")
+    else:
+        placed = crowd.select(F.col("class").alias("group"), "node", "part").join(texts.select("node", "text"), "node").select("group", "node", "part", "text")
+    if everywhere or not crowd.isEmpty():
+        missing, tables = _missing_pairs(nodes, placed, shingle, threshold)
+        more = confirmed(missing)
+        drop(*tables)
+        if not more.isEmpty():
+            parts = joined(more)
 
     of_node = written(nodes.select("node", "key", "first_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "components")
     least = of_node.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -460,7 +491,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, i
     worded = join_hot(sketches.where("key is not null"), named, "key").select("id", "n_shingles", "component_id")
     out = worded.unionByName(sketches.where("key is null").select("id", "n_shingles", F.col("id").alias("component_id")))
     result = out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
-    drop(candidates, classes, texts)
+    drop(*spent, nodes)
     return result
 
 

@@ -19,8 +19,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table called ``name``."""
-    return f"{shared_dir(spark)}/recordforge/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a table called ``name``, in this application's own folder."""
+    return f"{shared_dir(spark)}/recordforge/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written. What operators returned can't be read any more after that.
+
+    A result is read when its plan runs, so that an operator can't know when its tables may go: the caller does.
+    """
+    _delete(spark, f"{shared_dir(spark)}/recordforge/{spark.sparkContext.applicationId}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -38,9 +51,7 @@ def drop(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_recordforge_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
 
 
 #: A key is hot if it holds more than one in so many rows; there are fewer hot keys than that.

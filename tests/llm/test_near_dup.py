@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from recordforge.llm.components import connected_components
 from recordforge.llm.near_dup import CROWDED, drop_near_duplicates, near_duplicates
+from recordforge.llm.store import join_hot
+from recordforge.llm.words import equal_spans, span_hashes
 
 
 def shingles(text, k):
@@ -57,9 +59,42 @@ def test_all_links(spark):
     rows = rows_with_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"node": F.lit(1), "key": F.lit("x"), "component_id": F.lit(None).cast("long")})
     for k in (4, 5):
-        got = near_duplicates(docs, shingle=k).collect()
-        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == classes(rows, k)
-        assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+        for everywhere in (False, True):
+            got = near_duplicates(docs, shingle=k, everywhere=everywhere).collect()
+            assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == classes(rows, k)
+            assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def thue_morse(n, flip=0):
+    """A string and its complement, which a polynomial modulo a power of 2 can't tell apart."""
+    return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    rows = [(n + flip, " ".join(thue_morse(n, flip) + f"{tail}" for tail in "pqrst")) for n in (1024, 2048, 4096) for flip in (0, 1)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == classes(rows, 4)
+    assert all(r["kept"] for r in got)
+
+
+def test_hashes_are_of_the_bytes_alone():
+    r = random.Random(1)
+    spans = [thue_morse(n, f) for n in (512, 1024, 2048, 4096) for f in (0, 1)] + ["".join(r.choice("abc") for _ in range(r.choice((1, 3, 7, 8, 9, 16, 17, 900, 1024, 1025, 1032, 5000)))) for _ in range(400)]
+    spans += spans[:60]
+    sizes = np.array([len(x) for x in spans])
+    data, ends = np.frombuffer("".join(spans).encode(), np.uint8), np.cumsum(sizes)
+    found = span_hashes(data, ends - sizes, ends).tolist()
+    assert len(set(found)) == len(set(spans)) == len(set(zip(spans, found, strict=True)))
+    other = np.array([spans.index(x) for x in spans])
+    assert equal_spans(data, ends - sizes, ends, other).all()
+    assert equal_spans(data, ends - sizes, ends, np.zeros(len(spans), np.int64)).tolist() == [x == spans[0] for x in spans]
+
+
+def test_hot_keys_are_joined_like_others(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id")).alias("k"), "id")
+    one = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    want = sorted(tuple(r) for r in rows.join(one, "k").collect())
+    assert sorted(tuple(r) for r in join_hot(rows, one, "k").collect()) == want and len(want) > 2000
 
 
 def test_a_hub_whose_copies_are_only_linked_with_it(spark):
