@@ -71,8 +71,9 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     ``host``, ``path``, ``rule`` (host and path of the rule, or null) and ``verdict``.
 
     A null URL or one without ``://`` has neither host nor path; no rule and no listed URL fits it. Repeated and null
-    listed URLs count once and not at all; an empty list blocks nothing. Repeated pages each get a row. Other columns
-    are ignored.
+    listed URLs count once and not at all; an empty list blocks nothing. Repeated pages each get a row. A very long URL is
+    handled whole. An empty table gives an empty result. Other columns are ignored. Only rows that neither a rule nor the
+    filter decides are shuffled.
     """
     host, path = host_and_path(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
@@ -86,17 +87,24 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     keys = written(listed.select(listed_host.alias("h"), listed_path.alias("p")).where("h <> ''").select(canonical(F.col("h"), F.col("p")).alias("key")).distinct(), "listed")
     n_blocks = max(1, -(-keys.count() * BITS_PER_URL // (64 * WORDS)))
     bloom = build_filter(keys, n_blocks)
-    open_rows = rows.where("ruled is null").select("host", "path").withColumn("keys", lookup_keys(F.col("host"), F.col("path")))
-    if n_blocks * WORDS <= inline_words:
+    out_cols = (F.col("id").alias(id_col), "host", "path", "rule")
+    tried = rows.where("ruled is null").withColumn("keys", lookup_keys(F.col("host"), F.col("path")))
+    done = rows.where("ruled is not null").select(*out_cols, F.col("ruled").alias("verdict"))
+    inline = n_blocks * WORDS <= inline_words
+    if inline:
         words = [0] * (n_blocks * WORDS)
         for r in bloom.collect():
             words[r["block"] * WORDS : (r["block"] + 1) * WORDS] = r[1:]
         table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>")
-        passes = lambda k: _all_set(k, lambda w: F.get(table, _block(k, n_blocks) * WORDS + w))
-        possible = open_rows.withColumn("keys", F.filter("keys", passes)).where(F.size("keys") > 0).select("host", "path", F.explode("keys").alias("key"))
-    else:
-        tried = open_rows.select("host", "path", F.explode("keys").alias("key")).withColumn("block", _block(F.col("key"), n_blocks)).join(bloom, "block")
-        possible = tried.where(_all_set(F.col("key"), lambda w: F.get(F.array(*(f"w{k}" for k in range(WORDS))), w))).select("host", "path", "key")
+        tried = tried.withColumn("keys", F.filter("keys", lambda k: _all_set(k, lambda w: F.get(table, _block(k, n_blocks) * WORDS + w))))
+        # What the filter has cleared needn't be joined with anything.
+        done = done.unionByName(tried.where(F.size("keys") == 0).select(*out_cols, F.lit("allow").alias("verdict")))
+        tried = tried.where(F.size("keys") > 0)
+    possible = tried.select("host", "path", "keys").distinct().select("host", "path", F.explode("keys").alias("key"))
+    if not inline:
+        met = possible.select("key").distinct().withColumn("block", _block(F.col("key"), n_blocks)).join(bloom, "block")
+        passed = met.where(_all_set(F.col("key"), lambda w: F.get(F.array(*(f"w{k}" for k in range(WORDS))), w))).select("key")
+        possible = possible.join(passed.join(keys, "key", "left_semi"), "key", "left_semi")
     blocked = possible.join(keys, "key", "left_semi").select("host", "path").distinct().withColumn("hit", F.lit(True))
-    judged = rows.join(blocked, ["host", "path"], "left")
-    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"))
+    judged = tried.join(blocked, ["host", "path"], "left").select(*out_cols, F.when(F.col("hit"), "block").otherwise("allow").alias("verdict"))
+    return done.unionByName(judged)
