@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordforge.llm.store import written
+from recordforge.llm.store import join_hot, written
 from recordforge.llm.tokens import encoder, read_tokenizer, text_runs
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
@@ -42,7 +42,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, id_col: str = "
     each, whatever the number of rows that hold them, and appended to it.
 
     Returns one row for each row of ``docs``: its id, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit``. Repeated
-    rows each get their count. An empty table gives an empty result and appends nothing. Other columns are ignored.
+    rows each get their count. A very long text is handled alone and whole. An empty table gives an empty result and
+    appends nothing. Other columns are ignored.
     """
     spark = docs.sparkSession
     name, data = read_tokenizer(tokenizer)
@@ -52,16 +53,17 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, id_col: str = "
     keyed = written(rows.select("id", digest, F.octet_length("text").cast("long").alias("n_bytes")), "digests")
 
     path = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    stored = (spark.read.schema(CACHE_SCHEMA).parquet(cache) if known else spark.createDataFrame([], CACHE_SCHEMA)).where(F.col("version") == tag)
-    one = keyed.groupBy("digest").agg(F.min("id").alias("id"))
-    misses = one.join(stored, "digest", "left_anti") if known else one
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        spark.createDataFrame([], CACHE_SCHEMA).write.parquet(cache)
+    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == tag).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    misses = keyed.groupBy("digest").agg(F.min("id").alias("id")).join(stored, "digest", "left_anti")
     # One row for each missing digest: the one with its least id. The small side is hashed, so that texts aren't sorted.
     texts = rows.select("id", "text", digest).alias("t").join(misses.alias("m").hint("shuffle_hash"), (F.col("t.digest") == F.col("m.digest")) & F.col("t.id").eqNullSafe(F.col("m.id"))).select("t.digest", "t.text")
     shared = spark.sparkContext.broadcast((name, data, tag.encode()))
+    known = written(stored.join(keyed.select("digest").distinct(), "digest", "left_semi"), "known")
     fresh = written(texts.mapInArrow(_count_task(shared), "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     fresh.select(F.lit(tag).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
 
-    counts = fresh.unionByName(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))) if known else fresh
-    out = keyed.join(counts, "digest")
+    # Copies of one text can be most rows.
+    out = join_hot(keyed, fresh.unionByName(known), "digest")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
