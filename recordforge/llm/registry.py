@@ -60,6 +60,26 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"call_id": F.coalesce("call_id", F.lit("")), "problems": F.array_join("problems", ",")})
 
 
+#: The conversations' turns as tool use, in SQL that Spark and DuckDB both read: an assistant's turn makes two calls, the
+#: second of which waits for the turn's first and for the second of the turn before; the next turn is a tool that answers.
+#: By conversation and turn there are repeated ids, missing answers, cycles, unknown tools and wrong, missing or odd arguments.
+TOOL_TURNS = """
+select conv_id, turn, case when role = 'assistant' then 'assistant' else 'tool' end role, case when role = 'assistant' then concat(
+  '{"content": null, "tool_calls": [{"id": "a', cast(case when conv_id % 5 = 0 then 1 else turn end as varchar(9)), '", "name": "', case when conv_id % 7 = 0 then 'nothing' else 'search' end, '", "arguments": {',
+  case conv_id % 4 when 0 then '"query": "q"' when 1 then '"query": "q", "limit": "many"' when 2 then '"limit": 3' else '"query": "q", "other": [1]' end, '}', case when conv_id % 6 = 0 then concat(', "depends_on": ["b', cast(turn as varchar(9)), '"]') else '' end,
+  '}, {"id": "b', cast(turn as varchar(9)), '", "name": "weather", "arguments": {"days": 1.5, "city": "', cast(conv_id as varchar(9)), '"}, "depends_on": ["a', cast(turn as varchar(9)), '", "b', cast(turn - 2 as varchar(9)), '"]}]}')
+  else concat('{"tool_call_id": "', case when turn % 4 = 0 then 'a' else 'b' end, cast(turn - 1 as varchar(9)), '", "content": {"z": 1, "a": ', cast(turn as varchar(9)), '}}') end text
+from {conversations} where role in ('assistant', 'user')
+"""
+
+
+def tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and results of made tool use in all conversations: status, what the schema objects to, and the place in the order."""
+    turns = spark.sql(TOOL_TURNS.replace("{conversations}", "{c}").replace("{", "{{").replace("}", "}}").replace("{{c}}", "{c}"), c=_table(spark, sf_dir, "conversations"))
+    out = format_chats(turns, TOOLS).where("role <> 'assistant'")
+    return out.withColumn("problems", F.array_join("problems", ",")).withColumn("order_level", F.when(F.col("status") != "cycle", F.col("order_level"))).select("conv_id", "turn", "role", "call_id", "status", "problems", "message", "order_turn", "order_level", "order_place")
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -72,25 +92,32 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
-#: Rules (verdict, host, path), and hosts whose roots are listed.
+#: Rules (verdict, host, path).
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-LISTED_HOSTS = [f"{site}.example.{top}" for site in ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x") for top in ("com", "net", "org")]
+#: The block list, in SQL that Spark and DuckDB both read: hosts with all below them, and single pages of hosts.
+LISTED = """
+select concat('https://', site, '.example.', top, '/') url from (values ('spam-farm'), ('cheap-pills'), ('casino-win'), ('free-bets'), ('ads-track'), ('adult-x')) s(site), (values ('com'), ('net'), ('org')) t(top)
+union all select concat('https://listed-', cast(id as varchar(9)), '.example.', top, '/') from {numbers} n(id), (values ('com'), ('net'), ('org')) t(top)
+union all select concat('https://', site, '.example.', top, '/', lang, '/', cast(id as varchar(9))) from {numbers} n(id), (values ('ththon'), ('ththan'), ('tionsh')) s(site), (values ('com'), ('org')) t(top), (values ('en'), ('fr')) l(lang) where id % 2 = 0
+"""
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(f"https://{host}/",) for host in LISTED_HOSTS], "url string")
-    return filter_urls(_table(spark, sf_dir, "pages"), listed, URL_RULES)
+    return filter_urls(_table(spark, sf_dir, "pages"), spark.sql(LISTED.format(numbers="range(10000)")), URL_RULES)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), scratch(spark, "token-cache"))
+    """The cache starts with what an earlier run over a tenth of the documents left in it, so that the others' join with it counts."""
+    docs, tokenizer, cache = _table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), scratch(spark, "token-cache")
+    count_tokens(docs.where("doc_id % 10 = 0"), tokenizer, cache)
+    return count_tokens(docs, tokenizer, cache)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
-# The test conversations hold no tool calls, so each message is plain; linking is tested on fixtures.
+# The conversations hold no tool calls, so each message is plain; tool_call_links has calls made from them.
 OP4_SQL = """
 select conv_id, turn, role, '' call_id, 'plain' status, '' problems,
   '{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"role":' || coalesce(to_json(role)::varchar, 'null') || '}' message,
@@ -98,6 +125,31 @@ select conv_id, turn, role, '' call_id, 'plain' status, '' problems,
 from conversations
 """
 
+_SORTED = "'{' || array_to_string(list_transform(list_sort(json_keys(X)), lambda k: '\"' || k || '\":' || json_extract(X, '$.' || k)::varchar), ',') || '}'"
+
+TOOL_CALL_LINKS_SQL = f"""
+with recursive t as ({TOOL_TURNS.replace("{conversations}", "conversations").replace("{", "{{").replace("}", "}}").format()}),
+c as (select conv_id, turn, place, call ->> '$.id' id, call ->> '$.name' as name, json_extract(call, '$.arguments') args, json_extract(call, '$.depends_on')::varchar[] deps,
+  row_number() over (partition by conv_id, call ->> '$.id' order by turn, place) nth
+  from (select conv_id, turn, place, json_extract(text, '$.tool_calls[' || place || ']') call from t, (values (0), (1)) p(place) where role = 'assistant')),
+r as (select conv_id, turn, text ->> '$.tool_call_id' id, json_extract(text, '$.content') content, row_number() over (partition by conv_id, text ->> '$.tool_call_id' order by turn) nth from t where role = 'tool'),
+edge as (select b.conv_id, a.id before, b.id, b.turn from c b, c a where a.conv_id = b.conv_id and a.nth = 1 and b.nth = 1 and list_contains(b.deps, a.id)),
+walk as (select conv_id, id, 0 lev, turn from c where nth = 1 union select w.conv_id, e.id, lev + 1, greatest(w.turn, e.turn) from walk w join edge e on e.conv_id = w.conv_id and e.before = w.id where lev < 60),
+place as (select conv_id, id, case when max(lev) < 60 then max(lev) end lev, case when max(lev) < 60 then max(turn) end anchor from walk group by all),
+said as (select c.*, array_to_string(list_sort(list_filter(case
+  when name = 'search' then [case when not json_exists(args, '$.query') then 'missing:query' end, case when json_type(args, '$.query') <> 'VARCHAR' then 'type:query' end, case when json_type(args, '$.limit') not in ('UBIGINT', 'BIGINT') then 'type:limit' end]
+    || list_transform(list_filter(json_keys(args), lambda k: k not in ('query', 'limit')), lambda k: 'unknown:' || k)
+  when name = 'weather' then [case when not json_exists(args, '$.city') then 'missing:city' end, case when json_type(args, '$.city') <> 'VARCHAR' then 'type:city' end, case when json_type(args, '$.days') not in ('UBIGINT', 'BIGINT', 'DOUBLE') then 'type:days' end]
+  else ['unknown_tool'] end, lambda x: x is not null)), ',') problems from c),
+calls as (select s.conv_id, s.turn, 'call' role, s.id call_id, case when s.nth > 1 then 'duplicate_id' when lev is null then 'cycle' when a.id is null then 'no_result' else 'linked' end status, problems,
+  '{{"arguments":' || {_SORTED.replace("X", "args")} || ',"id":"' || s.id || '","name":"' || name || '"}}' message, coalesce(anchor, s.turn) order_turn, coalesce(lev + 1, 1073741824) order_level, place order_place
+  from said s join place p on p.conv_id = s.conv_id and p.id = s.id left join r a on a.conv_id = s.conv_id and a.id = s.id and a.nth = 1),
+results as (select r.conv_id, r.turn, 'tool' role, r.id call_id, case when f.id is null then 'no_call' when r.nth > 1 then 'duplicate_result' else 'linked' end status, '' problems,
+  '{{"content":' || {_SORTED.replace("X", "content")} || ',"role":"tool","tool_call_id":"' || r.id || '"}}' message, coalesce(anchor, f.turn, r.turn) order_turn, case when f.id is null then 0 else coalesce(lev + 1, 1073741824) end order_level, coalesce(f.place, 0) order_place
+  from r left join c f on f.conv_id = r.conv_id and f.id = r.id and f.nth = 1 left join place p on p.conv_id = r.conv_id and p.id = r.id)
+select * replace (case when status <> 'cycle' then order_level end as order_level) from (select * from calls union all select * from results)
+"""
+
 OP7_SQL = rf"""
 with d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
 b as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
@@ -113,10 +165,9 @@ select d.doc_id, len(w)::bigint n_words, coalesce(hit.n, 0)::bigint n_hit, coale
 from d left join hit using (doc_id) left join item using (doc_id)
 """
 
-_HOSTS = ", ".join(f"'{h}'" for h in LISTED_HOSTS)
-
 OP8_SQL = rf"""
-with u as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+with listed as (select regexp_extract(url, '://([^/]*)', 1) h, regexp_extract(url, '://[^/]*(.*)$', 1) p from ({LISTED.format(numbers="range(10000)")})),
+u as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) path from pages),
 r as (select *, case
   when (host = 'example.net' or host like '%.example.net') and starts_with(path, '/en/') then 'example.net/en/'
@@ -124,7 +175,7 @@ r as (select *, case
   when (host = 'org' or host like '%.org') and starts_with(path, '/fr/') then 'org/fr/'
   when (host = 'net' or host like '%.net') and starts_with(path, '/') then 'net/' end as rule from u)
 select page_id, host, path, rule, case rule when 'example.net/en/' then 'allow' when 'example.com/de/' then 'block' when 'org/fr/' then 'allow' when 'net/' then 'block'
-  else case when exists (select 1 from (select unnest([{_HOSTS}]) l) where r.host = l or ends_with(r.host, '.' || l)) then 'block' else 'allow' end end as verdict
+  else case when exists (select 1 from listed l where l.h in (select array_to_string(list_slice(string_split(r.host, '.'), i, 99), '.') from (select unnest(range(1, 99)) i) where i <= len(string_split(r.host, '.'))) and l.p in ('/', r.path)) then 'block' else 'allow' end end as verdict
 from r
 """
 
@@ -146,6 +197,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
     "op3_quality": op3_quality,
     "op4_chat_format": op4_chat_format,
+    "tool_call_links": tool_call_links,
     "op5_pack": op5_pack,
     "op6_pii": op6_pii,
     "op7_decontaminate": op7_decontaminate,
@@ -154,4 +206,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_duplicates": op10_near_duplicates,
 }
 
-SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op7_decontaminate": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_near_duplicates": OP10_SQL}
+SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "tool_call_links": TOOL_CALL_LINKS_SQL, "op7_decontaminate": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_near_duplicates": OP10_SQL}
