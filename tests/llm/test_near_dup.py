@@ -65,9 +65,9 @@ def test_all_links(spark):
             assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def thue_morse(n, flip=0):
+def thue_morse(n, flip=0, letters="ab"):
     """A string and its complement, which a polynomial modulo a power of 2 can't tell apart."""
-    return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+    return "".join(letters[(bin(k).count("1") + flip) % 2] for k in range(n))
 
 
 def test_words_that_polynomial_hashes_confuse(spark):

@@ -8,10 +8,12 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from recordforge.llm import tokens
 from recordforge.llm.packing import evolve, pack_documents, pack_items
 from recordforge.llm.store import scratch
 from recordforge.llm.token_counts import count_tokens
 from recordforge.llm.tokens import Encoder, read_tokenizer
+from tests.llm.test_near_dup import thue_morse
 
 TEXTS = [
     None, "", " ", "  \n\n \t x", "it's we'll I'd 'tis '' 's", "a<|endoftext|>b", "<s></s><unk> ▁ x▁y", "Straße naïve 日本語 テキスト 😀😀", "x" * 3000, "12345 67890 1,234.5", "a\x00b\x01", " nbsp em 　wide", "ﬁ ① Å", "line\r\nline\n", "word " * 3000, "end  ", "' s'S'LL", "\t\ttabs\u0085next",
@@ -48,6 +50,32 @@ def test_encoder_gives_the_library_ids(name, texts):
         assert [x.tolist() for x in encode.ids([t or "" for t in texts])] == want
 
 
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json"])
+def test_units_that_hashes_confuse(name, monkeypatch):
+    """Strings that a polynomial hash takes for one another, and a hash that takes all units for one."""
+    whole = library(name)
+    texts = [thue_morse(n, flip, letters) for letters in ("th", "xe", "ab") for n in (1024, 2048, 4096) for flip in (0, 1)]
+    assert Encoder(*data(name)).counts(texts).tolist() == [len(whole(t)) for t in texts]
+    monkeypatch.setattr(tokens, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    again = Encoder(*data(name))
+    assert [x.tolist() for x in again.ids(["some words and more", *texts[:4], "words some"])] == [whole(t) for t in ["some words and more", *texts[:4], "words some"]]
+
+
+def test_only_misses_are_encoded(spark, tmp_path):
+    """Counts that a cache holds are taken from it, and each text that it lacks is encoded once, whatever the number of its rows."""
+    path, cache = public_tokenizers.path("piece_bpe_32k.model"), scratch(spark, "test-cache")
+    docs = spark.createDataFrame([(k, f"text number {k % 40}" if k % 3 else None) for k in range(300)], "doc_id long, text string")
+    count_tokens(docs.where("doc_id < 10"), path, cache)
+    stored = spark.read.parquet(cache)
+    assert stored.count() == 7
+    marked = scratch(spark, "test-cache")
+    stored.withColumn("n_tokens", F.lit(-5).cast("long")).write.parquet(marked)
+    got = {r["doc_id"]: r["n_tokens"] for r in count_tokens(docs, path, marked).collect()}
+    known = {docs_text for k in range(10) for docs_text in [f"text number {k % 40}" if k % 3 else ""]}
+    assert all((got[k] == -5) == ((f"text number {k % 40}" if k % 3 else "") in known) for k in range(300))
+    assert spark.read.parquet(marked).where("n_tokens <> -5").count() == 41 - len(known)
+
+
 def test_counts_and_cache(spark, texts):
     rows = [(k, t) for k, t in enumerate(texts)] + [(None, "no id"), (3, "repeated"), (3, "repeated")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"digest": F.lit("clash"), "n_tokens": F.lit(-1)})
