@@ -16,14 +16,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import chain, count, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordforge.llm.components import connected_components
+from recordforge.llm.components import connected_components, root_of
 from recordforge.llm.store import drop, join_hot, written
 from recordforge.llm.words import LOWER, NOT_SPACE, U, chunks, mix, windows, words
 
@@ -112,7 +112,7 @@ def _neighbours_task(threshold: int):
         tail, root = None, {}
 
         def joins(x: int, y: int) -> bool:
-            x, y = _root(root, x), _root(root, y)
+            x, y = root_of(root, x), root_of(root, y)
             root[max(x, y)] = min(x, y)
             return x != y
 
@@ -153,16 +153,6 @@ def _neighbours_task(threshold: int):
     return run
 
 
-def _root(root: dict[int, int], x: int) -> int:
-    path = []
-    while (up := root.setdefault(x, x)) != x:
-        path.append(x)
-        x = up
-    for y in path:
-        root[y] = x
-    return x
-
-
 def _sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
     for texts in chunks(column):
         runs, first = windows(words(texts, NOT_SPACE, LOWER), shingle, short=True)
@@ -205,6 +195,23 @@ def _within_task(shingle: int, threshold: int):
     return run
 
 
+def _possible_task(threshold: int):
+    """Pairs that their sets' sizes and parities don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, y = (_matrix(batch.column(c), PARITY // 8).view(np.uint64) for c in ("parity_a", "parity_b"))
+            m, n = batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy()
+            good = 100 * np.minimum(m, n) >= threshold * np.maximum(m, n)
+            good &= (100 + threshold) * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (100 - threshold) * (m + n)
+            chosen = batch.filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([chosen.column(c) for c in ("a", "b", "part_a", "part_b")], names=["a", "b", "part_a", "part_b"])
+
+    return run
+
+
 def _pairs_task(shingle: int, threshold: int):
     """Pairs that are linked, but for those whose parts earlier links of the task have joined."""
 
@@ -216,7 +223,7 @@ def _pairs_task(shingle: int, threshold: int):
             good = []
             parts = zip(batch.column("part_a").to_pylist(), batch.column("part_b").to_pylist(), strict=True)
             for (p, q), x, y in zip(parts, _sets(batch.column("text_a"), shingle), _sets(batch.column("text_b"), shingle), strict=True):
-                p, q = _root(root, p), _root(root, q)
+                p, q = root_of(root, p), root_of(root, q)
                 good.append(p != q and _linked(x, y, threshold))
                 if good[-1]:
                     root[max(p, q)] = min(p, q)
@@ -251,6 +258,13 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return keyed.join(left, "pair").join(right, "pair").select(*pairs.columns, "text_a", "text_b")
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+    """The pairs that may be linked by sizes and parities, without their texts."""
+    for x in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"size_{x}"), F.col("parity").alias(f"parity_{x}")), x)
+    return pairs.mapInArrow(_possible_task(threshold), _PAIRS)
+
+
 def _crowd(classes: DataFrame, parts: DataFrame) -> DataFrame:
     """(class, node, part, salt) of all nodes of crowded classes that are in parts.
 
@@ -441,15 +455,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, e
     links = written(walked.mapInArrow(_within_task(shingle, threshold), "a long, b long"), "links")
     parts = connected_components(links)
 
-    # Candidates that the walk left in different parts.
-    left, right = (parts.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")) for x in "ab")
-    apart = candidates.join(left, "a", "left").join(right, "b", "left").select("a", "b", F.coalesce("part_a", "a").alias("part_a"), F.coalesce("part_b", "b").alias("part_b")).where("part_a <> part_b")
-    turn = 0
-
     spent = [candidates, components, texts]
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
+        pairs = written(_possible(pairs, nodes, threshold), "pairs")
         spent.append(pairs)
         found = _with_texts(pairs, texts).mapInArrow(_pairs_task(shingle, threshold), _PAIRS)
         # One link of two parts joins them as well as many.
@@ -459,21 +468,29 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, e
         spent.append(parts)
         return connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    pairs = apart
-    while True:
-        more = confirmed(pairs)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            parts = joined(more)
-        elif turn:
-            break
-        turn += 1
+    # The best linked nodes of crowded classes, as long as holding nodes against them joins at least one in a hundred.
+    for turn in count(1):
         crowd = _crowd(classes, parts)
         spent.append(crowd)
-        if crowd.isEmpty():
+        n = crowd.count()
+        if not n:
+            break
+        more = confirmed(_hub_pairs(crowd, nodes, links, threshold, turn))
+        found = more.count()
+        if found:
+            links, parts = links.unionByName(more), joined(more)
+        if 100 * found < n:
             break
-        pairs = _hub_pairs(crowd, nodes, links, threshold, turn)
 
+    # Candidates that are still in different parts.
+    left, right = (parts.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")) for x in "ab")
+    apart = candidates.join(left, "a", "left").join(right, "b", "left").select("a", "b", F.coalesce("part_a", "a").alias("part_a"), F.coalesce("part_b", "b").alias("part_b")).where("part_a <> part_b")
+    more = confirmed(apart)
+    if not more.isEmpty():
+        parts = joined(more)
+
+    crowd = _crowd(classes, parts)
+    spent.append(crowd)
     if everywhere:
         placed = texts.join(parts, "node", "left").select(F.lit(0).cast("long").alias("group"), "node", F.coalesce("component", "node").alias("part"), "text")
     else:
