@@ -65,7 +65,7 @@ TEXT_STOPS = ("this", "that", "with", "from", "have", "been", "were", "your", "t
 def make_tags(name: Column, category: Column, address: Column, description: Column) -> Column:
     """Up to six tags: the city of a comma-separated address, then two words each of category, name and description."""
     empty = F.array().cast("array<string>")
-    parts = F.transform(F.split(F.coalesce(address, F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(address, F.lit("")), ","), lambda p: F.trim(p))
     n = F.size(parts)
     at = lambda back: F.when(n >= back, F.nullif(F.try_element_at(parts, -F.lit(back)), F.lit("")))
     city = F.when(n >= 2, F.coalesce(at(3), at(2)))

@@ -107,3 +107,17 @@ def by_section(items: DataFrame, by: list[str], section: str, ordinal: str, *, d
 
 def gap(target: Column, have: Column) -> Column:
     return F.greatest(F.lit(0), target - have)
+
+
+def session_totals(sessions: DataFrame, *, live: tuple[str, ...] = ("production", "prod")) -> DataFrame:
+    """One row over sessions: records, published ones, the split of these by whether the session went live, places and the rate.
+
+    Columns: total, published, city, migrated_to (names of environments). Places count if a session of theirs has records.
+    """
+    gone = F.coalesce(F.arrays_overlap("migrated_to", F.array(*map(F.lit, live))), F.lit(False))
+    out = sessions.agg(
+        F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("published"), F.lit(0)).alias("published"), F.coalesce(F.sum(F.when(gone, F.col("published"))), F.lit(0)).alias("live"),
+        F.count_distinct(F.when(present(F.col("city")) & (F.col("total") > 0), F.col("city"))).alias("cities"),
+    )
+    rate = F.when(F.col("total") > 0, round_half_up(100 * F.col("published") / F.col("total"))).otherwise(0)
+    return out.withColumns({"staging": F.greatest(F.lit(0), F.col("published") - F.col("live")), "publish_rate": rate})

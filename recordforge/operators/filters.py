@@ -117,3 +117,47 @@ def fully_fixed() -> Column:
 
 def junk_names() -> Column:
     return test_name(F.col("name"))
+
+
+def sessions(search: str | None = None, status: str = "all") -> Column:
+    """Sessions by a piece of their name, id or maker, whatever the case, and by status."""
+    text = (search or "").lower()
+    found = some(*(sure(F.lower(F.col(c)).contains(text)) for c in ("name", "session_id", "created_by"))) if text else None
+    return every(found, sure(F.col("status") == status) if status != "all" else None)
+
+
+def curated(*, city: str | None = None, state: str | None = None, industry: str | None = None, category: str | None = None, search: str | None = None, has_place: bool | None = None, incomplete: bool = False) -> Column:
+    """Live rows of the curated cohort; texts are pieces, whatever the case, and are taken literally.
+
+    incomplete: phone, e-mail, website or place id is missing or empty; any of them counts.
+    """
+    piece = lambda c, t: sure(F.lower(F.col(c)).contains(t.lower())) if t else None
+    anywhere = some(*(piece(c, search) for c in ("name", "email", "phone"))) if search else None
+    lacking = some(*(blank(F.col(c)) for c in ("phone", "email", "website", "place_id"))) if incomplete else None
+    return every(
+        cohort(), not_true(F.col("is_deleted")), piece("city", city), piece("state", state), sure(F.col("industry") == industry) if industry else None,
+        sure(F.array_contains("categories", category)) if category else None, anywhere, tri_state(F.col("place_id"), has_place), lacking,
+    )
+
+
+def curated_order(by: str = "newest") -> list[Column]:
+    """newest, oldest or name; anything else is newest. Ids break ties."""
+    return {"oldest": [F.col("created").asc_nulls_first(), F.col("id")], "name": [F.col("name").asc_nulls_first(), F.col("id")]}.get(by, [F.col("created").desc_nulls_last(), F.col("id")])
+
+
+def taxonomy_worklist(*, status: str = "mismatch", city: str | None = None, state: str | None = None, search: str | None = None) -> Column:
+    """Live rows that a resolve pass has given a category status; ``all`` lists each of them."""
+    piece = lambda c, t: sure(F.lower(F.col(c)).contains(t.lower())) if t else None
+    anywhere = some(*(piece(c, search) for c in ("name", "place_id", "source_category"))) if search else None
+    wanted = F.col("category_status").isNotNull() if status == "all" else sure(F.col("category_status") == status)
+    return every(not_true(F.col("is_deleted")), wanted, piece("city", city), piece("state", state), anywhere)
+
+
+def review_worklist(rows: DataFrame, *, status: str = "resolve") -> DataFrame:
+    """Live rows in review, the last checked first; ``status`` is a struct with status and checked_at."""
+    return rows.where(not_true(F.col("is_deleted")) & sure(F.col(f"{status}.status") == "review")).orderBy(F.col(f"{status}.checked_at").desc_nulls_last(), "id")
+
+
+def listed(rows: DataFrame, *, only_active: bool = False, order: str = "city") -> DataFrame:
+    """All rows by city, or the active ones."""
+    return (rows.where(is_true(F.col("is_active"))) if only_active else rows).orderBy(order, "id")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from recordforge.functions import geo
 from recordforge.functions.address import street_shape
-from recordforge.functions.nulls import is_true, present, sure
+from recordforge.functions.nulls import every, is_true, present, sure
+from recordforge.operators.filters import cohort
 
 #: The order in which a record is told why it fails.
 ORDER = ("active_outlet", "verified_place", "real_cover", "real_hours", "taxonomy", "valid_address", "single_place", "domestic")
@@ -84,3 +85,24 @@ def tier(gate: str, fixable: list[str], blocking: list[str]) -> Column:
     fails = lambda names: sum(((~is_true(F.col(f"{gate}.{n}"))).cast("int") for n in names), F.lit(0))
     n, b = fails(fixable), fails(blocking)
     return F.when((b == 0) & (n == 0), "passing").when((b == 0) & (n == 1), "P1").when(b == 0, "P2").when(n >= 1, "P3").otherwise("blocked")
+
+
+def migration_scope(rows: DataFrame, own_media: str = r"media\.example") -> DataFrame:
+    """Rows that pass the filter of a migration, with ``reason``: valid_address, single_place, domestic, or null for those that may go.
+
+    The filter's twelve conditions are the cohort, an active outlet of an active row, an own cover (case counts), hours that
+    are done and captured, industry, categories, an address, a city that is no county, a place id, and a match that isn't
+    known to be wrong. A place is single if one row that passed has it; the others are all refused.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    passes = every(
+        cohort(), is_true(F.col("is_active")), sure(F.col("n_outlets") >= 1), sure(F.col("cover").rlike(own_media)), sure(F.col("hours_status") == "done"), sure(F.col("n_hours") > 0), F.col("industry").isNotNull(), sure(F.col("n_categories") > 0),
+        present(F.col("address")), ~sure(F.col("city").rlike("(?i)county")), present(F.col("place_id")), ~F.col("match").eqNullSafe(F.lit(False)),
+    )
+    own = rows.where(passes).withColumn("_place", text("place_id"))
+    counts = own.where("_place <> ''").groupBy("_place").agg(F.count(F.lit(1)).alias("_n"))
+    contact = text("address").rlike(r"(?i)^\s*(https?://|www\.)") | text("address").rlike(r"^\+?[\d\s\-().]{7,}$")
+    country = F.lower(text("country"))
+    home = sure(~((F.col("lat") == 0) & (F.col("lng") == 0)) & country.isin("", "united states") & geo.in_box(F.col("lat"), F.col("lng")))
+    reason = F.when((text("address") == "") | contact | (text("city") == ""), "valid_address").when((F.col("_place") == "") | (F.coalesce("_n", F.lit(0)) > 1), "single_place").when(~home, "domestic")
+    return own.join(counts, "_place", "left").select(*rows.columns, reason.alias("reason"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,22 @@ def child_flags(parents: DataFrame, children: DataFrame, *, key: str = "id", par
     return out.withColumn("all_active", (F.col("n_children") > 0) & (F.col("n_inactive") == 0))
 
 
+#: Rows of a key that are joined pair by pair in one task; a key with more is split.
+CROWD = 1000
+
+
+def spread(a: DataFrame, b: DataFrame, keys: list[str], id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a pair join with ``_salt`` to join on as well: rows of a crowded key are dealt on the left, copied on the right.
+
+    Most keys keep one salt. A key may hold most rows; then its pairs are made by many tasks.
+    """
+    crowds = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD).select(*keys, F.ceil(F.col("_n") / CROWD).cast("long").alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1).cast("long"))
+    dealt = a.join(crowds, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(id_col), salts)).drop("_salts")
+    copied = b.join(crowds, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
+    return dealt, copied
+
+
 def valid_id(c: Column) -> Column:
     """A 24-digit hexadecimal reference, lower case; null for anything else."""
     t = F.lower(F.trim(c))
@@ -65,11 +82,13 @@ def two_tier_match(rows: DataFrame, other: DataFrame, *, key: str = "place_id",
 
 def or_key_match(rows: DataFrame, other: DataFrame, keys: list[str], *, id_col: str = "id") -> DataFrame:
     """Pairs that agree on any of the keys, with those they agree on: a union of equal joins, never one join with OR."""
-    pairs = [
-        rows.where(present(F.col(k).cast("string"))).select(F.col(id_col).alias("id"), F.col(k).alias("_k")).join(other.where(present(F.col(k).cast("string"))).select(F.col(id_col).alias("other_id"), F.col(k).alias("_k")), "_k").where("id <> other_id").select("id", "other_id", F.lit(i).alias("_i"))
-        for i, k in enumerate(keys)
-    ]
-    found = reduce(DataFrame.unionByName, pairs).groupBy("id", "other_id").agg(F.array_sort(F.collect_set("_i")).alias("_is"))
+
+    def on(i: int, k: str) -> DataFrame:
+        side = lambda d, out: d.where(present(F.col(k).cast("string"))).select(F.col(id_col).alias(out), F.col(k).alias("_k"))
+        a, b = spread(side(rows, "id"), side(other, "other_id"), ["_k"], "id")
+        return a.join(b, ["_k", "_salt"]).where("id <> other_id").select("id", "other_id", F.lit(i).alias("_i"))
+
+    found = reduce(DataFrame.unionByName, [on(i, k) for i, k in enumerate(keys)]).groupBy("id", "other_id").agg(F.array_sort(F.collect_set("_i")).alias("_is"))
     return found.select("id", "other_id", F.transform("_is", lambda i: F.element_at(F.array(*map(F.lit, keys)), i + 1)).alias("keys"))
 
 
@@ -99,17 +118,27 @@ def shared_keys(rows: DataFrame, key: str, *, id_col: str = "id") -> DataFrame:
     return rows.join(twice, key, "left_semi")
 
 
-def near_existing(candidates: DataFrame, known: DataFrame, *, metres: float = 50, least: float = 0.85, max_lat: float = 72.0, id_col: str = "id") -> DataFrame:
+def _placed(d: DataFrame) -> DataFrame:
+    """Rows with a point; (0, 0) is what a missing one was stored as."""
+    return d.where(F.col("lat").between(-90, 90) & F.col("lng").between(-180, 180) & ~((F.col("lat") == 0) & (F.col("lng") == 0)))
+
+
+def near_existing(candidates: DataFrame, known: DataFrame, *, metres: float = 50, least: float = 0.85, id_col: str = "id") -> DataFrame:
     """Pairs of a candidate and a known row within ``metres`` whose names are alike: (id, known_id, distance, similarity).
 
     Candidates go to their cell and its neighbours and meet known rows there, so that only near pairs are compared. Cells
-    are as wide as the distance is at ``max_lat``, the highest latitude that the rows may have.
+    are as wide as the distance is at the highest latitude of all rows, so that no near pair is two cells apart. Rows
+    without a point are near nothing.
     """
-    steps = geo.lat_degrees(metres), geo.lng_degrees(metres, max_lat)
+    left, right = _placed(candidates), _placed(known)
+    highest = left.select("lat").unionByName(right.select("lat")).agg(F.max(F.abs("lat"))).first()[0]
+    steps = geo.lat_degrees(metres), geo.lng_degrees(metres, min(float(highest or 0), 89.0) + 0.01)
     form = lambda d: d.withColumn("_form", dedup_form(F.col("name")))
-    a = form(candidates).select(F.col(id_col).alias("id"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), F.col("_form").alias("a_form"), F.explode(geo.cells_around(F.col("lat"), F.col("lng"), *steps)).alias("_cell"))
-    b = form(known).select(F.col(id_col).alias("known_id"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), F.col("_form").alias("b_form"), geo.cell(F.col("lat"), F.col("lng"), *steps).alias("_cell"))
-    near = a.withColumns({"i": F.col("_cell.i"), "j": F.col("_cell.j")}).join(b.withColumns({"i": F.col("_cell.i"), "j": F.col("_cell.j")}), ["i", "j"])
+    split = lambda d: d.withColumns({"i": F.col("_cell.i"), "j": F.col("_cell.j")}).drop("_cell")
+    a = form(left).select(F.col(id_col).alias("id"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), F.col("_form").alias("a_form"), F.explode(geo.cells_around(F.col("lat"), F.col("lng"), *steps)).alias("_cell"))
+    b = form(right).select(F.col(id_col).alias("known_id"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), F.col("_form").alias("b_form"), geo.cell(F.col("lat"), F.col("lng"), *steps).alias("_cell"))
+    dealt, copied = spread(split(a), split(b), ["i", "j"], "id")
+    near = dealt.join(copied, ["i", "j", "_salt"])
     pairs = near.select("id", "known_id", geo.haversine(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")).alias("distance"), similarity(F.col("a_form"), F.col("b_form")).alias("similarity"))
     return pairs.where((F.col("distance") <= metres) & (F.col("similarity") >= least))
 
@@ -122,10 +151,19 @@ def confirm(distance: Column, alike: Column, *, metres: float = 200, least: floa
 
 
 def fuzzy_pairs(rows: DataFrame, block: str, name: str, *, least: float = 0.85, id_col: str = "id") -> DataFrame:
-    """Pairs of rows of a block whose duplicate forms are alike. Blocks should be small: pairs within one are compared."""
+    """Pairs of rows of a block whose duplicate forms are alike.
+
+    Only names are compared whose lengths allow the similarity; equal forms are compared once, however many rows have
+    them. The pairs of a large block are made by many tasks; their number still grows with its different names.
+    """
     forms = rows.select(F.col(id_col).alias("id"), F.col(block).alias("_b"), dedup_form(F.col(name)).alias("_f"))
-    pairs = forms.alias("a").join(forms.alias("b"), (F.col("a._b") == F.col("b._b")) & (F.col("a.id") < F.col("b.id")))
-    return pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("other_id"), similarity(F.col("a._f"), F.col("b._f")).alias("similarity")).where(F.col("similarity") >= least)
+    names = forms.select("_b", "_f").distinct()
+    a, b = spread(names.withColumnRenamed("_f", "_fa"), names.withColumnRenamed("_f", "_fb"), ["_b"], "_fa")
+    short, long = F.least(F.length("_fa"), F.length("_fb")), F.greatest(F.length("_fa"), F.length("_fb"))
+    alike = a.join(b, ["_b", "_salt"]).where(F.col("_fa") <= F.col("_fb")).where(short >= F.floor(least * long)).withColumn("similarity", similarity(F.col("_fa"), F.col("_fb"))).where(F.col("similarity") >= least)
+    side = lambda n, out: forms.select("_b", F.col("_f").alias(n), F.col("id").alias(out))
+    pairs = alike.join(side("_fa", "x"), ["_b", "_fa"]).join(side("_fb", "y"), ["_b", "_fb"])
+    return pairs.where("_fa < _fb or x < y").select(F.least("x", "y").alias("id"), F.greatest("x", "y").alias("other_id"), "similarity")
 
 
 def remap_tree(rows: DataFrame, id_map: DataFrame, refs: list[str], *, key: str = "id") -> DataFrame:
@@ -195,14 +233,30 @@ def cascade_look_up(rows: DataFrame, table: DataFrame, keys: list[Column], *, ou
 def area_in_text(rows: DataFrame, areas: DataFrame, text: str, *, key: str = "id", max_areas: int = 200_000) -> DataFrame:
     """The first area (by its ordinal) whose name is a piece of the text, and its city unless several cities have it.
 
-    areas: (area, city, ordinal), a gazetteer that the join broadcasts if it has at most ``max_areas`` names; a larger one
-    is refused. Adds ``area``, ``area_city`` and ``ambiguous``.
+    areas: (area, city, ordinal), a gazetteer of at most ``max_areas`` names that goes to all tasks; a larger one is
+    refused. Each text is read once for all names. Adds ``area``, ``area_city`` and ``ambiguous``.
     """
     names = areas.where("area <> ''").groupBy(F.lower("area").alias("_a")).agg(F.min("ordinal").alias("_o"), F.array_sort(F.collect_set("city")).alias("_cities"))
-    if names.limit(max_areas + 1).count() > max_areas:
+    known = names.limit(max_areas + 1).collect()
+    if len(known) > max_areas:
         raise ValueError(f"the gazetteer has more than {max_areas} names")
-    hit = rows.select(key, F.lower(text).alias("_t")).join(F.broadcast(names), F.col("_t").contains(F.col("_a"))).groupBy(key).agg(F.min(F.struct("_o", "_a", "_cities")).alias("_x"))
-    return rows.join(hit, key, "left").withColumns({"area": F.col("_x._a"), "ambiguous": F.coalesce(F.size("_x._cities") > 1, F.lit(False))}).withColumn("area_city", F.when(~F.col("ambiguous"), F.get("_x._cities", F.lit(0)))).drop("_x")
+    ordered = sorted(known, key=lambda r: (r["_o"], r["_a"]))
+    shared = rows.sparkSession.sparkContext.broadcast([r["_a"] for r in ordered])
+
+    @F.pandas_udf("int")
+    def first_area(texts: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for k, name in enumerate(shared.value):
+            found.add_word(name, k)
+        if shared.value:
+            found.make_automaton()
+        return texts.map(lambda t: min((k for _, k in found.iter(t)), default=-1) if t and shared.value else -1)
+
+    table = rows.sparkSession.createDataFrame([(k, r["_a"], r["_cities"]) for k, r in enumerate(ordered)], "_k int, area string, _cities array<string>")
+    hit = rows.withColumn("_k", first_area(F.lower(text))).join(F.broadcast(table), "_k", "left").withColumn("ambiguous", F.coalesce(F.size("_cities") > 1, F.lit(False)))
+    return hit.withColumn("area_city", F.when(~F.col("ambiguous"), F.get("_cities", F.lit(0)))).select(*rows.columns, "area", "ambiguous", "area_city")
 
 
 def provenance(rows: DataFrame, users: DataFrame, links: DataFrame) -> DataFrame:
@@ -233,3 +287,20 @@ def rebuild_inputs(outcomes: DataFrame, source: DataFrame, *, key: str = "source
     """Outcomes with their source rows, and how many have none."""
     joined = outcomes.join(source.withColumn("_hit", F.lit(True)), key, "left")
     return joined.where(is_true(F.col("_hit"))).drop("_hit"), joined.agg(F.count_if(F.col("_hit").isNull()).alias("missing"))
+
+
+def recompute_provenance(rows: DataFrame, users: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of the older cohort or linked with a seeder: (id, sources, seeder_email, is_overlap, is_net_new).
+
+    sources lists crawler, cvb and manual_seeder, as far as they hold. It only widens: rows without a source aren't
+    returned. is_overlap: an older flag and a seeder; is_net_new: not flagged by provenance before.
+    """
+    linked = provenance(rows, users, links)
+    sources = F.array_compact(F.array(F.when(is_true(F.col("is_crawler")), F.lit("crawler")), F.when(is_true(F.col("is_cvb")), F.lit("cvb")), F.when(present(F.col("seeder_email")), F.lit("manual_seeder"))))
+    older = is_true(F.col("is_crawler")) | is_true(F.col("is_cvb"))
+    return linked.select("id", sources.alias("sources"), "seeder_email", (older & present(F.col("seeder_email"))).alias("is_overlap"), not_true(F.col("is_seeded")).alias("is_net_new")).where(F.size("sources") > 0)
+
+
+def in_cohort(ids: DataFrame, rows: DataFrame, member: Column, *, key: str = "id") -> DataFrame:
+    """Given ids that are live members of a cohort now; what a caller lists is never trusted."""
+    return ids.select(key).distinct().join(_live(rows).where(F.coalesce(member, F.lit(False))).select(key), key, "left_semi")

@@ -18,11 +18,13 @@ def first_per(rows: DataFrame, keys: list[str], order: list[Column], *, n: int =
 def survivors(rows: DataFrame, key: str, score: Column, *, created: str = "created", id_col: str = "id") -> DataFrame:
     """In each group of ``key`` the best row survives: highest score, then oldest (no date last), then id.
 
-    Adds ``score`` and ``is_survivor``, ``group_size`` and ``survivor_id``.
+    Adds ``score`` and ``is_survivor``, ``group_size`` and ``survivor_id``. A group is summed up before it is shuffled, so
+    that a key which holds most rows is no single task's.
     """
-    w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col(created).asc_nulls_last(), F.col(id_col))
     scored = rows.withColumn("score", score)
-    return scored.withColumns({"is_survivor": F.row_number().over(w) == 1, "survivor_id": F.first(id_col).over(w), "group_size": F.count(F.lit(1)).over(Window.partitionBy(key))})
+    first = F.struct((-F.col("score")).alias("s"), F.col(created).isNull().alias("n"), F.col(created).alias("c"), F.col(id_col).alias("i"))
+    best = scored.groupBy(key).agg(F.min_by(id_col, first).alias("survivor_id"), F.count(F.lit(1)).alias("group_size"))
+    return scored.join(best, key).withColumn("is_survivor", F.col(id_col) == F.col("survivor_id"))
 
 
 @dataclass(frozen=True)
@@ -46,23 +48,24 @@ def page(rows: DataFrame, order: list[Column], p: Page) -> tuple[DataFrame, Data
     return rows.orderBy(*order).offset(p.skip).limit(p.rows), total
 
 
-def stride_sample(rows: DataFrame, order: str, n: int) -> DataFrame:
+def stride_sample(rows: DataFrame, order: str, n: int, *, ranges: int = 200) -> DataFrame:
     """``n`` rows evenly spread over the order: those at floor(i * count / n). All rows if there are no more than ``n``.
 
-    Ranks come from sorted ranges and their sizes, so that no task holds all rows.
+    Values of ``order`` are unique. Rows are ranked within ranges whose bounds are some of the values, the same each time,
+    and the ranges' sizes are added up, so that no task holds all rows.
     """
     spark = rows.sparkSession
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    at = ranged.withColumn("_in_part", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
-    sizes = sorted((r["_part"], r["n"]) for r in at.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+    picked = rows.where(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order), order).limit(ranges).collect()
+    bounds = F.array(*(F.lit(r[0]) for r in sorted(picked))) if picked else F.array(F.lit(None))
+    placed = rows.withColumn("_part", F.size(F.filter(bounds, lambda b: b <= F.col(order))))
     starts, total = {}, 0
-    for part, size in sizes:
+    for part, size in sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):
         starts[part], total = total, total + size
     if total <= n:
         return rows
     offsets = F.create_map(*(F.lit(x) for pair in starts.items() for x in pair))
     wanted = spark.range(n).select(F.floor(F.col("id") * total / n).alias("_rank"))
-    ranked = at.withColumn("_rank", F.try_element_at(offsets, F.col("_part")) + F.col("_in_part"))
+    ranked = placed.withColumn("_rank", F.try_element_at(offsets, F.col("_part")) + F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
     return ranked.join(wanted, "_rank", "left_semi").select(*rows.columns)
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordforge.functions import address, contact, hours, text
-from recordforge.functions.nulls import blank, first_truthy, present, sure
+from recordforge.functions.nulls import blank, fired, first_truthy, present, sure
+from recordforge.operators.matching import area_in_text, cascade_look_up
 
 ISSUE = "struct<field:string,message:string,severity:string>"
 
@@ -117,23 +118,89 @@ def map_category(raw: Column, table: list[tuple[str, str, list[str]]], industry:
     return F.when(F.coalesce(key, F.lit("")) == "", none).otherwise(out)
 
 
-def adapt(rows: DataFrame, categories: list[tuple[str, str, list[str]]]) -> DataFrame:
+def adapt(rows: DataFrame, categories: list[tuple[str, str, list[str]]], *, areas: DataFrame | None = None, emails: DataFrame | None = None, default_state: str | None = None) -> DataFrame:
     """A scraped listing as a canonical business, with ``warnings``.
 
-    Columns read: name, place_id, url, address, coordinates, phone, website, hours, category, country, rating,
-    review_count, description. Adds the week, parsed address, phone, code, tags, mapped category and what looks wrong.
+    Columns read: id, name, place_id, url, address, coordinates, phone, website, hours, category, country, rating,
+    review_count, description, and as far as they are there city, state, locality and email. areas: (area, city,
+    ordinal, state, area_state), a gazetteer; emails: (key, value), addresses by place id, website or domain.
+
+    City: the record's own, else its address's; the name of a state is none. State: the default, else that of the one
+    city whose area the text names, else the record's or address's; an area's own state comes before all of these.
+    Locality: the area's name, else the record's. E-mails: by place id, website, website without its last slash, domain,
+    and last the record's own.
     """
-    a, point = address.parse_address(F.col("address")), text_point(F.col("coordinates"))
-    out = rows.withColumns({"_a": a, "_p": point, "_ph": contact.parse_phone(F.col("phone")), "week": hours.parse_glued_hours(F.coalesce("hours", F.lit("")))})
+    own = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) if c in rows.columns else F.lit("")
+    either = lambda a, b: F.trim(F.when(a != "", a).otherwise(F.coalesce(b, F.lit(""))))
+    out = rows.withColumns({"_a": address.parse_address(F.col("address")), "_p": text_point(F.col("coordinates")), "_ph": contact.parse_phone(F.col("phone")), "week": hours.parse_glued_hours(F.coalesce("hours", F.lit("")))})
+    out = out.withColumns({"_city": either(own("city"), F.col("_a.city")), "_state": either(own("state"), F.col("_a.state_code")), "_locality": own("locality")})
+    out = out.withColumn("_hay", F.concat_ws(" | ", *(F.nullif(c, F.lit("")) for c in (F.col("address"), F.col("_city"), F.col("_state")))))
+    if areas is None:
+        none = F.lit(None).cast("string")
+        out = out.withColumns({"area": none, "ambiguous": F.lit(False), "_in": none, "_over": none})
+    else:
+        stated = areas.groupBy(F.lower("area").alias("area"), F.col("city").alias("area_city")).agg(F.min_by("state", "ordinal").alias("_in"), F.min_by("area_state", "ordinal").alias("_over"), F.min_by("area", "ordinal").alias("_named"))
+        out = area_in_text(out, areas, "_hay").join(F.broadcast(stated), ["area", "area_city"], "left").withColumn("area", F.col("_named")).drop("_named", "area_city")
+    parsed_state = address.state_code(F.col("_state"))
+    state = F.coalesce(address.state_code(F.col("_over")), F.lit(default_state).cast("string"), F.col("_in"), parsed_state, F.lit(""))
     lat, lng = F.coalesce("_p.lat", F.lit(0.0)), F.coalesce("_p.lng", F.lit(0.0))
     out = out.withColumns({
-        "street": F.col("_a.street"), "unit": F.col("_a.unit"), "city": F.col("_a.city"), "state": F.col("_a.state_code"), "postal_code": F.col("_a.postal_code"),
-        "country": F.coalesce(F.nullif(F.trim("country"), F.lit("")), F.col("_a.country")), "latitude": lat, "longitude": lng, "phone_digits": F.col("_ph.phone"), "place_id": first_truthy(F.col("place_id"), contact.place_id_of(F.col("url"))),
-        "rating": F.coalesce(text.number_prefix(F.col("rating")), F.lit(0.0)), "review_count": text.count_prefix(F.col("review_count")), "website": contact.website(F.col("website")),
-        "tags": text.make_tags(F.col("name"), F.col("category"), F.col("address"), F.col("description")), "mapped": map_category(F.col("category"), categories), "status": F.lit(4.1),
+        "street": F.col("_a.street"), "unit": F.col("_a.unit"), "city": F.when(address.state_code(F.col("_city")).isNull(), F.col("_city")).otherwise(""), "state": state, "postal_code": F.col("_a.postal_code"),
+        "locality": F.coalesce("area", F.nullif("_locality", F.lit(""))), "country": F.coalesce(F.nullif(F.trim("country"), F.lit("")), F.col("_a.country")), "latitude": lat, "longitude": lng, "phone_digits": F.col("_ph.phone"),
+        "place_id": first_truthy(contact.place_id_of(F.col("url")), F.col("place_id")), "rating": F.coalesce(text.number_prefix(F.col("rating")), F.lit(0.0)), "review_count": text.count_prefix(F.col("review_count")), "website": contact.website(F.col("website")),
+        "mapped": map_category(F.col("category"), categories), "status": F.lit(4.1), "onward": F.lit(False),
     })
-    out = out.withColumn("country_code", contact.country_code(F.col("_ph.country_code"), F.col("country"), F.col("state"), F.col("latitude"), F.col("longitude")))
-    return out.withColumn("warnings", warnings()).drop("_a", "_p", "_ph")
+    out = out.withColumns({"tags": text.make_tags(F.col("name"), F.col("category"), F.col("street"), F.col("description")), "country_code": contact.country_code(F.col("_ph.country_code"), F.col("country"), F.col("state"), F.col("latitude"), F.col("longitude"))})
+    listed = F.nullif(contact.split_emails(own("email")), F.array().cast("array<string>"))
+    if emails is None:
+        out = out.withColumn("emails", listed)
+    else:
+        site = F.col("website")
+        out = cascade_look_up(out, emails, [F.nullif("place_id", F.lit("")), site, F.regexp_replace(site, "/$", ""), contact.host(site)], out="_found").withColumn("emails", F.coalesce("_found", listed)).drop("_found")
+    found = fired(
+        ("area_ambiguous", F.col("ambiguous")), ("city_is_state", (F.col("_city") != "") & address.state_code(F.col("_city")).isNotNull()), ("city_unresolved", F.col("_city") == ""), ("state_invalid", (F.col("state") == "") & (F.col("_state") != "")), ("state_unresolved", (F.col("state") == "") & (F.col("_state") == "")),
+        ("area_not_listed", F.col("area").isNull() & (F.col("_locality") != "")), ("category_unresolved", F.size("mapped.categories") == 0),
+    )
+    return out.withColumn("warnings", F.concat(found, warnings())).drop("_a", "_p", "_ph", "_city", "_state", "_locality", "_hay", "_in", "_over")
+
+
+def adapt_stats(adapted: DataFrame) -> DataFrame:
+    """One row that counts an import: rows processed, and those with each property or warning."""
+    warned = lambda w: F.count_if(F.array_contains("warnings", w))
+    return adapted.agg(
+        F.count(F.lit(1)).alias("processed"), F.count_if(F.col("website").isNull()).alias("no_website"), F.count_if(F.size("emails") > 0).alias("email_matched"), F.count_if(F.coalesce(F.size("emails"), F.lit(0)) <= 0).alias("email_unmatched"),
+        F.count_if(~F.col("mapped.is_fallback")).alias("category_mapped"), F.count_if("mapped.is_fallback").alias("category_fallback"), F.count_if(F.col("city") != "").alias("city_resolved"), F.count_if(F.col("city") == "").alias("city_unresolved"),
+        F.count("area").alias("area_in_list"), warned("area_not_listed").alias("area_kept_custom"), warned("hours_unparsed").alias("hours_unparsed"), warned("address_invalid").alias("address_invalid"), warned("no_coordinates").alias("no_coordinates"),
+        warned("no_place_id").alias("no_place_id"), warned("no_name").alias("no_name"),
+    )
+
+
+#: Which field a warning is shown at, by what it says; the first that fits.
+WARNING_FIELDS = [("(?i)state", "state"), ("(?i)area", "area"), ("(?i)place_?id", "place_id"), ("(?i)coordinates|coords", "coordinates"), (r"(?i)\bhours\b|hours_", "week"), ("(?i)address", "address"), (r"(?i)\bname\b|no_name", "name")]
+
+
+def seeded_business(rows: DataFrame, creator: str) -> DataFrame:
+    """A guarded row as the business that seeding stores: ownership, flags and counters set, what is stored kept, media never invented."""
+    keep = lambda c, default: F.coalesce(F.col(c), default) if c in rows.columns else default
+    fixed = {"creator_type": F.lit("admin"), "creator": F.lit(creator), "authorised_user": F.lit(creator), "is_claimed": F.lit(False), "is_crawler": F.lit(True), "is_deleted": F.lit(False), "followers": F.lit(0), "views": F.lit(0), "onward": F.lit(True), "boost_order": F.lit(1000), "is_boosted": F.lit(False)}
+    kept = {"is_active": keep("is_active", F.lit(True)), "is_cvb": keep("is_cvb", F.lit(False)), "rating": keep("rating", F.lit(0.0)), "review_count": keep("review_count", F.lit(0)), "cover": keep("cover", F.lit(None).cast("string")), "logo": keep("logo", F.lit(None).cast("string")), "logo_uploaded": keep("logo_uploaded", F.lit(False))}
+    return rows.withColumns(fixed | kept).withColumn("unique_id", keep("unique_id", text.unique_id(F.col("name"), F.col("id"))))
+
+
+def seeded_outlet(businesses: DataFrame, *, category: str = "physical") -> DataFrame:
+    """The outlet of each business: (business, name, street, city, state, zip, category, location, is_active, serving_radius).
+
+    Where the street line is empty a one-line ``address1`` is cut at its commas, and fills what else is missing.
+    """
+    parts = F.transform(F.split(F.coalesce("address1", F.lit("")), ","), lambda p: F.trim(p))
+    cut = F.when(~present(F.col("address")) & (F.size(parts) >= 3), parts)
+    state_zip = F.split(F.coalesce(F.get(cut, F.lit(2)), F.lit("")), " ")
+    fill = lambda c, v: F.when(present(F.col(c)), F.col(c)).otherwise(F.coalesce(v, F.lit("")))
+    whole = F.when(~present(F.col("address")) & (F.size(parts) < 3), F.col("address1"))
+    return businesses.select(
+        F.col("id").alias("business"), "name", fill("address", F.coalesce(F.get(cut, F.lit(0)), whole)).alias("street"), fill("city", F.get(cut, F.lit(1))).alias("city"), address.state_name(fill("state", F.get(state_zip, F.lit(0)))).alias("state"),
+        fill("postal_code", F.get(state_zip, F.lit(1))).alias("zip"), F.lit(category).alias("category"), F.struct(F.col("longitude").alias("lng"), F.col("latitude").alias("lat")).alias("location"), F.lit(True).alias("is_active"), F.lit(60).alias("serving_radius"),
+    )
 
 
 def text_point(c: Column) -> Column:
@@ -145,7 +212,6 @@ def text_point(c: Column) -> Column:
 def warnings() -> Column:
     """Contradictions between fields of an adapted record, and gaps in it, by name."""
     from recordforge.functions.geo import in_us
-    from recordforge.functions.nulls import fired
 
     placed = (F.col("latitude") != 0) | (F.col("longitude") != 0)
     us = placed & in_us(F.col("latitude"), F.col("longitude"))
@@ -170,8 +236,6 @@ def guard_patch(rows: DataFrame, placeholder: str) -> DataFrame:
     state = F.coalesce(F.nullif("state", F.lit("")), F.col("_s.state_code"))
     changes = {c: F.when(~contact.placeholder_media(F.col(c), placeholder), F.col(c)) for c in media}
     changes |= {"address": F.when(~bad, F.col("_line")), "city": F.coalesce(F.nullif("city", F.lit("")), F.col("_s.city")), "state": address.state_name(state), "postal_code": F.coalesce(F.nullif("postal_code", F.lit("")), F.col("_s.postal_code"))}
-    from recordforge.functions.nulls import fired
-
     said = fired(*((f"dropped_{c}", contact.placeholder_media(F.col(c), placeholder)) for c in media), ("split_address", F.col("_s").isNotNull()), ("dropped_address", bad), ("normalised_state", address.state_name(state) != state))
     return lined.withColumn("adjustments", said).withColumns(changes).drop("_s", "_line")
 

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordforge.functions import address, hours
+from recordforge.functions import address, geo, hours
+from recordforge.functions.names import generic_name
 from recordforge.functions.nulls import differs, fired, is_true, not_true, present, sure
-from recordforge.operators.matching import child_flags, without_children
+from recordforge.operators.matching import child_flags, valid_id, without_children
 
 
 def resync_city(rows: DataFrame, *, street: str = "address", city: str = "city") -> DataFrame:
@@ -91,26 +92,146 @@ def stage_deletes(reviews: DataFrame, menus: DataFrame, files: DataFrame, ids: D
     return plans[stage]
 
 
-#: Audit checks of a live record, and which of them a plan can fix.
-CHECKS = ("name", "address", "city", "state", "coordinates", "phone", "hours", "taxonomy", "cover", "outlet", "active")
-FIXABLE = ("state", "hours", "outlet", "active")
+#: Checks of a live record, and of one that isn't published yet.
+CHECKS = ("name", "address", "coords", "hours", "hours_encoding", "keys", "country_code", "cover", "taxonomy", "outlet_link", "resolve")
+SEED_CHECKS = ("name", "address", "coords", "hours", "hours_encoding", "keys", "country_code", "cover", "taxonomy", "place_id")
+#: Names of the country that addresses give.
+US_NAMES = ("united states", "united states of america", "usa", "us", "u.s.", "u.s.a.")
+
+
+def _placed() -> Column:
+    return sure((F.col("latitude") != 0) | (F.col("longitude") != 0))
+
+
+def _abroad() -> Column:
+    return _placed() & ~geo.in_us(F.col("latitude"), F.col("longitude"))
+
+
+def foreign() -> Column:
+    """A row that states another country and lies outside the US: no audit's business."""
+    country = F.lower(F.trim(F.coalesce("country", F.lit(""))))
+    return (country != "") & ~country.isin(*US_NAMES) & _abroad()
+
+
+def _common_checks(street: str, code: Column, week: Column, status: Column, onward: Column) -> list[tuple[str, Column]]:
+    name, line, country = F.trim(F.coalesce("name", F.lit(""))), F.trim(F.coalesce(F.col(street), F.lit(""))), F.lower(F.trim(F.coalesce("country", F.lit(""))))
+    return [
+        ("name", (F.length(name) <= 2) | generic_name(name)), ("address", (line == "") | line.rlike(r"(?i)^\s*(https?://|www\.)") | line.rlike(r"^\+?[\d\s\-().]{7,}$")),
+        ("coords", ~_placed() | (country.isin(*US_NAMES) & _abroad())), ("hours_encoding", week.isNotNull() & differs(hours.repair_week(week), week)), ("keys", status.isNull() | onward.isNull()),
+        ("country_code", ~present(code) | ((code == "+1") & _abroad())),
+    ]
+
+
+def _said(checks: list[tuple[str, Column]], order: tuple[str, ...]) -> Column:
+    by = dict(checks)
+    return fired(*((k, by[k]) for k in order))
 
 
 def audit(rows: DataFrame) -> DataFrame:
-    """Each record's checks before and after what a plan can fix: ``plan``, ``failed_before``, ``failed_after``, ``ready``.
+    """Live cohort rows, each with ``plan`` (what can be fixed), ``failed_before`` and ``failed_after`` it, and ``ready``.
 
-    Columns: name, address, city, state, lat, lng, phone, week, industry, n_categories, cover, n_outlets, is_active.
+    Columns read: name, address, latitude, longitude, country, country_code, week, hours_status, n_hours (lines captured),
+    resolve_status, status, onward (whether the journey goes on), cover, place_id, industry, categories, outlet_ids (active
+    outlets), outlets, activated, n_activated, corrupt (an outlet is marked so), is_cvb, is_crawler. Rows outside the older
+    cohort flags, marked corrupt or foreign are left out. A dry run reports ``failed_before``, an applied one ``failed_after``.
+    ``queue_cover``: the cover is missing or foreign and a place id to fetch one with is known.
     """
-    from recordforge.functions.names import generic_name
-
-    def failing(state: Column, week: Column, n_outlets: Column, active: Column) -> Column:
-        return fired(
-            ("name", ~present(F.trim("name")) | generic_name(F.col("name"))), ("address", ~address.valid_street(F.col("address"))), ("city", ~present(F.trim("city")) | address.junk_city(F.col("city"))), ("state", address.state_code(state).isNull()),
-            ("coordinates", F.col("lat").isNull() | F.col("lng").isNull() | ((F.col("lat") == 0) & (F.col("lng") == 0))), ("phone", ~present(F.col("phone"))), ("hours", bad_timing(week)), ("taxonomy", ~present(F.col("industry")) | ~sure(F.col("n_categories") > 0)),
-            ("cover", ~present(F.col("cover"))), ("outlet", ~sure(n_outlets >= 1)), ("active", ~is_true(active)),
-        )
-
-    repaired = hours.repair_week(F.col("week"))
-    plan = fired(("state", differs(address.state_name(F.col("state")), F.col("state"))), ("hours", differs(repaired, F.col("week")) & F.col("week").isNotNull()), ("outlet", ~sure(F.col("n_outlets") >= 1)), ("active", ~is_true(F.col("is_active"))))
-    out = rows.withColumns({"plan": plan, "failed_before": failing(F.col("state"), F.col("week"), F.col("n_outlets"), F.col("is_active")), "failed_after": failing(address.state_name(F.col("state")), F.when(F.col("week").isNotNull(), repaired), F.greatest(F.coalesce("n_outlets", F.lit(0)), F.lit(1)), F.lit(True))})
+    own = rows.where(~sure(F.col("corrupt")) & ~foreign() & (is_true(F.col("is_cvb")) | is_true(F.col("is_crawler"))))
+    none = F.array().cast("array<string>")
+    ids, listed, active = (F.coalesce(c, none) for c in ("outlet_ids", "outlets", "activated"))
+    week, captured = F.when(F.col("week").isNotNull(), hours.repair_week(F.col("week"))), sure(F.col("n_hours") > 0)
+    flag_hours = (~captured | hours.placeholder_week(week) | F.col("week").isNull()) & ~(F.col("hours_status").eqNullSafe(F.lit("review:no_hours_captured")) & F.col("resolve_status").eqNullSafe(F.lit("review")))
+    has = lambda a: F.size(F.array_except(ids, a)) == 0
+    link = (F.size(ids) >= 1) & (~has(listed) | ~has(active) | (F.coalesce("n_activated", F.lit(0)) < F.size(ids)))
+    encoding = F.col("week").isNotNull() & differs(week, F.col("week"))
+    keys, code = F.col("status").isNull() | F.col("onward").isNull(), ~present(F.col("country_code")) & ~_abroad()
+    plan = fired(("hours", flag_hours), ("hours_encoding", encoding), ("keys", keys), ("country_code", code), ("outlet_link", link))
+    cover_bad = ~present(F.col("cover")) | sure(F.lower("cover").contains("googleusercontent"))
+
+    def failing(fixed: bool) -> Column:
+        new = lambda when, value, old: F.when(when, value).otherwise(old) if fixed else old
+        w = new(encoding, week, F.col("week"))
+        hour_status, status = new(flag_hours, F.lit("review:no_hours_captured"), F.col("hours_status")), new(flag_hours, F.lit("review"), F.col("resolve_status"))
+        bad_link = (F.size(ids) < 1) | (F.lit(False) if fixed else ~has(listed) | ~has(active) | (F.coalesce("n_activated", F.lit(0)) < 1))
+        checks = _common_checks("address", new(code, F.lit("+1"), F.col("country_code")), w, new(keys, F.coalesce("status", F.lit(4.1)), F.col("status")), new(keys, F.coalesce("onward", F.lit(False)), F.col("onward")))
+        checks += [
+            ("hours", w.isNull() | hours.placeholder_week(w) | ~captured | ~hour_status.eqNullSafe(F.lit("done"))), ("cover", cover_bad), ("outlet_link", bad_link), ("resolve", ~status.eqNullSafe(F.lit("done"))),
+            ("taxonomy", valid_id(F.col("industry")).isNull() | ~sure(F.size("categories") > 0) | F.exists(F.coalesce("categories", none), lambda c: valid_id(c).isNull())),
+        ]
+        return _said(checks, CHECKS)
+
+    out = own.withColumns({"plan": plan, "failed_before": failing(False), "failed_after": failing(True), "queue_cover": cover_bad & present(F.col("place_id"))})
     return out.withColumn("ready", F.size("failed_after") == 0)
+
+
+def seed_audit(rows: DataFrame) -> DataFrame:
+    """Rows before publishing, each with ``plan``, ``failed`` after it, ``pending_cover`` (a foreign cover that is replaced later) and ``ready``.
+
+    Columns read: name, address, latitude, longitude, country, country_code, week, status, onward, cover, industry and
+    categories (names, not ids), place_id. Foreign rows are left out. Outlets and resolving come with publishing.
+    """
+    own = rows.where(~foreign())
+    week = F.when(F.col("week").isNotNull(), hours.repair_week(F.col("week")))
+    encoding, keys, code = F.col("week").isNotNull() & differs(week, F.col("week")), F.col("status").isNull() | F.col("onward").isNull(), ~present(F.col("country_code")) & ~_abroad()
+    checks = _common_checks("address", F.when(code, "+1").otherwise(F.col("country_code")), week, F.coalesce("status", F.lit(4.1)), F.coalesce("onward", F.lit(False)))
+    none = F.array().cast("array<string>")
+    checks += [
+        ("hours", week.isNull() | hours.placeholder_week(week)), ("cover", ~present(F.col("cover"))), ("place_id", ~present(F.trim("place_id")) | F.col("place_id").isNull()),
+        ("taxonomy", ~present(F.trim("industry")) | F.col("industry").isNull() | ~sure(F.size("categories") > 0) | F.exists(F.coalesce("categories", none), lambda c: F.trim(F.coalesce(c, F.lit(""))) == "")),
+    ]
+    out = own.withColumns({"plan": fired(("hours_encoding", encoding), ("keys", keys), ("country_code", code)), "failed": _said(checks, SEED_CHECKS), "pending_cover": sure(F.lower("cover").contains("googleusercontent"))})
+    return out.withColumn("ready", F.size("failed") == 0)
+
+
+def audit_summary(audited: DataFrame, failed: str, checks: tuple[str, ...], plans: tuple[str, ...]) -> DataFrame:
+    """One row: rows, ready ones, failures by check as ``fail_*`` and what a plan can fix as ``fix_*``."""
+    return audited.agg(F.count(F.lit(1)).alias("total"), F.count_if("ready").alias("ready"), *(F.count_if(F.array_contains(failed, c)).alias(f"fail_{c}") for c in checks), *(F.count_if(F.array_contains("plan", p)).alias(f"fix_{p}") for p in plans))
+
+
+def not_an_object(text: Column) -> Column:
+    """Whether stored JSON is missing, null, unreadable or no object: what a week must not be."""
+    return ~F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+
+
+def copy_where(rows: DataFrame, guard: Column, source: str, target: str) -> DataFrame:
+    """``target`` from ``source`` where the guard holds; a guard that is null doesn't."""
+    return rows.withColumn(target, F.when(sure(guard), F.col(source)).otherwise(F.col(target)))
+
+
+#: Columns that a store manages itself, and that no merge may carry over.
+MANAGED = ("_id", "__v", "created_at", "updated_at")
+
+
+def strip(rows: DataFrame, *extra: str, managed: tuple[str, ...] = MANAGED) -> DataFrame:
+    """Rows without managed columns and further ones; those that aren't there are no matter."""
+    return rows.drop(*managed, *extra)
+
+
+def name_lines(items: DataFrame, tags: str, title: str) -> DataFrame:
+    """Computed fields of a row: how many tags, how many that aren't empty, whether the title is a text of letters, and its length."""
+    return items.withColumns({"n_tags": F.coalesce(F.size(tags), F.lit(0)), "n_real_tags": F.coalesce(F.size(F.filter(tags, lambda t: F.trim(t) != "")), F.lit(0)), "is_text": sure(F.col(title).rlike("[A-Za-z]")), "title_length": F.coalesce(F.length(title), F.lit(0))})
+
+
+def taxonomy_apply(rows: DataFrame, proposals: DataFrame) -> DataFrame:
+    """Industry and categories from a proposal, only on rows that are marked a mismatch and have one: (id, outcome, industry, categories)."""
+    both = rows.join(proposals.select("id", F.col("industry").alias("_i"), F.col("categories").alias("_c")), "id", "left")
+    outcome = F.when(~F.col("category_status").eqNullSafe(F.lit("mismatch")), "not_mismatch").when(~present(F.col("_i")) | ~sure(F.size("_c") > 0), "no_proposal").otherwise("applied")
+    pick = lambda new, old: F.when(outcome == "applied", F.col(new)).otherwise(F.col(old))
+    return both.select("id", outcome.alias("outcome"), pick("_i", "industry").alias("industry"), pick("_c", "categories").alias("categories"))
+
+
+def timing_repair(rows: DataFrame) -> DataFrame:
+    """Rows whose week is missing or a placeholder, with the default week that a repair would store: (id, reason, week)."""
+    reason = F.when(F.col("week").isNull(), "missing").when(hours.placeholder_week(F.col("week")), "placeholder")
+    return rows.select("id", reason.alias("reason"), F.when(F.col("week").isNull(), hours.office_week()).otherwise(F.col("week")).alias("week")).where("reason is not null")
+
+
+def purge_plan(roots: DataFrame, chain: list[tuple[str, DataFrame, str, str]], *, root_key: str, guard: Column) -> DataFrame:
+    """The keys of all rows that a purge would delete, by table: (table, key). Guarded roots keep theirs."""
+    keys = roots.where(~sure(guard)).select(F.col(root_key).alias("_k"))
+    out = []
+    for name, table, own, parent in chain:
+        below = table.join(keys.select(F.col("_k").alias(parent)).distinct(), parent, "left_semi")
+        out.append(below.select(F.lit(name).alias("table"), F.col(own).cast("string").alias("key")))
+        keys = below.select(F.col(own).alias("_k"))
+    return reduce(DataFrame.unionByName, out)

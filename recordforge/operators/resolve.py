@@ -1,4 +1,4 @@
-"""What an incoming result changes on a record: each field decides for itself."""
+"""What an incoming result changes on a record: each field decides for itself, and the hours decide for the record."""
 
 from __future__ import annotations
 
@@ -10,37 +10,66 @@ from recordforge.functions.names import compare_names, valid_place_id
 from recordforge.functions.nulls import fired, present, sure
 
 
-def resolve(records: DataFrame, results: DataFrame, *, own_media: str, default_week: Column | None = None) -> DataFrame:
-    """Records joined with their results: ``status``, ``reasons``, ``changed`` and the new values.
+def resolve(records: DataFrame, results: DataFrame, mapping: DataFrame, *, writes_address: bool = True, default_week: Column | None = None) -> DataFrame:
+    """One row for each result (id): its outcome, the status of each field, and the record's new values.
 
-    records: id, name, city, place_id, rating, cover, category, address, state, week. results: id, found_name, found_place_id,
-    hours_lines, found_rating, found_cover, found_category, found_address. A name that doesn't match sends the record to
-    review and changes nothing. Otherwise a place id is set if it is valid and no other record has it, hours overlay the
-    stored week day by day, a rating and category are set if given, a cover only if it is own media, and an address only
-    if it can be split. done needs a place id and hours; else partial.
+    records: id, name, place_id, week, rating, cover, industry, categories, address, city. results: id, found_name,
+    found_place_id, place_note, hours_lines, rating, cover_url, category, address, error. mapping: (key, industry,
+    categories) of source categories, keys normalised; rows beyond a few thousand are joined, not broadcast.
+
+    status and reason: review with business_not_found, bot_error or name_mismatch, each of which changes nothing; else
+    done if at least one day of hours was read, and review with the hours' status if not.
+
+    hours_status: done, no_hours_captured, hours_shape or hours_no_days_parsed; days that were read go over the stored
+    week. place_status: done, equals_building or not_found; place_action: corrected only if hours were read on the
+    same visit and no other record has the id, else pending, collision or unchanged. A rating that is a number is always
+    taken. cover_status: pending if there is no cover yet, else skipped. category_status: no_category, unmapped, or correct;
+    a mapped category that differs from the record's, whatever the order, is applied. address_status: rejected if it
+    can't be split into a valid street line, kept if the stored line is valid, else written; skipped where ``writes_address`` is off.
     """
-    taken = records.where(present(F.col("place_id"))).groupBy(F.col("place_id").alias("found_place_id")).agg(F.min("id").alias("_holder"))
-    both = records.join(results, "id").join(taken, "found_place_id", "left")
-    both = both.withColumns({"match": compare_names(F.col("name"), F.col("found_name"), F.col("city")), "parsed": hours.parse_hours_lines(F.col("hours_lines")), "split": address.split_formatted(F.col("found_address"))})
-    ok = F.col("match.match")
-    free = F.col("_holder").isNull() | (F.col("_holder") == F.col("id"))
-    new_place = ok & valid_place_id(F.col("found_place_id")) & free
-    new_hours = ok & sure(F.col("parsed.ok"))
-    week = F.when(new_hours, hours.overlay_week(F.col("parsed.days"), F.col("week"), hours.office_week() if default_week is None else default_week)).otherwise(F.col("week"))
-    new_cover, new_rating, new_category, new_address = ok & sure(F.col("found_cover").rlike(own_media)), ok & sure(F.col("found_rating") > 0), ok & present(F.col("found_category")), ok & F.col("split").isNotNull()
-    why = fired(("name_mismatch", ~ok), ("invalid_place_id", ok & present(F.col("found_place_id")) & ~valid_place_id(F.col("found_place_id"))), ("place_id_taken", ok & valid_place_id(F.col("found_place_id")) & ~free), ("no_hours_captured", ok & ~sure(F.col("parsed.ok"))))
-    status = F.when(~ok, "review").when((new_place | valid_place_id(F.col("place_id"))) & new_hours, "done").otherwise("partial")
-    out = both.select(
-        "id", status.alias("status"), why.alias("reasons"), F.col("match.rule").alias("rule"),
-        fired(("place_id", new_place & ~F.col("found_place_id").eqNullSafe(F.col("place_id"))), ("week", new_hours & ~week.eqNullSafe(F.col("week"))), ("cover", new_cover), ("rating", new_rating), ("category", new_category), ("address", new_address)).alias("changed"),
-        F.when(new_place, F.col("found_place_id")).otherwise(F.col("place_id")).alias("place_id"), week.alias("week"), F.when(new_rating, F.col("found_rating")).otherwise(F.col("rating")).alias("rating"),
-        F.when(new_cover, F.col("found_cover")).otherwise(F.col("cover")).alias("cover"), F.when(new_category, F.col("found_category")).otherwise(F.col("category")).alias("category"),
-        F.when(new_address, F.col("split.street")).otherwise(F.col("address")).alias("address"), F.when(new_address, F.col("split.city")).otherwise(F.col("city")).alias("city"),
-        F.when(new_address, address.state_name(F.col("split.state_code"))).otherwise(F.col("state")).alias("state"),
+    taken = records.where(present(F.col("place_id"))).groupBy(F.col("place_id").alias("_pid")).agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
+    own = records.select("id", F.struct("name", "place_id", "week", "rating", "cover", "industry", "categories", "address", "city").alias("old"))
+    renamed = results.select("id", F.struct(*[c for c in results.columns if c != "id"]).alias("new"))
+    key = F.lower(F.trim(F.regexp_replace("new.category", r"\s+", " ")))
+    both = renamed.join(own, "id", "left").join(taken, F.col("new.found_place_id") == F.col("_pid"), "left").withColumn("_key", key)
+    both = both.join(mapping.select(F.col("key").alias("_key"), F.struct("industry", "categories").alias("map")), "_key", "left")
+    both = both.withColumns({
+        "error": F.when(F.col("new.error") != "resolved_placeid_equals_building", F.col("new.error")), "note": F.when(F.col("new.error") == "resolved_placeid_equals_building", F.coalesce("new.place_note", F.lit("equals_building"))).otherwise(F.col("new.place_note")),
+        "named": compare_names(F.col("old.name"), F.col("new.found_name")), "parsed": hours.parse_hours_lines(F.col("new.hours_lines")), "split": address.split_formatted(F.trim("new.address")),
+    })
+
+    stop = F.when(F.col("old").isNull(), "business_not_found").when(present(F.col("error")), F.concat(F.lit("bot_error:"), "error")).when(~F.col("named.match"), "name_mismatch")
+    go = stop.isNull()
+    hours_status = F.when(F.col("parsed.kind") == "parsed", "done").when(F.col("parsed.kind") == "empty", "no_hours_captured").when(F.col("parsed.kind") == "shape", "hours_shape").otherwise("hours_no_days_parsed")
+    read = go & (hours_status == "done")
+    week = hours.overlay_week(F.col("parsed.days"), F.col("old.week"), hours.office_week() if default_week is None else default_week)
+
+    valid = valid_place_id(F.col("new.found_place_id"))
+    place_status = F.when(valid, "done").when(F.col("note") == "equals_building", "equals_building").otherwise("not_found")
+    collides = F.col("_pid").isNotNull() & ((F.col("_low") != F.col("id")) | (F.col("_high") != F.col("id")))
+    place_action = F.when(~valid, None).when(F.col("new.found_place_id").eqNullSafe(F.col("old.place_id")), "unchanged").when(sure(collides), "collision").when(hours_status == "done", "corrected").otherwise("pending")
+    moved = go & (place_action == "corrected")
+
+    rated = go & sure(~F.isnan("new.rating") & (F.abs("new.rating") < float("inf")))
+    cover_status = F.when(sure(F.col("new.cover_url").startswith("http")), F.when(present(F.col("old.cover")), "skipped").otherwise("pending"))
+    category_status = F.when(~present(F.trim("new.category")) | F.col("new.category").isNull(), "no_category").when(F.col("map").isNull(), "unmapped").otherwise("correct")
+    differs = ~F.col("map.industry").eqNullSafe(F.col("old.industry")) | ~F.array_sort("map.categories").eqNullSafe(F.array_sort(F.coalesce("old.categories", F.array().cast("array<string>"))))
+    applied = go & (category_status == "correct") & differs
+    line_ok = address.valid_street(F.col("split.street"))
+    address_status = F.when(~present(F.trim("new.address")) | F.col("new.address").isNull(), None).when(F.lit(not writes_address), "skipped").when(F.col("split").isNull() | ~line_ok, "rejected").when(address.valid_street(F.col("old.address")), "kept").otherwise("written")
+    wrote = go & sure(address_status == "written")
+
+    own_status = lambda c: F.when(go, c).otherwise(F.concat(F.lit("review:"), stop))
+    pick = lambda when, new, old: F.when(sure(when), new).otherwise(F.col(f"old.{old}")).alias(old)
+    return both.select(
+        "id", F.when(read, "done").otherwise("review").alias("status"), F.coalesce(stop, F.when(hours_status != "done", F.concat(F.lit("review:"), hours_status))).alias("reason"), own_status(hours_status).alias("hours_status"), own_status(place_status).alias("place_status"),
+        F.when(go, place_action).alias("place_action"), F.when(go, cover_status).alias("cover_status"), F.when(go, category_status).alias("category_status"), F.when(go, address_status).alias("address_status"),
+        fired(("week", read), ("place_id", moved), ("rating", rated), ("pending_cover", go & sure(cover_status == "pending")), ("taxonomy", applied), ("address", wrote)).alias("wrote"),
+        pick(read, week, "week"), pick(moved, F.col("new.found_place_id"), "place_id"), pick(rated, F.col("new.rating"), "rating"), F.when(go & (cover_status == "pending"), F.col("new.cover_url")).alias("pending_cover"),
+        pick(applied, F.col("map.industry"), "industry"), pick(applied, F.col("map.categories"), "categories"), pick(wrote, F.col("split.street"), "address"), pick(wrote & present(F.col("split.city")), F.col("split.city"), "city"),
     )
-    return out
 
 
 def may_overwrite_email(source: Column, stored: Column) -> Column:
-    """Whether a scraped address may replace the stored one: none is stored, or a scrape or a guess put it there."""
-    return ~present(stored) | source.isNull() | source.isin("website_scrape", "derived", "placeholder")
+    """Whether a scraped address may replace the stored one: there is none, or a scrape put it there."""
+    return F.coalesce(F.trim(stored), F.lit("")).eqNullSafe(F.lit("")) | source.eqNullSafe(F.lit("website_scrape"))

@@ -51,10 +51,11 @@ def priority_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gated(spark, sf_dir).groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{_BIZ} select id, name, city from biz where (coalesce(is_seeded, false) or coalesce(is_cvb, false) or coalesce(is_crawler, false)) and contains(lower(name), '1') and city in ('GERMANY', 'FRANCE', 'CHINA', 'INDIA', 'JAPAN') and place_id <> '' and is_deleted is distinct from true order by name, id limit 20 offset 20")
+@query(f"{_BIZ} select id, name, city from biz where (coalesce(is_seeded, false) or coalesce(is_cvb, false) or coalesce(is_crawler, false)) and contains(lower(name), '1') and state in (select r_name from region where r_regionkey in (1, 2, 3)) and place_id <> '' and is_deleted is distinct from true order by name, id limit 5 offset 5")
 def filter_builder_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = filters.Search(q="1", q_columns=("name",), among={"city": ["GERMANY", "FRANCE", "CHINA", "INDIA", "JAPAN"]}, has={"place_id": True}, flags={"is_deleted": False}, only_cohort=True)
-    rows, _ = ranking.page(filters.search(biz(spark, sf_dir), s), [F.col("name"), F.col("id")], ranking.Page(2, 20))
+    wanted = [r[0] for r in table(spark, sf_dir, "region").where("r_regionkey in (1, 2, 3)").select("r_name").collect()]
+    s = filters.Search(q="1", q_columns=("name",), among={"state": wanted}, has={"place_id": True}, flags={"is_deleted": False}, only_cohort=True)
+    rows, _ = ranking.page(filters.search(biz(spark, sf_dir), s), [F.col("name"), F.col("id")], ranking.Page(2, 5))
     return rows.select("id", "name", "city")
 
 
@@ -216,14 +217,23 @@ def row_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("changed_fields", joined("changed_fields"))
 
 
-@query(f"{_BIZ} select id, case when address = '5 Oak Ave, Raleigh, NC 27614, USA' then case when lower(city) = 'raleigh' then 'match' else 'mismatch' end else 'fewer_than_2_segments' end outcome, case when address = '5 Oak Ave, Raleigh, NC 27614, USA' then 'Raleigh' end derived from biz")
+_LINES = f"""{_BIZ}, a as (select id, city, case id % 5 when 0 then id || ' Oak Ave, ' || case when id % 2 = 0 then city else 'Durham' end || ', NC 27' || lpad((id % 1000)::varchar, 3, '0') when 1 then 'Suite 4, ' || id || ' Elm St, ' || city || ', tx 78701-1234, USA' when 2 then id || ' Elm St' when 3 then 'x, ' || id || ', NC 27614' end line from biz),
+p as (select *, list_transform(string_split(regexp_replace(line, ', USA$', ''), ','), lambda x: trim(x)) s from a)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = "case id % 5 when 0 then id || ' Oak Ave, ' || case when id % 2 = 0 then city else 'Durham' end || ', NC 27' || lpad(cast(id % 1000 as string), 3, '0') when 1 then 'Suite 4, ' || id || ' Elm St, ' || city || ', tx 78701-1234, USA' when 2 then id || ' Elm St' when 3 then 'x, ' || id || ', NC 27614' end"
+    return biz(spark, sf_dir).withColumn("address", F.expr(line))
+
+
+@query(f"{_LINES} select id, case when line is null then 'empty_address' when len(s) < 2 then 'fewer_than_2_segments' when not regexp_full_match(s[-1], '[A-Za-z]{{2}}\\s+\\d{{5}}(-\\d{{4}})?') then 'no_state_zip_segment' when regexp_full_match(s[-2], '\\d+') then 'numeric_derived' when lower(s[-2]) = lower(city) then 'match' else 'mismatch' end outcome, case when len(s) >= 2 and regexp_full_match(s[-1], '[A-Za-z]{{2}}\\s+\\d{{5}}(-\\d{{4}})?') and not regexp_full_match(s[-2], '\\d+') then s[-2] end derived from p")
 def city_resync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.resync_city(biz(spark, sf_dir)).select("id", "outcome", "derived")
+    return repair.resync_city(_lines(spark, sf_dir)).select("id", "outcome", "derived")
 
 
-@query(f"{_BIZ} select id, case when address like '5 Oak%' then 'split' when address in ('The Opera House', 'www.example.com') then 'unsplittable' when address like '+1%' then 'unsplittable' else 'not_needed' end outcome, case when address like '5 Oak%' then '5 Oak Ave' end new_street from biz")
+@query(f"{_LINES} select id, case when line is null or len(s) < 2 then 'not_needed' when len(s) >= 3 then 'split' else 'unsplittable' end outcome, case when len(s) >= 3 then array_to_string(s[1:len(s) - 2], ', ') end new_street, coalesce(len(s) >= 3 and lower(s[-2]) <> lower(city), false) city_differs from p")
 def street_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.split_street(biz(spark, sf_dir).withColumn("formatted", F.lit(None).cast("string"))).select("id", "outcome", "new_street")
+    return repair.split_street(_lines(spark, sf_dir).withColumn("formatted", F.lit(None).cast("string"))).select("id", "outcome", "new_street", "city_differs")
 
 
 @query(f"{_BIZ} select id, place_id <> '' and place_id is not null recoverable from biz where cover like '%/Defaults/%'")
@@ -287,11 +297,12 @@ def promotion_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return promotion.resolve_conflicts(rows, rows.where("id % 3 = 0"), rows.where("id % 2 = 0").select("id", F.lit("overwrite").alias("choice"))).select("id", "action")
 
 
-@query("with i as (select substr(sha256(n_name), 1, 24) new_id, n_nationkey old_id from nation) select c_custkey, i.new_id nation_ref from customer join i on old_id = c_nationkey")
+@query("with i as (select substr(sha256(n_name), 1, 24) new_id, n_nationkey old_id from nation where n_nationkey % 4 <> 3) select i.new_id as id, n_name, j.new_id as twin, k.new_id as region_head from nation n join i on i.old_id = n.n_nationkey left join i j on j.old_id = (n.n_nationkey + 5) % 25 left join i k on k.old_id = n.n_regionkey")
 def remap_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("old_id"), F.substring(F.sha2("n_name", 256), 1, 24).alias("new_id"))
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey"), F.col("c_nationkey").alias("id"))
-    return matching.remap_tree(rows, ids, [], key="id").withColumnRenamed("id", "nation_ref")
+    nation = table(spark, sf_dir, "nation")
+    ids = nation.where("n_nationkey % 4 <> 3").select(F.col("n_nationkey").alias("old_id"), F.substring(F.sha2("n_name", 256), 1, 24).alias("new_id"))
+    rows = nation.selectExpr("n_nationkey id", "n_name", "(n_nationkey + 5) % 25 twin", "n_regionkey region_head")
+    return matching.remap_tree(rows, ids, ["twin", "region_head"])
 
 
 @query("select s_suppkey, n_name parent_name from supplier left join nation on n_nationkey = s_nationkey and n_regionkey <> 1")
@@ -333,7 +344,9 @@ def capped_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
     new = old.where("c_custkey % 4 = 0").withColumn("c_acctbal", F.lit(-1.0))
-    return sinks.upsert(old, new.unionByName(new.withColumn("c_custkey", F.col("c_custkey") + 1000000)), ["c_custkey"])
+    # An earlier write of the same keys comes after them, with a greater balance and a lower place in the order of writes.
+    later, early = new.unionByName(new.withColumn("c_custkey", F.col("c_custkey") + 1000000)).withColumn("at", F.lit(2)), new.withColumns({"c_acctbal": F.lit(99.0), "at": F.lit(1)})
+    return sinks.upsert(old, later.unionByName(early), ["c_custkey"], order="at")
 
 
 @query("select c_custkey, is_deleted from (select c_custkey, c_custkey % 6 = 0 is_deleted from customer) where c_custkey % 10 <> 1")

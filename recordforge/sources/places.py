@@ -25,14 +25,19 @@ def scan_places(spark: SparkSession, path: str, south: float, north: float, west
 
     Rows without a name or a finite point are dropped.
     """
+    return places_of(spark.read.parquet(path), south, north, west, east)
+
+
+def places_of(rows: DataFrame, south: float, north: float, west: float, east: float) -> DataFrame:
+    """Flat places from nested ones inside a box; without a name or a finite point a row is dropped."""
     check_box(south, north, west, east)
-    rows = spark.read.parquet(path).where(F.col("bbox.xmin").between(west, east) & F.col("bbox.ymin").between(south, north))
     first = F.try_element_at("addresses", F.lit(1))
-    out = rows.select(
+    out = rows.where(F.col("bbox.xmin").between(west, east) & F.col("bbox.ymin").between(south, north)).select(
         F.col("id").alias("source_id"), F.col("names.primary").alias("name"), F.col("categories.primary").alias("category"), F.col("confidence"), F.col("bbox.ymin").alias("lat"), F.col("bbox.xmin").alias("lng"),
         first["freeform"].alias("address"), first["locality"].alias("city"), first["region"].alias("state"), first["postcode"].alias("postal_code"), first["country"].alias("country"),
     )
-    return out.where(present(F.col("name")) & ~F.isnan("lat") & ~F.isnan("lng"))
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return out.where(present(F.col("name")) & finite("lat") & finite("lng"))
 
 
 def read_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -56,11 +61,58 @@ def email_object(text: Column) -> Column:
 
 
 def read_place_list(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV place list with ``place_id``: of an id column, else of a URL, else the first cell that looks like one."""
-    rows = spark.read.option("header", True).csv(path)
+    """A place list, CSV or XLSX, with ``place_id``: of an id column, else of a URL, else the first cell that looks like one."""
+    rows = read_sheet(spark, path) if path.lower().endswith(".xlsx") else spark.read.option("header", True).csv(path)
+    return with_place_id(rows)
+
+
+def with_place_id(rows: DataFrame) -> DataFrame:
     cells = [F.col(f"`{c}`") for c in rows.columns]
     named = [F.col(f"`{c}`") for c in ID_NAMES if c in rows.columns]
     looks = lambda c: F.when(c.rlike("^ChIJ[A-Za-z0-9_-]+$"), c)
     in_url = lambda c: F.nullif(F.regexp_extract(c, r"place_id[=:/](ChIJ[A-Za-z0-9_-]+)", 1), F.lit(""))
     found = F.coalesce(*map(looks, named), *map(in_url, cells), *map(looks, cells))
     return rows.select(*[c for c in rows.columns if c != "place_id"], found.alias("place_id"))
+
+
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def _sheet_rows(data: bytes) -> list[list[str | None]]:
+    """The cells of a workbook's first sheet as text."""
+    import zipfile
+    from io import BytesIO
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(BytesIO(data)) as book:
+        names = sorted(n for n in book.namelist() if n.startswith("xl/worksheets/sheet"))
+        shared = [] if "xl/sharedStrings.xml" not in book.namelist() else ["".join(t.text or "" for t in s.iter(f"{_SHEET}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
+        out = []
+        for row in ElementTree.fromstring(book.read(names[0])).iter(f"{_SHEET}row") if names else ():
+            cells: list[str | None] = []
+            for cell in row.iter(f"{_SHEET}c"):
+                column = 0
+                for letter in (x for x in cell.get("r", "") if x.isalpha()):
+                    column = 26 * column + ord(letter) - 64
+                cells += [None] * (max(column, len(cells) + 1) - len(cells))
+                value = cell.find(f"{_SHEET}v")
+                said = "".join(t.text or "" for t in cell.iter(f"{_SHEET}t")) if cell.get("t") == "inlineStr" else None if value is None else value.text
+                cells[-1] = shared[int(said)] if cell.get("t") == "s" and said is not None else said
+            out.append(cells)
+    return out
+
+
+def read_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of XLSX files as text columns, named by the first file's first row. A workbook is one task's: it is a list of places, not a table of data."""
+    books = spark.read.format("binaryFile").load(path).orderBy("path")
+    first = books.limit(1).select("content").first()
+    header = [h or f"column_{k}" for k, h in enumerate(_sheet_rows(bytes(first[0]))[0])] if first else []
+
+    def rows(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for data in batch["content"]:
+                yield pd.DataFrame([(r + [None] * len(header))[: len(header)] for r in _sheet_rows(bytes(data))[1:]], columns=header, dtype="object")
+
+    return books.select("content").mapInPandas(rows, ", ".join(f"`{h}` string" for h in header))

@@ -14,9 +14,15 @@ def split_valid(rows: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
     return rows.where(good), rows.where(~good)
 
 
-def upsert(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows replace those of their key; of several new rows of a key the last by all its columns counts."""
-    last = new.groupBy(*keys).agg(F.max(F.struct(*[c for c in new.columns if c not in keys])).alias("_r")).select(*keys, "_r.*").select(*table.columns)
+def upsert(table: DataFrame, new: DataFrame, keys: list[str], *, order: str | None = None) -> DataFrame:
+    """New rows replace those of their key.
+
+    Of several new rows of a key the last written counts: the one with the greatest ``order``, a time or number of the
+    write. Equal ones, and all where no order is given, are told apart by their columns, so that the result doesn't
+    depend on how rows are dealt. A row with a null key replaces nothing and is added.
+    """
+    columns = F.struct(*table.columns)
+    last = new.groupBy(*keys).agg(F.max_by(columns, F.struct(F.col(order) if order else F.lit(0), columns)).alias("_r")).select("_r.*")
     return table.join(last.select(*keys), keys, "left_anti").select(*table.columns).unionByName(last)
 
 
@@ -55,6 +61,20 @@ def seed_if_empty(table: DataFrame, seed: DataFrame) -> DataFrame:
     return seed if table.isEmpty() else seed.limit(0)
 
 
+def replace_columns(table: DataFrame, computed: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
+    """A table whose columns are those computed anew for the same key, with ``is_changed``; rows without a computed one stay.
+
+    The computed rows are one plan that a table format merges or overwrites at once; there are no batches of updates.
+    """
+    new = computed.select(key, *(F.col(c).alias(f"_{c}") for c in columns), F.lit(True).alias("_hit"))
+    both = table.join(new, key, "left")
+    hit = F.coalesce("_hit", F.lit(False))
+    changed = F.lit(False)
+    for c in columns:
+        changed = changed | ~F.col(f"_{c}").eqNullSafe(F.col(c))
+    return both.withColumn("is_changed", hit & changed).withColumns({c: F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)) for c in columns}).select(*table.columns, "is_changed")
+
+
 def retain(log: DataFrame, most: int, at: str = "at") -> DataFrame:
     """A log's newest ``most`` rows."""
     return log.orderBy(F.desc(at), F.desc("id")).limit(most)
