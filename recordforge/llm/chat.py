@@ -101,7 +101,7 @@ def format_chats(turns: DataFrame, tools: dict[str, dict], *, conv_col: str = "c
 
     A null or empty text, or one that isn't such a JSON object, is plain text; null content is JSON null. Rows with a null
     conversation or turn are plain. Repeated rows stay repeated: their calls count as duplicates. An empty table gives
-    an empty result. Other columns are ignored. No conversation is gathered in one task: links are hash joins on
+    an empty result. A very long text is parsed and serialised whole. Other columns are ignored. No conversation is gathered in one task: links are hash joins on
     conversation and call.
     """
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))

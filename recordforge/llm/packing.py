@@ -58,7 +58,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, *, end_id: int | None = 2, capac
     """The token pieces of each document: (id, piece, start, length, ids_crc32[, ids]).
 
     A document's ids are its text's and then ``end_id``. One of more than ``capacity`` is cut into pieces of that length,
-    of which the first may be shorter.
+    of which the first may be shorter. A null text is empty; repeated rows are cut each; a very long text is encoded whole,
+    in memory that grows with its length; an empty table gives no pieces.
     """
     spark = docs.sparkSession
     name, data = read_tokenizer(tokenizer)
@@ -233,7 +234,9 @@ def _layout_task(capacity: int, level: int, last: bool):
 def pack_items(items: DataFrame, *, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """Pack (item, length) rows, unique items of length 1 to ``capacity``, into few bins: (item, sequence_id, offset).
 
-    Full items get a bin of their own. The others are dealt by a hash of the item, so that no block depends on lengths.
+    Full items get a bin of their own. The others are dealt by a hash of the item, so that no block depends on lengths, and
+    a block holds about ``block`` of them, however many items there are. Equal lengths are told apart by their items. An
+    empty table gives an empty result. Items with a null or a length out of range must not be given.
     """
     parts = [items.where(F.col("length") == capacity).select("item", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rest = items.where(F.col("length") < capacity).select("item", "length")
@@ -267,8 +270,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, end_id: int | None = 2, c
     ``ids``.
 
     A null text is empty; a document's only id is then ``end_id``, and with neither text nor ``end_id`` it has no piece.
-    Rows that share an id are packed as documents of their own. An empty table gives an empty result. Other columns are
-    ignored.
+    Rows that share an id are packed as documents of their own. A very long text is encoded whole and then cut. An empty
+    table gives an empty result. Other columns are ignored.
     """
     cut = cut_pieces(docs, tokenizer, end_id=end_id, capacity=capacity, with_ids=with_ids, id_col=id_col, text_col=text_col)
     pieces = written(cut.withColumn("item", F.monotonically_increasing_id()), "pieces")

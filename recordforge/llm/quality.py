@@ -169,7 +169,8 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     or over 30 % of words inside repeated 8-word runs), ``quality`` and ``kept``.
 
     A null or empty text has no words: it fails the base rules. Repeated rows are judged alike. Ratios of a text without
-    words, lines or letters make their rules abstain. An empty table gives an empty result. Other columns are ignored.
+    words, lines or letters make their rules abstain. A very long text is handled alone and whole, in time and memory that
+    grow with its length. An empty table gives an empty result. Other columns are ignored.
     """
     features = written(quality_features(docs, id_col=id_col, text_col=text_col), "quality")
     return score_quality(features, fit_quality(features), threshold=threshold).withColumnRenamed("id", id_col)
@@ -178,7 +179,8 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
 
-    The counts are made a second time beside the rows instead of joining on ids, which may repeat or be null.
+    The counts are made a second time beside the rows instead of joining on ids, which may repeat or be null. A null or
+    empty text goes; repeated rows stay or go together; an empty table stays empty.
     """
     model = fit_quality(quality_features(docs, id_col=id_col, text_col=text_col))
     schema = docs.schema
