@@ -22,6 +22,10 @@ STREET_WORDS = (
 )
 UNIT_WORDS = "suite|ste|unit|apt|apartment|#|fl|floor|room|rm"
 COUNTRY_END = r"(?i),\s*(USA|United States(?: of America)?)\s*$"
+#: What a map code in front, a ZIP at the end and a state with or without ZIP look like.
+MAP_CODE = r"^[A-Z0-9]{4,}\+[A-Z0-9]{2,}\s+"
+ZIP_END = r"\b(\d{5}(?:-\d{4})?)\b\s*$"
+STATE_ZIP = r"^([A-Z]{2}|[A-Za-z][A-Za-z\s]+?)\s+(\d{5}(?:-\d{4})?)$"
 _STREET = rf"(?i)\b(?:{STREET_WORDS})\b"
 
 
@@ -133,7 +137,7 @@ def parse_address(c: Column) -> Column:
     last part's tail from such a word on, are the unit.
     """
     raw = F.coalesce(c, F.lit(""))
-    plain = F.trim(F.regexp_replace(raw, r"^[A-Z0-9]{4,}\+[A-Z0-9]{2,}\s+", ""))
+    plain = F.trim(F.regexp_replace(raw, MAP_CODE, ""))
     empty = F.struct(raw.alias("street"), *(F.lit("").alias(x) for x in ("unit", "city", "state_code", "postal_code", "country")))
     return F.when(F.trim(raw) == "", empty).otherwise(let(plain, lambda t: let(_ends(t), lambda e: let(_places(e), lambda p: let(_lines(p), lambda s: _address(raw, e, p, s))))))
 
@@ -144,15 +148,11 @@ def _chopped(t: Column) -> Column:
 
 def _ends(t: Column) -> Column:
     """struct(work, postal, country) with ZIP and country taken off the end."""
-    zip_end = r"\b(\d{5}(?:-\d{4})?)\b\s*$"
-    postal = F.struct(F.regexp_extract(t, zip_end, 1).alias("postal"), F.when(t.rlike(zip_end), _chopped(F.regexp_replace(t, zip_end, ""))).otherwise(t).alias("work"))
+    postal = F.struct(F.regexp_extract(t, ZIP_END, 1).alias("postal"), F.when(t.rlike(ZIP_END), _chopped(F.regexp_replace(t, ZIP_END, ""))).otherwise(t).alias("work"))
     country = lambda x: F.when(x["work"].rlike(COUNTRY_END), F.struct(_chopped(F.regexp_replace(x["work"], COUNTRY_END, "")).alias("work"), x["postal"].alias("postal"), F.lit("United States").alias("country"))).otherwise(F.struct(x["work"].alias("work"), x["postal"].alias("postal"), F.lit("").alias("country")))
     return let(postal, country)
 
 
-_STATE_ZIP = r"^([A-Z]{2}|[A-Za-z][A-Za-z\s]+?)\s+(\d{5}(?:-\d{4})?)$"
-
-
 def _drop_last(a: Column, n: int = 1) -> Column:
     return F.slice(a, 1, F.greatest(F.size(a) - n, F.lit(0)))
 
@@ -162,7 +162,7 @@ def _places(e: Column) -> Column:
 
     def cut(parts: Column) -> Column:
         last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
-        found = F.when(last.rlike(_STATE_ZIP), F.struct(F.lit(True).alias("hit"), state_code(F.regexp_extract(last, _STATE_ZIP, 1)).alias("code"), F.regexp_extract(last, _STATE_ZIP, 2).alias("zip"))).otherwise(F.struct(state_code(last).isNotNull().alias("hit"), state_code(last).alias("code"), F.lit("").alias("zip")))
+        found = F.when(last.rlike(STATE_ZIP), F.struct(F.lit(True).alias("hit"), state_code(F.regexp_extract(last, STATE_ZIP, 1)).alias("code"), F.regexp_extract(last, STATE_ZIP, 2).alias("zip"))).otherwise(F.struct(state_code(last).isNotNull().alias("hit"), state_code(last).alias("code"), F.lit("").alias("zip")))
         return let(found, lambda f: F.struct(F.when(f["hit"], _drop_last(parts)).otherwise(parts).alias("rest"), F.coalesce(f["code"], F.lit("")).alias("code"), f["zip"].alias("zip")))
 
     return let(segments(e["work"]), cut)

@@ -10,6 +10,7 @@ from recordforge.functions.geo import in_us
 
 #: Calling codes by country.
 CALLING_CODES = {"united states": "+1", "united states of america": "+1", "usa": "+1", "canada": "+1", "india": "+91", "united kingdom": "+44", "uk": "+44", "australia": "+61", "mexico": "+52"}
+#: Patterns of a phone's code, of valid sites and addresses, of ids in map URLs, and of image hosts, here and below.
 _CODE = r"^(\+\d{1,3})[\s\-.]"
 
 

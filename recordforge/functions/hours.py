@@ -77,6 +77,13 @@ def _plain(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, "[–—‒−]", "-"), r"(?U)\s+", " "))
 
 
+#: Live status that stands beside hours, in the order in which it is taken out.
+STATUS = (
+    r"\bopen(?:s)?\s+now\b", r"\bclos(?:ed|es|ing)\s+now\b", r"\bclos(?:es|ing)\s+soon\b", r"\bopen(?:s|ing)?\s+soon\b",
+    r"\bopens?\s+(?:in|at)\s+\S+(?:\s*(?:am|pm))?", r"\bclos(?:es|ing)\s+(?:in|at)\s+\S+(?:\s*(?:am|pm))?", r"\breopens?\s+(?:in|at)\s+\S+(?:\s*(?:am|pm))?",
+)
+
+
 def parse_day_text(c: Column) -> Column:
     """The strict form: a day from what follows its name, or null if any part isn't understood.
 
@@ -85,7 +92,7 @@ def parse_day_text(c: Column) -> Column:
     """
     t = F.trim(F.lower(_plain(F.coalesce(c, F.lit("")))))
     t = F.regexp_replace(t, r"\s*hours might (?:differ|vary)\b.*$", "")
-    for status in (r"\bopens?\s+now\b", r"\bclos(?:ed|es|ing)\s+now\b", r"\bclos(?:es|ing)\s+soon\b", r"\bopen(?:s|ing)?\s+soon\b", r"\b(?:opens?|clos(?:es|ing)|reopens?)\s+(?:in|at)\s+\S+(?:\s*(?:am|pm))?"):
+    for status in STATUS:
         t = F.regexp_replace(t, status, " ")
     t = F.regexp_replace(_plain(F.regexp_replace(t, r"\s*,?\s*\bcopy open hours\b\s*,?\s*", " ")), r"^[\s,]+|[\s,]+$", "")
     return let(t, lambda x: F.when(x == "closed", closed_day()).when(x.startswith("open 24") | (x == "24 hours"), all_day()).when(~x.rlike(r"[,(;]|holiday"), let(F.regexp_replace(x, r"(am|pm)(?=\d)", "$1 "), _strict_ranges)))

@@ -470,3 +470,31 @@ def created_unless_there(spark: SparkSession, sf_dir: str) -> DataFrame:
     least = rows.withColumn("n", F.upper(F.trim("k"))).groupBy("n").agg(F.min("c_custkey").alias("c_custkey")).join(made.select("n"), "n", "left_semi").select("c_custkey")
     left = sinks.not_yet(rows.select("c_custkey"), rows.where("c_custkey % 3 <> 2"), ["c_custkey"])
     return sinks.seed_if_empty(rows.limit(0).select("c_custkey"), left).unionByName(least).unionByName(sinks.seed_if_empty(rows.select("c_custkey"), left))
+
+
+# ---- functions over whole tables
+
+@query(r"select c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) form, array_to_string(list_filter(string_split(trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w not in ('the', 'a', 'an', 'and', 'co', 'inc')), ' ') dedup, round(1 - levenshtein(trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')), 'customer 000000001') / greatest(length(c_name), 18)::double, 9) alike, false junk from customer")
+def customer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c_name")
+    return table(spark, sf_dir, "customer").select("c_custkey", names.promotion_form(c).alias("form"), names.dedup_form(c).alias("dedup"), F.round(names.similarity(names.promotion_form(c), F.lit("customer 000000001")), 9).alias("alike"), (names.test_name(c) | names.generic_name(c)).alias("junk"))
+
+
+@query(r"with w as (select p_partkey, string_split(trim(regexp_replace(p_name, '\s+', ' ', 'g')), ' ') w from part) select p_partkey, array_to_string(list_transform(w, lambda x, i: case when i > 1 and lower(x) in ('of', 'the', 'and', 'at', 'in', 'on', 'for', 'de', 'la', 'del', 'du', 'van', 'von') then lower(x) else upper(x[1]) || lower(x[2:]) end), ' ') title from w")
+def part_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", text.title_case(F.col("p_name")).alias("title"))
+
+
+@query(r"select doc_id, try_cast(replace(regexp_extract(text, '(\d[\d,]*)', 1), ',', '') as bigint) first_number, try_cast(regexp_extract(text, '^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)', 1) as double) prefix, coalesce(try_cast(regexp_extract(replace(text, ',', ''), '^\s*([+-]?\d+)', 1) as bigint), 0) count_prefix from documents")
+def document_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.first_integer(c).alias("first_number"), text.number_prefix(c).alias("prefix"), text.count_prefix(c).alias("count_prefix"))
+
+
+@query(r"""with w as (select p_partkey, list_filter(string_split(lower(p_type), ' '), lambda x: length(x) > 2)[1:2] k, list_filter(regexp_split_to_array(regexp_replace(lower(p_name), '[^a-z0-9\s-]', '', 'g'), '\s+'), lambda x: length(x) > 2 and x not in ('the', 'and', 'for', 'its'))[1:2] n, list_filter(regexp_split_to_array(regexp_replace(lower(p_brand || ' with ' || p_name), '[^a-z0-9\s-]', '', 'g'), '\s+'), lambda x: length(x) > 3 and x not in ('this', 'that', 'with', 'from', 'have', 'been', 'were', 'your', 'they', 'will', 'about', 'their'))[1:2] d from part),
+t as (select p_partkey, ['size-' || p_partkey % 10] || k || n || d a from w)
+select p_partkey, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i)[1:6], ',') tags from t""")
+def part_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    address = F.concat(F.lit("1 Main St,  Size "), (F.col("p_partkey") % 10).cast("string"), F.lit(" , NC 27614"))
+    tags = text.make_tags(F.col("p_name"), F.col("p_type"), F.substring_index(address, ",", -2), F.concat("p_brand", F.lit(" with "), "p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", joined(tags).alias("tags"))
