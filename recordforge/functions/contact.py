@@ -14,6 +14,25 @@ CALLING_CODES = {"united states": "+1", "united states of america": "+1", "usa":
 _CODE = r"^(\+\d{1,3})[\s\-.]"
 
 
+#: Dialling codes of the countries that addresses name, and the box (south, north, west, east) of the one that a point alone may name.
+DIAL_CODES = {
+    "united states": "+1", "united states of america": "+1", "usa": "+1", "u.s.a.": "+1", "us": "+1", "india": "+91", "bharat": "+91", "canada": "+1", "united kingdom": "+44", "uk": "+44", "great britain": "+44",
+    "australia": "+61", "ireland": "+353", "new zealand": "+64", "singapore": "+65", "united arab emirates": "+971", "uae": "+971",
+}
+COUNTRY_BOXES = {"India": (6, 36, 68, 98)}
+
+
+def dial_code(country: Column) -> Column:
+    """The dialling code of a country's name, or null: a country that isn't listed is never guessed."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in DIAL_CODES.items() for x in pair)), F.lower(F.trim(country)))
+
+
+def country_at(lat: Column, lng: Column) -> Column:
+    """The country whose box holds a finite point, or null."""
+    inside = lambda b: F.coalesce(lat.between(b[0], b[1]) & lng.between(b[2], b[3]), F.lit(False))
+    return F.coalesce(*(F.when(inside(b), name) for name, b in COUNTRY_BOXES.items()))
+
+
 def parse_phone(c: Column) -> Column:
     """struct(country_code, phone): a code counts only if a separator follows it; the rest is digits."""
     t = F.trim(F.coalesce(c, F.lit("")))

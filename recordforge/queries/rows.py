@@ -498,3 +498,11 @@ def part_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     address = F.concat(F.lit("1 Main St,  Size "), (F.col("p_partkey") % 10).cast("string"), F.lit(" , NC 27614"))
     tags = text.make_tags(F.col("p_name"), F.col("p_type"), F.substring_index(address, ",", -2), F.concat("p_brand", F.lit(" with "), "p_name"))
     return table(spark, sf_dir, "part").select("p_partkey", joined(tags).alias("tags"))
+
+
+@query(f"{_BIZ}, c as (select id, case id % 6 when 0 then ' USA ' when 1 then 'Bharat' when 2 then 'France' when 3 then '' when 4 then null else 'UAE' end country, lat, lng + 130 as east from biz) select id, case id % 6 when 0 then '+1' when 1 then '+91' when 5 then '+971' end code, case when lat between 6 and 36 and east between 68 and 98 then 'India' end as at, case when coalesce(trim(country), '') = '' and lat between 6 and 36 and east between 68 and 98 then '+91' when id % 6 = 0 then '+1' when id % 6 = 1 then '+91' when id % 6 = 5 then '+971' end inferred from c")
+def country_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = biz(spark, sf_dir).select("id", F.expr("case id % 6 when 0 then ' USA ' when 1 then 'Bharat' when 2 then 'France' when 3 then '' when 4 then null else 'UAE' end").alias("country"), "lat", (F.col("lng") + 130).alias("east"))
+    at = contact.country_at(F.col("lat"), F.col("east"))
+    named = F.coalesce(F.nullif(F.trim("country"), F.lit("")), at)
+    return rows.select("id", contact.dial_code(F.col("country")).alias("code"), at.alias("at"), contact.dial_code(named).alias("inferred"))
