@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordforge.functions.nulls import is_true, present
+from recordforge.operators.diffs import preview, unit_counts
 from recordforge.operators.gates import PROMOTION, Profile, evaluate, first_fail
 from recordforge.operators.matching import has_any_child, merge_parent, two_tier_match
 
@@ -57,3 +58,20 @@ def ready_to_apply(preview: DataFrame) -> DataFrame:
 
 def standalone(rows: DataFrame) -> DataFrame:
     return rows.where(~is_true(F.col("is_deleted")) & F.col("parent_id").isNull())
+
+
+def sync_plan(source: DataFrame, target: DataFrame, columns: list[str], outlets: DataFrame, wallets: DataFrame, markers: DataFrame, version: str, profile: Profile = PROMOTION) -> dict[str, DataFrame]:
+    """What a sync would write, by table: ``patches``, ``units``, ``wallets`` and ``markers``; nothing is written here.
+
+    Only source rows that pass the gate count, and of these none whose (id, version) is marked already. A patch has the
+    columns' new values and ``changed_fields``. Units are the counts of active outlets of synced rows; a wallet is made for
+    each that has none; each synced row is marked with the version.
+    """
+    passed = scope(source, profile).where("reason is null").select(*source.columns)
+    done = markers.where(F.col("version") == version).select("id")
+    seen = preview(passed, target, columns, done=done)
+    synced = seen.where(F.col("outcome").isin("patched", "unchanged")).select("id")
+    patches = passed.join(ready_to_apply(seen).select("id", "changed_fields"), "id").select("id", *columns, "changed_fields")
+    units = unit_counts(outlets.join(synced.select(F.col("id").alias("parent_id")), "parent_id", "left_semi"))
+    made = synced.join(wallets.select(F.col("owner_id").alias("id")), "id", "left_anti").select(F.col("id").alias("owner_id"), F.lit(0).alias("credits"), F.lit(100).alias("total_credits"), F.lit("active").alias("status"))
+    return {"patches": patches, "units": units, "wallets": made, "markers": synced.withColumn("version", F.lit(version))}

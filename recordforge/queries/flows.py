@@ -179,6 +179,22 @@ def sync_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return promotion.ready_to_apply(diffs.preview(source, target, ["city"], done=source.where("id % 8 = 0").select("id"))).select("id")
 
 
+@query(f"""{_BIZ}, f as (select *, case when id % 2 = 0 then 'P' || id when id % 7 > 0 then 'P' || id % 50 end p from biz where cover like '%media.example%' and cover not like '%/Defaults/%' and id % 11 <> 0), c as (select p, count(*) n from f where p is not null group by 1), g as (select f.* from f join c using (p) where c.n = 1 and id % 3 <> 0 and id % 10 <> 9)
+select 'patch' kind, id, 'city' detail from g where id % 5 = 4 union all select 'wallet', id, '' from g where id % 4 <> 0 union all select 'marker', id, 'v2' from g union all select 'unit', o_custkey, (count(*) filter (o_orderkey % 2 = 0))::varchar from orders where o_custkey in (select id from g) group by 2""")
+def sync_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = {"hours_status": F.lit("done"), "n_hours": F.lit(1), "n_categories": F.lit(1), "address": F.lit("77 Sunset Blvd"), "match": F.lit(None).cast("boolean"), "country": F.lit(""), "lat": F.lit(40.0), "lng": F.lit(-75.0), "n_outlets": F.lit(1), "place_id": F.expr("case when id % 2 = 0 then 'P' || id when id % 7 > 0 then 'P' || id % 50 end"), "is_active": F.col("id") % 11 != 0}
+    source = biz(spark, sf_dir).withColumns(good)
+    target = source.where("id % 10 <> 9").withColumn("city", F.expr("case when id % 5 = 4 then 'other' else city end"))
+    outlets = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("parent_id"), F.lit(True).alias("is_active"), F.lit(None).cast("boolean").alias("is_deleted"), F.when(F.col("o_orderkey") % 2 == 0, "physical").otherwise("mobile").alias("category"))
+    markers = source.select("id", F.when(F.col("id") % 3 == 0, "v2").otherwise("v1").alias("version"))
+    plan = promotion.sync_plan(source, target, ["city", "industry"], outlets, source.where("id % 4 = 0").select(F.col("id").alias("owner_id")), markers, "v2")
+    rows = [
+        plan["patches"].select(F.lit("patch").alias("kind"), "id", joined("changed_fields").alias("detail")), plan["wallets"].select(F.lit("wallet").alias("kind"), F.col("owner_id").alias("id"), F.lit("").alias("detail")),
+        plan["markers"].select(F.lit("marker").alias("kind"), "id", F.col("version").alias("detail")), plan["units"].select(F.lit("unit").alias("kind"), F.col("parent_id").alias("id"), F.col("physical").cast("string").alias("detail")),
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 @query("select o_custkey parent_id, count(*) filter (o_orderstatus = 'O' and o_orderkey % 3 <> 0 and o_orderkey % 2 = 0) physical, count(*) filter (o_orderstatus = 'O' and o_orderkey % 3 <> 0 and o_orderkey % 2 = 1) mobile from orders group by 1")
 def unit_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     outlets = table(spark, sf_dir, "orders").selectExpr("o_custkey parent_id", "case o_orderstatus when 'O' then true when 'F' then false end is_active", "case when o_orderkey % 3 = 0 then true when o_orderkey % 3 = 1 then null else false end is_deleted", "case when o_orderkey % 2 = 0 then 'physical' else 'mobile' end category")
