@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordforge.llm.store import drop, written
-from recordforge.llm.words import ALNUM, BASE, LOWER, U, Texts, chunks, mix, words
+from recordforge.llm.words import ALNUM, BASE, LOWER, U, Texts, chunks, mix, tidy, words
 
 #: Words in a test string; an item with fewer words is one test string.
 WINDOW = 10
@@ -217,7 +217,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
         last = k == len(parts) - 1
         schema = T.StructType([f for f in state.fields if not (last and f.name == "text")])
         shared = _shared(part, window)
-        out = out.mapInArrow(_task(shared, last, k > 0), schema)
+        out = out.mapInArrow(tidy(_task(shared, last, k > 0)), schema)
         if not last:
             out = _finished(out, shared, before)
     drop(pieces)
@@ -261,7 +261,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     pieces, parts = _blocks(benchmark, item_col, item_text_col, block_bytes, window)
     for k, part in enumerate(parts):
         shared = _shared(part, window)
-        out = out.mapInArrow(_clean_task(shared, text_col), docs.schema)
+        out = out.mapInArrow(tidy(_clean_task(shared, text_col)), docs.schema)
         if k < len(parts) - 1:
             out = _finished(out, shared, before)
     drop(pieces)

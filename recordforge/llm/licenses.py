@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordforge.llm.words import ALNUM, LOWER, chunks, words
+from recordforge.llm.words import ALNUM, LOWER, chunks, tidy, words
 
 _BSD_2 = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
@@ -259,5 +259,5 @@ def find_licenses(docs: DataFrame, *, templates: dict[str, tuple[str, ...]] | No
     in time that grows with its length. An empty table gives an empty result. Other columns are ignored. The templates are a parameter of fixed size, sent with the task.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(_task(TEMPLATES if templates is None else templates, coverage), f"id {rows.schema['id'].dataType.simpleString()}, n_words long, {_FOUND}")
+    out = rows.mapInArrow(tidy(_task(TEMPLATES if templates is None else templates, coverage)), f"id {rows.schema['id'].dataType.simpleString()}, n_words long, {_FOUND}")
     return out.withColumnRenamed("id", id_col)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from recordforge.llm.components import connected_components, root_of
 from recordforge.llm.store import drop, join_hot, written
-from recordforge.llm.words import LOWER, NOT_SPACE, U, chunks, mix, windows, words
+from recordforge.llm.words import LOWER, NOT_SPACE, U, chunks, mix, tidy, windows, words
 
 TREES = 16
 DEPTH = 6
@@ -385,7 +385,7 @@ def _missing_pairs(nodes: DataFrame, placed: DataFrame, shingle: int, threshold:
     counted = placed.select("text").mapInArrow(_count_task(shingle), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(1 << BUCKET_BITS, np.int32)
     total[counted.column("bucket").to_numpy()] = np.minimum(counted.column("n").to_numpy(), np.iinfo(np.int32).max)
-    rows = written(placed.mapInArrow(_prefix_task(shingle, threshold, spark.sparkContext.broadcast(total)), "shingle long, node long, part long, size long, place long"), "prefixes")
+    rows = written(placed.mapInArrow(tidy(_prefix_task(shingle, threshold, spark.sparkContext.broadcast(total))), "shingle long, node long, part long, size long, place long"), "prefixes")
     # Within a task a shingle's rows are one, so that a shingle of very many nodes crowds nothing.
     met = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q")
     met = written(met.select("shingle", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "met")
@@ -435,24 +435,24 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, e
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    sketches = written(rows.mapInArrow(_sketch_task(shingle), f"id {id_type}, digest long, n_shingles long, key binary, signature binary, parity binary"), "sketches")
+    sketches = written(rows.mapInArrow(tidy(_sketch_task(shingle)), f"id {id_type}, digest long, n_shingles long, key binary, signature binary, parity binary"), "sketches")
     nodes = written(sketches.where("key is not null").groupBy("key", "n_shingles", "signature", "parity").agg(F.min("id").alias("first_id"), F.coalesce(F.min_by("digest", "id"), F.min("digest")).alias("digest")).withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     trees = nodes.select("node", "n_shingles", "signature").mapInArrow(_tree_rows, "tree int, label binary, sketch binary, node long, n_shingles long")
     order = ("tree", "label", "sketch", "node")
     ordered = trees.repartitionByRange(*order).sortWithinPartitions(*order)
-    candidates = written(ordered.mapInArrow(_neighbours_task(threshold), "a long, b long, joins boolean").groupBy("a", "b").agg(F.max("joins").alias("joins")), "candidates")
+    candidates = written(ordered.mapInArrow(tidy(_neighbours_task(threshold)), "a long, b long, joins boolean").groupBy("a", "b").agg(F.max("joins").alias("joins")), "candidates")
     components = connected_components(candidates.where("joins"))
     classes = components.withColumnRenamed("component", "class")
 
     # One text for each node: the one of its first id.
     chosen = nodes.join(classes, "node", "left").select("node", "class", "key", F.substring("signature", 1, 4 * DEPTH).alias("label"), F.col("first_id").alias("id"), "digest")
     texts = written(
-        rows.join(chosen, (rows["digest"] == chosen["digest"]) & rows["id"].eqNullSafe(chosen["id"])).select("node", "class", "key", "label", "text").mapInArrow(_own_text(shingle), "node long, class long, label binary, text string"),
+        rows.join(chosen, (rows["digest"] == chosen["digest"]) & rows["id"].eqNullSafe(chosen["id"])).select("node", "class", "key", "label", "text").mapInArrow(tidy(_own_text(shingle)), "node long, class long, label binary, text string"),
         "texts",
     )
     walked = texts.where("class is not null").repartitionByRange("class", "label", "node").sortWithinPartitions("class", "label", "node").select("class", "node", "text")
-    links = written(walked.mapInArrow(_within_task(shingle, threshold), "a long, b long"), "links")
+    links = written(walked.mapInArrow(tidy(_within_task(shingle, threshold)), "a long, b long"), "links")
     parts = connected_components(links)
 
     spent = [candidates, components, texts]
@@ -460,7 +460,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 80, e
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = written(_possible(pairs, nodes, threshold), "pairs")
         spent.append(pairs)
-        found = _with_texts(pairs, texts).mapInArrow(_pairs_task(shingle, threshold), _PAIRS)
+        found = _with_texts(pairs, texts).mapInArrow(tidy(_pairs_task(shingle, threshold)), _PAIRS)
         # One link of two parts joins them as well as many.
         return written(found.groupBy("part_a", "part_b").agg(F.min(F.struct("a", "b")).alias("link")).select("link.*"), "links")
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from recordforge.llm.store import written
 from recordforge.llm.tokens import encoder, read_tokenizer, text_runs
+from recordforge.llm.words import tidy
 
 CAPACITY = 1024
 #: Items in a block, islands on a block, packings on an island, children in a round, rounds, levels.
@@ -66,7 +67,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, *, end_id: int | None = 2, capac
     shared = spark.sparkContext.broadcast((name, data, f"{name} {zlib.crc32(data)} {len(data)}".encode()))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return rows.mapInArrow(_piece_task(shared, end_id, capacity, with_ids), schema)
+    return rows.mapInArrow(tidy(_piece_task(shared, end_id, capacity, with_ids)), schema)
 
 
 class _Packing:

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from recordforge.llm.label_model import LabelModel, fit
 from recordforge.llm.store import written
+from recordforge.llm.words import tidy
 
 #: In the order that breaks ties.
 KINDS = ("email", "ip", "card", "phone")
@@ -192,7 +193,7 @@ def find_candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """One row for each row of ``docs``: its id as ``id``, and its candidate spans with the labelers' votes."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     spans = "candidates array<struct<kind:string,start:long,end:long,base:boolean,votes:array<int>>>"
-    return rows.mapInArrow(_scan, f"id {rows.schema['id'].dataType.simpleString()}, {spans}")
+    return rows.mapInArrow(tidy(_scan), f"id {rows.schema['id'].dataType.simpleString()}, {spans}")
 
 
 def fit_pii(candidates: DataFrame) -> PiiModel:
@@ -305,5 +306,5 @@ def redact_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             yield batch.set_column(batch.schema.get_field_index(text_col), pa.field(text_col, pa.string()), pa.array(texts, pa.string()))
 
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields])
-    out = docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    out = docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(tidy(run), schema)
     return out if length_col is None else out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from recordforge.llm.label_model import LabelModel, fit
 from recordforge.llm.store import written
-from recordforge.llm.words import BASE, LOWER, NOT_SPACE, SAME, Texts, U, chunks, mix, span_hashes, windows, words
+from recordforge.llm.words import BASE, LOWER, NOT_SPACE, SAME, Texts, U, chunks, mix, span_hashes, tidy, windows, words
 
 REPEAT_WORDS = 8
 #: Common function words of English, German, French and Spanish.
@@ -108,7 +108,7 @@ def _feature_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def quality_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts over each text: one row for each row of ``docs``, with its id as ``id``. A null text has 0 of all."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_feature_task, f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in FEATURES))
+    return rows.mapInArrow(tidy(_feature_task), f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in FEATURES))
 
 
 def _vote(bad: Column, good: Column | None = None) -> Column:
@@ -199,6 +199,6 @@ def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([*own.columns, part], names=[*own.schema.names, name])
 
     kind = ", ".join(f"{x} long" for x in FEATURES)
-    with_features = docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField(name, T.StructType.fromDDL(kind))]))
+    with_features = docs.mapInArrow(tidy(run), T.StructType([*schema.fields, T.StructField(name, T.StructType.fromDDL(kind))]))
     features = with_features.select(F.struct(*docs.columns).alias("row"), F.col(f"{name}.*"))
     return score_quality(features, model, threshold=threshold).where("kept").select("row.*")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from recordforge.llm.store import join_hot, written
 from recordforge.llm.tokens import encoder, read_tokenizer, text_runs
+from recordforge.llm.words import tidy
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 
@@ -61,7 +62,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, *, id_col: str = "
     texts = rows.select("id", "text", digest).alias("t").join(misses.alias("m").hint("shuffle_hash"), (F.col("t.digest") == F.col("m.digest")) & F.col("t.id").eqNullSafe(F.col("m.id"))).select("t.digest", "t.text")
     shared = spark.sparkContext.broadcast((name, data, tag.encode()))
     known = written(stored.join(keyed.select("digest").distinct(), "digest", "left_semi"), "known")
-    fresh = written(texts.mapInArrow(_count_task(shared), "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
+    fresh = written(texts.mapInArrow(tidy(_count_task(shared)), "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     fresh.select(F.lit(tag).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
 
     # Copies of one text can be most rows.

@@ -7,8 +7,9 @@ words have equal hashes and no pattern of repeated bytes makes different words a
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -89,6 +90,21 @@ def equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: n
     return out
 
 
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(task: Task) -> Task:
+    """The task, after which the worker hands its free memory back: workers stay alive, and share an executor's memory with other stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 @dataclass
 class Texts:
     """Some consecutive rows of a batch: text i is data[offsets[i]:offsets[i + 1]]; valid says which aren't null."""
