@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recordforge.llm.chat import format_chats
 from recordforge.llm.decontamination import contamination_report, find_contamination
 from recordforge.llm.licenses import find_licenses
+from recordforge.llm.merkle import manifest
 from recordforge.llm.near_dup import near_duplicates
 from recordforge.llm.packing import pack_documents
 from recordforge.llm.pii import find_pii, pii_report
@@ -117,6 +118,16 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+#: What op13's leaves digest, in order.
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    changed = {"text": F.when(odd, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    return manifest(_table(spark, sf_dir, "documents"), LEAF_FIELDS, changed=changed).withColumnRenamed("id", "doc_id")
+
+
 # The conversations hold no tool calls, so each message is plain; tool_call_links has calls made from them.
 OP4_SQL = """
 select conv_id, turn, role, '' call_id, 'plain' status, '' problems,
@@ -192,6 +203,38 @@ select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, coalesce(c, d.doc_id) comp
 from d left join n using (doc_id) left join comp using (doc_id)
 """
 
+_NODE = "sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], ''))"
+_FIELD = "case when {0} is null then '-' else strlen({0}::varchar) || ':' || {0}::varchar end"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in LEAF_FIELDS[:-1]) + " || " + _FIELD.format("{text}") + ")"
+# A path holds, for each level, the run's digests before and after the own one. The checksum is CRC-32, bit by bit.
+
+OP13_SQL = f"""
+with recursive d as (select doc_id, source k, {_LEAF.format(text="text")} leaf,
+    case when list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda z, j: xor(z >> 1, 3988292384 * (z & 1)))) % 2 = 1
+    then {_LEAF.format(text="replace(text, chr(10), '')")} else {_LEAF.format(text="text")} end changed,
+    row_number() over (partition by source order by doc_id nulls first) - 1 place from documents),
+tree as (select k, 0 lev, list(leaf order by place) nodes from d group by k
+  union all select k, lev + 1, list_transform(range(0, (len(nodes) + 2) // 3), lambda i: {_NODE}) from tree where len(nodes) > 1),
+sub as (select k, nodes[1] subroot, row_number() over (order by k nulls first) - 1 place from tree where len(nodes) = 1),
+top as (select 0 k, 0 lev, list(subroot order by place) nodes from sub
+  union all select 0, lev + 1, list_transform(range(0, (len(nodes) + 2) // 3), lambda i: {_NODE}) from top where len(nodes) > 1),
+over_path as (select 0 k, place, []::varchar[][][] path, place p from sub
+  union all select o.k, place, list_append(path, [list_slice(nodes, p - p % 3 + 1, p), list_slice(nodes, p + 2, p - p % 3 + 3)]), p // 3
+  from over_path o join top t on t.lev = len(path) where len(nodes) > 1),
+own_path as (select k, place, []::varchar[][][] path, place p from d
+  union all select o.k, place, list_append(path, [list_slice(nodes, p - p % 3 + 1, p), list_slice(nodes, p + 2, p - p % 3 + 3)]), p // 3
+  from own_path o join tree t on t.k is not distinct from o.k and t.lev = len(path) where len(nodes) > 1),
+own as (select k, place, arg_max(path, len(path)) path from own_path group by all),
+above as (select place, arg_max(path, len(path)) path from over_path group by all),
+proof as (select d.doc_id, leaf, changed, subroot, (select nodes[1] from top where len(nodes) = 1) root, list_concat(own.path, above.path) path
+  from d join own on own.k is not distinct from d.k and own.place = d.place join sub on sub.k is not distinct from d.k join above on above.place = sub.place),
+fold as (select doc_id, changed cur, path, 0 lev from proof
+  union all select doc_id, sha256(array_to_string(path[lev + 1][1], '') || cur || array_to_string(path[lev + 1][2], '')), path, lev + 1 from fold where lev < len(path))
+select p.doc_id, leaf, subroot, root, sha256(array_to_string(flatten(flatten(p.path)), '')) proof_sha256, f.cur folded_root, f.cur = root verified
+from proof p join fold f on f.doc_id = p.doc_id and f.lev = len(f.path)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_licenses": op2_licenses,
@@ -204,6 +247,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
     "op10_near_duplicates": op10_near_duplicates,
+    "op13_merkle": op13_merkle,
 }
 
-SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "tool_call_links": TOOL_CALL_LINKS_SQL, "op7_decontaminate": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_near_duplicates": OP10_SQL}
+SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "tool_call_links": TOOL_CALL_LINKS_SQL, "op7_decontaminate": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_near_duplicates": OP10_SQL, "op13_merkle": OP13_SQL}
