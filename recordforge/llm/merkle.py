@@ -218,7 +218,7 @@ def _blocks(leaves: DataFrame, nodes: DataFrame, tops: DataFrame, height: int) -
         own = tops.where(F.col("band") == band).select(*named)
         tails = own if tails is None else tails.unionByName(own)
         if band:
-            members = nodes.where(F.col("level").between(band * height, band * height + height - 1)).select("tree", _block_of(band * height, height).alias("block"), "level", "pos", "digest")
+            members = nodes.where(~F.col("root") & F.col("level").between(band * height, band * height + height - 1)).select("tree", _block_of(band * height, height).alias("block"), "level", "pos", "digest")
             below = members.groupBy("tree", "block").cogroup(tails.groupBy("tree", "block")).applyInArrow(_down(band * height, height), f"tree string, block long, size long, top int, subroot string, root string, tail {_TAIL}")
             tails = written(below, "merkle-paths")
     low = leaves.select("tree", F.lit(0).alias("level"), "pos", "digest", "id", "changed")
