@@ -13,6 +13,7 @@ from recordforge.llm.licenses import find_licenses
 from recordforge.llm.merkle import manifest
 from recordforge.llm.near_dup import near_duplicates
 from recordforge.llm.packing import pack_documents
+from recordforge.llm.phrases import collocations
 from recordforge.llm.pii import find_pii, pii_report
 from recordforge.llm.quality import quality_rules
 from recordforge.llm.secrets import find_secrets, secret_report
@@ -118,6 +119,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 #: What op13's leaves digest, in order.
 LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
@@ -203,6 +208,20 @@ select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, coalesce(c, d.doc_id) comp
 from d left join n using (doc_id) left join comp using (doc_id)
 """
 
+OP11_SQL = rf"""
+with w as (select coalesce(lang, 'und') lang, regexp_extract_all(unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') w from documents),
+total as (select lang, sum(len(w)) n from w group by all),
+f as (select lang, g, count(*) f from (select lang, w[i:i + k - 1] g from (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from w, range(1, 6) r(k))) group by all having f >= 100),
+cand as (select lang, g, f from f where len(g) > 1),
+inside as (select lang, g[i:j] g, max(f) f from (select lang, g, f, i, unnest(range(i + 1, least(i + len(g) - 1, len(g) + 1))) j from (select *, unnest(range(1, len(g))) i from cand)) group by all),
+cut as (select c.lang, c.g, c.f a, k, l.f l, r.f r, n, (1000::hugeint * c.f * n) // (l.f::hugeint * r.f) score
+  from (select *, unnest(range(1, len(g))) k from cand) c join f l on l.lang = c.lang and l.g = c.g[1:k] join f r on r.lang = c.lang and r.g = c.g[k + 1:] join total on total.lang = c.lang),
+best as (select lang, g, arg_min(struct_pack(a, l, r, n, score), struct_pack(score, k)) x from cut group by all)
+select lang, rank, phrase, a, l, r, n::bigint n, score::bigint score from (
+  select b.lang, array_to_string(b.g, ' ') phrase, x.a, x.l, x.r, x.n, x.score, row_number() over (partition by b.lang order by x.score desc, x.a desc, array_to_string(b.g, ' ')) as rank
+  from best b left join inside i on i.lang = b.lang and i.g = b.g where i.f is null or i.f < x.a) where rank <= 2000
+"""
+
 _NODE = "sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], ''))"
 _FIELD = "case when {0} is null then '-' else strlen({0}::varchar) || ':' || {0}::varchar end"
 _LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in LEAF_FIELDS[:-1]) + " || " + _FIELD.format("{text}") + ")"
@@ -247,7 +266,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_phrases": op11_phrases,
     "op13_merkle": op13_merkle,
 }
 
-SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "tool_call_links": TOOL_CALL_LINKS_SQL, "op7_decontaminate": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_near_duplicates": OP10_SQL, "op13_merkle": OP13_SQL}
+SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "tool_call_links": TOOL_CALL_LINKS_SQL, "op7_decontaminate": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_near_duplicates": OP10_SQL, "op11_phrases": OP11_SQL, "op13_merkle": OP13_SQL}
