@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recordforge.llm.chat import format_chats
 from recordforge.llm.decontamination import contamination_report, find_contamination
+from recordforge.llm.html_text import main_texts
 from recordforge.llm.licenses import find_licenses
 from recordforge.llm.merkle import manifest
 from recordforge.llm.near_dup import near_duplicates
@@ -123,6 +124,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(_table(spark, sf_dir, "pages")).withColumnRenamed("page", "page_id")
+
+
 #: What op13's leaves digest, in order.
 LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
@@ -267,6 +272,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_phrases": op11_phrases,
+    "op12_html_text": op12_html_text,
     "op13_merkle": op13_merkle,
 }
 
