@@ -187,12 +187,9 @@ def placeholder_week(week: Column) -> Column:
         t = d["duration"]
         return F.coalesce(d["is_closed"].eqNullSafe(F.lit(False)) & (t["start_hour"] == 9) & (t["start_minute"] == 0) & (t["end_hour"] == 17) & (t["end_minute"] == 0), F.lit(False))
 
-    work, all_closed = F.lit(True), F.lit(True)
-    for d in DAYS:
-        day = week[d]
-        work = work & (closed(day) if d in ("saturday", "sunday") else office(day))
-        all_closed = all_closed & closed(day)
-    return F.coalesce(week.isNotNull() & (work | all_closed), F.lit(False))
+    days = lambda *names: F.array(*(week[d] for d in names))
+    work = F.forall(days(*DAYS[1:6]), office) & F.forall(days("saturday", "sunday"), closed)
+    return F.coalesce(week.isNotNull() & (work | F.forall(days(*DAYS), closed)), F.lit(False))
 
 
 def repair_day(day: Column) -> Column:
@@ -204,7 +201,7 @@ def repair_day(day: Column) -> Column:
 
 
 def repair_week(week: Column) -> Column:
-    return F.struct(*(repair_day(week[d]).alias(d) for d in DAYS))
+    return let(F.transform(F.array(*(week[d] for d in DAYS)), repair_day), lambda days: F.struct(*(days[k].alias(d) for k, d in enumerate(DAYS))))
 
 
 def overlay_week(parsed: Column, stored: Column, default: Column) -> Column:

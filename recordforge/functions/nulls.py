@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -69,3 +69,13 @@ def fired(*checks: tuple[str, Column]) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it; keeps long expressions small."""
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def bind(rows: DataFrame, **values: Column) -> DataFrame:
+    """Rows with further columns, or new values of columns, each of which is computed once, however often later ones name it.
+
+    A plain projection isn't enough: the optimiser copies its expressions to all places that name them, and plans that name
+    a parsed week or address a hundred times grow beyond what can be planned. A generator of one row stops that.
+    """
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in values]
+    return rows.select(*kept, F.inline(F.array(F.struct(*(v.alias(n) for n, v in values.items())))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordforge.functions import address, contact, hours, text
-from recordforge.functions.nulls import blank, fired, first_truthy, present, sure
+from recordforge.functions.nulls import bind, blank, fired, first_truthy, present, sure
 from recordforge.operators.matching import area_in_text, cascade_look_up
 
 ISSUE = "struct<field:string,message:string,severity:string>"
@@ -132,8 +132,8 @@ def adapt(rows: DataFrame, categories: list[tuple[str, str, list[str]]], *, area
     """
     own = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) if c in rows.columns else F.lit("")
     either = lambda a, b: F.trim(F.when(a != "", a).otherwise(F.coalesce(b, F.lit(""))))
-    out = rows.withColumns({"_a": address.parse_address(F.col("address")), "_p": text_point(F.col("coordinates")), "_ph": contact.parse_phone(F.col("phone")), "week": hours.parse_glued_hours(F.coalesce("hours", F.lit("")))})
-    out = out.withColumns({"_city": either(own("city"), F.col("_a.city")), "_state": either(own("state"), F.col("_a.state_code")), "_locality": own("locality")})
+    out = bind(rows, _a=address.parse_address(F.col("address")), _p=text_point(F.col("coordinates")), _ph=contact.parse_phone(F.col("phone")), week=hours.parse_glued_hours(F.coalesce("hours", F.lit(""))))
+    out = bind(out, _city=either(own("city"), F.col("_a.city")), _state=either(own("state"), F.col("_a.state_code")), _locality=own("locality"))
     out = out.withColumn("_hay", F.concat_ws(" | ", *(F.nullif(c, F.lit("")) for c in (F.col("address"), F.col("_city"), F.col("_state")))))
     if areas is None:
         none = F.lit(None).cast("string")
@@ -141,16 +141,17 @@ def adapt(rows: DataFrame, categories: list[tuple[str, str, list[str]]], *, area
     else:
         stated = areas.groupBy(F.lower("area").alias("area"), F.col("city").alias("area_city")).agg(F.min_by("state", "ordinal").alias("_in"), F.min_by("area_state", "ordinal").alias("_over"), F.min_by("area", "ordinal").alias("_named"))
         out = area_in_text(out, areas, "_hay").join(F.broadcast(stated), ["area", "area_city"], "left").withColumn("area", F.col("_named")).drop("_named", "area_city")
-    parsed_state = address.state_code(F.col("_state"))
+    out = bind(out, _state_code=address.state_code(F.col("_state")), _city_state=address.state_code(F.col("_city")))
+    parsed_state = F.col("_state_code")
     state = F.coalesce(address.state_code(F.col("_over")), F.lit(default_state).cast("string"), F.col("_in"), parsed_state, F.lit(""))
     lat, lng = F.coalesce("_p.lat", F.lit(0.0)), F.coalesce("_p.lng", F.lit(0.0))
-    out = out.withColumns({
-        "street": F.col("_a.street"), "unit": F.col("_a.unit"), "city": F.when(address.state_code(F.col("_city")).isNull(), F.col("_city")).otherwise(""), "state": state, "postal_code": F.col("_a.postal_code"),
-        "locality": F.coalesce("area", F.nullif("_locality", F.lit(""))), "country": F.coalesce(F.nullif(F.trim("country"), F.lit("")), F.col("_a.country")), "latitude": lat, "longitude": lng, "phone_digits": F.col("_ph.phone"),
-        "place_id": first_truthy(contact.place_id_of(F.col("url")), F.col("place_id")), "rating": F.coalesce(text.number_prefix(F.col("rating")), F.lit(0.0)), "review_count": text.count_prefix(F.col("review_count")), "website": contact.website(F.col("website")),
-        "mapped": map_category(F.col("category"), categories), "status": F.lit(4.1), "onward": F.lit(False),
-    })
-    out = out.withColumns({"tags": text.make_tags(F.col("name"), F.col("category"), F.col("street"), F.col("description")), "country_code": contact.country_code(F.col("_ph.country_code"), F.col("country"), F.col("state"), F.col("latitude"), F.col("longitude"))})
+    out = bind(
+        out, street=F.col("_a.street"), unit=F.col("_a.unit"), city=F.when(F.col("_city_state").isNull(), F.col("_city")).otherwise(""), state=state, postal_code=F.col("_a.postal_code"),
+        locality=F.coalesce("area", F.nullif("_locality", F.lit(""))), country=F.coalesce(F.nullif(F.trim("country"), F.lit("")), F.col("_a.country")), latitude=lat, longitude=lng, phone_digits=F.col("_ph.phone"),
+        place_id=first_truthy(contact.place_id_of(F.col("url")), F.col("place_id")), rating=F.coalesce(text.number_prefix(F.col("rating")), F.lit(0.0)), review_count=text.count_prefix(F.col("review_count")), website=contact.website(F.col("website")),
+        mapped=map_category(F.col("category"), categories), status=F.lit(4.1), onward=F.lit(False),
+    )
+    out = bind(out, tags=text.make_tags(F.col("name"), F.col("category"), F.col("street"), F.col("description")), country_code=contact.country_code(F.col("_ph.country_code"), F.col("country"), F.col("state"), F.col("latitude"), F.col("longitude")))
     listed = F.nullif(contact.split_emails(own("email")), F.array().cast("array<string>"))
     if emails is None:
         out = out.withColumn("emails", listed)
@@ -158,10 +159,10 @@ def adapt(rows: DataFrame, categories: list[tuple[str, str, list[str]]], *, area
         site = F.col("website")
         out = cascade_look_up(out, emails, [F.nullif("place_id", F.lit("")), site, F.regexp_replace(site, "/$", ""), contact.host(site)], out="_found").withColumn("emails", F.coalesce("_found", listed)).drop("_found")
     found = fired(
-        ("area_ambiguous", F.col("ambiguous")), ("city_is_state", (F.col("_city") != "") & address.state_code(F.col("_city")).isNotNull()), ("city_unresolved", F.col("_city") == ""), ("state_invalid", (F.col("state") == "") & (F.col("_state") != "")), ("state_unresolved", (F.col("state") == "") & (F.col("_state") == "")),
+        ("area_ambiguous", F.col("ambiguous")), ("city_is_state", (F.col("_city") != "") & F.col("_city_state").isNotNull()), ("city_unresolved", F.col("_city") == ""), ("state_invalid", (F.col("state") == "") & (F.col("_state") != "")), ("state_unresolved", (F.col("state") == "") & (F.col("_state") == "")),
         ("area_not_listed", F.col("area").isNull() & (F.col("_locality") != "")), ("category_unresolved", F.size("mapped.categories") == 0),
     )
-    return out.withColumn("warnings", F.concat(found, warnings())).drop("_a", "_p", "_ph", "_city", "_state", "_locality", "_hay", "_in", "_over")
+    return out.withColumn("warnings", F.concat(found, warnings())).drop("_a", "_p", "_ph", "_city", "_state", "_locality", "_hay", "_in", "_over", "_state_code", "_city_state")
 
 
 def adapt_stats(adapted: DataFrame) -> DataFrame:
@@ -215,7 +216,7 @@ def warnings() -> Column:
 
     placed = (F.col("latitude") != 0) | (F.col("longitude") != 0)
     us = placed & in_us(F.col("latitude"), F.col("longitude"))
-    street, open_days = F.trim(F.coalesce("street", F.lit(""))), sum((F.when(hours.closed(F.col(f"week.{d}")), 0).otherwise(1) for d in hours.DAYS), F.lit(0))
+    street, open_days = F.trim(F.coalesce("street", F.lit(""))), F.size(F.filter(F.array(*(F.col(f"week.{d}") for d in hours.DAYS)), lambda d: ~hours.closed(d)))
     said = F.trim(F.coalesce("hours", F.lit(""))) != ""
     return fired(
         ("state_outside_us", placed & address.state_code(F.col("state")).isNotNull() & ~us), ("city_digits", F.trim("city").rlike(r"^\d+$")), ("foreign_plus_one", placed & ~us & (F.col("country_code") == "+1") & present(F.trim("phone"))),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recordforge.functions import address, geo, hours
 from recordforge.functions.names import generic_name
-from recordforge.functions.nulls import differs, fired, is_true, not_true, present, sure
+from recordforge.functions.nulls import bind, differs, fired, is_true, not_true, present, sure
 from recordforge.operators.matching import child_flags, valid_id, without_children
 
 
@@ -107,18 +107,22 @@ def _abroad() -> Column:
     return _placed() & ~geo.in_us(F.col("latitude"), F.col("longitude"))
 
 
-def foreign() -> Column:
+def _foreign() -> Column:
     """A row that states another country and lies outside the US: no audit's business."""
-    country = F.lower(F.trim(F.coalesce("country", F.lit(""))))
-    return (country != "") & ~country.isin(*US_NAMES) & _abroad()
+    return (F.col("_country") != "") & ~F.col("_country").isin(*US_NAMES) & F.col("_abroad")
 
 
-def _common_checks(street: str, code: Column, week: Column, status: Column, onward: Column) -> list[tuple[str, Column]]:
-    name, line, country = F.trim(F.coalesce("name", F.lit(""))), F.trim(F.coalesce(F.col(street), F.lit(""))), F.lower(F.trim(F.coalesce("country", F.lit(""))))
+#: A street line that is a web address or a telephone number.
+_CONTACT_LINE = (r"(?i)^\s*(https?://|www\.)", r"^\+?[\d\s\-().]{7,}$")
+
+
+def _common_checks(code: Column, week: Column, encoding: Column, status: Column, onward: Column) -> list[tuple[str, Column]]:
+    """Checks that both audits share, of bound columns (see ``_bound``) and values before or after a fix."""
+    name, line = F.col("_name"), F.col("_line")
     return [
-        ("name", (F.length(name) <= 2) | generic_name(name)), ("address", (line == "") | line.rlike(r"(?i)^\s*(https?://|www\.)") | line.rlike(r"^\+?[\d\s\-().]{7,}$")),
-        ("coords", ~_placed() | (country.isin(*US_NAMES) & _abroad())), ("hours_encoding", week.isNotNull() & differs(hours.repair_week(week), week)), ("keys", status.isNull() | onward.isNull()),
-        ("country_code", ~present(code) | ((code == "+1") & _abroad())),
+        ("name", (F.length(name) <= 2) | F.col("_generic")), ("address", (line == "") | line.rlike(_CONTACT_LINE[0]) | line.rlike(_CONTACT_LINE[1])),
+        ("coords", ~F.col("_placed") | (F.col("_country").isin(*US_NAMES) & F.col("_abroad"))), ("hours_encoding", week.isNotNull() & encoding), ("keys", status.isNull() | onward.isNull()),
+        ("country_code", ~present(code) | ((code == "+1") & F.col("_abroad"))),
     ]
 
 
@@ -127,6 +131,18 @@ def _said(checks: list[tuple[str, Column]], order: tuple[str, ...]) -> Column:
     return fired(*((k, by[k]) for k in order))
 
 
+def _bound(rows: DataFrame) -> DataFrame:
+    """Rows that are some audit's business, with what its checks name more than once: texts, places, and the week as it is and repaired."""
+    trimmed = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    own = bind(rows, _country=F.lower(trimmed("country")), _placed=_placed(), _abroad=_abroad(), _name=trimmed("name"), _line=trimmed("address")).where(~_foreign())
+    own = bind(own, _generic=generic_name(F.col("_name")), _fixed=F.when(F.col("week").isNotNull(), hours.repair_week(F.col("week"))))
+    # Repairing twice tells whether a repaired week is still odd.
+    return bind(own, _odd=differs(F.col("_fixed"), F.col("week")), _odd_fixed=differs(hours.repair_week(F.col("_fixed")), F.col("_fixed")), _holder=hours.placeholder_week(F.col("week")), _holder_fixed=hours.placeholder_week(F.col("_fixed")))
+
+
+_BOUND = ("_country", "_placed", "_abroad", "_name", "_line", "_generic", "_fixed", "_odd", "_odd_fixed", "_holder", "_holder_fixed")
+
+
 def audit(rows: DataFrame) -> DataFrame:
     """Live cohort rows, each with ``plan`` (what can be fixed), ``failed_before`` and ``failed_after`` it, and ``ready``.
 
@@ -136,32 +152,36 @@ def audit(rows: DataFrame) -> DataFrame:
     cohort flags, marked corrupt or foreign are left out. A dry run reports ``failed_before``, an applied one ``failed_after``.
     ``queue_cover``: the cover is missing or foreign and a place id to fetch one with is known.
     """
-    own = rows.where(~sure(F.col("corrupt")) & ~foreign() & (is_true(F.col("is_cvb")) | is_true(F.col("is_crawler"))))
     none = F.array().cast("array<string>")
+    own = _bound(rows.where(~sure(F.col("corrupt")) & (is_true(F.col("is_cvb")) | is_true(F.col("is_crawler")))))
     ids, listed, active = (F.coalesce(c, none) for c in ("outlet_ids", "outlets", "activated"))
-    week, captured = F.when(F.col("week").isNotNull(), hours.repair_week(F.col("week"))), sure(F.col("n_hours") > 0)
-    flag_hours = (~captured | hours.placeholder_week(week) | F.col("week").isNull()) & ~(F.col("hours_status").eqNullSafe(F.lit("review:no_hours_captured")) & F.col("resolve_status").eqNullSafe(F.lit("review")))
-    has = lambda a: F.size(F.array_except(ids, a)) == 0
-    link = (F.size(ids) >= 1) & (~has(listed) | ~has(active) | (F.coalesce("n_activated", F.lit(0)) < F.size(ids)))
-    encoding = F.col("week").isNotNull() & differs(week, F.col("week"))
-    keys, code = F.col("status").isNull() | F.col("onward").isNull(), ~present(F.col("country_code")) & ~_abroad()
-    plan = fired(("hours", flag_hours), ("hours_encoding", encoding), ("keys", keys), ("country_code", code), ("outlet_link", link))
-    cover_bad = ~present(F.col("cover")) | sure(F.lower("cover").contains("googleusercontent"))
+    lacks = lambda a: F.size(F.array_except(ids, a)) > 0
+    own = bind(
+        own,
+        _captured=sure(F.col("n_hours") > 0), _n=F.size(ids), _lacks=lacks(listed) | lacks(active), _keys=F.col("status").isNull() | F.col("onward").isNull(), _code=~present(F.col("country_code")) & ~F.col("_abroad"),
+        _cover_bad=~present(F.col("cover")) | sure(F.lower("cover").contains("googleusercontent")),
+        _taxonomy=valid_id(F.col("industry")).isNull() | ~sure(F.size("categories") > 0) | F.exists(F.coalesce("categories", none), lambda c: valid_id(c).isNull()),
+        _encoding=F.col("week").isNotNull() & F.col("_odd"),
+    )
+    flag_hours = (~F.col("_captured") | F.col("_holder_fixed") | F.col("week").isNull()) & ~(F.col("hours_status").eqNullSafe(F.lit("review:no_hours_captured")) & F.col("resolve_status").eqNullSafe(F.lit("review")))
+    own = bind(own, _flag=flag_hours, _link=(F.col("_n") >= 1) & (F.col("_lacks") | (F.coalesce("n_activated", F.lit(0)) < F.col("_n"))))
+    plan = fired(("hours", F.col("_flag")), ("hours_encoding", F.col("_encoding")), ("keys", F.col("_keys")), ("country_code", F.col("_code")), ("outlet_link", F.col("_link")))
 
     def failing(fixed: bool) -> Column:
-        new = lambda when, value, old: F.when(when, value).otherwise(old) if fixed else old
-        w = new(encoding, week, F.col("week"))
-        hour_status, status = new(flag_hours, F.lit("review:no_hours_captured"), F.col("hours_status")), new(flag_hours, F.lit("review"), F.col("resolve_status"))
-        bad_link = (F.size(ids) < 1) | (F.lit(False) if fixed else ~has(listed) | ~has(active) | (F.coalesce("n_activated", F.lit(0)) < 1))
-        checks = _common_checks("address", new(code, F.lit("+1"), F.col("country_code")), w, new(keys, F.coalesce("status", F.lit(4.1)), F.col("status")), new(keys, F.coalesce("onward", F.lit(False)), F.col("onward")))
+        new = lambda when, value, old: F.when(F.col(when), value).otherwise(F.col(old)) if fixed else F.col(old)
+        # An unfixed week that isn't odd is the same as the repaired one.
+        holder, odd = (F.col("_holder_fixed"), F.col("_odd_fixed")) if fixed else (F.col("_holder"), F.col("_odd"))
+        hour_status, status = new("_flag", F.lit("review:no_hours_captured"), "hours_status"), new("_flag", F.lit("review"), "resolve_status")
+        bad_link = (F.col("_n") < 1) | (F.lit(False) if fixed else F.col("_lacks") | (F.coalesce("n_activated", F.lit(0)) < 1))
+        checks = _common_checks(new("_code", F.lit("+1"), "country_code"), F.col("week"), odd, new("_keys", F.coalesce("status", F.lit(4.1)), "status"), new("_keys", F.coalesce("onward", F.lit(False)), "onward"))
         checks += [
-            ("hours", w.isNull() | hours.placeholder_week(w) | ~captured | ~hour_status.eqNullSafe(F.lit("done"))), ("cover", cover_bad), ("outlet_link", bad_link), ("resolve", ~status.eqNullSafe(F.lit("done"))),
-            ("taxonomy", valid_id(F.col("industry")).isNull() | ~sure(F.size("categories") > 0) | F.exists(F.coalesce("categories", none), lambda c: valid_id(c).isNull())),
+            ("hours", F.col("week").isNull() | holder | ~F.col("_captured") | ~hour_status.eqNullSafe(F.lit("done"))), ("cover", F.col("_cover_bad")), ("outlet_link", bad_link), ("resolve", ~status.eqNullSafe(F.lit("done"))),
+            ("taxonomy", F.col("_taxonomy")),
         ]
         return _said(checks, CHECKS)
 
-    out = own.withColumns({"plan": plan, "failed_before": failing(False), "failed_after": failing(True), "queue_cover": cover_bad & present(F.col("place_id"))})
-    return out.withColumn("ready", F.size("failed_after") == 0)
+    out = bind(own, plan=plan, failed_before=failing(False), failed_after=failing(True), queue_cover=F.col("_cover_bad") & present(F.col("place_id")))
+    return out.withColumn("ready", F.size("failed_after") == 0).drop(*_BOUND, "_captured", "_n", "_lacks", "_keys", "_code", "_cover_bad", "_taxonomy", "_encoding", "_flag", "_link")
 
 
 def seed_audit(rows: DataFrame) -> DataFrame:
@@ -170,17 +190,16 @@ def seed_audit(rows: DataFrame) -> DataFrame:
     Columns read: name, address, latitude, longitude, country, country_code, week, status, onward, cover, industry and
     categories (names, not ids), place_id. Foreign rows are left out. Outlets and resolving come with publishing.
     """
-    own = rows.where(~foreign())
-    week = F.when(F.col("week").isNotNull(), hours.repair_week(F.col("week")))
-    encoding, keys, code = F.col("week").isNotNull() & differs(week, F.col("week")), F.col("status").isNull() | F.col("onward").isNull(), ~present(F.col("country_code")) & ~_abroad()
-    checks = _common_checks("address", F.when(code, "+1").otherwise(F.col("country_code")), week, F.coalesce("status", F.lit(4.1)), F.coalesce("onward", F.lit(False)))
+    own = bind(_bound(rows), _keys=F.col("status").isNull() | F.col("onward").isNull(), _code=~present(F.col("country_code")) & ~F.col("_abroad"))
+    checks = _common_checks(F.when(F.col("_code"), "+1").otherwise(F.col("country_code")), F.col("week"), F.col("_odd_fixed"), F.coalesce("status", F.lit(4.1)), F.coalesce("onward", F.lit(False)))
     none = F.array().cast("array<string>")
     checks += [
-        ("hours", week.isNull() | hours.placeholder_week(week)), ("cover", ~present(F.col("cover"))), ("place_id", ~present(F.trim("place_id")) | F.col("place_id").isNull()),
+        ("hours", F.col("week").isNull() | F.col("_holder_fixed")), ("cover", ~present(F.col("cover"))), ("place_id", ~present(F.trim("place_id")) | F.col("place_id").isNull()),
         ("taxonomy", ~present(F.trim("industry")) | F.col("industry").isNull() | ~sure(F.size("categories") > 0) | F.exists(F.coalesce("categories", none), lambda c: F.trim(F.coalesce(c, F.lit(""))) == "")),
     ]
-    out = own.withColumns({"plan": fired(("hours_encoding", encoding), ("keys", keys), ("country_code", code)), "failed": _said(checks, SEED_CHECKS), "pending_cover": sure(F.lower("cover").contains("googleusercontent"))})
-    return out.withColumn("ready", F.size("failed") == 0)
+    plan = fired(("hours_encoding", F.col("week").isNotNull() & F.col("_odd")), ("keys", F.col("_keys")), ("country_code", F.col("_code")))
+    out = bind(own, plan=plan, failed=_said(checks, SEED_CHECKS), pending_cover=sure(F.lower("cover").contains("googleusercontent")))
+    return out.withColumn("ready", F.size("failed") == 0).drop(*_BOUND, "_keys", "_code")
 
 
 def audit_summary(audited: DataFrame, failed: str, checks: tuple[str, ...], plans: tuple[str, ...]) -> DataFrame:

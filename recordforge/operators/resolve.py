@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recordforge.functions import address, hours
 from recordforge.functions.names import compare_names, valid_place_id
-from recordforge.functions.nulls import fired, present, sure
+from recordforge.functions.nulls import bind, fired, present, sure
 
 
 def resolve(records: DataFrame, results: DataFrame, mapping: DataFrame, *, writes_address: bool = True, default_week: Column | None = None) -> DataFrame:
@@ -33,39 +33,39 @@ def resolve(records: DataFrame, results: DataFrame, mapping: DataFrame, *, write
     key = F.lower(F.trim(F.regexp_replace("new.category", r"\s+", " ")))
     both = renamed.join(own, "id", "left").join(taken, F.col("new.found_place_id") == F.col("_pid"), "left").withColumn("_key", key)
     both = both.join(mapping.select(F.col("key").alias("_key"), F.struct("industry", "categories").alias("map")), "_key", "left")
-    both = both.withColumns({
-        "error": F.when(F.col("new.error") != "resolved_placeid_equals_building", F.col("new.error")), "note": F.when(F.col("new.error") == "resolved_placeid_equals_building", F.coalesce("new.place_note", F.lit("equals_building"))).otherwise(F.col("new.place_note")),
-        "named": compare_names(F.col("old.name"), F.col("new.found_name")), "parsed": hours.parse_hours_lines(F.col("new.hours_lines")), "split": address.split_formatted(F.trim("new.address")),
-    })
+    building = F.col("new.error") == "resolved_placeid_equals_building"
+    both = bind(
+        both, error=F.when(~building, F.col("new.error")), note=F.when(building, F.coalesce("new.place_note", F.lit("equals_building"))).otherwise(F.col("new.place_note")),
+        named=compare_names(F.col("old.name"), F.col("new.found_name")), parsed=hours.parse_hours_lines(F.col("new.hours_lines")), split=address.split_formatted(F.trim("new.address")),
+    )
 
-    stop = F.when(F.col("old").isNull(), "business_not_found").when(present(F.col("error")), F.concat(F.lit("bot_error:"), "error")).when(~F.col("named.match"), "name_mismatch")
-    go = stop.isNull()
+    valid, go = F.col("_valid"), F.col("_stop").isNull()
     hours_status = F.when(F.col("parsed.kind") == "parsed", "done").when(F.col("parsed.kind") == "empty", "no_hours_captured").when(F.col("parsed.kind") == "shape", "hours_shape").otherwise("hours_no_days_parsed")
-    read = go & (hours_status == "done")
-    week = hours.overlay_week(F.col("parsed.days"), F.col("old.week"), hours.office_week() if default_week is None else default_week)
-
-    valid = valid_place_id(F.col("new.found_place_id"))
-    place_status = F.when(valid, "done").when(F.col("note") == "equals_building", "equals_building").otherwise("not_found")
-    collides = F.col("_pid").isNotNull() & ((F.col("_low") != F.col("id")) | (F.col("_high") != F.col("id")))
-    place_action = F.when(~valid, None).when(F.col("new.found_place_id").eqNullSafe(F.col("old.place_id")), "unchanged").when(sure(collides), "collision").when(hours_status == "done", "corrected").otherwise("pending")
-    moved = go & (place_action == "corrected")
-
-    rated = go & sure(~F.isnan("new.rating") & (F.abs("new.rating") < float("inf")))
-    cover_status = F.when(sure(F.col("new.cover_url").startswith("http")), F.when(present(F.col("old.cover")), "skipped").otherwise("pending"))
-    category_status = F.when(~present(F.trim("new.category")) | F.col("new.category").isNull(), "no_category").when(F.col("map").isNull(), "unmapped").otherwise("correct")
+    both = bind(
+        both, _stop=F.when(F.col("old").isNull(), "business_not_found").when(present(F.col("error")), F.concat(F.lit("bot_error:"), "error")).when(~F.col("named.match"), "name_mismatch"),
+        _hours=hours_status, _valid=valid_place_id(F.col("new.found_place_id")), _collides=F.col("_pid").isNotNull() & ((F.col("_low") != F.col("id")) | (F.col("_high") != F.col("id"))),
+        _line_ok=address.valid_street(F.col("split.street")), _old_ok=address.valid_street(F.col("old.address")),
+    )
     differs = ~F.col("map.industry").eqNullSafe(F.col("old.industry")) | ~F.array_sort("map.categories").eqNullSafe(F.array_sort(F.coalesce("old.categories", F.array().cast("array<string>"))))
-    applied = go & (category_status == "correct") & differs
-    line_ok = address.valid_street(F.col("split.street"))
-    address_status = F.when(~present(F.trim("new.address")) | F.col("new.address").isNull(), None).when(F.lit(not writes_address), "skipped").when(F.col("split").isNull() | ~line_ok, "rejected").when(address.valid_street(F.col("old.address")), "kept").otherwise("written")
-    wrote = go & sure(address_status == "written")
+    both = bind(
+        both, _place=F.when(valid, "done").when(F.col("note") == "equals_building", "equals_building").otherwise("not_found"),
+        _action=F.when(~valid, None).when(F.col("new.found_place_id").eqNullSafe(F.col("old.place_id")), "unchanged").when(sure(F.col("_collides")), "collision").when(F.col("_hours") == "done", "corrected").otherwise("pending"),
+        _cover=F.when(sure(F.col("new.cover_url").startswith("http")), F.when(present(F.col("old.cover")), "skipped").otherwise("pending")),
+        _category=F.when(~present(F.trim("new.category")) | F.col("new.category").isNull(), "no_category").when(F.col("map").isNull(), "unmapped").otherwise("correct"),
+        _address=F.when(~present(F.trim("new.address")) | F.col("new.address").isNull(), None).when(F.lit(not writes_address), "skipped").when(F.col("split").isNull() | ~F.col("_line_ok"), "rejected").when(F.col("_old_ok"), "kept").otherwise("written"),
+        _rated=go & sure(~F.isnan("new.rating") & (F.abs("new.rating") < float("inf"))), _differs=differs,
+    )
+    both = bind(both, _read=go & (F.col("_hours") == "done"), _moved=go & sure(F.col("_action") == "corrected"), _applied=go & (F.col("_category") == "correct") & F.col("_differs"), _wrote=go & sure(F.col("_address") == "written"))
+    read, moved, rated, applied, wrote = (F.col(c) for c in ("_read", "_moved", "_rated", "_applied", "_wrote"))
+    week = hours.overlay_week(F.col("parsed.days"), F.col("old.week"), hours.office_week() if default_week is None else default_week)
 
-    own_status = lambda c: F.when(go, c).otherwise(F.concat(F.lit("review:"), stop))
-    pick = lambda when, new, old: F.when(sure(when), new).otherwise(F.col(f"old.{old}")).alias(old)
+    own_status = lambda c: F.when(go, F.col(c)).otherwise(F.concat(F.lit("review:"), "_stop"))
+    pick = lambda when, new, old: F.when(when, new).otherwise(F.col(f"old.{old}")).alias(old)
     return both.select(
-        "id", F.when(read, "done").otherwise("review").alias("status"), F.coalesce(stop, F.when(hours_status != "done", F.concat(F.lit("review:"), hours_status))).alias("reason"), own_status(hours_status).alias("hours_status"), own_status(place_status).alias("place_status"),
-        F.when(go, place_action).alias("place_action"), F.when(go, cover_status).alias("cover_status"), F.when(go, category_status).alias("category_status"), F.when(go, address_status).alias("address_status"),
-        fired(("week", read), ("place_id", moved), ("rating", rated), ("pending_cover", go & sure(cover_status == "pending")), ("taxonomy", applied), ("address", wrote)).alias("wrote"),
-        pick(read, week, "week"), pick(moved, F.col("new.found_place_id"), "place_id"), pick(rated, F.col("new.rating"), "rating"), F.when(go & (cover_status == "pending"), F.col("new.cover_url")).alias("pending_cover"),
+        "id", F.when(read, "done").otherwise("review").alias("status"), F.coalesce("_stop", F.when(F.col("_hours") != "done", F.concat(F.lit("review:"), "_hours"))).alias("reason"), own_status("_hours").alias("hours_status"), own_status("_place").alias("place_status"),
+        F.when(go, F.col("_action")).alias("place_action"), F.when(go, F.col("_cover")).alias("cover_status"), F.when(go, F.col("_category")).alias("category_status"), F.when(go, F.col("_address")).alias("address_status"),
+        fired(("week", read), ("place_id", moved), ("rating", rated), ("pending_cover", go & sure(F.col("_cover") == "pending")), ("taxonomy", applied), ("address", wrote)).alias("wrote"),
+        pick(read, week, "week"), pick(moved, F.col("new.found_place_id"), "place_id"), pick(rated, F.col("new.rating"), "rating"), F.when(go & (F.col("_cover") == "pending"), F.col("new.cover_url")).alias("pending_cover"),
         pick(applied, F.col("map.industry"), "industry"), pick(applied, F.col("map.categories"), "categories"), pick(wrote, F.col("split.street"), "address"), pick(wrote & present(F.col("split.city")), F.col("split.city"), "city"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordforge.functions import contact, geo, hours, names, text
-from recordforge.functions.nulls import blank
+from recordforge.functions.nulls import bind, blank
 from recordforge.operators import diffs, emails, filters, gates, judgement, ranking, records, repair, resolve, sets
 from recordforge.queries.catalog import biz, biz_sql, jobs, jobs_sql, joined, query, table
 from recordforge.sources import places, sinks
@@ -245,34 +245,39 @@ def sync_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LIVE = """select id, case id % 8 when 0 then 'ab' when 1 then 'Shop' else name end name, case id % 5 when 0 then '' when 1 then 'www.x.example' when 2 then '+1 501-804-9227' else '77 Sunset Blvd' end address,
   case id % 6 when 0 then 0.0 when 1 then 51.5 else 40.0 end latitude, case id % 6 when 0 then 0.0 when 1 then -0.1 else -75.0 end longitude, case id % 4 when 0 then 'USA' when 1 then 'France' end country, case id % 3 when 0 then null when 1 then '+1' else '+44' end country_code,
-  case id % 7 when 0 then '' when 1 then 'Monday9 am-5 pm' when 2 then 'MondayOpen 24 hours' end as hours, case id % 4 when 0 then 'review:no_hours_captured' else 'done' end hours_status, cast(id % 3 as int) n_hours, case id % 4 when 0 then 'review' else 'done' end resolve_status,
+  case id % 7 when 0 then '' when 1 then 'Monday9 am-5 pm' when 2 then 'MondayOpen 24 hours' when 4 then 'Monday9 am-5 pm' end as hours, case id % 4 when 0 then 'review:no_hours_captured' else 'done' end hours_status, cast(id % 3 as int) n_hours, case id % 4 when 0 then 'review' else 'done' end resolve_status,
   case when id % 5 = 0 then null else 4.1 end status, case when id % 7 = 3 then null else false end onward, cover, place_id, case when id % 6 = 2 then 'BUILDING' else '0123456789abcdef01234567' end industry, cast(id % 3 as int) n_cats, cast(id % 4 as int) n_out, id % 13 = 0 corrupt, is_cvb, is_crawler from biz"""
 
 
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = lambda n, start="0": F.expr(f"transform(filter(array(1, 2, 3), x -> x <= {n}), x -> concat('o', x))")
     rows = _made(spark, sf_dir, _LIVE).withColumns({"categories": F.expr("transform(filter(array(1, 2), x -> x <= n_cats), x -> case when x = 2 then 'BAD' else '0123456789abcdef0123456a' end)"), "outlet_ids": ids("n_out"), "outlets": ids("1"), "activated": ids("id % 3"), "n_activated": F.expr("cast(id % 3 as int)")})
-    return rows.withColumn("week", F.when(F.col("hours").isNotNull(), hours.parse_glued_hours(F.col("hours"))))
+    rows = bind(rows, week=F.when(F.col("hours").isNotNull(), hours.parse_glued_hours(F.col("hours"))))
+    # Every seventh week is stored as an older writer did: with a day that ends at 24:00.
+    return rows.withColumn("week", F.when(F.col("id") % 7 == 4, F.col("week").withField("monday.duration.end_hour", F.lit(24))).otherwise(F.col("week")))
 
 
+#: What a name and a street line must not be, in SQL.
+_NAME_RULE = "length(trim(coalesce(name, ''))) <= 2 or lower(trim(name)) in ('business', 'store', 'shop', 'restaurant', 'cafe', 'company', 'n/a', 'na', 'none', 'null', 'unknown', 'test', 'untitled')"
+_ADDRESS_RULE = r"trim(coalesce(address, '')) = '' or regexp_matches(trim(address), '(?i)^(https?://|www\.)') or regexp_matches(trim(address), '^\+?[\d\s\-().]{7,}$')"
 _LIVE_SQL = f"""{_BIZ}, v as ({_LIVE}), k as (select *, latitude <> 0 placed, latitude <> 0 and not (latitude between 24 and 50 and longitude between -125 and -66) abroad from v),
 o as (select * from k where not (corrupt or (coalesce(country, '') not in ('', 'USA') and abroad)) and (coalesce(is_cvb, false) or coalesce(is_crawler, false))),
 x as (select *, (n_hours = 0 or hours is null or hours = '') and not (hours_status = 'review:no_hours_captured' and resolve_status = 'review') p_hours, status is null or onward is null p_keys, country_code is null and not abroad p_code, n_out >= 1 and (n_out > 1 or id % 3 < n_out) p_link from o)"""
 
 
-@query(f"""{_LIVE_SQL} select id, concat_ws(',', case when p_hours then 'hours' end, case when p_keys then 'keys' end, case when p_code then 'country_code' end, case when p_link then 'outlet_link' end) as plan,
-  concat_ws(',', case when length(name) <= 2 or lower(name) = 'shop' then 'name' end, case when address <> '77 Sunset Blvd' then 'address' end, case when not placed or (country = 'USA' and abroad) then 'coords' end, case when hours is null or hours = '' or n_hours = 0 or hours_status <> 'done' then 'hours' end, case when p_keys then 'keys' end,
+@query(f"""{_LIVE_SQL} select id, concat_ws(',', case when p_hours then 'hours' end, case when id % 7 = 4 then 'hours_encoding' end, case when p_keys then 'keys' end, case when p_code then 'country_code' end, case when p_link then 'outlet_link' end) as plan,
+  concat_ws(',', case when {_NAME_RULE} then 'name' end, case when {_ADDRESS_RULE} then 'address' end, case when not placed or (country = 'USA' and abroad) then 'coords' end, case when hours is null or hours = '' or n_hours = 0 or hours_status <> 'done' then 'hours' end, case when id % 7 = 4 then 'hours_encoding' end, case when p_keys then 'keys' end,
     case when country_code is null or (country_code = '+1' and abroad) then 'country_code' end, case when coalesce(cover, '') = '' or cover like '%googleusercontent%' then 'cover' end, case when industry = 'BUILDING' or n_cats <> 1 then 'taxonomy' end, case when n_out < 1 or n_out > 1 or id % 3 < n_out or id % 3 < 1 then 'outlet_link' end, case when resolve_status <> 'done' then 'resolve' end) failed_before,
-  concat_ws(',', case when length(name) <= 2 or lower(name) = 'shop' then 'name' end, case when address <> '77 Sunset Blvd' then 'address' end, case when not placed or (country = 'USA' and abroad) then 'coords' end, case when hours is null or hours = '' or n_hours = 0 or hours_status <> 'done' or p_hours then 'hours' end,
+  concat_ws(',', case when {_NAME_RULE} then 'name' end, case when {_ADDRESS_RULE} then 'address' end, case when not placed or (country = 'USA' and abroad) then 'coords' end, case when hours is null or hours = '' or n_hours = 0 or hours_status <> 'done' or p_hours then 'hours' end,
     case when (country_code is null and abroad) or (country_code = '+1' and abroad) then 'country_code' end, case when coalesce(cover, '') = '' or cover like '%googleusercontent%' then 'cover' end, case when industry = 'BUILDING' or n_cats <> 1 then 'taxonomy' end, case when n_out < 1 then 'outlet_link' end, case when resolve_status <> 'done' or p_hours then 'resolve' end) failed_after,
   (coalesce(cover, '') = '' or cover like '%googleusercontent%') and coalesce(place_id, '') <> '' queue_cover from x""")
 def live_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audit(_live(spark, sf_dir)).select("id", joined("plan").alias("plan"), joined("failed_before").alias("failed_before"), joined("failed_after").alias("failed_after"), "queue_cover")
 
 
-@query(f"""{_BIZ}, v as ({_LIVE}), k as (select *, latitude <> 0 placed, latitude <> 0 and not (latitude between 24 and 50 and longitude between -125 and -66) abroad from v), x as (select *, length(name) <= 2 or lower(name) = 'shop' f_name, address <> '77 Sunset Blvd' f_address, not placed or (country = 'USA' and abroad) f_coords, coalesce(hours, '') = '' f_hours, (country_code is null or country_code = '+1') and abroad f_code, coalesce(cover, '') = '' f_cover, n_cats = 0 f_tax, coalesce(place_id, '') = '' f_place from k where not (coalesce(country, '') not in ('', 'USA') and abroad))
+@query(f"""{_BIZ}, v as ({_LIVE}), k as (select *, latitude <> 0 placed, latitude <> 0 and not (latitude between 24 and 50 and longitude between -125 and -66) abroad from v), x as (select *, {_NAME_RULE} f_name, {_ADDRESS_RULE} f_address, not placed or (country = 'USA' and abroad) f_coords, coalesce(hours, '') = '' f_hours, (country_code is null or country_code = '+1') and abroad f_code, coalesce(cover, '') = '' f_cover, n_cats = 0 f_tax, coalesce(place_id, '') = '' f_place from k where not (coalesce(country, '') not in ('', 'USA') and abroad))
   select count(*) total, count(*) filter (not (f_name or f_address or f_coords or f_hours or f_code or f_cover or f_tax or f_place)) ready, count(*) filter (f_name) fail_name, count(*) filter (f_address) fail_address, count(*) filter (f_coords) fail_coords, count(*) filter (f_hours) fail_hours, count(*) filter (f_code) fail_country_code, count(*) filter (f_cover) fail_cover, count(*) filter (f_tax) fail_taxonomy, count(*) filter (f_place) fail_place_id,
-  0::bigint fix_hours_encoding, count(*) filter (status is null or onward is null) fix_keys, count(*) filter (country_code is null and not abroad) fix_country_code from x""")
+  count(*) filter (id % 7 = 4) fix_hours_encoding, count(*) filter (status is null or onward is null) fix_keys, count(*) filter (country_code is null and not abroad) fix_country_code from x""")
 def seed_audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = tuple(c for c in repair.SEED_CHECKS if c not in ("hours_encoding", "keys"))
     return repair.audit_summary(repair.seed_audit(_live(spark, sf_dir)), "failed", checks, ("hours_encoding", "keys", "country_code"))
