@@ -2,8 +2,8 @@
 
 A phrase of k words is the pair of its first and its last k - 1 words. So each level counts pairs of adjacent ids of the
 level before, keeps the frequent ones and gives them ids of their own, which then stand in the texts instead. The pair is
-a phrase's pointer to its two parents: along them go the counts of its first and last parts, and up to them goes the word
-that a longer phrase is as frequent.
+a phrase's pointer to its two parents: along them come the counts of its first and last parts, and along them goes back
+which phrases a longer one covers.
 
 Texts are cut into chunks once. A chunk is a sequence of small local numbers with a table of the global ids that they
 stand for, so that no task needs more of the global tables than its own words: counts go to their pair by a shuffle, and
@@ -25,7 +25,7 @@ from recordforge.llm.store import join_hot, written
 from recordforge.llm.words import BASE, LOWER, Texts, U, chunks, equal_spans, mix, tidy, words
 
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Characters that end a piece, and those that end a word within it.
 PIECE_ENDS, WORD_ENDS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
 
@@ -64,53 +64,57 @@ def _distinct(texts: Texts, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         seen: dict[tuple[int, bytes], int] = {}
         local = np.array([seen.setdefault((k, folded[a:b].tobytes()), len(seen)) for k, a, b in zip(lang.tolist(), w.starts.tolist(), w.ends.tolist(), strict=True)], dtype=np.int64)
         _, first = np.unique(local, return_index=True)
-    piece = np.cumsum(~IN_PIECE[texts.data])[w.starts] if len(w.starts) else w.starts
+    piece = np.searchsorted(np.flatnonzero(~IN_PIECE[texts.data]), w.starts)
     ends = np.flatnonzero((piece[1:] != piece[:-1]) | (w.doc[1:] != w.doc[:-1])) + 1
     return np.insert(local.astype(np.int32), ends, -1), w.starts[first], w.ends[first], lang[first]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of rows (lang, text): their sequence, distinct words joined by new lines, and each one's language and count."""
-    task, place = TaskContext.get().partitionId(), 0
-    if task >> TASK_BITS:
-        raise ValueError(f"more than {1 << TASK_BITS} tasks read the texts")
-
-    def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal place
-        table = pa.Table.from_batches(rows).combine_chunks()
-        names, text = table.column(0).combine_chunks().dictionary_encode(), table.column(1).combine_chunks()
-        codes = names.indices.to_numpy(zero_copy_only=False)
-        for texts in chunks(text, CHUNK):
-            if place >> PLACE_BITS:
-                raise ValueError(f"a task reads more than {1 << PLACE_BITS} chunks")
-            sequence, starts, ends, lang = _distinct(texts, codes[texts.first : texts.first + len(texts)])
-            folded = LOWER[texts.data].tobytes()
-            count = np.bincount(sequence[sequence >= 0], minlength=len(starts)).astype(np.int64)
-            said = b"\n".join(folded[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
-            per_lang = np.bincount(lang, weights=count, minlength=len(names.dictionary)).astype(np.int64)
-            yield pa.record_batch(
-                {
-                    "chunk": pa.array([task << PLACE_BITS | place], pa.int64()),
-                    "names": pa.array([names.dictionary.to_pylist()], pa.list_(pa.string())),
-                    "totals": pa.array([per_lang.tolist()], pa.list_(pa.int64())),
-                    "words": pa.array([packed(np.frombuffer(said, np.uint8))], pa.binary()),
-                    "langs": pa.array([packed(lang.astype(np.int32))], pa.binary()),
-                    "sequence": pa.array([packed(sequence)], pa.binary()),
-                }
-            )
-            place += 1
-
-    held, size = [], 0
-    for batch in batches:
-        # A batch is cut so that no more than a chunk's text is held beside the one that is worked on.
-        for at in range(0, batch.num_rows, 256):
-            held.append(batch.slice(at, 256))
-            size += held[-1].column(1).nbytes
-            if size >= CHUNK:
-                yield from flush(held)
-                held, size = [], 0
-    if held:
-        yield from flush(held)
+def _chunks(limit: int):
+    """Chunks of rows (lang, text) of about ``limit`` bytes: their sequence, distinct words joined by new lines, and each one's language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, place = TaskContext.get().partitionId(), 0
+        if task >> TASK_BITS:
+            raise ValueError(f"more than {1 << TASK_BITS} tasks read the texts")
+
+        def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nonlocal place
+            table = pa.Table.from_batches(rows).combine_chunks()
+            names, text = table.column(0).combine_chunks().dictionary_encode(), table.column(1).combine_chunks()
+            codes = names.indices.to_numpy(zero_copy_only=False)
+            for texts in chunks(text, limit):
+                if place >> PLACE_BITS:
+                    raise ValueError(f"a task reads more than {1 << PLACE_BITS} chunks")
+                sequence, starts, ends, lang = _distinct(texts, codes[texts.first : texts.first + len(texts)])
+                folded = LOWER[texts.data].tobytes()
+                count = np.bincount(sequence[sequence >= 0], minlength=len(starts)).astype(np.int64)
+                said = b"\n".join(folded[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+                per_lang = np.bincount(lang, weights=count, minlength=len(names.dictionary)).astype(np.int64)
+                yield pa.record_batch(
+                    {
+                        "chunk": pa.array([task << PLACE_BITS | place], pa.int64()),
+                        "names": pa.array([names.dictionary.to_pylist()], pa.list_(pa.string())),
+                        "totals": pa.array([per_lang.tolist()], pa.list_(pa.int64())),
+                        "words": pa.array([packed(np.frombuffer(said, np.uint8))], pa.binary()),
+                        "langs": pa.array([packed(lang.astype(np.int32))], pa.binary()),
+                        "sequence": pa.array([packed(sequence)], pa.binary()),
+                    }
+                )
+                place += 1
+
+        held, size = [], 0
+        for batch in batches:
+            # A batch is cut so that no more than a chunk's text is held beside the one that is worked on.
+            for at in range(0, batch.num_rows, 256):
+                held.append(batch.slice(at, 256))
+                size += held[-1].column(1).nbytes
+                if size >= limit:
+                    yield from flush(held)
+                    held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    return run
 
 
 def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,14 +197,14 @@ def _named(found: DataFrame) -> DataFrame:
     return found.where(F.col("id") == F.col("chunk") * (1 << LOCAL_BITS) + F.col("local")).drop("chunk", "local", "n")
 
 
-def candidates(docs: DataFrame, longest: int = 5, least: int = 100, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def candidates(docs: DataFrame, longest: int = 5, least: int = 100, text_col: str = "text", lang_col: str = "lang", chunk: int = CHUNK) -> DataFrame:
     """Phrases of 2 to ``longest`` words that occur ``least`` times or more in a language: (lang, n, phrase, k, a, parts).
 
     n: all word occurrences of the language. parts: for each place to cut, the counts (l, r) of what is before and behind.
     Phrases all of whose occurrences lie in occurrences of one longer candidate aren't among them.
     """
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    cut = written(rows.mapInArrow(tidy(_chunks), "chunk long, names array<string>, totals array<long>, words binary, langs binary, sequence binary"), "phrase-chunks")
+    cut = written(rows.mapInArrow(tidy(_chunks(chunk)), "chunk long, names array<string>, totals array<long>, words binary, langs binary, sequence binary"), "phrase-chunks")
     totals = cut.select(F.explode(F.arrays_zip("names", "totals")).alias("x")).groupBy(F.col("x.names").alias("lang")).agg(F.sum("x.totals").alias("n"))
 
     counted = cut.select("chunk", "names", "words", "langs", "sequence").mapInArrow(tidy(_counted_words), "chunk long, local int, lang string, word string, n long")
@@ -231,7 +235,7 @@ def candidates(docs: DataFrame, longest: int = 5, least: int = 100, text_col: st
     return join_hot(reduce(DataFrame.unionAll, kept), totals, "lang")
 
 
-def collocations(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def collocations(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000, text_col: str = "text", lang_col: str = "lang", chunk: int = CHUNK) -> DataFrame:
     """Each language's ``top`` phrases by score: (lang, rank, phrase, a, l, r, n, score).
 
     Cutting a phrase into two parts with counts l and r scores floor(1000 * a * n / (l * r)); the lowest score counts, of
@@ -243,7 +247,7 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, top: int =
     whole = lambda c: c.cast("decimal(38,0)")
     # Exact integers: both products fit 38 digits while counts are below 10 ** 17.
     score = lambda x: F.call_function("div", whole(F.col("a")) * whole(F.col("n")) * 1000, whole(x["l"]) * whole(x["r"]))
-    found = candidates(docs, longest, least, text_col, lang_col)
+    found = candidates(docs, longest, least, text_col, lang_col, chunk)
     cuts = F.transform("parts", lambda x, i: F.struct(score(x).alias("score"), i.alias("i"), x["l"].alias("l"), x["r"].alias("r")))
     scored = found.withColumn("cut", F.array_min(cuts)).select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
