@@ -6,8 +6,9 @@ a phrase's pointer to its two parents: along them come the counts of its first a
 which phrases a longer one covers.
 
 Texts are cut into chunks once. A chunk is a sequence of small local numbers with a table of the global ids that they
-stand for, so that no task needs more of the global tables than its own words: counts go to their pair by a shuffle, and
-ids come back to the chunk by another, on the same partitioning. Words are told apart by content, pairs by both ids.
+stand for, so that no task needs more of the global tables than its own words. Counts of pairs are summed up by a task
+before they are shuffled. What is frequent then goes to all tasks while that is a table of a checked size; a larger one is
+joined with the chunks' own pairs. Words are told apart by content, pairs by both ids.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +36,11 @@ IN_PIECE[list(PIECE_ENDS)] = False
 WORD = IN_PIECE.copy()
 WORD[list(WORD_ENDS)] = False
 
-#: A chunk's number has so many bits for the task and for its place there; a local number has 30.
-TASK_BITS, PLACE_BITS, LOCAL_BITS = 20, 13, 30
+#: Frequent words or pairs of a level that go to all tasks, and bytes of a word among them; more are joined.
+SENT, SENT_BYTES = 1_000_000, 32
+
+#: A chunk's number has so many bits for its place in the task.
+PLACE_BITS = 20
 
 _SEQUENCE = "chunk long, ids binary, sequence binary"
 _CODEC = "zstd"
@@ -74,8 +79,6 @@ def _chunks(limit: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, place = TaskContext.get().partitionId(), 0
-        if task >> TASK_BITS:
-            raise ValueError(f"more than {1 << TASK_BITS} tasks read the texts")
 
         def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nonlocal place
@@ -180,24 +183,91 @@ def _rename(pairs: bool):
     return run
 
 
-def _frequent(counted: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
-    """Rows (chunk, local, ...) of what is frequent over all chunks, with its id and count ``f``.
+def _rename_words(sent):
+    """Chunks' sequences renamed by the frequent words, as (lang, new line, word), that were sent to all tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ids = pa.array(sent.value[0], pa.string()), sent.value[1]
+        for batch in batches:
+            for row in batch.to_pylist():
+                langs = unpacked(row["langs"])
+                if len(langs):
+                    said = pa.array(unpacked(row["words"]).tobytes().decode().split("\n"), pa.string())
+                    at = pc.fill_null(pc.index_in(pc.binary_join_element_wise(pa.array(row["names"], pa.string()).take(pa.array(langs)), said, "\n"), known), -1).to_numpy()
+                    local = np.flatnonzero(at >= 0)
+                    if len(local):
+                        yield from _renamed(row["chunk"], unpacked(row["sequence"]), pa.table({"local": local.astype(np.int32), "id": ids[at[local]]})).to_batches()
+
+    return run
 
-    An id is the least (chunk, local) that it occurs as. Counting and giving back share one shuffle; a key has at most
-    one row for each chunk.
-    """
-    dealt = counted.repartition(*keys)
-    total = dealt.groupBy(*keys).agg(F.sum("n").alias("f"), F.min(F.col("chunk") * (1 << LOCAL_BITS) + F.col("local")).alias("id")).where(F.col("f") >= least)
-    # n stays, so that both sides of the join read the same columns and so the same shuffle.
-    return written(dealt.join(total.hint("shuffle_hash"), keys), name)
 
+def _first(cut: DataFrame, least: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """The frequent words (lang, word, f, id) of chunks, and the sequences of these."""
+    cut = cut.select("chunk", "names", "words", "langs", "sequence")
+    counted = cut.mapInArrow(tidy(_counted_words), "chunk long, local int, lang string, word string, n long")
+    found = written(counted.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "phrase-words")
+    named = F.concat("lang", F.lit("\n"), "word")
+    n, size = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(named)), F.lit(0))).first()
+    if n <= most and size <= SENT_BYTES * most:
+        table = found.select(named.alias("name"), "id").toArrow()
+        sent = cut.sparkSession.sparkContext.broadcast((table.column("name").to_pylist(), table.column("id").to_numpy()))
+        return found, written(cut.mapInArrow(tidy(_rename_words(sent)), _SEQUENCE), "phrase-sequences")
+    own = counted.join(found.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "local", "id")
+    return found, written(cut.select("chunk", F.lit(None).cast("binary").alias("ids"), "sequence").groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_rename(False), _SEQUENCE), "phrase-sequences")
+
+
+class _Known:
+    """Frequent pairs and their ids, to be looked up many at a time."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray):
+        self.firsts, x = np.unique(a, return_inverse=True)
+        self.seconds, y = np.unique(b, return_inverse=True)
+        codes = x * max(len(self.seconds), 1) + y
+        order = np.argsort(codes)
+        self.codes, self.ids = codes[order], ids[order]
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs are known, and their ids."""
+        if not len(self.codes):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        x, y = (np.minimum(np.searchsorted(known, v), len(known) - 1) for known, v in ((self.firsts, a), (self.seconds, b)))
+        codes = x * len(self.seconds) + y
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        hit = np.flatnonzero((self.firsts[x] == a) & (self.seconds[y] == b) & (self.codes[at] == codes))
+        return hit, self.ids[at[hit]]
+
+
+def _rename_known(sent):
+    """Sequences renamed by the frequent pairs that were sent to all tasks."""
 
-def _named(found: DataFrame) -> DataFrame:
-    """One row for each id."""
-    return found.where(F.col("id") == F.col("chunk") * (1 << LOCAL_BITS) + F.col("local")).drop("chunk", "local", "n")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(*sent.value)
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = unpacked(row["ids"])
+                keys, sequence = _pairs(ids, unpacked(row["sequence"]))
+                if len(keys):
+                    local, found = known.find(ids[keys // len(ids)], ids[keys % len(ids)])
+                    if len(local):
+                        yield from _renamed(row["chunk"], sequence, pa.table({"local": local.astype(np.int32), "id": found})).to_batches()
+
+    return run
 
 
-def candidates(docs: DataFrame, longest: int = 5, least: int = 100, text_col: str = "text", lang_col: str = "lang", chunk: int = CHUNK) -> DataFrame:
+def _next(sequences: DataFrame, least: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """The frequent pairs (a, b, f, id) of sequences, and the sequences of these."""
+    spark = sequences.sparkSession
+    counted = sequences.mapInArrow(tidy(_counted_pairs), "chunk long, local int, a long, b long, n long")
+    found = written(counted.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "phrase-pairs")
+    if found.limit(most + 1).count() <= most:
+        table = found.select("a", "b", "id").toArrow()
+        sent = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("a", "b", "id")))
+        return found, written(sequences.mapInArrow(tidy(_rename_known(sent)), _SEQUENCE), "phrase-sequences")
+    own = counted.join(found.select("a", "b", "id"), ["a", "b"]).select("chunk", "local", "id")
+    return found, written(sequences.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_rename(True), _SEQUENCE), "phrase-sequences")
+
+
+def candidates(docs: DataFrame, longest: int = 5, least: int = 100, text_col: str = "text", lang_col: str = "lang", chunk: int = CHUNK, most: int = SENT) -> DataFrame:
     """Phrases of 2 to ``longest`` words that occur ``least`` times or more in a language: (lang, n, phrase, k, a, parts).
 
     n: all word occurrences of the language. parts: for each place to cut, the counts (l, r) of what is before and behind.
@@ -207,16 +277,13 @@ def candidates(docs: DataFrame, longest: int = 5, least: int = 100, text_col: st
     cut = written(rows.mapInArrow(tidy(_chunks(chunk)), "chunk long, names array<string>, totals array<long>, words binary, langs binary, sequence binary"), "phrase-chunks")
     totals = cut.select(F.explode(F.arrays_zip("names", "totals")).alias("x")).groupBy(F.col("x.names").alias("lang")).agg(F.sum("x.totals").alias("n"))
 
-    counted = cut.select("chunk", "names", "words", "langs", "sequence").mapInArrow(tidy(_counted_words), "chunk long, local int, lang string, word string, n long")
-    found = _frequent(counted, ["lang", "word"], least, "phrase-words")
-    sequences = cut.select("chunk", F.lit(None).cast("binary").alias("ids"), "sequence")
-    node = _named(found).select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.col("f").alias("a"), F.array().cast("array<long>").alias("before"), F.array().cast("array<long>").alias("behind"))
+    found, sequences = _first(cut, least, most)
+    node = found.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.col("f").alias("a"), F.array().cast("array<long>").alias("before"), F.array().cast("array<long>").alias("behind"))
     levels = [written(node, "phrases")]
-    for k in range(2, longest + 1):
-        sequences = written(sequences.groupBy("chunk").cogroup(found.select("chunk", "local", "id").groupBy("chunk")).applyInArrow(_rename(k > 2), _SEQUENCE), "phrase-sequences")
-        found = _frequent(sequences.mapInArrow(tidy(_counted_pairs), "chunk long, local int, a long, b long, n long"), ["a", "b"], least, "phrase-pairs")
+    for _ in range(2, longest + 1):
+        found, sequences = _next(sequences, least, most)
         first, last = levels[-1].select([F.col(c).alias(f"a_{c}") for c in levels[-1].columns]), levels[-1].select([F.col(c).alias(f"b_{c}") for c in levels[-1].columns])
-        both = _named(found).join(first, F.col("a") == F.col("a_id")).join(last, F.col("b") == F.col("b_id"))
+        both = found.join(first, F.col("a") == F.col("a_id")).join(last, F.col("b") == F.col("b_id"))
         node = both.select(
             "id", F.col("a_lang").alias("lang"), F.concat_ws(" ", "a_phrase", "b_last").alias("phrase"), F.col("b_last").alias("last"), F.col("f").alias("a"),
             F.concat("a_before", F.array("a_a")).alias("before"), F.concat(F.array("b_a"), "b_behind").alias("behind"),
@@ -235,7 +302,7 @@ def candidates(docs: DataFrame, longest: int = 5, least: int = 100, text_col: st
     return join_hot(reduce(DataFrame.unionAll, kept), totals, "lang")
 
 
-def collocations(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000, text_col: str = "text", lang_col: str = "lang", chunk: int = CHUNK) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = 5, least: int = 100, top: int = 2000, text_col: str = "text", lang_col: str = "lang", chunk: int = CHUNK, most: int = SENT) -> DataFrame:
     """Each language's ``top`` phrases by score: (lang, rank, phrase, a, l, r, n, score).
 
     Cutting a phrase into two parts with counts l and r scores floor(1000 * a * n / (l * r)); the lowest score counts, of
@@ -247,7 +314,7 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, top: int =
     whole = lambda c: c.cast("decimal(38,0)")
     # Exact integers: both products fit 38 digits while counts are below 10 ** 17.
     score = lambda x: F.call_function("div", whole(F.col("a")) * whole(F.col("n")) * 1000, whole(x["l"]) * whole(x["r"]))
-    found = candidates(docs, longest, least, text_col, lang_col, chunk)
+    found = candidates(docs, longest, least, text_col, lang_col, chunk, most)
     cuts = F.transform("parts", lambda x, i: F.struct(score(x).alias("score"), i.alias("i"), x["l"].alias("l"), x["r"].alias("r")))
     scored = found.withColumn("cut", F.array_min(cuts)).select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))

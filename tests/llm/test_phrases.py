@@ -48,11 +48,11 @@ def made(seed, n):
 
 
 @pytest.mark.parametrize(("longest", "least", "top"), [(5, 4, 2000), (3, 2, 7), (2, 5, 2000)])
-@pytest.mark.parametrize("chunk", [8 << 20, 500])
-def test_against_whole_counts(spark, longest, least, top, chunk):
+@pytest.mark.parametrize(("chunk", "most"), [(8 << 20, 1_000_000), (500, 3)])
+def test_against_whole_counts(spark, longest, least, top, chunk, most):
     rows = made(longest, 250)
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as n", "2 as word", "3 as `a.b`", "4 as id").repartition(5)
-    got = sorted(tuple(r) for r in collocations(df, longest, least, top, chunk=chunk).collect())
+    got = sorted(tuple(r) for r in collocations(df, longest, least, top, chunk=chunk, most=most).collect())
     assert got == whole(rows, longest, least, top) and got
 
 
