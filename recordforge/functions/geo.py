@@ -16,7 +16,7 @@ NARROW = (24.396, 49.384, -125.001, -66.934)
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Great-circle distance in metres."""
     half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.sqrt(half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lng1, lng2)))
+    return 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lng1, lng2))))
 
 
 def lat_degrees(metres: float) -> float:
@@ -62,11 +62,44 @@ def map_url_coordinates(url: Column) -> Column:
     return F.when(place["lat"].isNotNull() & place["lng"].isNotNull(), place).when(view["lat"].isNotNull() & view["lng"].isNotNull(), view)
 
 
-def cell(lat: Column, lng: Column, lat_step: float, lng_step: float) -> Column:
-    return F.struct(F.floor(lat / lat_step).alias("i"), F.floor(lng / lng_step).alias("j"))
+def _band(lat: Column, metres: float) -> Column:
+    """The band of latitudes, each a little more than ``metres`` high, from the equator on."""
+    return F.floor(F.degrees(F.lit(metres / EARTH_M * (1 + 1e-9))) ** -1 * lat)
 
 
-def cells_around(lat: Column, lng: Column, lat_step: float, lng_step: float) -> Column:
-    """The point's cell and its eight neighbours."""
-    c = cell(lat, lng, lat_step, lng_step)
-    return F.array(*(F.struct((c["i"] + di).alias("i"), (c["j"] + dj).alias("j")) for di in (-1, 0, 1) for dj in (-1, 0, 1)))
+def _cells_of(band: Column, metres: float) -> Column:
+    """How many cells a band has around the earth: each is as wide as ``metres`` can be in it or in a band beside it.
+
+    That is where the parallel is shortest, at the band's neighbour nearer to the pole; around a pole there are two cells.
+    """
+    height = metres / EARTH_M * (1 + 1e-9)
+    shortest = F.cos(F.least(F.lit(math.pi / 2), (F.abs(band + 0.5) + 1.5) * height))
+    half = F.lit(math.sin(metres / (2 * EARTH_M)) * (1 + 1e-9)) / F.greatest(shortest, F.lit(1e-15))
+    return F.floor(F.lit(math.pi) / F.asin(F.least(F.lit(1.0), half)))
+
+
+def _cell_at(band: Column, lng: Column, metres: float) -> tuple[Column, Column]:
+    """A longitude's cell in a band, and how many that has; 180 and -180 degrees are one place."""
+    n = _cells_of(band, metres)
+    return F.pmod(F.floor((lng + 180) / 360 * n), n), n
+
+
+def cell(lat: Column, lng: Column, metres: float) -> Column:
+    """The point's cell, struct(i, j), in a grid whose near points lie in neighbouring cells everywhere on earth."""
+    band = _band(lat, metres)
+    return F.struct(band.alias("i"), _cell_at(band, lng, metres)[0].alias("j"))
+
+
+def cells_around(lat: Column, lng: Column, metres: float) -> Column:
+    """The cells in which all points within ``metres`` lie: the longitude's cell and both neighbours, in the own band and those beside it.
+
+    Bands differ in their cells, so that a row near a pole widens no other's. Cells go round the earth, so that points on
+    both sides of 180 degrees meet.
+    """
+
+    def three(step: int) -> Column:
+        band = _band(lat, metres) + step
+        j, n = _cell_at(band, lng, metres)
+        return F.transform(F.array_distinct(F.array(j, F.pmod(j + 1, n), F.pmod(j - 1, n))), lambda x: F.struct(band.alias("i"), x.alias("j")))
+
+    return F.concat(three(-1), three(0), three(1))

@@ -126,17 +126,14 @@ def _placed(d: DataFrame) -> DataFrame:
 def near_existing(candidates: DataFrame, known: DataFrame, *, metres: float = 50, least: float = 0.85, id_col: str = "id") -> DataFrame:
     """Pairs of a candidate and a known row within ``metres`` whose names are alike: (id, known_id, distance, similarity).
 
-    Candidates go to their cell and its neighbours and meet known rows there, so that only near pairs are compared. Cells
-    are as wide as the distance is at the highest latitude of all rows, so that no near pair is two cells apart. Rows
+    Candidates go to their cell and its neighbours and meet known rows there, so that only near pairs are compared. Rows
     without a point are near nothing.
     """
     left, right = _placed(candidates), _placed(known)
-    highest = left.select("lat").unionByName(right.select("lat")).agg(F.max(F.abs("lat"))).first()[0]
-    steps = geo.lat_degrees(metres), geo.lng_degrees(metres, min(float(highest or 0), 89.0) + 0.01)
-    form = lambda d: d.withColumn("_form", dedup_form(F.col("name")))
+    form = lambda d: dedup_form(d["name"])
     split = lambda d: d.withColumns({"i": F.col("_cell.i"), "j": F.col("_cell.j")}).drop("_cell")
-    a = form(left).select(F.col(id_col).alias("id"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), F.col("_form").alias("a_form"), F.explode(geo.cells_around(F.col("lat"), F.col("lng"), *steps)).alias("_cell"))
-    b = form(right).select(F.col(id_col).alias("known_id"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), F.col("_form").alias("b_form"), geo.cell(F.col("lat"), F.col("lng"), *steps).alias("_cell"))
+    a = left.select(F.col(id_col).alias("id"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), form(left).alias("a_form"), F.explode(geo.cells_around(F.col("lat"), F.col("lng"), metres)).alias("_cell"))
+    b = right.select(F.col(id_col).alias("known_id"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), form(right).alias("b_form"), geo.cell(F.col("lat"), F.col("lng"), metres).alias("_cell"))
     dealt, copied = spread(split(a), split(b), ["i", "j"], "id")
     near = dealt.join(copied, ["i", "j", "_salt"])
     pairs = near.select("id", "known_id", geo.haversine(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")).alias("distance"), similarity(F.col("a_form"), F.col("b_form")).alias("similarity"))
@@ -150,22 +147,6 @@ def confirm(distance: Column, alike: Column, *, metres: float = 200, least: floa
     return F.struct(F.coalesce(good, F.lit(False)).alias("confirmed"), reason.alias("reason"))
 
 
-def fuzzy_pairs(rows: DataFrame, block: str, name: str, *, least: float = 0.85, id_col: str = "id") -> DataFrame:
-    """Pairs of rows of a block whose duplicate forms are alike.
-
-    Only names are compared whose lengths allow the similarity; equal forms are compared once, however many rows have
-    them. The pairs of a large block are made by many tasks; their number still grows with its different names.
-    """
-    forms = rows.select(F.col(id_col).alias("id"), F.col(block).alias("_b"), dedup_form(F.col(name)).alias("_f"))
-    names = forms.select("_b", "_f").distinct()
-    a, b = spread(names.withColumnRenamed("_f", "_fa"), names.withColumnRenamed("_f", "_fb"), ["_b"], "_fa")
-    short, long = F.least(F.length("_fa"), F.length("_fb")), F.greatest(F.length("_fa"), F.length("_fb"))
-    alike = a.join(b, ["_b", "_salt"]).where(F.col("_fa") <= F.col("_fb")).where(short >= F.floor(least * long)).withColumn("similarity", similarity(F.col("_fa"), F.col("_fb"))).where(F.col("similarity") >= least)
-    side = lambda n, out: forms.select("_b", F.col("_f").alias(n), F.col("id").alias(out))
-    pairs = alike.join(side("_fa", "x"), ["_b", "_fa"]).join(side("_fb", "y"), ["_b", "_fb"])
-    return pairs.where("_fa < _fb or x < y").select(F.least("x", "y").alias("id"), F.greatest("x", "y").alias("other_id"), "similarity")
-
-
 def remap_tree(rows: DataFrame, id_map: DataFrame, refs: list[str], *, key: str = "id") -> DataFrame:
     """A copy of rows under new ids: their own and their references become the new ones; a reference without one is null.
 

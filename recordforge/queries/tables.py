@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordforge.functions import names
 from recordforge.functions.nulls import not_true, present
-from recordforge.operators import aggregates, dedup, diffs, filters, gates, judgement, matching, queue, ranking, records, repair, sets
+from recordforge.operators import aggregates, dedup, diffs, filters, gates, judgement, matching, queue, ranking, records, repair, sets, similar
 from recordforge.plans import discovery, promotion
 from recordforge.queries.catalog import NOW, biz, biz_sql, jobs, jobs_sql, joined, now, query, table, values
 from recordforge.sources import sinks
@@ -186,7 +187,26 @@ def or_key_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with f as (select p_partkey id, p_brand || p_size b, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x not in ('the', 'a', 'an', 'and', 'co', 'inc')), ' ') n from part) select a.id, b.id other_id, round(1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n))::double, 9) similarity from f a join f b on a.b = b.b and a.id < b.id where round(1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n))::double, 9) >= 0.6")
 def fuzzy_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey id", "p_brand || p_size block", "p_name name")
-    return matching.fuzzy_pairs(rows, "block", "name", least=0.6).withColumn("similarity", F.round("similarity", 9))
+    return similar.fuzzy_pairs(rows, "block", names.dedup_form(F.col("name")), least=0.6).withColumn("similarity", F.round("similarity", 9))
+
+
+_LABEL = "lower(concat(p_name, ' ', p_brand, ' ', cast(p_size as varchar(9))))"
+
+
+@query(f"with f as (select distinct {_LABEL} n from part) select a.n a, b.n b, round(1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n))::double, 9) similarity from f a, f b where a.n < b.n and round(1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n))::double, 9) >= 0.9")
+def similar_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = table(spark, sf_dir, "part").selectExpr("'' block", f"{_LABEL} form").distinct()
+    return similar.similar_texts(forms, 0.9).select("a", "b", F.round("similarity", 9).alias("similarity"))
+
+
+# Made points on both sides of 180 degrees and around the poles, where cells differ from band to band.
+_FAR = "select {0} id, '' as name, case {0} % 4 when 0 then 89.9996 + ({0} % 7) * 0.00005 when 1 then -89.9 + ({0} % 11) * 0.0001 when 2 then 60 + ({0} % 5) * 0.0002 else -10 + ({0} % 3) * 0.0002 end lat, case {0} % 3 when 0 then 180 - ({0} % 13) * 0.0002 when 1 then -180 + ({0} % 17) * 0.0002 else ({0} * 37 % 3600) * 0.1 - 180 end lng from {1}"
+
+
+@query(f"with c as ({_FAR.format('c_custkey', 'customer')}), s as ({_FAR.format('s_suppkey', 'supplier')}), p as (select c.id, s.id known_id, 2 * 6371000 * asin(sqrt(pow(sin(radians(s.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lng - c.lng) / 2), 2))) d from c, s) select id, known_id, round(d, 2) distance from p where d <= 50")
+def polar_geo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = lambda key, t: spark.sql(_FAR.format(key, "{t}"), t=table(spark, sf_dir, t)).selectExpr("id", "name", "cast(lat as double) lat", "cast(lng as double) lng")
+    return matching.near_existing(points("c_custkey", "customer"), points("s_suppkey", "supplier")).select("id", "known_id", F.round("distance", 2).alias("distance"))
 
 
 @query("with c as (select c_custkey id, c_name as name, 40 + (c_custkey % 97) * 0.00021::double lat, -75 - (c_custkey % 89) * 0.00023::double lng from customer), s as (select s_suppkey id, replace(s_name, 'Supplier', 'Customer') as name, 40 + (s_suppkey % 97) * 0.00021::double + 0.0001 lat, -75 - (s_suppkey % 89) * 0.00023::double lng from supplier), p as (select c.id, s.id known_id, 2 * 6371000 * asin(sqrt(pow(sin(radians(s.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lng - c.lng) / 2), 2))) d, 1 - levenshtein(replace(lower(c.name), '#', ' '), replace(lower(s.name), '#', ' ')) / greatest(length(c.name), length(s.name))::double sim from c, s) select id, known_id, round(d, 3) distance, round(sim, 9) similarity from p where d <= 50 and sim >= 0.85")

@@ -6,7 +6,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from recordforge.operators import aggregates, dedup, emails, matching, queue, ranking, repair
+from recordforge.functions import geo
+from recordforge.operators import aggregates, dedup, emails, matching, queue, ranking, repair, similar
 from recordforge.sources import places, sinks
 from recordforge.streaming import jobs
 
@@ -90,7 +91,7 @@ def test_crowded_keys_give_all_pairs(spark, monkeypatch):
     got = matching.or_key_match(rows, rows, ["k"])
     assert got.count() == 40 * 39 + 10 and got.select("id", "other_id").distinct().count() == got.count()
     named = spark.range(30).selectExpr("id", "'b' block", "concat('name number ', id % 15) name")
-    pairs = {(r["id"], r["other_id"]) for r in matching.fuzzy_pairs(named, "block", "name", least=1.0).collect()}
+    pairs = {(r["id"], r["other_id"]) for r in similar.fuzzy_pairs(named, "block", F.col("name"), least=1.0).collect()}
     assert pairs == {(k, k + 15) for k in range(15)}
 
 
