@@ -13,6 +13,7 @@ joined with the chunks' own pairs. Words are told apart by content, pairs by bot
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -24,10 +25,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordforge.llm.store import join_hot, written
-from recordforge.llm.words import BASE, LOWER, Texts, U, chunks, equal_spans, mix, tidy, words
+from recordforge.llm.words import BASE, LOWER, U, chunks, equal_spans, mix, tidy, words
 
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK = 8 << 20
+CHUNK = 16 << 20
 #: Characters that end a piece, and those that end a word within it.
 PIECE_ENDS, WORD_ENDS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
 
@@ -58,20 +59,43 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(body, decompressed_size=size, codec=_CODEC, asbytes=True) if size else b"", dtype=kind)
 
 
-def _distinct(texts: Texts, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk's words: for each its local number (-1 after each piece), and start, end and language of each local number."""
-    w = words(texts, WORD, LOWER)
-    folded = LOWER[texts.data]
-    lang = langs[w.doc]
-    keys = mix(w.hashes ^ (lang.astype(np.uint64) + U(1)) * BASE)
-    _, first, local = np.unique(keys, return_index=True, return_inverse=True)
-    if not (equal_spans(folded, w.starts, w.ends, first[local]) & (lang == lang[first[local]])).all():
-        seen: dict[tuple[int, bytes], int] = {}
-        local = np.array([seen.setdefault((k, folded[a:b].tobytes()), len(seen)) for k, a, b in zip(lang.tolist(), w.starts.tolist(), w.ends.tolist(), strict=True)], dtype=np.int64)
-        _, first = np.unique(local, return_index=True)
-    piece = np.searchsorted(np.flatnonzero(~IN_PIECE[texts.data]), w.starts)
-    ends = np.flatnonzero((piece[1:] != piece[:-1]) | (w.doc[1:] != w.doc[:-1])) + 1
-    return np.insert(local.astype(np.int32), ends, -1), w.starts[first], w.ends[first], lang[first]
+def _distinct(text: pa.Array, langs: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """A chunk's words: the sequence of their local numbers (-1 after each piece), and word and language of each local number.
+
+    Texts are worked on a megabyte at a time, so that only distinct words and numbers are held for the whole chunk.
+    """
+    sequences, keys, said, spoken = [np.empty(0, np.int32)], [np.empty(0, np.uint64)], [], [np.empty(0, np.int64)]
+    for texts in chunks(text):
+        w = words(texts, WORD, LOWER)
+        folded = LOWER[texts.data]
+        lang = langs[texts.first : texts.first + len(texts)][w.doc]
+        own, first, local = np.unique(mix(w.hashes ^ (lang.astype(np.uint64) + U(1)) * BASE), return_index=True, return_inverse=True)
+        if not (equal_spans(folded, w.starts, w.ends, first[local]) & (lang == lang[first[local]])).all():
+            return _distinct_by_content(text, langs)
+        piece = np.searchsorted(np.flatnonzero(~IN_PIECE[texts.data]), w.starts)
+        ends = np.flatnonzero((piece[1:] != piece[:-1]) | (w.doc[1:] != w.doc[:-1])) + 1
+        sequences += [np.insert(local.astype(np.int32) + len(said), ends, -1), np.array([-1], np.int32)]
+        data = folded.tobytes()
+        said += [data[x:y] for x, y in zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True)]
+        keys.append(own)
+        spoken.append(lang[first])
+    lang = np.concatenate(spoken)
+    _, first, local = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    if any(said[k] != said[f] for k, f in enumerate(first[local].tolist())) or (lang != lang[first[local]]).any():
+        return _distinct_by_content(text, langs)
+    return np.append(local.astype(np.int32), np.int32(-1))[np.concatenate(sequences)], [said[k] for k in first.tolist()], lang[first]
+
+
+def _distinct_by_content(text: pa.Array, langs: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The same without hashes, for a chunk in which two words have the same one."""
+    seen: dict[tuple[int, bytes], int] = {}
+    sequence = []
+    for texts in chunks(text):
+        folded = LOWER[texts.data].tobytes()
+        for k in range(len(texts)):
+            for piece in re.split(rb"[" + re.escape(PIECE_ENDS) + rb"]", folded[texts.offsets[k] : texts.offsets[k + 1]]):
+                sequence += [seen.setdefault((int(langs[texts.first + k]), x), len(seen)) for x in re.findall(rb"[^" + re.escape(PIECE_ENDS + WORD_ENDS) + rb"]+", piece)] + [-1]
+    return np.array(sequence, np.int32), [x for _, x in seen], np.array([k for k, _ in seen], np.int64)
 
 
 def _chunks(limit: int):
@@ -85,25 +109,22 @@ def _chunks(limit: int):
             table = pa.Table.from_batches(rows).combine_chunks()
             names, text = table.column(0).combine_chunks().dictionary_encode(), table.column(1).combine_chunks()
             codes = names.indices.to_numpy(zero_copy_only=False)
-            for texts in chunks(text, limit):
-                if place >> PLACE_BITS:
-                    raise ValueError(f"a task reads more than {1 << PLACE_BITS} chunks")
-                sequence, starts, ends, lang = _distinct(texts, codes[texts.first : texts.first + len(texts)])
-                folded = LOWER[texts.data].tobytes()
-                count = np.bincount(sequence[sequence >= 0], minlength=len(starts)).astype(np.int64)
-                said = b"\n".join(folded[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
-                per_lang = np.bincount(lang, weights=count, minlength=len(names.dictionary)).astype(np.int64)
-                yield pa.record_batch(
-                    {
-                        "chunk": pa.array([task << PLACE_BITS | place], pa.int64()),
-                        "names": pa.array([names.dictionary.to_pylist()], pa.list_(pa.string())),
-                        "totals": pa.array([per_lang.tolist()], pa.list_(pa.int64())),
-                        "words": pa.array([packed(np.frombuffer(said, np.uint8))], pa.binary()),
-                        "langs": pa.array([packed(lang.astype(np.int32))], pa.binary()),
-                        "sequence": pa.array([packed(sequence)], pa.binary()),
-                    }
-                )
-                place += 1
+            if place >> PLACE_BITS:
+                raise ValueError(f"a task reads more than {1 << PLACE_BITS} chunks")
+            sequence, said, lang = _distinct(text, codes)
+            count = np.bincount(sequence[sequence >= 0], minlength=len(said))
+            per_lang = np.bincount(lang, weights=count, minlength=len(names.dictionary)).astype(np.int64)
+            yield pa.record_batch(
+                {
+                    "chunk": pa.array([task << PLACE_BITS | place], pa.int64()),
+                    "names": pa.array([names.dictionary.to_pylist()], pa.list_(pa.string())),
+                    "totals": pa.array([per_lang.tolist()], pa.list_(pa.int64())),
+                    "words": pa.array([packed(np.frombuffer(b"\n".join(said), np.uint8))], pa.binary()),
+                    "langs": pa.array([packed(lang.astype(np.int32))], pa.binary()),
+                    "sequence": pa.array([packed(sequence)], pa.binary()),
+                }
+            )
+            place += 1
 
         held, size = [], 0
         for batch in batches:

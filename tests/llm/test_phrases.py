@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from recordforge.llm import phrases
@@ -57,24 +59,23 @@ def test_against_whole_counts(spark, longest, least, top, chunk, most):
 
 
 def test_words_that_hashes_confuse(monkeypatch):
-    """A hash that takes all words for one: content tells them apart."""
-    import numpy as np
-    import pyarrow as pa
+    """Hashes that take all words of a text, or words of different megabytes, for one: content tells them apart."""
+    text, langs = pa.array(["b A b\nb", "a c. b", "", " ", "ä;é"]), np.array([0, 1, 0, 1, 1])
 
-    from recordforge.llm.words import chunks
+    def said():
+        sequence, words, lang = phrases._distinct(text, langs)
+        flat = [None if i < 0 else (int(lang[i]), words[i].decode()) for i in sequence]
+        return [x for k, x in enumerate(flat) if x or (k and flat[k - 1])]
 
-    texts = next(chunks(pa.array(["b a b", "a c. b"])))
-    langs = np.array([0, 1])
-    good = phrases._distinct(texts, langs)
-    real = phrases.words
-    monkeypatch.setattr(phrases, "words", lambda *a: (w := real(*a), setattr(w, "hashes", np.zeros_like(w.hashes)))[0])
-    bad = phrases._distinct(texts, langs)
-
-    def said(found):
-        sequence, starts, ends, lang = found
-        return [None if i < 0 else (int(lang[i]), texts.data[starts[i] : ends[i]].tobytes()) for i in sequence]
-
-    assert said(good) == said(bad) == [(0, b"b"), (0, b"a"), (0, b"b"), None, (1, b"a"), (1, b"c"), None, (1, b"b")]
+    want = [(0, "b"), (0, "a"), (0, "b"), None, (0, "b"), None, (1, "a"), (1, "c"), None, (1, "b"), None, (1, "ä"), None, (1, "é"), None]
+    assert said() == want
+    chunks, words = phrases.chunks, phrases.words
+    monkeypatch.setattr(phrases, "chunks", lambda t: chunks(t, 1))
+    assert said() == want
+    monkeypatch.setattr(phrases, "words", lambda *a: (w := words(*a), setattr(w, "hashes", np.zeros_like(w.hashes)))[0])
+    assert said() == want
+    monkeypatch.setattr(phrases, "chunks", chunks)
+    assert said() == want
 
 
 def test_long_text_repeated_rows_and_empty_table(spark):
@@ -85,7 +86,5 @@ def test_long_text_repeated_rows_and_empty_table(spark):
 
 
 def test_packing_of_numbers():
-    import numpy as np
-
     for x in (np.arange(5, dtype=np.int32), np.array([], dtype=np.int64), np.frombuffer(b"ab:c", np.uint8)):
         assert unpacked(packed(x)).tolist() == x.tolist() and unpacked(packed(x)).dtype == x.dtype
