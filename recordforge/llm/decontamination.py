@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordforge.llm.store import drop, written
+from recordforge.llm.store import by_position, drop, written
 from recordforge.llm.words import ALNUM, BASE, LOWER, U, Texts, chunks, mix, tidy, words
 
 #: Words in a test string; an item with fewer words is one test string.
@@ -254,9 +254,12 @@ def _task(shared, last: bool, again: bool):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` in which ``find_contamination`` finds no hit, with all their columns.
 
-    A null text stays. Repeated rows stay or go together. Blocks are passed over one after the other, each over what the
-    ones before it kept, so that one block's tables are in memory at a time.
+    A null text stays; a very long one is searched whole. Repeated rows stay or go together; an empty table stays empty, and
+    an empty benchmark drops nothing. Columns may have any names. Blocks are passed over one after the other, each over what
+    the ones before it kept, so that one block's tables are in memory at a time.
     """
+    names, docs = docs.columns, by_position(docs)
+    text_col = f"c{names.index(text_col)}"
     out, before = docs, []
     pieces, parts = _blocks(benchmark, item_col, item_text_col, block_bytes, window)
     for k, part in enumerate(parts):
@@ -265,7 +268,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
         if k < len(parts) - 1:
             out = _finished(out, shared, before)
     drop(pieces)
-    return out
+    return out.toDF(*names)
 
 
 def _clean_task(shared, text_col: str):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordforge.llm.components import connected_components, root_of
-from recordforge.llm.store import drop, join_hot, written
+from recordforge.llm.store import by_position, drop, join_hot, written
 from recordforge.llm.words import LOWER, NOT_SPACE, U, chunks, mix, tidy, windows, words
 
 TREES = 16
@@ -516,20 +516,21 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int =
     """One row of each class of ``near_duplicates``, with all columns: that of the least id; rows without an id come last.
 
     Where ids are null or repeated, rows get keys of their own in a written copy of the table, so that of repeated rows
-    one stays. Each row without words is a class of its own and stays.
+    one stays. Each row without words is a class of its own and stays; a very long text is hashed whole. An empty table stays
+    empty. Columns may have any names.
     """
+    names, docs = docs.columns, by_position(docs)
+    id_col, text_col = (f"c{names.index(c)}" for c in (id_col, text_col))
     odd = docs.groupBy(F.col(id_col)).count().where(F.col("count") > 1).union(docs.where(F.col(id_col).isNull()).select(id_col, F.lit(1).cast("long")))
     if odd.isEmpty():
         keep = near_duplicates(docs, shingle=shingle, threshold=threshold, id_col=id_col, text_col=text_col).where("kept").select(id_col)
-        return docs.join(keep.hint("shuffle_hash"), id_col, "left_semi")
+        return docs.join(keep.hint("shuffle_hash"), id_col, "left_semi").select(*docs.columns).toDF(*names)
     key = "row_key"
-    while key in docs.columns:
-        key += "_"
     keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
     classes = near_duplicates(keyed, shingle=shingle, threshold=threshold, id_col=key, text_col=text_col)
     named = classes.select(key, "component_id").join(keyed.select(key, F.col(id_col).alias("own_id")), key)
     keep = named.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", F.col(key).alias("k"))).alias("first")).select(F.col("first.k").alias(key))
-    return keyed.join(keep, key, "left_semi").select(*docs.columns)
+    return keyed.join(keep, key, "left_semi").select(*docs.columns).toDF(*names)
 
 
 def _own_text(shingle: int):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordforge.llm.label_model import LabelModel, fit
-from recordforge.llm.store import written
+from recordforge.llm.store import by_position, written
 from recordforge.llm.words import tidy
 
 #: In the order that breaks ties.
@@ -290,8 +290,11 @@ def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:
 def redact_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, length_col: str | None = None) -> DataFrame:
     """``docs`` with all spans that ``find_pii`` gives replaced in the text; other columns stay as they are.
 
-    length_col: a column to set to the new text's length in code points. A null text stays null.
+    length_col: a column to set to the new text's length in code points. A null text stays null; a very long one is
+    searched whole. Repeated rows are changed alike, and an empty table stays empty. Columns may have any names.
     """
+    names, docs = docs.columns, by_position(docs)
+    id_col, text_col, length_col = (c and f"c{names.index(c)}" for c in (id_col, text_col, length_col))
     model = fit_pii(find_candidates(docs, id_col=id_col, text_col=text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,4 +310,6 @@ def redact_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields])
     out = docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(tidy(run), schema)
-    return out if length_col is None else out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
+    if length_col:
+        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
+    return out.toDF(*names)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordforge.llm.label_model import LabelModel, fit
-from recordforge.llm.store import written
+from recordforge.llm.store import by_position, written
 from recordforge.llm.words import BASE, LOWER, NOT_SPACE, SAME, Texts, U, chunks, mix, span_hashes, tidy, windows, words
 
 REPEAT_WORDS = 8
@@ -180,13 +180,14 @@ def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
 
     The counts are made a second time beside the rows instead of joining on ids, which may repeat or be null. A null or
-    empty text goes; repeated rows stay or go together; an empty table stays empty.
+    empty text goes; a very long one is counted whole, alone; repeated rows stay or go together; an empty table stays empty.
+    Columns may have any names.
     """
+    names, docs = docs.columns, by_position(docs)
+    id_col, text_col = (f"c{names.index(c)}" for c in (id_col, text_col))
     model = fit_quality(quality_features(docs, id_col=id_col, text_col=text_col))
     schema = docs.schema
     name = "quality_features"
-    while name in docs.columns:
-        name += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,4 +202,4 @@ def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     kind = ", ".join(f"{x} long" for x in FEATURES)
     with_features = docs.mapInArrow(tidy(run), T.StructType([*schema.fields, T.StructField(name, T.StructType.fromDDL(kind))]))
     features = with_features.select(F.struct(*docs.columns).alias("row"), F.col(f"{name}.*"))
-    return score_quality(features, model, threshold=threshold).where("kept").select("row.*")
+    return score_quality(features, model, threshold=threshold).where("kept").select("row.*").toDF(*names)

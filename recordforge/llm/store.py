@@ -46,6 +46,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def by_position(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns c0, c1 and so on: Arrow tasks resolve columns by name, which fails for names with dots."""
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete written tables that no later plan reads."""
     for df in frames:

@@ -53,6 +53,18 @@ def test_each_stage_does_its_work(spark, sf001, steps):
     assert set(ids(packed)) == set(ids(redacted)) and max(fill.values()) <= 1024
 
 
+def test_columns_of_any_name(spark, sf001):
+    """Stages keep columns with dots and with the names that operators use themselves, and an empty table."""
+    docs = spark.read.parquet(f"{sf001}/documents.parquet")
+    odd = docs.selectExpr("1 as `a.b`", "*", "2 as `row`", "3 as row_key", "4 as quality_features", "5 as id", "6 as `c0`").where("doc_id % 4 = 0")
+    for table in (odd, odd.unionByName(odd.where("doc_id < 20")), odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, sf001)
+            assert out.columns == odd.columns and [f.dataType for f in out.schema] == [f.dataType for f in odd.schema], name
+            assert {tuple(r[k] for k in (0, 6, 7, 8, 9, 10)) for r in out.collect()} <= {(1, 2, 3, 4, 5, 6)}
+        assert corpus_pipeline.STAGES[-1][1](spark, table, sf001).count() >= 0
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, sf001, name):
     assert_same(QUERIES[name](spark, sf001), connect(sf001), SQL[name])
