@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from recordforge.llm.store import written
 
 PROBES, WORDS, BITS_PER_URL = 8, 4, 16
-#: A filter of up to so many 64-bit words (512 KB) is part of the plan; a larger one is a table that keys are joined with.
-INLINE_WORDS = 1 << 16
+#: A filter of up to so many blocks (40 bytes each) goes to all tasks; a larger one is joined by a shuffle of the keys.
+SENT_BLOCKS = 1 << 18
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -30,10 +30,10 @@ def canonical(host: Column, path: Column) -> Column:
     return F.concat(host, F.when(path == "", "/").otherwise(path))
 
 
-def lookup_keys(host: Column, path: Column) -> Column:
-    """Keys under which a URL can be listed: its host or a parent domain, with its own path or the root."""
+def lookup_keys(host: Column, path: Column, most: int) -> Column:
+    """Keys under which a URL can be listed: its host or a parent domain of at most ``most`` labels, with its own path or the root."""
     labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - (most - 1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     both = F.flatten(F.transform(hosts, lambda h: F.array(F.concat(h, F.lit("/")), canonical(h, path))))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(both))
 
@@ -62,7 +62,7 @@ def _all_set(key: Column, word_of) -> Column:
     return out
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", listed_col: str = "url", inline_words: int = INLINE_WORDS) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", listed_col: str = "url", sent_blocks: int = SENT_BLOCKS) -> DataFrame:
     """Judge each page's URL.
 
     rules: (verdict, host, path); a rule fits its host and all subdomains if the URL's path starts with the rule's path,
@@ -72,8 +72,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
 
     A null URL or one without ``://`` has neither host nor path; no rule and no listed URL fits it. Repeated and null
     listed URLs count once and not at all; an empty list blocks nothing. Repeated pages each get a row. A very long URL is
-    handled whole. An empty table gives an empty result. Other columns are ignored. Only rows that neither a rule nor the
-    filter decides are shuffled.
+    handled whole; of a host's parents only those are looked up that have no more labels than the longest listed host. An
+    empty table gives an empty result. Other columns are ignored. Keys that the filter clears aren't shuffled.
     """
     host, path = host_and_path(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
@@ -85,26 +85,15 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
 
     listed_host, listed_path = host_and_path(F.col(listed_col).cast("string"))
     keys = written(listed.select(listed_host.alias("h"), listed_path.alias("p")).where("h <> ''").select(canonical(F.col("h"), F.col("p")).alias("key")).distinct(), "listed")
-    n_blocks = max(1, -(-keys.count() * BITS_PER_URL // (64 * WORDS)))
+    n, labels = keys.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(F.split(F.substring_index("key", "/", 1), r"\."))), F.lit(1))).first()
+    n_blocks = max(1, -(-n * BITS_PER_URL // (64 * WORDS)))
     bloom = build_filter(keys, n_blocks)
     out_cols = (F.col("id").alias(id_col), "host", "path", "rule")
-    tried = rows.where("ruled is null").withColumn("keys", lookup_keys(F.col("host"), F.col("path")))
-    done = rows.where("ruled is not null").select(*out_cols, F.col("ruled").alias("verdict"))
-    inline = n_blocks * WORDS <= inline_words
-    if inline:
-        words = [0] * (n_blocks * WORDS)
-        for r in bloom.collect():
-            words[r["block"] * WORDS : (r["block"] + 1) * WORDS] = r[1:]
-        table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>")
-        tried = tried.withColumn("keys", F.filter("keys", lambda k: _all_set(k, lambda w: F.get(table, _block(k, n_blocks) * WORDS + w))))
-        # What the filter has cleared needn't be joined with anything.
-        done = done.unionByName(tried.where(F.size("keys") == 0).select(*out_cols, F.lit("allow").alias("verdict")))
-        tried = tried.where(F.size("keys") > 0)
-    possible = tried.select("host", "path", "keys").distinct().select("host", "path", F.explode("keys").alias("key"))
-    if not inline:
-        met = possible.select("key").distinct().withColumn("block", _block(F.col("key"), n_blocks)).join(bloom, "block")
-        passed = met.where(_all_set(F.col("key"), lambda w: F.get(F.array(*(f"w{k}" for k in range(WORDS))), w))).select("key")
-        possible = possible.join(passed.join(keys, "key", "left_semi"), "key", "left_semi")
+    tried = rows.where("ruled is null")
+    looked = tried.select("host", "path", F.explode(lookup_keys(F.col("host"), F.col("path"), labels)).alias("key")).withColumn("block", _block(F.col("key"), n_blocks))
+    passes = (F.col("block") == F.col("own")) & _all_set(F.col("key"), lambda w: F.get(F.array(*(f"w{k}" for k in range(WORDS))), w))
+    known = bloom.withColumnRenamed("block", "own")
+    possible = looked.join(F.broadcast(known) if n_blocks <= sent_blocks else known, passes, "left_semi").drop("block")
     blocked = possible.join(keys, "key", "left_semi").select("host", "path").distinct().withColumn("hit", F.lit(True))
     judged = tried.join(blocked, ["host", "path"], "left").select(*out_cols, F.when(F.col("hit"), "block").otherwise("allow").alias("verdict"))
-    return done.unionByName(judged)
+    return rows.where("ruled is not null").select(*out_cols, F.col("ruled").alias("verdict")).unionByName(judged)
