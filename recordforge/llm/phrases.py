@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordforge.llm.store import join_hot, written
+from recordforge.llm.store import drop, join_hot, written
 from recordforge.llm.words import BASE, LOWER, U, chunks, equal_spans, mix, tidy, words
 
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
@@ -296,13 +296,16 @@ def candidates(docs: DataFrame, longest: int = 5, least: int = 100, text_col: st
     """
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     cut = written(rows.mapInArrow(tidy(_chunks(chunk)), "chunk long, names array<string>, totals array<long>, words binary, langs binary, sequence binary"), "phrase-chunks")
-    totals = cut.select(F.explode(F.arrays_zip("names", "totals")).alias("x")).groupBy(F.col("x.names").alias("lang")).agg(F.sum("x.totals").alias("n"))
+    totals = written(cut.select(F.explode(F.arrays_zip("names", "totals")).alias("x")).groupBy(F.col("x.names").alias("lang")).agg(F.sum("x.totals").alias("n")), "phrase-totals")
 
     found, sequences = _first(cut, least, most)
+    drop(cut)
     node = found.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.col("f").alias("a"), F.array().cast("array<long>").alias("before"), F.array().cast("array<long>").alias("behind"))
     levels = [written(node, "phrases")]
     for _ in range(2, longest + 1):
-        found, sequences = _next(sequences, least, most)
+        before = sequences
+        found, sequences = _next(before, least, most)
+        drop(before)
         first, last = levels[-1].select([F.col(c).alias(f"a_{c}") for c in levels[-1].columns]), levels[-1].select([F.col(c).alias(f"b_{c}") for c in levels[-1].columns])
         both = found.join(first, F.col("a") == F.col("a_id")).join(last, F.col("b") == F.col("b_id"))
         node = both.select(
@@ -311,6 +314,7 @@ def candidates(docs: DataFrame, longest: int = 5, least: int = 100, text_col: st
             F.when(F.col("f") >= F.col("a_a"), F.col("a")).alias("covers_a"), F.when(F.col("f") >= F.col("b_a"), F.col("b")).alias("covers_b"),
         )
         levels.append(written(node, "phrases"))
+    drop(sequences)
 
     kept = []
     for k in range(2, longest + 1):
