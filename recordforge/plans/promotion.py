@@ -9,6 +9,7 @@ from recordforge.functions.nulls import is_true, present
 from recordforge.operators.diffs import preview, unit_counts
 from recordforge.operators.gates import PROMOTION, Profile, evaluate, first_fail
 from recordforge.operators.matching import has_any_child, merge_parent, two_tier_match
+from recordforge.sources.versions import Versioned
 
 
 def scope(rows: DataFrame, profile: Profile = PROMOTION) -> DataFrame:
@@ -75,3 +76,26 @@ def sync_plan(source: DataFrame, target: DataFrame, columns: list[str], outlets:
     units = unit_counts(outlets.join(synced.select(F.col("id").alias("parent_id")), "parent_id", "left_semi"))
     made = synced.join(wallets.select(F.col("owner_id").alias("id")), "id", "left_anti").select(F.col("id").alias("owner_id"), F.lit(0).alias("credits"), F.lit(100).alias("total_credits"), F.lit("active").alias("status"))
     return {"patches": patches, "units": units, "wallets": made, "markers": synced.withColumn("version", F.lit(version))}
+
+
+def apply_sync(plan: dict[str, DataFrame], tables: dict[str, Versioned], *, environment: str, allowed: tuple[str, ...] = ("staging",), dry_run: bool = True) -> DataFrame:
+    """Write a ``sync_plan`` to its tables (businesses, units, wallets, markers), or tell how much it would write: (table, rows, version).
+
+    Only in an allowed environment, one at a time, as the markers' table is held meanwhile. Markers come last: a run that
+    fails before them is repeated, and repeating changes nothing, as patches set values, units and markers replace their
+    key's row, and a wallet is made only where there is none.
+    """
+    parts = {"businesses": plan["patches"].drop("changed_fields"), "units": plan["units"], "wallets": plan["wallets"], "markers": plan["markers"]}
+    sizes = {name: rows.count() for name, rows in parts.items()}
+    versions: dict[str, int | None] = dict.fromkeys(parts)
+    if not dry_run:
+        if environment not in allowed:
+            raise PermissionError(f"nothing may be applied to {environment}")
+        with tables["markers"].locked(environment):
+            patches = parts["businesses"]
+            versions["businesses"] = tables["businesses"].update(patches, [c for c in patches.columns if c != "id"])
+            versions["units"] = tables["units"].merge(parts["units"])
+            versions["wallets"] = tables["wallets"].insert_missing(parts["wallets"])
+            versions["markers"] = tables["markers"].merge(parts["markers"])
+    spark = tables["markers"].spark
+    return spark.createDataFrame([(name, sizes[name], versions[name]) for name in parts], "table string, rows long, version long")
