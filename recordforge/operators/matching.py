@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -211,35 +210,6 @@ def cascade_look_up(rows: DataFrame, table: DataFrame, keys: list[Column], *, ou
     return found.withColumn(out, F.coalesce(*(F.col(f"_v{i}") for i in range(len(keys))))).select(*rows.columns, out)
 
 
-def area_in_text(rows: DataFrame, areas: DataFrame, text: str, *, key: str = "id", max_areas: int = 200_000) -> DataFrame:
-    """The first area (by its ordinal) whose name is a piece of the text, and its city unless several cities have it.
-
-    areas: (area, city, ordinal), a gazetteer of at most ``max_areas`` names that goes to all tasks; a larger one is
-    refused. Each text is read once for all names. Adds ``area``, ``area_city`` and ``ambiguous``.
-    """
-    names = areas.where("area <> ''").groupBy(F.lower("area").alias("_a")).agg(F.min("ordinal").alias("_o"), F.array_sort(F.collect_set("city")).alias("_cities"))
-    known = names.limit(max_areas + 1).collect()
-    if len(known) > max_areas:
-        raise ValueError(f"the gazetteer has more than {max_areas} names")
-    ordered = sorted(known, key=lambda r: (r["_o"], r["_a"]))
-    shared = rows.sparkSession.sparkContext.broadcast([r["_a"] for r in ordered])
-
-    @F.pandas_udf("int")
-    def first_area(texts: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        found = ahocorasick.Automaton()
-        for k, name in enumerate(shared.value):
-            found.add_word(name, k)
-        if shared.value:
-            found.make_automaton()
-        return texts.map(lambda t: min((k for _, k in found.iter(t)), default=-1) if t and shared.value else -1)
-
-    table = rows.sparkSession.createDataFrame([(k, r["_a"], r["_cities"]) for k, r in enumerate(ordered)], "_k int, area string, _cities array<string>")
-    hit = rows.withColumn("_k", first_area(F.lower(text))).join(F.broadcast(table), "_k", "left").withColumn("ambiguous", F.coalesce(F.size("_cities") > 1, F.lit(False)))
-    return hit.withColumn("area_city", F.when(~F.col("ambiguous"), F.get("_cities", F.lit(0)))).select(*rows.columns, "area", "ambiguous", "area_city")
-
-
 def provenance(rows: DataFrame, users: DataFrame, links: DataFrame) -> DataFrame:
     """Who seeded a row: a user that lists it, else its authorised user, else its creator; only seeders count.
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from recordforge.functions import address, contact, hours, text
 from recordforge.functions.nulls import bind, blank, fired, first_truthy, present, sure
-from recordforge.operators.matching import area_in_text, cascade_look_up
+from recordforge.operators.contained import area_in_text, map_categories
+from recordforge.operators.matching import cascade_look_up
 
 ISSUE = "struct<field:string,message:string,severity:string>"
 
@@ -102,7 +103,8 @@ def transform_event(rows: DataFrame) -> DataFrame:
 def map_category(raw: Column, table: list[tuple[str, str, list[str]]], industry: str | None = None, default: str = "Food & Drinks") -> Column:
     """struct(industry, categories, is_fallback): the exact key, else the first key that holds or is held by the text.
 
-    Only hits of the wanted industry count; an exact hit of another ends the search. table: (key, industry, categories).
+    Only hits of the wanted industry count; an exact hit of another ends the search. table: (key, industry, categories), a
+    short list, as each key is two conditions of the plan; ``contained.map_categories`` takes a table of any size.
     """
     key = F.lower(F.trim(raw))
     want = (industry or "").strip().lower()
@@ -118,13 +120,15 @@ def map_category(raw: Column, table: list[tuple[str, str, list[str]]], industry:
     return F.when(F.coalesce(key, F.lit("")) == "", none).otherwise(out)
 
 
-def adapt(rows: DataFrame, categories: list[tuple[str, str, list[str]]], *, areas: DataFrame | None = None, emails: DataFrame | None = None, default_state: str | None = None) -> DataFrame:
+def adapt(rows: DataFrame, categories: DataFrame | list[tuple[str, str, list[str]]], *, areas: DataFrame | None = None, emails: DataFrame | None = None, default_state: str | None = None) -> DataFrame:
     """A scraped listing as a canonical business, with ``warnings``.
 
     Columns read: id, name, place_id, url, address, coordinates, phone, website, hours, category, country, rating,
     review_count, description, and as far as they are there city, state, locality and email. areas: (area, city,
     ordinal, state, area_state), a gazetteer; emails: (key, value), addresses by place id, website or domain.
 
+    categories: the category map, a short list or a table (key, industry, categories, ordinal) of any size.
+
     City: the record's own, else its address's; the name of a state is none. State: the default, else that of the one
     city whose area the text names, else the record's or address's; an area's own state comes before all of these.
     Locality: the area's name, else the record's. E-mails: by place id, website, website without its last slash, domain,
@@ -140,7 +144,7 @@ def adapt(rows: DataFrame, categories: list[tuple[str, str, list[str]]], *, area
         out = out.withColumns({"area": none, "ambiguous": F.lit(False), "_in": none, "_over": none})
     else:
         stated = areas.groupBy(F.lower("area").alias("area"), F.col("city").alias("area_city")).agg(F.min_by("state", "ordinal").alias("_in"), F.min_by("area_state", "ordinal").alias("_over"), F.min_by("area", "ordinal").alias("_named"))
-        out = area_in_text(out, areas, "_hay").join(F.broadcast(stated), ["area", "area_city"], "left").withColumn("area", F.col("_named")).drop("_named", "area_city")
+        out = area_in_text(out, areas, "_hay").join(stated, ["area", "area_city"], "left").withColumn("area", F.col("_named")).drop("_named", "area_city")
     out = bind(out, _state_code=address.state_code(F.col("_state")), _city_state=address.state_code(F.col("_city")))
     parsed_state = F.col("_state_code")
     state = F.coalesce(address.state_code(F.col("_over")), F.lit(default_state).cast("string"), F.col("_in"), parsed_state, F.lit(""))
@@ -149,8 +153,9 @@ def adapt(rows: DataFrame, categories: list[tuple[str, str, list[str]]], *, area
         out, street=F.col("_a.street"), unit=F.col("_a.unit"), city=F.when(F.col("_city_state").isNull(), F.col("_city")).otherwise(""), state=state, postal_code=F.col("_a.postal_code"),
         locality=F.coalesce("area", F.nullif("_locality", F.lit(""))), country=F.coalesce(F.nullif(F.trim("country"), F.lit("")), F.col("_a.country")), latitude=lat, longitude=lng, phone_digits=F.col("_ph.phone"),
         place_id=first_truthy(contact.place_id_of(F.col("url")), F.col("place_id")), rating=F.coalesce(text.number_prefix(F.col("rating")), F.lit(0.0)), review_count=text.count_prefix(F.col("review_count")), website=contact.website(F.col("website")),
-        mapped=map_category(F.col("category"), categories), status=F.lit(4.1), onward=F.lit(False),
+        status=F.lit(4.1), onward=F.lit(False),
     )
+    out = bind(out, mapped=map_category(F.col("category"), categories)) if isinstance(categories, list) else map_categories(out, F.col("category"), categories)
     out = bind(out, tags=text.make_tags(F.col("name"), F.col("category"), F.col("street"), F.col("description")), country_code=contact.country_code(F.col("_ph.country_code"), F.col("country"), F.col("state"), F.col("latitude"), F.col("longitude")))
     listed = F.nullif(contact.split_emails(own("email")), F.array().cast("array<string>"))
     if emails is None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordforge.operators import aggregates, diffs, filters, matching, queue, ranking, records, repair
+from recordforge.operators import aggregates, contained, diffs, filters, matching, queue, ranking, records, repair
 from recordforge.plans import discovery, promotion
 from recordforge.queries.catalog import NOW, biz, biz_sql, jobs, jobs_sql, joined, now, query, table
 
@@ -143,7 +143,7 @@ def cohort_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
 def areas_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey id", "case s_suppkey % 4 when 0 then 'near OLD TOWN square' when 1 then 'At HarborSide' when 2 then 'Harbor of the Old Town' else 'nowhere' end words")
     areas = spark.createDataFrame([("Old Town", "York", 1), ("Old Town", "Bern", 4), ("Harbor", "Boston", 2), ("", "None", 0), ("Hill", "Rome", 3)], "area string, city string, ordinal int")
-    return matching.area_in_text(rows, areas, "words").select("id", "area", "ambiguous", "area_city")
+    return contained.area_in_text(rows, areas, "words").select("id", "area", "ambiguous", "area_city")
 
 
 @query("select s_suppkey id, case when s_suppkey % 2 = 0 then 'p' || s_suppkey when s_suppkey % 3 = 0 then 'site' when s_suppkey % 5 = 0 then 'own' end emails from supplier")
@@ -311,3 +311,29 @@ def picked_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("label"), F.col("event_id").alias("value"), F.col("event_id").alias("position"))
     return ranking.first_label(rows, "user_id", {"purchase": 1, "click": 2})
+
+
+@query("select c_custkey, (select min(s_suppkey) from supplier where contains(c_name, cast(s_suppkey as varchar)) and s_suppkey > 9)::varchar as first from customer")
+def first_keys_in_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least supplier key whose digits stand in a customer's name, by the join that takes gazetteers of any size."""
+    names = table(spark, sf_dir, "supplier").where("s_suppkey > 9").selectExpr("cast(s_suppkey as string) name", "s_suppkey ordinal")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return contained.first_contained(rows, F.col("c_name"), names, sent=0).select("c_custkey", "first")
+
+
+#: A category map from the parts: second words, whole names, and names with more behind them, which hold the raw ones.
+_CATEGORY_TABLE = """
+select distinct split_part(p_name, ' ', 2) key, 'Goods' industry, cast(100 + length(p_name) * 7 % 13 as int) ordinal from {part} where p_partkey % 2 = 0 and length(p_name) % 2 = 0
+union select distinct concat(p_name, ' deluxe') key, 'Luxury' industry, cast(100 + length(p_name) * 5 % 11 as int) ordinal from {part} where length(p_name) % 3 = 0
+union select distinct p_name key, 'Goods' industry, 1 ordinal from {part} where length(p_name) % 5 = 0
+"""
+
+
+@query(f"with t as (select key, industry, row_number() over (order by ordinal, key) o from ({_CATEGORY_TABLE.format(part='part')}) qualify row_number() over (partition by key order by ordinal, industry) = 1), n as (select distinct p_name from part), m as (select p_name, coalesce(max(case when key = p_name then industry end), arg_min(industry, o)) industry, coalesce(max(case when key = p_name then key end), arg_min(key, o)) key from n left join t on contains(p_name, key) or contains(key, p_name) group by 1) select p_partkey, coalesce(industry, 'None') industry, coalesce(key, '') category, key is null is_fallback from part join m using (p_name)")
+def category_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names through a category map that is a table: exact keys, keys within the name, and keys that hold it."""
+    given = spark.sql(_CATEGORY_TABLE, part=table(spark, sf_dir, "part"))
+    once = given.groupBy("key").agg(F.min_by("industry", F.struct("ordinal", "industry")).alias("industry"), F.min("ordinal").alias("at"))
+    keys = once.select("key", "industry", F.array("key").alias("categories"), F.struct("at", "key").alias("ordinal"))
+    out = contained.map_categories(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("p_name"), keys, default="None", sent=0)
+    return out.select("p_partkey", F.col("mapped.industry").alias("industry"), F.coalesce(F.get("mapped.categories", F.lit(0)), F.lit("")).alias("category"), F.col("mapped.is_fallback").alias("is_fallback"))
