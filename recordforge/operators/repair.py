@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -254,3 +256,66 @@ def purge_plan(roots: DataFrame, chain: list[tuple[str, DataFrame, str, str]], *
         out.append(below.select(F.lit(name).alias("table"), F.col(own).cast("string").alias("key")))
         keys = below.select(F.col(own).alias("_k"))
     return reduce(DataFrame.unionByName, out)
+
+
+@dataclass(frozen=True)
+class Below:
+    """A table that hangs below others: its rows go with any row of a parent that one of ``parents`` names, as (table, column).
+
+    table: a DataFrame, or what reads one, which may fail. own: the column that the tables below it refer to.
+    """
+
+    name: str
+    table: DataFrame | Callable[[], DataFrame]
+    own: str
+    parents: tuple[tuple[str, str], ...]
+
+
+def _in_order(specs: list[Below], root: str) -> list[Below]:
+    """Specs with each table behind its parents; a table that is its own ancestor, or has an unknown parent, is an error."""
+    left, known, out = list(specs), {root}, []
+    while left:
+        ready = [s for s in left if all(p in known for p, _ in s.parents)]
+        if not ready:
+            raise ValueError(f"no order of {sorted(s.name for s in left)}: a cycle or an unknown parent")
+        out += ready
+        known |= {s.name for s in ready}
+        left = [s for s in left if s.name not in known]
+    return out
+
+
+def purge_graph(roots: DataFrame, specs: list[Below], *, root_key: str, root: str = "roots", guard: Column | None = None, cut: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """What a purge of some roots takes along a graph of tables: counts (table, n, error), and each table's rows that go.
+
+    A dry run: the counts are one plan, nothing is deleted. A table that can't be read or lacks a column counts -1, with
+    the error; it takes nothing further along, and the other tables aren't affected. A row is counted once, by however
+    many ways it is reached. Guarded roots refuse the purge as a whole, before any table is read.
+
+    cut: what keeps a table's keys for those below it, such as ``DataFrame.checkpoint``; for graphs of many tables, whose
+    plans would repeat those of all tables above. An error while the keys are read is then that table's, too.
+    """
+    if guard is not None:
+        refuse(roots, guard)
+    keys = {root: roots.select(F.col(root_key).alias("_k")).where("_k is not null").distinct()}
+    rows: dict[str, DataFrame] = {}
+    failed: list[tuple[str, int, str]] = []
+    for spec in _in_order(specs, root):
+        try:
+            table = spec.table() if callable(spec.table) else spec.table
+            # The keys of all parents that refer by one column are one set, so that each column costs one semi join.
+            columns = dict.fromkeys(c for _, c in spec.parents)
+            hit = F.lit(False)
+            marked = table
+            for k, column in enumerate(columns):
+                wanted = reduce(DataFrame.unionByName, [keys[p] for p, c in spec.parents if c == column and p in keys] or [keys[root].limit(0)]).distinct()
+                marked = marked.join(wanted.select(F.col("_k").alias(f"_k{k}")), F.col(column) == F.col(f"_k{k}"), "left")
+                hit = hit | F.col(f"_k{k}").isNotNull()
+            rows[spec.name] = marked.where(hit).select(*(table[c] for c in table.columns))
+            own = rows[spec.name].select(F.col(spec.own).alias("_k")).where("_k is not null").distinct()
+            keys[spec.name] = cut(own) if cut else own
+        except Exception as e:
+            rows.pop(spec.name, None)
+            failed.append((spec.name, -1, str(e).partition("\n")[0][:200]))
+    counts = [d.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n"), F.lit(None).cast("string").alias("error")) for name, d in rows.items()]
+    told = roots.sparkSession.createDataFrame(failed, "table string, n long, error string")
+    return reduce(DataFrame.unionByName, [*counts, told]), rows

@@ -337,3 +337,18 @@ def category_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = once.select("key", "industry", F.array("key").alias("categories"), F.struct("at", "key").alias("ordinal"))
     out = contained.map_categories(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("p_name"), keys, default="None", sent=0)
     return out.select("p_partkey", F.col("mapped.industry").alias("industry"), F.coalesce(F.get("mapped.categories", F.lit(0)), F.lit("")).alias("category"), F.col("mapped.is_fallback").alias("is_fallback"))
+
+
+@query("""with n as (select * from nation where n_regionkey in (1, 3)), c as (select * from customer where c_nationkey in (select n_nationkey from n)), s as (select * from supplier where s_nationkey in (select n_nationkey from n)), o as (select * from orders where o_custkey in (select c_custkey from c)),
+l as (select * from lineitem where l_orderkey in (select o_orderkey from o) or l_suppkey in (select s_suppkey from s))
+select 'nation' as "table", count(*) n from n union all select 'customer', count(*) from c union all select 'supplier', count(*) from s union all select 'orders', count(*) from o union all select 'lineitem', count(*) from l union all select 'events', count(*) from events where user_id in (select c_custkey from c) union all select 'reviews', -1 union all select 'documents', -1""")
+def purge_graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows below some regions, along two branches that meet in the line items, with a table that isn't there and a column that isn't."""
+    t = lambda name: lambda: table(spark, sf_dir, name)
+    specs = [
+        repair.Below("lineitem", t("lineitem"), "l_orderkey", (("orders", "l_orderkey"), ("supplier", "l_suppkey"))), repair.Below("orders", t("orders"), "o_orderkey", (("customer", "o_custkey"),)), repair.Below("customer", t("customer"), "c_custkey", (("nation", "c_nationkey"),)),
+        repair.Below("supplier", t("supplier"), "s_suppkey", (("nation", "s_nationkey"),)), repair.Below("nation", t("nation"), "n_nationkey", (("region", "n_regionkey"),)), repair.Below("events", t("events"), "event_id", (("customer", "user_id"),)),
+        repair.Below("reviews", t("reviews"), "id", (("orders", "order_id"),)), repair.Below("documents", t("documents"), "doc_id", (("customer", "owner_id"), ("reviews", "review_id"))),
+    ]
+    roots = table(spark, sf_dir, "region").where("r_regionkey in (1, 3)")
+    return repair.purge_graph(roots, specs, root_key="r_regionkey", root="region", guard=F.col("r_regionkey") == 0)[0].select("table", "n")
