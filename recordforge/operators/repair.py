@@ -291,7 +291,7 @@ def purge_graph(roots: DataFrame, specs: list[Below], *, root_key: str, root: st
     the error; it takes nothing further along, and the other tables aren't affected. A row is counted once, by however
     many ways it is reached. Guarded roots refuse the purge as a whole, before any table is read.
 
-    cut: what keeps a table's keys for those below it, such as ``DataFrame.checkpoint``; for graphs of many tables, whose
+    cut: what keeps a table's keys for those below it, such as ``lambda keys: keys.checkpoint()``; for graphs of many tables, whose
     plans would repeat those of all tables above. An error while the keys are read is then that table's, too.
     """
     if guard is not None:
