@@ -1,4 +1,4 @@
-"""Scalar functions on fixed rows, and on the test tables where SQL can say the same."""
+"""Scalar functions on cases that are dealt over the customers, and on the test tables where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -9,8 +9,16 @@ from recordforge.functions import address, contact, geo, hours, names, text
 from recordforge.queries.catalog import joined, query, table, values
 
 
-def _rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def _rows(spark: SparkSession, sf_dir: str, schema: str, rows: list[tuple]) -> DataFrame:
+    """One of the cases for each customer, by the customer's key, so that functions run over a whole table."""
+    cases = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"case_no long, {schema}")
+    dealt = table(spark, sf_dir, "customer").select((F.col("c_custkey") % len(rows)).alias("case_no"))
+    return dealt.join(cases, "case_no").drop("case_no")
+
+
+def cases(columns: list[str], rows: list[tuple]) -> str:
+    """SQL that deals cases, with what is expected of each, over the customers in the same way."""
+    return f"select t.* exclude (case_no) from customer join ({values(['case_no', *columns], [(k, *r) for k, r in enumerate(rows)])}) t on c_custkey % {len(rows)} = case_no"
 
 
 NAME_PAIRS = [
@@ -20,10 +28,10 @@ NAME_PAIRS = [
 ]
 
 
-@query(values(["stored", "found", "city", "is_match", "rule", "score"], NAME_PAIRS))
+@query(cases(["stored", "found", "city", "is_match", "rule", "score"], NAME_PAIRS))
 def name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = names.compare_names(F.col("stored"), F.col("found"), F.col("city"))
-    return _rows(spark, "stored string, found string, city string", [r[:3] for r in NAME_PAIRS]).withColumn("m", m).select("stored", "found", "city", F.col("m.match").alias("is_match"), F.col("m.rule").alias("rule"), F.col("m.score").alias("score"))
+    return _rows(spark, sf_dir, "stored string, found string, city string", [r[:3] for r in NAME_PAIRS]).withColumn("m", m).select("stored", "found", "city", F.col("m.match").alias("is_match"), F.col("m.rule").alias("rule"), F.col("m.score").alias("score"))
 
 
 NAME_FORMS = [
@@ -31,10 +39,10 @@ NAME_FORMS = [
 ]
 
 
-@query(values(["name", "match_form", "dedup_form", "promotion_form"], NAME_FORMS))
+@query(cases(["name", "match_form", "dedup_form", "promotion_form"], NAME_FORMS))
 def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("name")
-    return _rows(spark, "name string", [r[:1] for r in NAME_FORMS]).select("name", names.match_form(c).alias("match_form"), names.dedup_form(c).alias("dedup_form"), names.promotion_form(c).alias("promotion_form"))
+    return _rows(spark, sf_dir, "name string", [r[:1] for r in NAME_FORMS]).select("name", names.match_form(c).alias("match_form"), names.dedup_form(c).alias("dedup_form"), names.promotion_form(c).alias("promotion_form"))
 
 
 ADDRESSES = [
@@ -43,9 +51,9 @@ ADDRESSES = [
 ]
 
 
-@query(values(["raw", "street", "unit", "city", "state_code", "postal_code", "country"], ADDRESSES))
+@query(cases(["raw", "street", "unit", "city", "state_code", "postal_code", "country"], ADDRESSES))
 def address_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, "raw string", [r[:1] for r in ADDRESSES]).withColumn("a", address.parse_address(F.col("raw"))).select("raw", "a.*")
+    return _rows(spark, sf_dir, "raw string", [r[:1] for r in ADDRESSES]).withColumn("a", address.parse_address(F.col("raw"))).select("raw", "a.*")
 
 
 SPLITS = [
@@ -54,10 +62,10 @@ SPLITS = [
 ]
 
 
-@query(values(["raw", "street", "city", "state_code", "postal_code", "derived_city", "reason"], SPLITS))
+@query(cases(["raw", "street", "city", "state_code", "postal_code", "derived_city", "reason"], SPLITS))
 def address_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("raw")
-    return _rows(spark, "raw string", [r[:1] for r in SPLITS]).withColumns({"s": address.split_formatted(c), "d": address.derive_city(c)}).select("raw", "s.*", F.col("d.city").alias("derived_city"), F.col("d.reason").alias("reason"))
+    return _rows(spark, sf_dir, "raw string", [r[:1] for r in SPLITS]).withColumns({"s": address.split_formatted(c), "d": address.derive_city(c)}).select("raw", "s.*", F.col("d.city").alias("derived_city"), F.col("d.reason").alias("reason"))
 
 
 SHAPES = [
@@ -66,19 +74,19 @@ SHAPES = [
 ]
 
 
-@query(values(["line", "is_street", "is_valid", "is_junk"], SHAPES))
+@query(cases(["line", "is_street", "is_valid", "is_junk"], SHAPES))
 def address_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("line")
-    return _rows(spark, "line string", [r[:1] for r in SHAPES]).select("line", address.street_shape(c).alias("is_street"), address.valid_street(c).alias("is_valid"), address.junk_street(c).alias("is_junk"))
+    return _rows(spark, sf_dir, "line string", [r[:1] for r in SHAPES]).select("line", address.street_shape(c).alias("is_street"), address.valid_street(c).alias("is_valid"), address.junk_street(c).alias("is_junk"))
 
 
 STATES = [("nc", "NC", "North Carolina", True), ("New York", "NY", "New York", True), ("Ontario", None, "Ontario", False), ("puerto rico", None, "puerto rico", True), ("  TX ", "TX", "Texas", True), (None, None, None, False)]
 
 
-@query(values(["raw", "code", "state_name", "known"], STATES))
+@query(cases(["raw", "code", "state_name", "known"], STATES))
 def state_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("raw")
-    return _rows(spark, "raw string", [r[:1] for r in STATES]).select("raw", address.state_code(c).alias("code"), address.state_name(c).alias("state_name"), address.is_state(c).alias("known"))
+    return _rows(spark, sf_dir, "raw string", [r[:1] for r in STATES]).select("raw", address.state_code(c).alias("code"), address.state_name(c).alias("state_name"), address.is_state(c).alias("known"))
 
 
 SEARCHES = [
@@ -86,9 +94,9 @@ SEARCHES = [
 ]
 
 
-@query(values(["street", "alt", "city", "state", "postal", "lat", "lng", "out_street", "out_city", "out_state", "dropped_street", "dropped_city_state"], SEARCHES))
+@query(cases(["street", "alt", "city", "state", "postal", "lat", "lng", "out_street", "out_city", "out_state", "dropped_street", "dropped_city_state"], SEARCHES))
 def search_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "street string, alt string, city string, state string, postal string, lat double, lng double", [r[:7] for r in SEARCHES])
+    rows = _rows(spark, sf_dir, "street string, alt string, city string, state string, postal string, lat double, lng double", [r[:7] for r in SEARCHES])
     s = address.search_fields(*(F.col(c) for c in ("street", "alt", "city", "state", "postal", "lat", "lng")))
     return rows.withColumn("s", s).select(*rows.columns, F.col("s.street").alias("out_street"), F.col("s.city").alias("out_city"), F.col("s.state").alias("out_state"), "s.dropped_street", "s.dropped_city_state")
 
@@ -99,9 +107,9 @@ PHONES = [
 ]
 
 
-@query(values(["raw", "country", "state", "lat", "lng", "country_code", "phone", "us_phone"], PHONES))
+@query(cases(["raw", "country", "state", "lat", "lng", "country_code", "phone", "us_phone"], PHONES))
 def phone_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "raw string, country string, state string, lat double, lng double", [r[:5] for r in PHONES]).withColumn("p", contact.parse_phone(F.col("raw")))
+    rows = _rows(spark, sf_dir, "raw string, country string, state string, lat double, lng double", [r[:5] for r in PHONES]).withColumn("p", contact.parse_phone(F.col("raw")))
     code = contact.country_code(F.col("p.country_code"), F.col("country"), F.col("state"), F.col("lat"), F.col("lng"))
     return rows.select("raw", "country", "state", "lat", "lng", code.alias("country_code"), F.col("p.phone").alias("phone"), contact.us_phone(F.col("raw")).alias("us_phone"))
 
@@ -115,9 +123,9 @@ HOURS = [
 ]
 
 
-@query(values(["line", "kind", "day", "shown", "reason"], HOURS))
+@query(cases(["line", "kind", "day", "shown", "reason"], HOURS))
 def hours_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "line string, day string", [(r[0], r[2]) for r in HOURS]).withColumn("h", hours.parse_hours_lines(F.array("line")))
+    rows = _rows(spark, sf_dir, "line string, day string", [(r[0], r[2]) for r in HOURS]).withColumn("h", hours.parse_hours_lines(F.array("line")))
     shown = F.coalesce(*(F.when(F.col("day") == d, hours.show_day(F.col(f"h.days.{d}"))) for d in hours.DAYS))
     return rows.select("line", F.col("h.kind").alias("kind"), "day", shown.alias("shown"), F.coalesce(F.get("h.rejects.reason", F.lit(0)), F.lit("")).alias("reason"))
 
@@ -129,17 +137,17 @@ GLUED = [
 ]
 
 
-@query(values(["raw", "monday"], GLUED))
+@query(cases(["raw", "monday"], GLUED))
 def hours_glued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, "raw string", [r[:1] for r in GLUED]).select("raw", hours.show_day(hours.parse_glued_hours(F.col("raw"))["monday"]).alias("monday"))
+    return _rows(spark, sf_dir, "raw string", [r[:1] for r in GLUED]).select("raw", hours.show_day(hours.parse_glued_hours(F.col("raw"))["monday"]).alias("monday"))
 
 
 WEEKS = [("office", "Monday9 am-5 pmTuesday9 am-5 pmWednesday9 am-5 pmThursday9 am-5 pmFriday9 am-5 pm", True), ("closed", "", True), ("real", "Monday9 am-5 pmSaturday1-2 pm", False)]
 
 
-@query(values(["label", "raw", "is_placeholder", "repaired_sunday"], [(*r, "closed") for r in WEEKS]))
+@query(cases(["label", "raw", "is_placeholder", "repaired_sunday"], [(*r, "closed") for r in WEEKS]))
 def hours_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "label string, raw string", [r[:2] for r in WEEKS]).withColumn("w", hours.parse_glued_hours(F.col("raw")))
+    rows = _rows(spark, sf_dir, "label string, raw string", [r[:2] for r in WEEKS]).withColumn("w", hours.parse_glued_hours(F.col("raw")))
     merged = hours.overlay_week(hours.repair_week(F.col("w")), hours.office_week(), hours.office_week())
     return rows.select("label", "raw", hours.placeholder_week(F.col("w")).alias("is_placeholder"), hours.show_day(merged["sunday"]).alias("repaired_sunday"))
 
@@ -160,52 +168,52 @@ URLS = [
 ]
 
 
-@query(values(["raw", "website", "is_valid", "host", "place_id", "lat"], URLS))
+@query(cases(["raw", "website", "is_valid", "host", "place_id", "lat"], URLS))
 def url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("raw")
-    return _rows(spark, "raw string", [r[:1] for r in URLS]).select("raw", contact.website(c).alias("website"), contact.valid_website(contact.website(c)).alias("is_valid"), contact.host(c).alias("host"), contact.place_id_of(c).alias("place_id"), geo.map_url_coordinates(c)["lat"].alias("lat"))
+    return _rows(spark, sf_dir, "raw string", [r[:1] for r in URLS]).select("raw", contact.website(c).alias("website"), contact.valid_website(contact.website(c)).alias("is_valid"), contact.host(c).alias("host"), contact.place_id_of(c).alias("place_id"), geo.map_url_coordinates(c)["lat"].alias("lat"))
 
 
 IMAGES = [("https://img.example/p/AF1QipA=w408-h306-k-no", "https://img.example/p/AF1QipA=s0", "user"), ("https://img.example/a-/b=s64-c", "https://img.example/a-/b=s0", "avatar"), ("https://streetviewpixels.example/x", "https://streetviewpixels.example/x", "panorama"), ("https://media.example/x.jpg", "https://media.example/x.jpg", "other")]
 
 
-@query(values(["url", "full_size", "kind"], IMAGES))
+@query(cases(["url", "full_size", "kind"], IMAGES))
 def image_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, "url string", [r[:1] for r in IMAGES]).select("url", contact.full_size(F.col("url")).alias("full_size"), contact.image_kind(F.col("url")).alias("kind"))
+    return _rows(spark, sf_dir, "url string", [r[:1] for r in IMAGES]).select("url", contact.full_size(F.col("url")).alias("full_size"), contact.image_kind(F.col("url")).alias("kind"))
 
 
 EMAILS = [("a@b.com, c@d/ , x, e@f.org", "a@b.com,e@f.org", False), ("Joe@X.com", "Joe@X.com", True), ("no", "", False)]
 
 
-@query(values(["raw", "emails", "is_valid"], EMAILS))
+@query(cases(["raw", "emails", "is_valid"], EMAILS))
 def email_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, "raw string", [r[:1] for r in EMAILS]).select("raw", joined(contact.split_emails(F.col("raw"))).alias("emails"), contact.valid_email(F.col("raw")).alias("is_valid"))
+    return _rows(spark, sf_dir, "raw string", [r[:1] for r in EMAILS]).select("raw", joined(contact.split_emails(F.col("raw"))).alias("emails"), contact.valid_email(F.col("raw")).alias("is_valid"))
 
 
 TEXTS = [("3 weeks ago", "2023-12-30 00:00:00"), ("a month ago", "2023-12-21 00:00:00"), ("an hour ago", "2024-01-19 23:00:00"), ("Just now", "2024-01-20 00:00:00"), ("2 years ago", "2022-01-20 00:00:00"), ("yesterday", None)]
 
 
-@query(values(["label", "said_at"], TEXTS))
+@query(cases(["label", "said_at"], TEXTS))
 def relative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = text.relative_time(F.col("label"), F.lit("2024-01-20 00:00:00").cast("timestamp"))
-    return _rows(spark, "label string", [r[:1] for r in TEXTS]).select("label", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("said_at"))
+    return _rows(spark, sf_dir, "label string", [r[:1] for r in TEXTS]).select("label", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("said_at"))
 
 
 NUMBERS = [("4.5 stars", 4.5, 0, 4), ("1,234 reviews", 1.0, 1234, 1234), ("none", None, 0, None), ("-2", -2.0, -2, 2)]
 
 
-@query(values(["raw", "prefix", "count_prefix", "first_number"], [(a, b, 4 if a == "4.5 stars" else c, d) for a, b, c, d in NUMBERS]))
+@query(cases(["raw", "prefix", "count_prefix", "first_number"], [(a, b, 4 if a == "4.5 stars" else c, d) for a, b, c, d in NUMBERS]))
 def number_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("raw")
-    return _rows(spark, "raw string", [r[:1] for r in NUMBERS]).select("raw", text.number_prefix(c).alias("prefix"), text.count_prefix(c).alias("count_prefix"), text.first_integer(c).alias("first_number"))
+    return _rows(spark, sf_dir, "raw string", [r[:1] for r in NUMBERS]).select("raw", text.number_prefix(c).alias("prefix"), text.count_prefix(c).alias("count_prefix"), text.first_integer(c).alias("first_number"))
 
 
 TITLES = [("the LORD of the rings", "The Lord of the Rings"), ("winston-salem  NORTH carolina", "Winston-Salem North Carolina"), ("rue de la paix", "Rue de la Paix"), ("", "")]
 
 
-@query(values(["raw", "title"], TITLES))
+@query(cases(["raw", "title"], TITLES))
 def title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, "raw string", [r[:1] for r in TITLES]).select("raw", text.title_case(F.col("raw")).alias("title"))
+    return _rows(spark, sf_dir, "raw string", [r[:1] for r in TITLES]).select("raw", text.title_case(F.col("raw")).alias("title"))
 
 
 TAGS = [
@@ -213,9 +221,9 @@ TAGS = [
 ]
 
 
-@query(values(["name", "category", "address", "description", "tags"], TAGS))
+@query(cases(["name", "category", "address", "description", "tags"], TAGS))
 def tag_making(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, "name string, category string, address string, description string", [r[:4] for r in TAGS])
+    rows = _rows(spark, sf_dir, "name string, category string, address string, description string", [r[:4] for r in TAGS])
     return rows.withColumn("tags", joined(text.make_tags(*(F.col(c) for c in rows.columns))))
 
 
@@ -239,10 +247,10 @@ def geo_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 JUNK = [("Test Shop", True, False, False), ("n/a", False, True, False), ("Atlanta, GA", False, False, True), ("ACME", False, False, True), ("123", False, False, True), ("Joe's Diner", False, False, False), (None, False, False, True)]
 
 
-@query(values(["name", "test_name", "generic_name", "label_name"], JUNK))
+@query(cases(["name", "test_name", "generic_name", "label_name"], JUNK))
 def junk_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("name")
-    return _rows(spark, "name string", [r[:1] for r in JUNK]).select("name", names.test_name(c).alias("test_name"), names.generic_name(c).alias("generic_name"), names.label_name(c).alias("label_name"))
+    return _rows(spark, sf_dir, "name string", [r[:1] for r in JUNK]).select("name", names.test_name(c).alias("test_name"), names.generic_name(c).alias("generic_name"), names.label_name(c).alias("label_name"))
 
 
 @query("""
