@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the one that all executors share; a local one only where ``spark.checkpoint.dir`` is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    return f"{shared.rstrip('/')}/recordforge-queries/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 #: Business-like records from the customers, in SQL that Spark and DuckDB both read.
 BIZ = """
 select c_custkey id, c_name name, n_name city, r_name state, c_mktsegment industry,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recordforge.functions import contact, geo, hours, names, text
 from recordforge.functions.nulls import bind, blank
 from recordforge.operators import diffs, emails, filters, gates, judgement, ranking, records, repair, resolve, sets
-from recordforge.queries.catalog import biz, biz_sql, jobs, jobs_sql, joined, query, table
+from recordforge.queries.catalog import SQL, biz, biz_sql, jobs, jobs_sql, joined, query, table
 from recordforge.sources import places, sinks
 
 _BIZ = f"with biz as ({biz_sql()})"
@@ -275,6 +275,14 @@ def live_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audit(_live(spark, sf_dir)).select("id", joined("plan").alias("plan"), joined("failed_before").alias("failed_before"), joined("failed_after").alias("failed_after"), "queue_cover")
 
 
+_LIVE_PLANS = ("hours", "hours_encoding", "keys", "country_code", "outlet_link")
+
+
+@query("select count(*) total, count(*) filter (failed_after = '') ready, " + ", ".join([f"count(*) filter (list_contains(string_split(failed_after, ','), '{c}')) fail_{c}" for c in repair.CHECKS] + [f"count(*) filter (list_contains(string_split(plan, ','), '{p}')) fix_{p}" for p in _LIVE_PLANS]) + f" from ({SQL['live_audit']})")
+def live_audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audit_summary(repair.audit(_live(spark, sf_dir)), "failed_after", repair.CHECKS, _LIVE_PLANS)
+
+
 @query(f"""{_BIZ}, v as ({_LIVE}), k as (select *, latitude <> 0 placed, latitude <> 0 and not (latitude between 24 and 50 and longitude between -125 and -66) abroad from v), x as (select *, {_NAME_RULE} f_name, {_ADDRESS_RULE} f_address, not placed or (country = 'USA' and abroad) f_coords, coalesce(hours, '') = '' f_hours, (country_code is null or country_code = '+1') and abroad f_code, coalesce(cover, '') = '' f_cover, n_cats = 0 f_tax, coalesce(place_id, '') = '' f_place from k where not (coalesce(country, '') not in ('', 'USA') and abroad))
   select count(*) total, count(*) filter (not (f_name or f_address or f_coords or f_hours or f_code or f_cover or f_tax or f_place)) ready, count(*) filter (f_name) fail_name, count(*) filter (f_address) fail_address, count(*) filter (f_coords) fail_coords, count(*) filter (f_hours) fail_hours, count(*) filter (f_code) fail_country_code, count(*) filter (f_cover) fail_cover, count(*) filter (f_tax) fail_taxonomy, count(*) filter (f_place) fail_place_id,
   count(*) filter (id % 7 = 4) fix_hours_encoding, count(*) filter (status is null or onward is null) fix_keys, count(*) filter (country_code is null and not abroad) fix_country_code from x""")

@@ -9,8 +9,9 @@ from recordforge.functions import names
 from recordforge.functions.nulls import not_true, present
 from recordforge.operators import aggregates, dedup, diffs, filters, gates, judgement, matching, queue, ranking, records, repair, sets, similar
 from recordforge.plans import discovery, promotion
-from recordforge.queries.catalog import NOW, biz, biz_sql, jobs, jobs_sql, joined, now, query, table, values
+from recordforge.queries.catalog import NOW, biz, biz_sql, jobs, jobs_sql, joined, now, query, scratch, table, values
 from recordforge.sources import sinks
+from recordforge.sources.versions import Versioned
 
 _BIZ = f"with biz as ({biz_sql()})"
 _JOBS = f"with jobs as ({jobs_sql()})"
@@ -369,6 +370,26 @@ def table_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.upsert(old, later.unionByName(early), ["c_custkey"], order="at")
 
 
+@query("select c_custkey, case when c_custkey % 50 = 7 then -1.0::double else c_acctbal end c_acctbal, c_mktsegment from customer where c_custkey % 40 <> 3 union all select c_custkey + 1000000, -1.0, c_mktsegment from customer where c_custkey % 50 = 7")
+def versioned_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upsert and a delete on a versioned table, each of which rewrites only the buckets of its keys."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal"), "c_mktsegment")
+    stored = Versioned.create(rows, scratch(spark, "customers"), ["c_custkey"], buckets=16)
+    new = rows.where("c_custkey % 50 = 7").withColumn("c_acctbal", F.lit(-1.0))
+    stored.merge(new.unionByName(new.withColumn("c_custkey", F.col("c_custkey") + 1000000)))
+    stored.delete(rows.where("c_custkey % 40 = 3").select("c_custkey"))
+    return stored.read()
+
+
+@query("select c_custkey, c_name, c_acctbal::double c_acctbal from customer where c_acctbal > 0")
+def json_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as JSON and read again."""
+    rows = table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    path = scratch(spark, "dump")
+    sinks.write_json(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
 @query("select c_custkey, is_deleted from (select c_custkey, c_custkey % 6 = 0 is_deleted from customer) where c_custkey % 10 <> 1")
 def table_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.lit(False).alias("is_deleted"))
