@@ -145,10 +145,10 @@ def curated_order(by: str = "newest") -> list[Column]:
     return {"oldest": [F.col("created").asc_nulls_first(), F.col("id")], "name": [F.col("name").asc_nulls_first(), F.col("id")]}.get(by, [F.col("created").desc_nulls_last(), F.col("id")])
 
 
-def taxonomy_worklist(*, status: str = "mismatch", city: str | None = None, state: str | None = None, search: str | None = None) -> Column:
-    """Live rows that a resolve pass has given a category status; ``all`` lists each of them."""
+def taxonomy_worklist(*, status: str = "mismatch", city: str | None = None, state: str | None = None, search: str | None = None, within: tuple[str, ...] = ("name", "place_id", "source_category")) -> Column:
+    """Live rows that a resolve pass has given a category status; ``all`` lists each of them. ``search`` looks ``within`` those columns."""
     piece = lambda c, t: sure(F.lower(F.col(c)).contains(t.lower())) if t else None
-    anywhere = some(*(piece(c, search) for c in ("name", "place_id", "source_category"))) if search else None
+    anywhere = some(*(piece(c, search) for c in within)) if search else None
     wanted = F.col("category_status").isNotNull() if status == "all" else sure(F.col("category_status") == status)
     return every(not_true(F.col("is_deleted")), wanted, piece("city", city), piece("state", state), anywhere)
 
