@@ -117,6 +117,43 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def letters(form: Column) -> Column:
+    """How often each character stands in a text, up to four times, as bits: struct(low, high), characters in 32 groups.
+
+    An edit changes at most two bits.
+    """
+    long = lambda n: F.lit(n).cast("long")
+    shift = lambda f, c, n: F.call_function(f, c, n)
+
+    def counted(bits: Column, c: Column) -> Column:
+        group = F.ascii(c) % 32
+        at = (group % 16) * 4
+
+        def one_more(half: Column) -> Column:
+            have = shift("shiftrightunsigned", half, at).bitwiseAND(long(15))
+            return half.bitwiseOR(shift("shiftleft", (have * 2 + 1).bitwiseAND(long(15)), at))
+
+        return F.struct(F.when(group < 16, one_more(bits["low"])).otherwise(bits["low"]).alias("low"), F.when(group >= 16, one_more(bits["high"])).otherwise(bits["high"]).alias("high"))
+
+    return F.aggregate(F.split(form, ""), F.struct(long(0).alias("low"), long(0).alias("high")), counted)
+
+
+def edits_allowed(longest: Column, least: float) -> Column:
+    """Edits that a pair may have whose longer text is this long, against rounding."""
+    return F.floor((1 - least) * longest + 1e-9).cast("int")
+
+
+def may_be_alike(a: str, b: str, least: float) -> Column:
+    """False only where ``similarity`` is below ``least``, of forms in columns a and b with their ``letters`` in a_letters and b_letters.
+
+    Cheap tests come first, and counting of edits stops at those that the longer text allows.
+    """
+    x, y = F.col(a), F.col(b)
+    edits = edits_allowed(F.greatest(F.length(x), F.length(y)), least)
+    differ = lambda half: F.bit_count(F.col(f"{a}_letters.{half}").bitwiseXOR(F.col(f"{b}_letters.{half}")))
+    return (x == y) | (differ("low") + differ("high") <= 2 * edits) & (F.abs(F.length(x) - F.length(y)) <= edits) & (F.call_function("levenshtein", x, y, edits) >= 0)
+
+
 def valid_place_id(c: Column) -> Column:
     return F.coalesce(c.rlike("^ChIJ[A-Za-z0-9_-]+$"), F.lit(False))
 

@@ -27,7 +27,7 @@ def contained(texts: DataFrame, names: DataFrame) -> DataFrame:
     places = texts.where("text <> ''").select("text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("at"))
     cut = places.select("text", "at", F.explode(F.array(*map(F.lit, STARTS))).alias("n")).where(F.col("at") + F.col("n") - 1 <= F.length("text"))
     looked = cut.select("text", "at", F.substring("text", F.col("at"), F.col("n")).alias("key")).join(known.select("key").distinct(), "key", "left_semi")
-    dealt, copied = spread(looked, known, ["key"], "text")
+    dealt, copied = spread(looked, known, ["key"], "text", "name")
     return dealt.join(copied, ["key", "_salt"]).where(F.substring("text", F.col("at"), F.length("name")) == F.col("name")).select("text", "name").distinct()
 
 

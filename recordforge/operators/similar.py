@@ -1,9 +1,10 @@
-"""Edit-similarity join: pairs of a block's texts that are alike, found by shared pieces instead of by comparing all pairs.
+"""Edit-similarity join: pairs of a block's texts that are alike, found by shared pieces where that makes fewer pairs than all.
 
 Cut the shorter of two texts that are within e edits into e + 1 + SPARE pieces: then 1 + SPARE of them still stand in the
 longer one, near their old places. So a text's SPARE commonest pieces needn't be looked for, and words that many texts
 have make no candidates. How many edits a pair may have follows from the longer text, so the shorter one is cut for each
-number that a partner may bring.
+number that a partner may bring. Of a block whose pieces would make more pairs than there are, as in texts of few words,
+all pairs are compared, in squares dealt over tasks, by the counts of their characters first.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordforge.functions.names import edits_allowed as _edits
+from recordforge.functions.names import letters, may_be_alike
+from recordforge.functions.nulls import bind
 from recordforge.operators.matching import spread
 
 #: Pieces of a text, its commonest ones, that are left out.
@@ -21,11 +25,6 @@ FEW = 64
 _SLACK = 1e-9
 
 
-def _edits(length: Column, least: float) -> Column:
-    """Edits that a pair may have whose longer text is this long."""
-    return F.floor((1 - least) * length + _SLACK).cast("int")
-
-
 def _piece(length: Column, edits: Column, k: Column) -> tuple[Column, Column]:
     """Place and size of piece k of a text cut for so many edits; the last pieces are one longer where it doesn't come out even."""
     n = edits + 1 + SPARE
@@ -38,8 +37,8 @@ def _key(length: str, place: Column, size: Column) -> Column:
     return F.xxhash64("block", length, "edits", "k", F.substring("form", place + 1, size))
 
 
-def candidates(forms: DataFrame, least: float) -> DataFrame:
-    """Pairs (block, short, form, edits) of texts of a block that share a piece; a pair may come more than once."""
+def _pieces(forms: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Pieces that texts are looked up by, (own_block, short, l, key), and places where they may stand in longer ones, (block, form, n, edits, key)."""
     rows = forms.select("block", "form", F.length("form").alias("n")).where("n > 0")
     longest = F.floor(F.col("n") / least + _SLACK)
     each = F.explode(F.sequence(F.lit(0), F.col("edits") + SPARE))
@@ -56,19 +55,46 @@ def candidates(forms: DataFrame, least: float) -> DataFrame:
     low = F.greatest(F.lit(0), F.col("place") - F.floor((F.col("edits") - F.col("more")) / 2))
     high = F.least(F.col("n") - F.col("size"), F.col("place") + F.floor((F.col("edits") + F.col("more")) / 2))
     looked = looked.withColumns({"low": low.cast("int"), "high": high.cast("int")}).where("high >= low").withColumn("at", F.explode(F.sequence("low", "high")))
-    looked = looked.select("block", "form", "n", "edits", _key("l", F.col("at"), F.col("size")).alias("key"))
+    return pieces, looked.select("block", "form", "n", "edits", _key("l", F.col("at"), F.col("size")).alias("key"))
 
-    dealt, copied = spread(looked, pieces, ["key"], "form")
+
+def candidates(forms: DataFrame, least: float) -> DataFrame:
+    """Pairs (block, short, form, edits) of texts of a block that share a piece; a pair may come more than once."""
+    pieces, looked = _pieces(forms, least)
+    dealt, copied = spread(looked, pieces, ["key"], "form", "short")
     both = dealt.join(copied, ["key", "_salt"])
     return both.where((F.col("block") == F.col("own_block")) & ((F.col("l") < F.col("n")) | (F.col("short") < F.col("form")))).select("block", "short", "form", "edits")
 
 
+def _crowded(forms: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """Blocks (block, texts) whose pieces would make more than half as many pairs as there are."""
+    pieces, looked = _pieces(forms, least)
+    met = looked.groupBy("block", "key").agg(F.count(F.lit(1)).alias("x")).join(pieces.groupBy("key").agg(F.count(F.lit(1)).alias("y")), "key")
+    return met.groupBy("block").agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("pairs")).join(sizes, "block").where(F.col("pairs") > F.col("texts").cast("double") * F.col("texts") / 4).select("block", "texts")
+
+
+#: Texts of a side of a square of pairs that one task compares.
+SQUARE = 1000
+
+
+def _all_pairs(forms: DataFrame, least: float) -> DataFrame:
+    """Pairs (block, short, form, edits) of texts that may be alike of blocks (block, texts, form), each two compared once."""
+    parts = F.ceil(F.col("texts") / SQUARE).cast("long")
+    rows = forms.where("form <> ''").select("block", "form", parts.alias("parts"), F.pmod(F.xxhash64("form"), parts).alias("own"))
+    rows = bind(rows, form_letters=letters(F.col("form")))
+    every = lambda low, high: F.explode(F.sequence(low, high))
+    upper = rows.withColumn("other", every(F.col("own"), F.col("parts") - 1)).select("block", F.col("own").alias("i"), F.col("other").alias("j"), F.col("form").alias("short"), F.col("form_letters").alias("short_letters"))
+    lower = rows.withColumn("other", every(F.lit(0).cast("long"), F.col("own"))).select("block", F.col("other").alias("i"), F.col("own").alias("j"), "form", "form_letters")
+    met = upper.hint("merge").join(lower.hint("merge"), ["block", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("short") < F.col("form"))) & may_be_alike("short", "form", least))
+    return met.select("block", "short", "form", _edits(F.greatest(F.length("short"), F.length("form")), least).alias("edits"))
+
+
 def similar_texts(forms: DataFrame, least: float) -> DataFrame:
     """Pairs (block, a, b, similarity) of different texts of a block, a before b, that are alike: 1 - edits / longer length >= least.
 
     forms: (block, form), distinct; a null block or form is like nothing, and an empty text is like no other. ``least`` is
-    above 0. Blocks of up to FEW texts are compared whole; the others by pieces, which lose no pair. Pieces that many
-    texts have are spread over tasks.
+    above 0. Blocks of up to FEW texts are compared whole, as are those whose pieces say little; the others by pieces, which
+    lose no pair. Pieces that many texts have are spread over tasks.
     """
     if not 0 < least <= 1:
         raise ValueError("the similarity must be above 0 and at most 1")
@@ -80,10 +106,12 @@ def similar_texts(forms: DataFrame, least: float) -> DataFrame:
     other = few.select("block", F.col("form").alias("short"))
     pairs = few.join(other, "block").where("(short < form) and short <> ''").withColumn("edits", _edits(F.greatest(F.length("short"), F.length("form")), least))
     pairs = pairs.where(F.abs(F.length("short") - F.length("form")) <= F.col("edits")).select("block", "short", "form", "edits")
-    found = pairs.unionByName(candidates(many, least)).withColumn("distance", F.levenshtein("short", "form"))
+    crowded = _crowded(many, sizes, least)
+    pairs = pairs.unionByName(candidates(many.join(crowded, "block", "left_anti"), least)).unionByName(_all_pairs(many.join(crowded, "block"), least))
+    found = pairs.withColumn("distance", F.call_function("levenshtein", "short", "form", "edits"))
     # The distance is of the pair, so the same pair comes with the same one.
     longer = F.greatest(F.length("short"), F.length("form"))
-    alike = found.where(F.col("distance") <= F.col("edits")).select("block", F.least("short", "form").alias("a"), F.greatest("short", "form").alias("b"), (1 - F.col("distance") / longer).alias("similarity"))
+    alike = found.where(F.col("distance") >= 0).select("block", F.least("short", "form").alias("a"), F.greatest("short", "form").alias("b"), (1 - F.col("distance") / longer).alias("similarity"))
     return alike.where(F.col("similarity") >= least).distinct()
 
 
@@ -98,6 +126,6 @@ def fuzzy_pairs(rows: DataFrame, block: str, name: Column, *, least: float = 0.8
     links = given.select("block", "form").distinct().select("block", F.col("form").alias("a"), F.col("form").alias("b"), F.lit(1.0).alias("similarity")).unionByName(alike)
     side = lambda form, out: given.select("block", F.col("form").alias(form), F.col("id").alias(out))
     left = links.join(side("a", "x"), ["block", "a"]).select("block", "b", "x", "similarity", (F.col("a") == F.col("b")).alias("same"))
-    dealt, copied = spread(left, side("b", "y"), ["block", "b"], "x")
+    dealt, copied = spread(left, side("b", "y"), ["block", "b"], "x", "y")
     pairs = dealt.join(copied, ["block", "b", "_salt"]).where("not same or x < y")
     return pairs.select(F.least("x", "y").alias("id"), F.greatest("x", "y").alias("other_id"), "similarity")
