@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordforge.functions import address, contact, geo, hours, names, text
+from recordforge.functions.nulls import bind, over_tasks
 from recordforge.queries.catalog import joined, query, table, values
 
 
 def _rows(spark: SparkSession, sf_dir: str, schema: str, rows: list[tuple]) -> DataFrame:
     """One of the cases for each customer, by the customer's key, so that functions run over a whole table."""
     cases = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"case_no long, {schema}")
-    dealt = table(spark, sf_dir, "customer").select((F.col("c_custkey") % len(rows)).alias("case_no"))
-    return dealt.join(cases, "case_no").drop("case_no")
+    customers = over_tasks(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select((F.col("c_custkey") % len(rows)).alias("case_no"))
+    return customers.join(F.broadcast(cases), "case_no").drop("case_no")
 
 
 def cases(columns: list[str], rows: list[tuple]) -> str:
@@ -147,9 +148,9 @@ WEEKS = [("office", "Monday9 am-5 pmTuesday9 am-5 pmWednesday9 am-5 pmThursday9
 
 @query(cases(["label", "raw", "is_placeholder", "repaired_sunday"], [(*r, "closed") for r in WEEKS]))
 def hours_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir, "label string, raw string", [r[:2] for r in WEEKS]).withColumn("w", hours.parse_glued_hours(F.col("raw")))
-    merged = hours.overlay_week(hours.repair_week(F.col("w")), hours.office_week(), hours.office_week())
-    return rows.select("label", "raw", hours.placeholder_week(F.col("w")).alias("is_placeholder"), hours.show_day(merged["sunday"]).alias("repaired_sunday"))
+    rows = bind(_rows(spark, sf_dir, "label string, raw string", [r[:2] for r in WEEKS]), w=hours.parse_glued_hours(F.col("raw")))
+    rows = bind(rows, merged=hours.overlay_week(hours.repair_week(F.col("w")), hours.office_week(), hours.office_week()))
+    return rows.select("label", "raw", hours.placeholder_week(F.col("w")).alias("is_placeholder"), hours.show_day(F.col("merged.sunday")).alias("repaired_sunday"))
 
 
 @query(r"""
