@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordforge.functions import address, contact, hours, text
-from recordforge.functions.nulls import bind, blank, fired, first_truthy, present, sure
+from recordforge.functions.nulls import bind, blank, fired, first_truthy, over_tasks, present, sure
 from recordforge.operators.contained import area_in_text, map_categories
 from recordforge.operators.matching import cascade_look_up
 
@@ -133,10 +133,12 @@ def adapt(rows: DataFrame, categories: DataFrame | list[tuple[str, str, list[str
     city whose area the text names, else the record's or address's; an area's own state comes before all of these.
     Locality: the area's name, else the record's. E-mails: by place id, website, website without its last slash, domain,
     and last the record's own.
+
+    Reading a listing is heavy, so rows are dealt over tasks first.
     """
     own = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) if c in rows.columns else F.lit("")
     either = lambda a, b: F.trim(F.when(a != "", a).otherwise(F.coalesce(b, F.lit(""))))
-    out = bind(rows, _a=address.parse_address(F.col("address")), _p=text_point(F.col("coordinates")), _ph=contact.parse_phone(F.col("phone")), week=hours.parse_glued_hours(F.coalesce("hours", F.lit(""))))
+    out = bind(over_tasks(rows, "id"), _a=address.parse_address(F.col("address")), _p=text_point(F.col("coordinates")), _ph=contact.parse_phone(F.col("phone")), week=hours.parse_glued_hours(F.coalesce("hours", F.lit(""))))
     out = bind(out, _city=either(own("city"), F.col("_a.city")), _state=either(own("state"), F.col("_a.state_code")), _locality=own("locality"))
     out = out.withColumn("_hay", F.concat_ws(" | ", *(F.nullif(c, F.lit("")) for c in (F.col("address"), F.col("_city"), F.col("_state")))))
     if areas is None:
