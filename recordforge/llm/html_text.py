@@ -1,17 +1,18 @@
-"""Main text of web pages: what markup says, and differencing with the nearest page of the host where it says nothing.
+"""Main text of web pages: differencing with the nearest page of the host, and what markup says as a check of it.
 
 A page is read into blocks, each with the elements that it stands in. Menus, headers, footers, forms and the like are
-told by their elements, roles and class names. If a page marks its article, that is its main text. Else all its other
-blocks are open, and differencing decides: the distinct pages of a host are put in the order of their paths, so that a
-page's neighbours are those whose URLs are nearest; the blocks of each two neighbours are aligned by a longest common
-subsequence of whole texts, and what a page shares with its neighbours is the host's template and goes.
+told by their elements, roles and class names, and go. All other blocks of all pages are held against those of the nearest
+pages: the distinct pages of a host are put in the order of their paths, so that a page's neighbours are those whose URLs
+are nearest; the blocks of each two neighbours are aligned by a longest common subsequence of whole texts, and what a page
+shares with its neighbours is the host's template and goes. Then, if a page marks its article, that is checked: what stands
+in it stays, as articles are copied too, and what doesn't goes.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
@@ -212,29 +213,15 @@ def _lengths(row: int, size: int) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
 
 
-def _read(wanted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (page, url, host, path, html) read: of pages whose markup decides, their text; of the others (wanted), their open blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            step = 64  # a few pages at a time, as one may be long
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                rows, lines = [], []
-                for k, html in enumerate(part.column(4).to_pylist()):
-                    found = blocks(html or "")
-                    marked = [t for kind, t in found if kind == MAIN]
-                    open_ = [] if marked else [t for kind, t in found if kind == OPEN]
-                    if bool(open_) == wanted:
-                        rows.append(k)
-                        lines.append(open_ if wanted else "\n".join(marked))
-                kept = part.take(pa.array(rows, pa.int64()))
-                if wanted:
-                    yield pa.RecordBatch.from_arrays([*kept.columns[:4], pa.array(lines, pa.list_(pa.string()))], names=["page", "url", "host", "path", "lines"])
-                else:
-                    yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(lines, pa.string())], names=["page", "url", "text"])
-
-    return run
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (page, url, host, path, html) read: all blocks that are no furniture, and which of them stand in a marked article."""
+    for batch in batches:
+        step = 64  # a few pages at a time, as one may be long
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            found = [[x for x in blocks(html or "") if x[0] != OTHER] for html in part.column(4).to_pylist()]
+            lines, main = pa.array([[t for _, t in x] for x in found], pa.list_(pa.string())), pa.array([[k == MAIN for k, _ in x] for x in found], pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], lines, main], names=["page", "url", "host", "path", "lines", "main"])
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,18 +257,24 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages (page, url, lines, gone) without the blocks that go."""
+    """Pages (page, url, lines, main, gone) without the blocks that go, and how many of them differencing found to be template.
+
+    An article that the page marks overrules what differencing says of its blocks and of those outside.
+    """
     for batch in batches:
-        texts = []
-        for lines, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        texts, shared = [], []
+        for lines, main, gone in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
             out = set(gone or ())
-            texts.append("\n".join(t for k, t in enumerate(lines) if k not in out))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page", "url", "text"])
+            shared.append(len(out))
+            texts.append("\n".join(t for k, t in enumerate(lines) if (main[k] if any(main) else k not in out)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(shared, pa.int64())], names=["page", "url", "text", "n_template"])
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page, url, text, n_chars) for each row: the page's main text, blocks joined by new lines; empty if there is none.
+    """(page, url, text, n_template, n_chars) for each row: the page's main text, blocks joined by new lines; empty if there is none.
 
+    Every page that has a block is held against its neighbours, those that mark an article against each other, as are the
+    others; n_template is how many of its blocks differencing found in them.
     White space inside a block, also of ``<br>`` and references, becomes one space. A null or empty
     page has an empty text; a null URL, or one without ``://``, belongs to the host without a name. Copies of a page on a
     host count as one page, so repeated rows change nothing. Pages of one path are ordered by content. A very long page is
@@ -290,8 +283,11 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     host, path = host_and_path(F.col(f"`{url_col}`").cast("string"))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page"), F.col(f"`{url_col}`").cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    marked = rows.mapInArrow(tidy(_read(False)), "page long, url string, text string")
-    open_ = rows.mapInArrow(tidy(_read(True)), "page long, url string, host string, path string, lines array<string>")
-    open_ = written(open_.withColumn("digest", F.sha2(F.concat_ws("\n", "host", F.array_join("lines", "\n")), 256)), "open-pages")
-    found = join_hot(open_, written(templates(open_), "page-templates"), "digest").select("page", "url", "lines", "gone").mapInArrow(tidy(_rest), "page long, url string, text string")
-    return marked.unionAll(found).withColumn("n_chars", F.length("text").cast("long"))
+    read = rows.mapInArrow(tidy(_read), "page long, url string, host string, path string, lines array<string>, main array<boolean>")
+    tree = F.when(F.exists("main", lambda m: m), F.concat(F.lit("article "), "host")).otherwise(F.col("host"))
+    read = read.withColumn("host", tree).withColumn("digest", F.when(F.size("lines") > 0, F.sha2(F.concat_ws("\n", "host", F.array_join("lines", "\n")), 256)))
+    read = written(read, "page-blocks")
+    held = read.where("digest is not null")
+    found = join_hot(held, written(templates(held), "page-templates"), "digest").select("page", "url", "lines", "main", "gone")
+    found = found.unionAll(read.where("digest is null").select("page", "url", "lines", "main", F.lit(None).cast("array<int>").alias("gone")))
+    return found.mapInArrow(tidy(_rest), "page long, url string, text string, n_template long").withColumn("n_chars", F.length("text").cast("long"))

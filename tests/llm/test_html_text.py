@@ -128,3 +128,11 @@ def test_repeated_rows_null_ids_and_an_empty_table(spark):
     df = spark.createDataFrame([(None, "http://h/1", "<p>one"), (1, "http://h/1", "<p>one"), (1, "http://h/1", "<p>one"), (1, "http://h/2", "<article>" + "word " * 100_000)], schema)
     assert sorted(len(r["text"]) for r in main_texts(df).collect()) == [3, 3, 3, 499_999]
     assert main_texts(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_marked_pages_are_held_against_their_neighbours_too(spark):
+    """Differencing finds what marked pages share; the marked article stays whole all the same, and what is outside of it goes."""
+    table = [(k, f"http://m.example/{k}", f"<p>Home</p><article><p>Our news</p><p>story {k}</p></article><p>Contact</p><nav>menu</nav>") for k in range(4)]
+    table += [(9, "http://m.example/9", "<p>Home</p><p>open")]
+    got = {r["page"]: (r["text"], r["n_template"]) for r in main_texts(spark.createDataFrame(table, "page_id long, url string, html string")).collect()}
+    assert got == {k: (f"Our news\nstory {k}", 3) for k in range(4)} | {9: ("Home\nopen", 0)}
