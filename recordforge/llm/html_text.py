@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import sha256
 from html import unescape
+from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -213,15 +215,31 @@ def _lengths(row: int, size: int) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (page, url, host, path, html) read: all blocks that are no furniture, and which of them stand in a marked article."""
-    for batch in batches:
-        step = 64  # a few pages at a time, as one may be long
-        for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
-            found = [[x for x in blocks(html or "") if x[0] != OTHER] for html in part.column(4).to_pylist()]
-            lines, main = pa.array([[t for _, t in x] for x in found], pa.list_(pa.string())), pa.array([[k == MAIN for k, _ in x] for x in found], pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], lines, main], names=["page", "url", "host", "path", "lines", "main"])
+def _read(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (page, url, host, path, html) read: all blocks that are no furniture, and which of them stand in a marked article.
+
+    Either whole pages, with packed text, or what differencing needs: the host, with those that mark an article apart, path,
+    digest and lines.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = 64  # a few pages at a time, as one may be long
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                found = [[x for x in blocks(html or "") if x[0] != OTHER] for html in part.column(4).to_pylist()]
+                main = [[k == MAIN for k, _ in x] for x in found]
+                trees = [("article " if any(m) else "") + (host or "") for m, host in zip(main, part.column(2).to_pylist(), strict=True)]
+                texts = ["\n".join(t for _, t in x).encode() for x in found]
+                digest = pa.array([sha256(tree.encode() + b"\n" + t).hexdigest() if x else None for x, tree, t in zip(found, trees, texts, strict=True)], pa.string())
+                if whole:
+                    packed = pa.array([compress(t) for t in texts], pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed, pa.array(main, pa.list_(pa.bool_())), digest], names=["page", "url", "packed", "main", "digest"])
+                else:
+                    lines = pa.array([[t for _, t in x] for x in found], pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([pa.array(trees, pa.string()), part.column(3), digest, lines], names=["host", "path", "digest", "lines"])
+
+    return run
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,13 +259,12 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Of pages (host, path, digest, lines), which blocks each distinct one loses: (digest, gone), null if none.
+    """Of pages (host, path, digest, own), with hashes of their blocks, which blocks each distinct one loses: (digest, gone), null if none.
 
     The distinct pages of a host are numbered in the order of their first paths; a page is held against the one before and
     the one behind it. A block goes if all of the two that say anything share it.
     """
-    hashes = F.transform("lines", lambda x: F.xxhash64(x))
-    distinct = pages.groupBy("digest").agg(F.min("host").alias("tree"), F.min("path").alias("k"), F.first(hashes).alias("own"))
+    distinct = pages.groupBy("digest").agg(F.min("host").alias("tree"), F.min("path").alias("k"), F.first("own").alias("own"))
     placed = written(indexed(written(distinct.withColumn("tie", F.lit(0)), "distinct-pages"), Shape())[0].select("tree", F.col("pos").alias("place"), "digest", "own"), "page-places")
     behind = placed.select("tree", (F.col("place") - 1).alias("place"), F.col("digest").alias("next_digest"), F.col("own").alias("next"))
     pairs = placed.join(behind, ["tree", "place"]).select("digest", "own", "next_digest", "next")
@@ -257,14 +274,14 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages (page, url, lines, main, gone) without the blocks that go, and how many of them differencing found to be template.
+    """Pages (page, url, packed, main, gone) without the blocks that go, and how many of them differencing found to be template.
 
     An article that the page marks overrules what differencing says of its blocks and of those outside.
     """
     for batch in batches:
         texts, shared = [], []
-        for lines, main, gone in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-            out = set(gone or ())
+        for packed, main, gone in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            out, lines = set(gone or ()), decompress(packed).decode().split("\n") if main else []
             shared.append(len(out))
             texts.append("\n".join(t for k, t in enumerate(lines) if (main[k] if any(main) else k not in out)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(shared, pa.int64())], names=["page", "url", "text", "n_template"])
@@ -283,11 +300,12 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     host, path = host_and_path(F.col(f"`{url_col}`").cast("string"))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page"), F.col(f"`{url_col}`").cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    read = rows.mapInArrow(tidy(_read), "page long, url string, host string, path string, lines array<string>, main array<boolean>")
-    tree = F.when(F.exists("main", lambda m: m), F.concat(F.lit("article "), "host")).otherwise(F.col("host"))
-    read = read.withColumn("host", tree).withColumn("digest", F.when(F.size("lines") > 0, F.sha2(F.concat_ws("\n", "host", F.array_join("lines", "\n")), 256)))
-    read = written(read, "page-blocks")
-    held = read.where("digest is not null")
-    found = join_hot(held, written(templates(held), "page-templates"), "digest").select("page", "url", "lines", "main", "gone")
-    found = found.unionAll(read.where("digest is null").select("page", "url", "lines", "main", F.lit(None).cast("array<int>").alias("gone")))
+    # Pages are read twice: their blocks' hashes are kept, but their text isn't.
+    narrow = rows.mapInArrow(tidy(_read(False)), "host string, path string, digest string, lines array<string>").where("digest is not null")
+    narrow = written(narrow.select("host", "path", "digest", F.transform("lines", lambda x: F.xxhash64(x)).alias("own")), "page-blocks")
+    read = rows.mapInArrow(tidy(_read(True)), "page long, url string, packed binary, main array<boolean>, digest string")
+    none = "none"  # of pages without blocks, which are near nothing
+    said = written(templates(narrow), "page-templates").unionAll(rows.sparkSession.range(1).select(F.lit(none).alias("digest"), F.lit(None).cast("array<int>").alias("gone")))
+    read, keys = read.withColumn("digest", F.coalesce("digest", F.lit(none))), narrow.select("digest")
+    found = join_hot(read, said, "digest", keys).select("page", "url", "packed", "main", "gone")
     return found.mapInArrow(tidy(_rest), "page long, url string, text string, n_template long").withColumn("n_chars", F.length("text").cast("long"))

@@ -63,13 +63,14 @@ def drop(*frames: DataFrame) -> None:
 HOT = 1000
 
 
-def join_hot(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
+def join_hot(rows: DataFrame, one: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``one``, which has at most one row for each ``key``, where any key may hold most of the rows.
 
     Hot keys, fewer than HOT, are counted first; what ``one`` says of them is broadcast to their rows. All others are
-    joined by a shuffle. Rows without a key or with one that isn't in ``one`` are left out.
+    joined by a shuffle. Rows without a key or with one that isn't in ``one`` are left out. ``keys``: the rows' keys, where
+    these are at hand and the rows dear to read.
     """
-    counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counted = (rows if keys is None else keys).where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     total = counted.agg(F.sum("n")).first()[0] or 0
     hot = [r[0] for r in counted.where(F.col("n") * HOT > max(total, 100 * HOT)).select(key).collect()]
     if not hot:
