@@ -148,7 +148,7 @@ def _neighbours_task(threshold: int):
                 if len(root) > KEPT_ROOTS:
                     root.clear()
                 joined = [joins(x, y) for x, y in pairs.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(joined)], names=["a", "b", "joins"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(joined, pa.bool_())], names=["a", "b", "joins"])
 
     return run
 

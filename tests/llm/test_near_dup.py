@@ -172,3 +172,18 @@ def linked_classes(rows, k, threshold=80):
         if (lower == least).all():
             return sorted((i, int(n), int(c)) for (i, _), n, c in zip(rows, size, least, strict=True))
         least = lower
+
+
+def test_batches_without_candidates(spark):
+    """Rows that share a label but are too far apart to be candidates: a batch can have such rows alone."""
+    r = random.Random(13)
+    base = [f"w{r.randrange(10**6)}" for _ in range(60)]
+    rows = rows_with_copies() + [(1000 + k, edited(base, r, 9)) for k in range(200)]
+    of_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(of_batch)
+    spark.conf.set(of_batch, "3")
+    try:
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    finally:
+        spark.conf.set(of_batch, before)
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == classes(rows, 4)
